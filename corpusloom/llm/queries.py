@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, rules, sharding
+from corpusloom.llm import mixing, rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
-SQL: dict[str, str] = {**rules.SQL, **mixing.SQL}
+SQL: dict[str, str] = {**rules.SQL, **mixing.SQL, **url_filter.SQL}
