@@ -12,7 +12,7 @@ from corpusloom.llm.words import count_words
 from corpusloom.session import pick, stored, table
 
 BROADCAST_SOURCES = 10_000  # source tables up to so many rows are broadcast, larger ones are joined by shuffle
-ROWS_PER_BUCKET = 2_000
+ROWS_PER_BUCKET = 200
 DRAW_BITS = 48
 
 

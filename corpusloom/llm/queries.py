@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import html_text, mixing, rules, sharding, url_filter
+from corpusloom.llm import html_text, mixing, packing, rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op3_html_text": html_text.op3_html_text,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
