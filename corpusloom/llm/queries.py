@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import html_text, mixing, packing, rules, sharding, url_filter
+from corpusloom.llm import html_text, mixing, packing, quality, rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
     "op3_html_text": html_text.op3_html_text,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
