@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ def _ids_of(word: str) -> bytes:
             ids.append(NUMBER)
         else:
             ids.append(MARKS + zlib.crc32(part.encode("utf-8", "replace")) % (RESERVED - MARKS))
-    return np.array(ids, np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 _cache: dict[str, bytes] = {}
