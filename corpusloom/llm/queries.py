@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import html_text, mixing, packing, quality, rules, sharding, url_filter
+from corpusloom.llm import html_text, mixing, packing, ppm, quality, rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op8_ppm_scores": ppm.op8_ppm_scores,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 SQL: dict[str, str] = {**rules.SQL, **mixing.SQL, **url_filter.SQL}
