@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import html_text, mixing, packing, ppm, quality, rules, sharding, url_filter, vectors
+from corpusloom.llm import html_text, jaccard, mixing, packing, ppm, quality, rules, sharding, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,8 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_ppm_scores": ppm.op8_ppm_scores,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_embedding_near_duplicates": vectors.op10_embedding_near_duplicates,
 }
-SQL: dict[str, str] = {**rules.SQL, **mixing.SQL, **url_filter.SQL, **vectors.SQL}
+SQL: dict[str, str] = {**rules.SQL, **mixing.SQL, **url_filter.SQL, **vectors.SQL, **jaccard.SQL}
