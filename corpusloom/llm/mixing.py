@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import count_words
@@ -46,50 +46,85 @@ def fill(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_share: f
     )
 
 
-def repetitions(docs: DataFrame, seed: int = 7, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """Per document row: doc_id, source, size, source_size, target, copies (long), taken (long).
+def _draw(seed: int) -> Column:
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
 
-    Every document is repeated the whole number of times that its source's rate allows. The
-    rest of the target is met with one more copy of the documents that come first in a seeded
-    order of the source, up to the document whose middle passes it: the error is half a
-    document at most. size: words of the text, 0 for null. Sources may be null. Equal rows
-    count each for itself. An empty table gives an empty table.
 
-    Only the hash bucket in which a source's rest ends is put in order; the others are taken
-    or left whole by their sums, so that no task holds a source.
+def _place() -> Column:
+    """A row's place in its source's seeded order."""
+    return F.struct(F.col("_draw").alias("draw"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("size").alias("size"))
+
+
+def _source_key(source: str = "source") -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
+def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
+    """How a mix takes each source: _key, source_size, target, _whole (copies of all) and _bound.
+
+    rows: doc_id, source, size, _draw. Rows up to the place _bound in the source's order get one
+    more copy: those whose middle lies within what the whole copies leave of the target. Only
+    the hash bucket in which that ends is put in order, the others are known by their sums, so
+    that no task holds a source.
     """
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, DRAW_BITS // 4), 16, 10)
-    rows = stored(pick(docs, "doc_id", "source", "text").select("doc_id", "source", count_words(F.col("text")).alias("size"), draw.cast("long").alias("_draw")))
-    bits = min(20, max(4, math.ceil(math.log2(max(1, rows.count()) / ROWS_PER_BUCKET))))
+    n = rows.count()
+    bits = min(20, max(4, math.ceil(math.log2(max(1, n) / ROWS_PER_BUCKET))))
     bucketed = rows.withColumn("_bucket", F.shiftright("_draw", DRAW_BITS - bits).cast("int"))
-
-    sums = stored(bucketed.groupBy("source", "_bucket").agg(F.sum("size").alias("_size")))
-    targets = stored(fill(sums.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, budget_share, max_epochs))
+    sums = stored(bucketed.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"), F.max(_place()).alias("_last")))
+    targets = fill(sums.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, budget_share, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    keyed = stored(targets.select(_source_key().alias("_key"), "source_size", "target", "_whole", "_rest"))
+    hint = F.broadcast if keyed.count() <= BROADCAST_SOURCES else (lambda df: df)
+
+    upto = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = sums.withColumn("_key", _source_key()).withColumn("_upto", F.sum("_size").over(upto)).join(hint(keyed.select("_key", "_rest")), "_key")
+    open_ = F.when(F.col("_upto") > F.col("_rest"), F.struct("_bucket", (F.col("_upto") - F.col("_size")).alias("_before")))
+    full = F.when((F.col("_upto") <= F.col("_rest")) & (F.col("_rest") > 0), F.struct("_bucket", "_last"))
+    ends = running.groupBy("_key").agg(F.min(open_).alias("_edge"), F.max(full).alias("_full"))
+    edges = stored(ends.join(keyed.select("_key", "_rest"), "_key").select("_key", "_rest", "_edge._bucket", "_edge._before", F.col("_full._last").alias("_last")))
+
+    inside = Window.partitionBy("_key").orderBy(_place()).rowsBetween(Window.unboundedPreceding, -1)
+    edge = bucketed.withColumn("_key", _source_key()).join(hint(edges.filter("_bucket IS NOT NULL").drop("_last")), ["_key", "_bucket"])
+    edge = edge.withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    taken = edge.filter((F.col("_rest") > 0) & (2 * F.col("_ahead") + F.col("size") <= 2 * F.col("_rest"))).groupBy("_key").agg(F.max(_place()).alias("_in_edge"))
+    bounds = edges.select("_key", "_last").join(taken, "_key", "left").select("_key", F.coalesce("_in_edge", "_last").alias("_bound"))
+    return stored(keyed.drop("_rest").join(bounds, "_key", "left"))
 
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    small = targets.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if small else (lambda df: df)
-    running = sums.withColumn("_upto", F.sum("_size").over(upto)).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    keyed = targets.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    # The bucket in which the rest ends, and what lies before it.
-    edges = (
-        running.join(hint(keyed), "_key").filter(F.col("_upto") > F.col("_rest"))
-        .groupBy("_key").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_size")).alias("_before"))).alias("_edge"))
-    )
-    plan = keyed.join(edges, "_key", "left").select("_key", "source_size", "target", "_whole", "_rest", "_edge._bucket", "_edge._before").withColumnRenamed("_bucket", "_at")
-    joined = bucketed.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(hint(stored(plan)), "_key")
 
-    inside = Window.partitionBy("_key").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.filter(F.col("_bucket") == F.col("_at"))
-    edge = edge.withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edge = edge.withColumn("_extra", (2 * F.col("_ahead") + F.col("size") <= 2 * F.col("_rest")).cast("long")).drop("_ahead")
-    rest = joined.filter(F.col("_at").isNull() | (F.col("_bucket") != F.col("_at")))
-    rest = rest.withColumn("_extra", (F.col("_at").isNull() | (F.col("_bucket") < F.col("_at"))).cast("long"))
-    # Without an edge the whole source fits in the rest, which happens only where both are 0.
-    both = rest.unionByName(edge).withColumn("copies", F.col("_whole") + F.when(F.col("_rest") > 0, F.col("_extra")).otherwise(F.lit(0)))
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+def _with_copies(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """rows with source_size, target and copies; the plan is broadcast up to BROADCAST_SOURCES sources."""
+    hint = F.broadcast if plans.count() <= BROADCAST_SOURCES else (lambda df: df)
+    joined = rows.withColumn("_key", _source_key()).join(hint(plans), "_key")
+    extra = F.coalesce((_place() <= F.col("_bound")).cast("long"), F.lit(0).cast("long"))
+    return joined.withColumn("copies", F.col("_whole") + extra).drop("_key", "_whole", "_bound")
+
+
+def repetitions(docs: DataFrame, seed: int = 7, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
+    """Per document row: doc_id, source, size, source_size, target, copies (long), taken (long).
+
+    Every document is repeated the whole number of times that its source's rate allows. The
+    rest of the target is met with one more copy of the documents that come first in a seeded
+    order of the source, up to the document whose middle passes it: the error is half a
+    document at most. size: words of the text, 0 for null. Sources may be null. Equal rows are
+    treated alike. An empty table gives an empty table.
+    """
+    rows = stored(pick(docs, "doc_id", "source", "text").select("doc_id", "source", count_words(F.col("text")).alias("size"), _draw(seed).alias("_draw")))
+    out = _with_copies(rows, plan(rows, weights, budget_share, max_epochs))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of docs as often as repetitions() takes them, with the columns they had. Texts are not shuffled."""
+    held = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
+    at = {n: held.index(n) if n in held else [c.lower() for c in held].index(n) for n in ("doc_id", "source", "text")}
+    named = plain.withColumns({"doc_id": F.col(f"_c{at['doc_id']}"), "source": F.col(f"_c{at['source']}"), "size": count_words(F.col(f"_c{at['text']}"))})
+    rows = named.withColumn("_draw", _draw(seed))
+    narrow = stored(rows.select("doc_id", "source", "size", "_draw"))
+    repeated = _with_copies(rows, plan(narrow)).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(held)])
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
