@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from corpusloom.llm import html_text, jaccard, mixing, packing, ppm, quality, rules, sharding, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_embedding_near_duplicates": vectors.op10_embedding_near_duplicates,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {**rules.SQL, **mixing.SQL, **url_filter.SQL, **vectors.SQL, **jaccard.SQL}

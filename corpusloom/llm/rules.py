@@ -143,8 +143,9 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     held = docs.columns
     place = next(i for i, c in enumerate(held) if c == "text") if "text" in held else [c.lower() for c in held].index("text")
     plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
-    kept = judge(plain, f"_c{place}").filter("kept")
-    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(held)])
+    # Through the generator the filter stays above the counts instead of being copied into each of them.
+    judged = judge(plain, f"_c{place}").select(*plain.columns, F.explode(F.array("kept")).alias("_kept"))
+    return judged.filter("_kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(held)])
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_FORMS)
