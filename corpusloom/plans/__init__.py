@@ -1 +1,26 @@
-"""Part of the corpus engine; see README.md."""
+"""Registered queries over the given tables, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Registry:
+    """Queries and SQL by name."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Query] = {}
+        self.sql: dict[str, str] = {}
+
+    def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
+        def put(query: Query) -> Query:
+            self.queries[name] = query
+            if sql is not None:
+                self.sql[name] = sql
+            return query
+
+        return put
