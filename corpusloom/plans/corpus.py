@@ -13,7 +13,10 @@ from corpusloom.session import table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return document_rows(table(spark, sf_dir, "documents"))
+
+
+def document_rows(d: DataFrame) -> DataFrame:
     source_type = F.create_map(*[F.lit(x) for x in ("en", "notice", "fr", "guidance", "de", "faq", "es", "form")])[F.col("lang")]
     return d.select(
         "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
@@ -32,8 +35,12 @@ DOCUMENTS_SQL = """base AS (
 
 
 def version_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_rows(table(spark, sf_dir, "documents"))
+
+
+def version_rows(d: DataFrame) -> DataFrame:
     """Three overlapping sources: the site, an archive of a third with cut texts, a feed of a fifth with bare titles."""
-    base = documents(spark, sf_dir)
+    base = document_rows(d)
     day = lambda n: F.date_format(F.date_add(F.col("date").cast("date"), n), "yyyy-MM-dd")
     at = lambda n: (F.lit("2026-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(days=n))
     number = F.col("doc_id").cast("int")
