@@ -117,7 +117,8 @@ def _job(pages: DataFrame, make: Callable[[object, str, str], list[tuple]], colu
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for p, u, h in zip(batch["page_id"], batch["url"], batch["html"], strict=True) for r in make(p, u or "", h or "")]
-            yield pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({n: [] for n in names})
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return narrow.mapInPandas(run, columns)
 
