@@ -118,7 +118,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc: acc["n"],
     )
     out = found.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_repeats"), covered), F.lit(0)).cast("long"))
-    return out.drop("_words", "_lines", "_hash1", "_hash2", "_hash4", "_hash8", "_repeats", "_placed", "_places")
+    # Through a generator of one row, so that a filter on the counts stays above them instead of being copied into each.
+    kept = out.select(*docs.columns, F.explode(F.array(F.struct(*COUNTS))).alias("_counts"))
+    return kept.select(*docs.columns, *[F.col(f"_counts.{c}").alias(c) for c in COUNTS])
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -143,9 +145,7 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     held = docs.columns
     place = next(i for i, c in enumerate(held) if c == "text") if "text" in held else [c.lower() for c in held].index("text")
     plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
-    # Through the generator the filter stays above the counts instead of being copied into each of them.
-    judged = judge(plain, f"_c{place}").select(*plain.columns, F.explode(F.array("kept")).alias("_kept"))
-    return judged.filter("_kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(held)])
+    return judge(plain, f"_c{place}").filter("kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(held)])
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_FORMS)
