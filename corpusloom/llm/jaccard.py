@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import arrays
 from corpusloom.llm.components import components
 from corpusloom.llm.words import lower_ascii, split_words
-from corpusloom.session import pick, stored, table
+from corpusloom.session import drop_stored, pick, stored, table
 
 WORDS = 5
 # Two sets link if 7 * shared >= 3 * (sizes added), which is a similarity of 0.75.
@@ -70,6 +70,17 @@ def _bitmap(items: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _packed(items: np.ndarray) -> bytes:
+    """The upper 48 bits of a set's hashes, in order: for comparing two sets they tell shingles apart as well as 64 do."""
+    return (items >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def _sketch_place(items: np.ndarray) -> np.ndarray:
     return (items >> np.uint64(3)).astype(np.int64) & (COUNTERS - 1)
 
@@ -166,8 +177,9 @@ def _bucket_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
     A list is skipped in blocks: sets of sizes that cannot link lie in other bands, and pairs
     whose positions leave too little to share are left out. Every band of a list has one
-    pivot; a set is compared with those of its band and of the next ones. What they leave
-    open is found from their answers later, see links().
+    pivot, the set with the fewest rarer shingles, which is the one most like the others; a set
+    is compared with those of its band and of the next ones. What they leave open is found
+    from their answers later, see links().
     """
     nodes, sizes, tokens, owners, places, base = [], [], [], [], [], 0
     for n, s, t, o, p in zip(group["nodes"], group["sizes"], group["tokens"], group["owners"], group["places"], strict=True):
@@ -195,8 +207,8 @@ def _bucket_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     size = size_of[owner]
     band = np.floor(np.log(size) / BAND).astype(np.int64)
     with np.errstate(over="ignore"):
-        choice = _mixed(unique[owner].view(np.uint64) ^ np.where(token & np.uint32(1), _ODD[0], _ODD[1]))
-    order = np.lexsort((choice, band, token))
+        choice = _mixed(unique[owner].view(np.uint64))
+    order = np.lexsort((choice, place, band, token))
     token, owner, place, length, size, band = token[order], owner[order], place[order], length[order], size[order], band[order]
     opens = np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])])
     block = np.cumsum(opens) - 1
@@ -240,23 +252,26 @@ def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataF
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             items = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"node": [_digest(s) if len(s) else 0 for s in items], "items": [s.tobytes() for s in items]})
+            yield pd.DataFrame({"node": [_digest(s) if len(s) else 0 for s in items], "items": [_packed(s) for s in items]})
 
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInPandas(read, "node long, items binary"))
-    sets = sets.dropDuplicates(["node"])
+    read_again = stored(docs.join(ids, "doc_id", "left_semi").mapInPandas(read, "node long, items binary"))
+    sets = read_again.dropDuplicates(["node"])
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = []
             for x, y in zip(batch["items_a"], batch["items_b"], strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                s, t = _unpacked(x), _unpacked(y)
                 at = np.minimum(np.searchsorted(t, s), len(t) - 1)
                 kept.append(OF * int((t[at] == s).sum()) >= NEED * (len(s) + len(t)))
             yield batch.loc[kept, ["a", "b"]]
 
     with_sets = left.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     with_sets = with_sets.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    return stored(with_sets.mapInPandas(exact, "a long, b long"))
+    verdicts = stored(with_sets.mapInPandas(exact, "a long, b long"))
+    for done in (left, wanted, read_again):
+        drop_stored(done)
+    return verdicts
 
 
 def links(docs: DataFrame, nodes: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -277,8 +292,10 @@ def links(docs: DataFrame, nodes: DataFrame, classes: np.ndarray) -> DataFrame:
     part = components(first)
     named = found.filter("list >= 0").select("list", F.col("a").alias("node"), "size", "place").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named)
+    drop_stored(found)
     split = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
     open_ = stored(named.join(split, "list", "left_semi"))
+    drop_stored(named)
     x, y = open_.alias("x"), open_.alias("y")
     shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     more = x.join(
