@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays
 from corpusloom.llm.components import components
-from corpusloom.llm.words import lower_ascii, split_words
+from corpusloom.llm.words import lower_ascii, split_words, worker_cache
 from corpusloom.session import drop_stored, pick, stored, table
 
 WORDS = 5
@@ -22,12 +22,11 @@ COUNTERS = 1 << 22  # of the frequency sketch that orders shingles; its size doe
 SLICES = 64
 BITMAP = 2048  # parity bits of a set, whose differences bound two sets' difference
 BROADCAST_IDS = 500_000  # ids of documents to read again are broadcast up to so many (4 MB), else joined by shuffle
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+PAIRS_AT_ONCE = 500  # pairs whose whole sets a worker holds
 BAND = np.log(4 / 3)  # sizes of linked sets lie in the same band or in the next
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-_cache: dict[str, bytes] = {}
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -40,15 +39,16 @@ def shingles(text: str | None) -> np.ndarray:
     words = split_words(lower_ascii(text)) if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    found = list(map(_cache.get, words))
+    cache = worker_cache("jaccard")
+    found = list(map(cache.get, words))
     if None in found:
-        if len(_cache) > CACHE_WORDS:
-            _cache.clear()
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
         for i, (w, f) in enumerate(zip(words, found, strict=True)):
             if f is None:
-                found[i] = _cache.get(w) or xxhash.xxh64_digest(w.encode("utf-8", "replace"))
+                found[i] = cache.get(w) or xxhash.xxh64_digest(w.encode("utf-8", "replace"))
                 if len(w) < 64:
-                    _cache[w] = found[i]
+                    cache[w] = found[i]
     h = np.frombuffer(b"".join(found), np.uint64)
     n = len(h)
     if n < WORDS:
@@ -268,7 +268,13 @@ def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataF
 
     with_sets = left.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     with_sets = with_sets.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    verdicts = stored(with_sets.mapInPandas(exact, "a long, b long"))
+    conf, at_once = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(at_once)
+    conf.set(at_once, str(PAIRS_AT_ONCE))
+    try:
+        verdicts = stored(with_sets.mapInPandas(exact, "a long, b long"))
+    finally:
+        conf.set(at_once, before)
     for done in (left, wanted, read_again):
         drop_stored(done)
     return verdicts

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import arrays
-from corpusloom.llm.words import split_words
+from corpusloom.llm.words import split_words, worker_cache
 from corpusloom.session import nonnull, pick, stored, table
 
 BUCKETS = 8192  # words are hashed to so many vectors: the model's size does not grow with the corpus
@@ -28,7 +28,7 @@ SAMPLE_ROWS = 20_000  # most labelled documents that the network is fitted on
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 FEATURES = DIM + 3
 
 AGAIN, LINE_AGAIN, CAPITALS, NUMBER = 0, 1, 2, 3
@@ -51,23 +51,21 @@ def _ids_of(word: str) -> bytes:
     return array("i", ids).tobytes()
 
 
-_cache: dict[str, bytes] = {}
-
-
 def tokens(text: str | None) -> np.ndarray:
     """Bucket ids of a whole text. A word like one of the two before it is AGAIN; a line seen before adds LINE_AGAIN."""
     words = split_words(text)
-    found = list(map(_cache.get, words))
+    cache = worker_cache("quality")
+    found = list(map(cache.get, words))
     if None in found:
-        if len(_cache) > CACHE_WORDS:
-            _cache.clear()
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
         for i, (w, f) in enumerate(zip(words, found, strict=True)):
             if f is None:
-                ids = _cache.get(w)
+                ids = cache.get(w)
                 if ids is None:
                     ids = _ids_of(w)
                     if len(w) < 64:
-                        _cache[w] = ids
+                        cache[w] = ids
                 found[i] = ids
     ids = np.frombuffer(b"".join(found), np.int32)
     if len(ids) > 1:

@@ -39,3 +39,13 @@ def split_words(text: str | None) -> list[str]:
 def lower_ascii(text: str) -> str:
     """A-Z to a-z, all else unchanged."""
     return text.lower() if text.isascii() else text.translate(_UPPER)
+
+
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that a Python worker keeps from task to task for one operator, dropped when another one starts there."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
