@@ -18,9 +18,10 @@ from corpusloom.session import pick, stored, table
 ORDER = 5  # bytes of context; a node's key is its context and symbol, at most 48 bits
 END = b"\n"  # ends every text and stands before it as context; no word holds it
 SEGMENT = 1 << 20  # bytes that are worked on at once; longer texts go on with their last bytes as context
-MOST_NODES = 4_000_000  # of the trie: the least count that a node needs rises until no more are left
+MOST_NODES = 4_000_000  # a trie of up to so many nodes is broadcast, the nodes of a larger one are joined by shuffle
 MOST_WORDS = 8_000_000  # word counts up to so many words are broadcast (12 bytes each), more are joined by shuffle
 TASK_WORDS = 1_000_000  # distinct words a task holds before it hands them on
+TASK_NODES = 4_000_000  # likewise nodes of the highest order
 MASKS = [np.uint64((1 << (8 * (k + 1))) - 1) for k in range(ORDER + 1)]  # of a node's key at each order
 
 
@@ -118,6 +119,11 @@ def gather(docs: DataFrame, ranges: int) -> DataFrame:
             counts = np.fromiter(words.values(), np.int64, len(words))
             return _by_range("word", hashes, counts, (hashes % np.uint64(ranges)).astype(np.int64))
 
+        def node_rows(nodes: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+            keys, counts = _summed(np.concatenate([k for k, _ in nodes]), np.concatenate([c for _, c in nodes]))
+            last = keys & MASKS[1]
+            return _by_range("ppm", keys, counts, (((last * np.uint64(40503)) & np.uint64(0xFFFF)) % np.uint64(ranges)).astype(np.int64))
+
         for batch in (part for whole in batches for part in _slices(whole)):
             texts = []
             for text in batch["text"]:
@@ -127,17 +133,18 @@ def gather(docs: DataFrame, ranges: int) -> DataFrame:
             n_texts += len(texts)
             for keys, _ in _segments(texts):
                 nodes.append(_counted(keys))
-                if sum(len(k) for k, _ in nodes) > 4_000_000:
+                if sum(len(k) for k, _ in nodes) > TASK_NODES:
                     nodes = [_summed(np.concatenate([k for k, _ in nodes]), np.concatenate([c for _, c in nodes]))]
+                    if len(nodes[0][0]) > TASK_NODES // 2:
+                        yield node_rows(nodes)
+                        nodes = []
             if len(words) > TASK_WORDS:
                 yield word_rows()
                 words.clear()
         if words:
             yield word_rows()
         if nodes:
-            keys, counts = _summed(np.concatenate([k for k, _ in nodes]), np.concatenate([c for _, c in nodes]))
-            last = keys & MASKS[1]
-            yield _by_range("ppm", keys, counts, (((last * np.uint64(40503)) & np.uint64(0xFFFF)) % np.uint64(ranges)).astype(np.int64))
+            yield node_rows(nodes)
         if n_texts:
             yield pd.DataFrame({"kind": ["text"], "at": np.zeros(1, np.int32), "keys": [np.zeros(1, np.uint64).tobytes()], "counts": [np.array([n_texts]).tobytes()]})
 
@@ -233,7 +240,10 @@ def _array(blob: bytes, dtype) -> np.ndarray:
 
 
 def trie(gathered: DataFrame, most_nodes: int = MOST_NODES) -> Trie:
-    """The trie of at most most_nodes nodes (or those of counts over half the largest): it alone comes to the driver."""
+    """The trie of at most most_nodes nodes (or those of counts over half the largest): it alone comes to the driver.
+
+    score_documents builds it only where all nodes are within most_nodes, so that none is left out.
+    """
     nodes = gathered.filter("kind = 'ppm'")
     spread = np.zeros(64, np.int64)
     for row in nodes.groupBy("level", F.col("at") % 64).agg(*[F.sum(F.col("spread")[i]).alias(f"s{i}") for i in range(64)]).collect():
@@ -263,8 +273,8 @@ def in_training() -> Column:
 def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: int = MOST_WORDS) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    score: log10 probability of what spelled() makes of the text, under the trie of the
-    training texts. base_score: of its tokens under the training texts' smoothed counts; the
+    score: log10 probability of what spelled() makes of the text, under the trie of all nodes of
+    the training texts; over most_nodes they are joined by shuffle, with the same scores. base_score: of its tokens under the training texts' smoothed counts; the
     end is a token. Null and empty texts are the end alone. Repeated rows count and are scored
     each. Without training texts every byte has probability 1/256 and every count is 0.
     """
@@ -272,12 +282,13 @@ def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: i
     texts = pick(docs, "doc_id", "text")
     ranges = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     gathered = gather(texts.filter(in_training()), ranges)
-    model = trie(gathered, most_nodes)
-    sums = {r["kind"]: r for r in gathered.filter("kind <> 'ppm'").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    sums = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     n_texts = sums["text"]["total"] if "text" in sums else 0
     n_words = sums["word"]["n"] if "word" in sums else 0
     n_tokens = n_texts + (sums["word"]["total"] if "word" in sums else 0)
     bottom = n_tokens + 0.5 * (n_words + (n_texts > 0) + 1)
+    n_nodes = sums["ppm"]["n"] if "ppm" in sums else 0
+    model = trie(gathered, most_nodes) if n_nodes <= most_nodes else None
     own = n_words <= most_words
     if own:
         rows = gathered.filter("kind = 'word'").select("keys", "counts").toLocalIterator()
@@ -296,17 +307,13 @@ def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: i
         for batch in (part for whole in batches for part in _slices(whole)):
             split = [split_words(lower_ascii(t)) if t else [] for t in batch["text"]]
             total = np.zeros(len(split))
-            for codes, owners in _segments([spelled(w) for w in split]):
-                for low in range(int(owners[0]), int(owners[-1]) + 1, 1 << 16):
-                    # A key and its text's number in one word: sorted, equal keys are looked up once.
-                    here = (owners >= low) & (owners < low + (1 << 16))
-                    packed = np.sort((codes[here] << np.uint64(16)) | (owners[here] - low).astype(np.uint64))
-                    keys = packed >> np.uint64(16)
-                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                    value = np.repeat(model.log10(keys[first]), np.diff(np.concatenate([first, [len(keys)]])))
-                    part = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), weights=value)
-                    total[low : low + len(part)] += part
-            out = {"doc_id": batch["doc_id"].array, "n_tokens": [len(w) + 1 for w in split], "score": total}
+            for low, packed in _packed(split) if model is not None else ():
+                keys = packed >> np.uint64(16)
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                value = np.repeat(model.log10(keys[first]), np.diff(np.concatenate([first, [len(keys)]])))
+                part = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), weights=value)
+                total[low : low + len(part)] += part
+            out = {"doc_id": batch["doc_id"].array, "_row": batch["_row"].array, "n_tokens": [len(w) + 1 for w in split], "score": total}
             base, known, words = np.full(len(split), end), np.full(len(split), int(n_texts > 0)), [None] * len(split)
             if vocabulary is not None:
                 distinct = list(set().union(*split)) if split else []
@@ -322,15 +329,83 @@ def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: i
                 words = [[{"h": word_hash(w) - (1 << 63), "k": k} for w, k in Counter(w).items()] for w in split]
             yield pd.DataFrame(out | {"base_score": base, "n_known": known, "words": words})
 
+    # Row numbers are written with the texts, so that every pass over them sees the same.
+    numbered = texts.withColumn("_row", F.lit(0).cast("long")) if own and model is not None else stored(texts.withColumn("_row", F.monotonically_increasing_id()))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    scored = texts.mapInPandas(score, f"doc_id {kind}, n_tokens long, score double, base_score double, n_known long, words array<struct<h:long,k:long>>")
+    scored = numbered.mapInPandas(score, f"doc_id {kind}, _row long, n_tokens long, score double, base_score double, n_known long, words array<struct<h:long,k:long>>")
     if not own:
-        scored = _with_counts(stored(scored.withColumn("_row", F.monotonically_increasing_id())), gathered, bottom)
+        scored = _with_counts(stored(scored), gathered, bottom)
+    if model is None:
+        scored = scored.drop("score").join(_joined_scores(numbered, gathered), "_row")
     return scored.select(
         "doc_id", (~in_training()).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
+def _packed(split: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of first texts and, sorted, each byte's key with its text's number after that one in one word: equal keys are looked up once."""
+    for codes, owners in _segments([spelled(w) for w in split]):
+        for low in range(int(owners[0]), int(owners[-1]) + 1, 1 << 16):
+            here = (owners >= low) & (owners < low + (1 << 16))
+            yield low, np.sort((codes[here] << np.uint64(16)) | (owners[here] - low).astype(np.uint64))
+
+
+def _joined_scores(numbered: DataFrame, gathered: DataFrame) -> DataFrame:
+    """_row and score by joins on the keys, for tries too large to broadcast."""
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (part for whole in batches for part in _slices(whole)):
+            rows = batch["_row"].to_numpy()
+            for low, packed in _packed([split_words(lower_ascii(t)) if t else [] for t in batch["text"]]):
+                keys, times = _counted(packed)
+                yield pd.DataFrame({"_row": rows[low + (keys & np.uint64(0xFFFF)).astype(np.int64)], "code": (keys >> np.uint64(16)).astype(np.int64), "times": times})
+
+    spelt = "_row long, code long, times long"
+    codes = numbered.select("_row", "text").mapInPandas(spell, spelt)
+    held_out = numbered.filter(~in_training()).select("_row", "text").mapInPandas(spell, spelt)
+    worth = _worths(gathered, held_out.select("code").distinct())
+    return codes.join(worth, "code", "left").groupBy("_row").agg(F.sum(F.col("times") * F.col("worth")).alias("score"))
+
+
+def _worths(gathered: DataFrame, codes: DataFrame) -> DataFrame:
+    """code and worth, what Trie.log10 gives, of all keys of the training texts and of codes, order by order."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for level, keys, counts in zip(batch["level"], batch["keys"], batch["counts"], strict=True):
+                yield pd.DataFrame({"level": level, "key": _array(keys, np.uint64).astype(np.int64), "c": _array(counts, np.int64)})
+
+    small = lambda df, bytes_: F.broadcast(df) if bytes_ <= 2 else df  # noqa: E731  # at most 65,536 rows
+    every = stored(gathered.filter("kind = 'ppm'").select("level", "keys", "counts").mapInPandas(unpack, "level int, key long, c long"), ["level"])
+    nodes = [every.filter(F.col("level") == k).select("key", "c") for k in range(ORDER + 1)]
+    nodes[0] = stored(nodes[0].groupBy("key").agg(F.sum("c").alias("c")))  # the only order whose keys lie in several ranges
+    contexts = []
+    for k in range(ORDER + 1):
+        sums = nodes[k].withColumn("excluded", F.lit(0).cast("long"))
+        if k:
+            shorter = nodes[k - 1].select(F.col("key").alias("_short"), F.col("c").alias("excluded"))
+            sums = nodes[k].withColumn("_short", F.col("key").bitwiseAND(F.lit(int(MASKS[k - 1])))).join(small(shorter, k), "_short")
+        contexts.append(sums.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), F.sum("excluded").alias("excluded")))
+
+    top = nodes[ORDER].join(contexts[ORDER], F.shiftright("key", 8) == F.col("context"))
+    found = top.select(F.col("key").alias("code"), F.log10(F.col("c") / (F.col("n") + F.col("d"))).alias("worth"))
+    zero = F.lit(0).cast("long")
+    still = codes.join(nodes[ORDER].select(F.col("key").alias("code")), "code", "left_anti").select("code", F.lit(0.0).alias("worth"), zero.alias("gone_n"), zero.alias("gone_d"))
+    for k in range(ORDER, -1, -1):
+        key = F.col("code").bitwiseAND(F.lit(int(MASKS[k])))
+        at = still.withColumns({"key": key, "context": F.shiftright(key, 8)}).join(small(contexts[k], k), "context", "left").join(small(nodes[k], k + 1), "key", "left")
+        n, d, hit = F.col("n") - F.col("gone_n"), F.col("d") - F.col("gone_d"), F.col("c").isNotNull()
+        step = F.when(hit, F.log10(F.col("c") / (n + d))).when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
+        at = stored(at.select(
+            "code", hit.alias("hit"), (F.col("worth") + step).alias("worth"),
+            F.coalesce("excluded", "gone_n").alias("gone_n"), F.when(F.col("n").isNull(), F.col("gone_d")).otherwise(F.col("d")).alias("gone_d"),
+        ))
+        found = found.unionByName(at.filter("hit").select("code", "worth"))
+        still = at.filter("NOT hit").drop("hit")
+    symbols = F.broadcast(nodes[0].agg(F.count(F.lit(1)).alias("_symbols")))
+    return found.unionByName(still.crossJoin(symbols).select("code", (F.col("worth") - F.log10(F.lit(256) - F.col("_symbols"))).alias("worth")))
+
+
 def _with_counts(scored: DataFrame, gathered: DataFrame, bottom: float) -> DataFrame:
     """Adds the words' part of base_score and n_known by a join on the words, for vocabularies too large to broadcast."""
 

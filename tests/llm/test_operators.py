@@ -338,6 +338,16 @@ def test_ppm(spark, docs, odd, empty, most_words):
     assert ppm.score_documents(empty, most_words=most_words).count() == 0
 
 
+@pytest.mark.parametrize("most_words", [ppm.MOST_WORDS, 3])
+def test_ppm_keeps_every_node_of_a_trie_that_is_not_broadcast(spark, docs, most_words, monkeypatch):
+    monkeypatch.setattr(ppm, "TASK_NODES", 500)
+    rows = [(r["doc_id"], r["text"][:300]) for r in docs.limit(40).collect()] + [(1000 + i, t[:400] if t else t) for i, t in enumerate(ODD_TEXTS)] + [(1001, ""), (1001, "\x07 né"), (None, "null id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[1:] for r in ppm.score_documents(df, most_nodes=1000, most_words=most_words).collect())
+    for a, b in zip(got, plain_scores(rows), strict=True):
+        assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], atol=1e-7)
+
+
 def test_small_trie_is_still_a_distribution(spark, docs):
     rows = spark.createDataFrame([(i, r["text"][:500]) for i, r in enumerate(docs.limit(60).collect())], "doc_id long, text string")
     model = ppm.trie(ppm.gather(rows, 8), most_nodes=3000)
