@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES_AT_ONCE = 4096  # a block of questions that is broadcast; more run block by block
+QUESTIONS_AT_ONCE, CHUNKS_AT_ONCE = 1024, 8192  # about the sides of one matrix product
 DIGITS = 6
 
 
@@ -22,46 +22,38 @@ def relevance(distance: Column) -> Column:
 def knn(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, raw_score, raw_rank: the k chunks of the best relevance for each question.
 
-    Every task compares its chunks with a block of questions by one matrix product and keeps k
-    a question, so that k rows a question and task are shuffled. Scores have DIGITS decimals;
-    equal ones go by chunk_id. Vectors: `embedding`, unit length.
+    Questions are dealt into blocks and chunks into parts by hash, both sized by their counts.
+    Each block meets each part in a group of its own, by shuffle, which keeps k a question by
+    one matrix product; neither passes through the driver. Scores have DIGITS decimals; equal
+    ones go by chunk_id. Vectors: `embedding`, unit length.
     """
-    n = queries.count()
-    out = None
-    for block in range(-(-n // QUERIES_AT_ONCE)):
-        part = queries if n <= QUERIES_AT_ONCE else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERIES_AT_ONCE))) == block)
-        rows = part.select("query_id", "embedding").collect()
-        if rows:
-            found = _nearest(rows, chunks, k)
-            out = found if out is None else out.unionByName(found)
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, raw_score double"
-    best = out if out is not None else chunks.sparkSession.createDataFrame([], schema)
+    blocks, parts = max(1, -(-queries.count() // QUESTIONS_AT_ONCE)), max(1, -(-chunks.count() // CHUNKS_AT_ONCE))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "embedding", dealt("query_id", blocks).alias("_block"), each(parts).alias("_part"))
+    c = chunks.select("chunk_id", "embedding", each(blocks).alias("_block"), dealt("chunk_id", parts).alias("_part"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = q.groupBy("_block", "_part").cogroup(c.groupBy("_block", "_part")).applyInPandas(_nearest(k), f"query_id {kind}, chunk_id string, raw_score double")
     w = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), "chunk_id")
-    return best.withColumn("raw_rank", F.row_number().over(w)).filter(F.col("raw_rank") <= k)
+    return found.withColumn("raw_rank", F.row_number().over(w)).filter(F.col("raw_rank") <= k)
 
 
-def _nearest(rows: list, chunks: DataFrame, k: int) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)))
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
+def _nearest(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def local(questions: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        if not len(questions) or not len(chunks):
+            return pd.DataFrame({"query_id": questions["query_id"][:0], "chunk_id": chunks["chunk_id"][:0], "raw_score": np.zeros(0)})
+        q, x = (np.array(side["embedding"].tolist(), np.float64) for side in (questions, chunks))
+        score = np.round(1 - (2 - 2 * (q @ x.T)) / 2**0.5, DIGITS)
+        ids, names = questions["query_id"].to_numpy(), chunks["chunk_id"].to_numpy()
         best: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.array(batch["embedding"].tolist(), np.float64)
-            score = np.round(1 - (2 - 2 * (q @ x.T)) / 2**0.5, DIGITS)
-            names = batch["chunk_id"].to_numpy()
-            for i in range(len(ids)):
-                bound = np.partition(score[i], -k)[-k] if len(names) > k else -np.inf
-                at = np.flatnonzero(score[i] >= bound)
-                best.append(pd.DataFrame({"query_id": ids[i], "chunk_id": names[at], "raw_score": score[i][at]}))
-        if best:
-            joined = pd.concat(best).sort_values(["query_id", "raw_score", "chunk_id"], ascending=[True, False, True])
-            yield joined.groupby("query_id").head(k)
-
-    kind = {int: "long", str: "string"}[type(rows[0]["query_id"])]
-    return chunks.select("chunk_id", "embedding").mapInPandas(local, f"query_id {kind}, chunk_id string, raw_score double")
+        for i in range(len(ids)):
+            bound = np.partition(score[i], -k)[-k] if len(names) > k else -np.inf
+            at = np.flatnonzero(score[i] >= bound)
+            at = at[np.lexsort((names[at], -score[i][at]))[:k]]
+            best.append(pd.DataFrame({"query_id": ids[i], "chunk_id": names[at], "raw_score": score[i][at]}))
+        return pd.concat(best)
+
+    return local
 
 
 @dataclass(frozen=True)

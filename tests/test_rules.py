@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,23 @@ def test_greedy_budget_skips_what_does_not_fit(spark):
     assert got == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_knn_in_blocks_without_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", 3)
+    monkeypatch.setattr(retrieval, "CHUNKS_AT_ONCE", 10)
+    random = np.random.default_rng(3)
+    x = random.normal(size=(40, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] = x[3]
+    c = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(10)], "query_id long, embedding array<double>")
+    monkeypatch.setattr(type(q), "collect", lambda self: pytest.fail("rows came to the driver"))
+    got = {(r["query_id"], r["raw_rank"]): r["chunk_id"] for r in retrieval.knn(q, c, 15).toLocalIterator()}
+    score = np.round(1 - (2 - 2 * (x[:10] @ x.T)) / 2**0.5, 6)
+    want = {(i, n + 1): f"c{j}" for i in range(10) for n, j in enumerate(sorted(range(40), key=lambda j: (-score[i, j], f"c{j}"))[:15])}
+    assert got == want
+    assert not list(retrieval.knn(q.limit(0), c, 15).toLocalIterator()) and not list(retrieval.knn(q, c.limit(0), 15).toLocalIterator())
+
+
 def test_select_context_caps_a_url_and_drops_what_is_far_behind(spark):
     rows = [(1, f"c{i}", u, s, i) for i, (u, s) in enumerate([("a", .9), ("a", .88), ("b", .85), ("a", .84), ("a", .83), ("c", .7)], 1)]
     df = spark.createDataFrame(rows, "query_id long, chunk_id string, url string, final_score double, final_rank int")
