@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import html
 import zipfile
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dates as D
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, evaluation, freshness, indexing, retrieval, schedules, versions
-from corpusloom.plans import corpus
+from corpusloom.plans import corpus, source_queries
 from corpusloom.sources import files, pages
 from corpusloom.streaming import upserts
 
@@ -153,6 +154,14 @@ def test_upsert_is_idempotent_and_keeps_untouched_parents(spark):
     assert sorted((r["chunk_id"], r["page_content"]) for r in indexing.upsert_chunks(once, new).collect()) == want
 
 
+def test_page_headings_keep_pages_whose_heading_breaks_off(spark, tmp_path):
+    heads = ["Fish &amp; chips", "Fish &am", "Fish &amp", "a &quot b  c", "&", ""]
+    rows = [(i, "https://h/", f"<h1>{h}</h1><p>x</p><a href='f.pdf'>f</a>") for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["heading"], r["n_files"]) for r in source_queries.page_headings(spark, str(tmp_path)).collect()}
+    assert got == {i: (" ".join(html.unescape(h).split()), 1) for i, h in enumerate(heads)}
+
+
 def test_greedy_budget_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([("g", 1, 1, 5), ("g", 2, 2, 9), ("g", 3, 3, 4), ("g", 4, 4, 1)], "by string, priority long, doc_id long, assets long")
     got = {r["doc_id"]: r["taken"] for r in freshness.greedy_budget(rows, "by", 3, 10).collect()}
