@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import stored
+
 
 def distribution(docs: DataFrame, *by: str) -> DataFrame:
     return docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -40,25 +42,41 @@ def snapshot_due(docs: DataFrame, now: Column, days: int = 14) -> DataFrame:
 
 
 def newest_first(docs: DataFrame, wanted: Column, limit: int, groups: str) -> DataFrame:
-    """Wanted rows with `rank` within each group, newest first, and `selected` for the first `limit`."""
-    w = Window.partitionBy(groups).orderBy(F.col("date").desc(), "doc_id")
-    return docs.filter(wanted).withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") <= limit)
+    """Wanted rows with `rank` within each group, newest first, and `selected` for the first `limit`.
+
+    Rows are ordered within a group's day; how many rows the later days have gives where each starts.
+    """
+    dealt = docs.filter(wanted).withColumn("_day", F.substring(F.col("date").cast("string"), 1, 10))
+    later = Window.partitionBy("_of").orderBy(F.col("_on").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(F.col(groups).alias("_of"), F.col("_day").alias("_on")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_of", "_on", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(groups, "_day").orderBy(F.col("date").desc(), "doc_id")
+    joined = dealt.withColumn("_in_day", F.row_number().over(within)).join(starts, F.col(groups).eqNullSafe(F.col("_of")) & F.col("_day").eqNullSafe(F.col("_on")))
+    ranked = joined.withColumn("rank", (F.col("_start") + F.col("_in_day")).cast("int")).drop("_day", "_of", "_on", "_in_day", "_start")
+    return ranked.withColumn("selected", F.col("rank") <= limit)
 
 
 def greedy_budget(candidates: DataFrame, by: str, max_docs: int, max_assets: int) -> DataFrame:
     """Per group, in the order of priority, whether a row still fits both budgets; a row that does not consumes nothing.
 
-    Candidates of a group are a refresh's selection and few; they are folded in one array.
+    What is left of a budget only changes with a row that is taken, so each of at most max_docs
+    rounds takes every group's least row after its last one that still fits: no group is brought
+    to one task.
     """
-    rows = candidates.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("priority", "doc_id", "assets"))).alias("rows"))
-    start = F.struct(F.lit(0).alias("docs"), F.lit(0).cast("long").alias("assets"), F.array().cast("array<struct<doc_id:long,taken:boolean>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        fits = (acc["docs"] < max_docs) & (acc["assets"] + row["assets"] <= max_assets)
-        out = F.concat(acc["out"], F.array(F.struct(row["doc_id"].alias("doc_id"), fits.alias("taken"))))
-        return F.struct((acc["docs"] + fits.cast("int")).alias("docs"), (acc["assets"] + F.when(fits, row["assets"]).otherwise(0)).alias("assets"), out.alias("out"))
-
-    return rows.select(by, F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select(by, "r.doc_id", "r.taken")
+    rows = stored(candidates.select(by, "priority", "doc_id", "assets").withColumn("_row", F.monotonically_increasing_id()))
+    order = F.struct("priority", "doc_id", "assets", "_row")
+    taken, state = rows.filter(F.lit(False)).select("_row"), None
+    for _ in range(max_docs):
+        if state is None:
+            still = rows.withColumn("_used", F.lit(0).cast("long"))
+        else:
+            still = rows.join(state, F.col(by).eqNullSafe(F.col("_by"))).filter(order > F.col("_last"))
+        least = still.filter(F.col("_used") + F.col("assets") <= max_assets).groupBy(by).agg(F.min(order).alias("_last"), F.max("_used").alias("_used"))
+        state = stored(least.select(F.col(by).alias("_by"), "_last", (F.col("_used") + F.col("_last.assets")).alias("_used")))
+        if state.isEmpty():
+            break
+        taken = taken.unionByName(state.select("_last._row"))
+    return rows.join(taken.withColumn("taken", F.lit(True)), "_row", "left").select(by, "doc_id", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import html
+import re
 import zipfile
 
 import numpy as np
@@ -168,6 +169,37 @@ def test_greedy_budget_skips_what_does_not_fit(spark):
     assert got == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_greedy_budget_equals_a_fold_without_a_group_in_one_array(spark):
+    random = np.random.default_rng(1)
+    rows = [(None if i % 11 == 0 else f"g{i % 3}", int(random.integers(0, 40)), i // 2, int(random.integers(0, 7))) for i in range(300)] + [("g1", 3, 5, 2)] * 3
+    df = spark.createDataFrame(rows, "by string, priority long, doc_id long, assets long")
+    want = []
+    for g in {r[0] for r in rows}:
+        docs = used = 0
+        for _, d, a in sorted(r[1:] for r in rows if r[0] == g):
+            fits = docs < 8 and used + a <= 20
+            docs, used = docs + fits, used + a * fits
+            want.append((str(g), d, fits))
+    found = freshness.greedy_budget(df, "by", 8, 20)
+    assert sorted((str(r["by"]), r["doc_id"], r["taken"]) for r in found.collect()) == sorted(want)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert not any(r["taken"] for r in freshness.greedy_budget(df, "by", 0, 20).collect())
+
+
+def test_newest_first_ranks_by_days(spark):
+    rows = [(i, None if i % 13 == 0 else "s", None if i % 17 == 0 else f"2026-01-{1 + i % 5:02d} {i % 3:02d}:00", i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, site string, date string, w int")
+    found = freshness.newest_first(df, F.col("w") == 1, 10, "site")
+    got = {r["doc_id"]: (r["rank"], r["selected"]) for r in found.collect()}
+    want = {}
+    for site in ("s", None):
+        ordered = sorted((r for r in rows if r[1] == site and r[3]), key=lambda r: r[0])
+        ordered.sort(key=lambda r: r[2] or "", reverse=True)
+        want |= {r[0]: (n + 1, n < 10) for n, r in enumerate(ordered)}
+    assert got == want
+    assert "windowspecdefinition(site#" not in re.sub(r"(site#\d+), _day#\d+", "day", found._jdf.queryExecution().analyzed().toString())
+
+
 def test_knn_in_blocks_without_the_driver(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", 3)
     monkeypatch.setattr(retrieval, "CHUNKS_AT_ONCE", 10)
