@@ -51,6 +51,99 @@ def verdict(answer: Column, quotes: Column, expected_abstain: Column, status: Co
     )
 
 
+def _says(text: Column, *words: str) -> Column:
+    return text.rlike("|".join(words))
+
+
+def dated_clauses(answer: Column) -> Column:
+    """array<struct<day, of>>: the dates ('9월 9일') of an answer's clauses and what each is of: apply, consent or none."""
+    apply, consent = "신청|접수", "동의|서류|가구원"
+
+    def days(clause: Column) -> Column:
+        found = F.regexp_extract_all(clause, F.lit(r"(\d{1,2}월(?U:\s*)\d{1,2}일)"), F.lit(1))
+        parts = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("m"), F.regexp_extract(x, r"(\d+)일", 1).cast("int").alias("d")))
+        real = F.filter(parts, lambda x: x["m"].between(1, 12) & x["d"].between(1, 31))
+        return F.transform(real, lambda x: F.struct(x["m"].alias("m"), F.concat(x["m"].cast("string"), F.lit("월 "), x["d"].cast("string"), F.lit("일")).alias("day")))
+
+    def of(clause: Column, day: Column) -> Column:
+        at = F.position(F.concat(day["m"].cast("string"), F.lit("월")), clause) - 1
+        start = F.greatest(at - 20, F.lit(0))
+        near = clause.substr(start + 1, at + 20 - start)
+        by_place = F.when((at >= 0) & near.rlike(consent) & ~near.rlike(apply), "consent").otherwise("apply")
+        a, c = clause.rlike(apply), clause.rlike(consent)
+        return F.when(a & c, by_place).when(a, "apply").when(c, "consent").otherwise("none")
+
+    clauses = F.split(answer, r"(?U)[\n.;]|\s*,\s*|\s+(?:이며|이고|하지만|반면|단,)\s+")
+    return F.flatten(F.transform(clauses, lambda c: F.transform(days(c), lambda d: F.struct(d["day"].alias("day"), of(c, d).alias("of")))))
+
+
+def quote_ratio(answer: Column, quotes: Column) -> Column:
+    """Share of quotes found: up to 4 characters literally, longer ones by at least min(2, parts) of their parts."""
+
+    def found(quote: Column) -> Column:
+        q = F.regexp_replace(quote, r"(?U)^\s+|\s+\z", "")
+        parts = F.filter(F.split(q, r"(?U)[\s().~,]+"), lambda p: F.length(p) >= 2)
+        held = F.size(F.filter(parts, lambda p: answer.contains(p)))
+        return F.when(F.length(q) <= 4, answer.contains(q)).otherwise((F.size(parts) > 0) & (held >= F.least(F.lit(2), F.size(parts))))
+
+    quotes = F.coalesce(quotes, F.array().cast("array<string>"))
+    return F.size(F.filter(quotes, found)) / F.greatest(F.size(quotes), F.lit(1))
+
+
+def answer_verdict(
+    answer: Column, facts: Column, quotes: Column, negatives: Column, should_abstain: Column, category: Column, situation: Column, status: Column
+) -> Column:
+    """struct(status, score, reason) by the whole ordered cascade: not run, failed, abstain, bare title, missing
+    information, dated categories, audience, method, then negative constraints and quotes. PASS is 1, REVIEW 0.5."""
+    text = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)^\s+|\s+\z", "")
+    category, situation, facts = (F.coalesce(c, F.lit("")) for c in (category, situation, facts))
+    give = lambda s, why: F.struct(F.lit(s).alias("status"), F.lit({"PASS": 1.0, "REVIEW": 0.5}.get(s, 0.0)).alias("score"), F.lit(why).alias("reason"))
+    either = lambda good, yes, no: F.when(good, give("PASS", yes)).otherwise(give("FAIL", no))
+    dates = dated_clauses(text)
+    on = lambda day, of=None: F.exists(dates, lambda x: (x["day"] == day) & (F.lit(True) if of is None else x["of"] == of))
+    dated, first, second = F.size(dates) > 0, "9월 9일", "9월 16일"
+    negatives = F.coalesce(negatives, F.array().cast("array<string>"))
+    broken = F.exists(negatives, lambda n: text.contains(n))
+    literal = F.exists(F.coalesce(quotes, F.array().cast("array<string>")), lambda q: text.contains(F.regexp_replace(q, r"(?U)^\s+|\s+\z", "")))
+    ratio = quote_ratio(text, quotes)
+    period = (
+        F.when(on(second, "apply"), give("FAIL", "dates swapped")).when(on(first, "apply") | (on(first) & on(second, "consent")), give("PASS", "deadline given"))
+        .when(~dated | _says(text, "중순", "미정", "추후"), give("REVIEW", "deadline unclear")).otherwise(give("FAIL", "other deadline"))
+    )
+    papers = facts.rlike("서류 ?제출")
+    distinction = (
+        F.when(_says(text, "마감일이 같다", "마감일은 동일", "동일합니다", "같습니다"), give("FAIL", "dates said to be equal"))
+        .when(on(second, "apply") & on(first, "consent"), give("FAIL", "dates swapped"))
+        .when(papers & on(second), give("PASS", "deadline of papers given")).when(papers & on(first), give("FAIL", "other deadline"))
+        .otherwise(either(on(first) & on(second), "both dates given", "a date is missing"))
+    )
+    other_term = (
+        F.when(on(first) | on(second) | on("8월 12일"), give("FAIL", "dates of another term"))
+        .when(literal | on("3월 17일") | on("6월 22일") | on("9월 10일"), give("PASS", "dates of the term")).when(dated, give("FAIL", "other dates")).otherwise(give("REVIEW", "no date"))
+    )
+    groups = sum((text.contains(g).cast("int") for g in ("재학생", "신입생", "편입생", "재입학생", "복학생", "대학생")), F.lit(0))
+    audience = F.when(broken, give("FAIL", "negative constraint broken")).when(groups >= 2, give("PASS", "audience given")).otherwise(give("REVIEW", "audience unclear"))
+    ways = text.contains("한국장학재단") & _says(text, "누리집", "홈페이지", "모바일", "앱")
+    method = F.when(broken, give("FAIL", "negative constraint broken")).when(ways, give("PASS", "method given")).otherwise(give("REVIEW", "method unclear"))
+    denies = _says(text, "확인할 수 없습니다", "확인되지 않습니다", "찾을 수 없습니다", "본문에서 확인할 수 없")
+    general = (
+        F.when(broken, give("FAIL", "negative constraint broken")).when(denies & (situation != "title_only_notice") & (situation != "missing_info_in_notice"), give("FAIL", "denied needlessly"))
+        .when(ratio >= 0.5, give("PASS", "quotes found")).when(ratio > 0, give("REVIEW", "some quotes found")).otherwise(give("FAIL", "no quote found"))
+    )
+    missing = ("확인할 수 없", "명시되어 있지", "확인되지 않", "발견되지 않", "제공되지 않", "기재되어 있지", "안내되어 있지", "공지에는 없", "정보는 없", "정보가 없")
+    return (
+        F.when(status == "NOT_RUN", give("NOT_RUN", "did not run")).when(status != "OK", give("ERROR", "call failed"))
+        .when(F.coalesce(should_abstain, F.lit(False)) | situation.isin("irrelevant_query", "school_related_no_grounding"),
+              either(_says(text, "찾지 못", "찾을 수 없", "확인할 수 없", "관련 공지", "일치하는 공지"), "abstained", "should abstain"))
+        .when((situation == "title_only_notice") | (category == "title_only_notice"),
+              either(_says(text, "확인할 수 없", "세부 내용", "본문에서", "원문 보기", "원문 확인", "제목만", "안내되어 있지"), "led to the page", "details of a bare title"))
+        .when(category.startswith("missing_") | (situation == "missing_info_in_notice"), either(_says(text, *missing), "said to be missing", "missing information made up"))
+        .when(category == "period_apply", period).when(category == "period_distinction", distinction)
+        .when(category.isin("other_year_distinction", "other_semester_distinction"), other_term)
+        .when(category.isin("target_audience", "freshman_rule"), audience).when(category.isin("apply_method", "apply_method_auth"), method).otherwise(general)
+    )
+
+
 def quota_report(items: DataFrame, targets: DataFrame) -> DataFrame:
     """Counts by category, kind and split against targets, with subtotals; a group on one side only shows as well."""
     counted = items.groupBy("category", "kind", "split").agg(F.count(F.lit(1)).alias("have"))

@@ -234,3 +234,42 @@ def test_overlap_pairs_equal_a_plain_join(spark):
 def test_run_metrics_leave_out_what_did_not_run(spark):
     r = evaluation.run_metrics(spark.createDataFrame([("a", "PASS"), ("a", "FAIL"), ("a", "NOT_RUN")], "g string, verdict string"), "g").first()
     assert (r["n"], r["not_run"], r["pass_rate"]) == (3, 1, 50.0)
+
+
+VERDICTS = [
+    # answer, facts, quotes, negatives, abstain, category, situation, status, verdict, score
+    ("x", "", [], [], False, "", "", "NOT_RUN", "NOT_RUN", 0.0),
+    ("x", "", [], [], False, "", "", "FAILED", "ERROR", 0.0),
+    ("관련 공지를 찾지 못했습니다", "", [], [], True, "", "", "OK", "PASS", 1.0),
+    ("그렇습니다", "", [], [], False, "", "irrelevant_query", "OK", "FAIL", 0.0),
+    ("제목만 있습니다", "", [], [], False, "title_only_notice", "", "OK", "PASS", 1.0),
+    ("3만원입니다", "", [], [], False, "missing_fee", "", "OK", "FAIL", 0.0),
+    ("금액은 명시되어 있지 않습니다", "", [], [], False, "", "missing_info_in_notice", "OK", "PASS", 1.0),
+    ("신청은 9월 9일까지, 서류 제출은 9월 16일까지", "", [], [], False, "period_apply", "", "OK", "PASS", 1.0),
+    ("신청은 09월 16일까지", "", [], [], False, "period_apply", "", "OK", "FAIL", 0.0),
+    ("9월 중순", "", [], [], False, "period_apply", "", "OK", "REVIEW", 0.5),
+    ("동의 마감은 9월 9일, 신청 마감은 9월 16일", "", [], [], False, "period_distinction", "", "OK", "FAIL", 0.0),
+    ("신청은 9월 9일, 동의는 9월 16일", "", [], [], False, "period_distinction", "", "OK", "PASS", 1.0),
+    ("9월 9일입니다", "서류 제출 9월 16일", [], [], False, "period_distinction", "", "OK", "FAIL", 0.0),
+    ("3월 17일 마감", "", [], [], False, "other_year_distinction", "", "OK", "PASS", 1.0),
+    ("5월 1일 마감", "", [], [], False, "other_semester_distinction", "", "OK", "FAIL", 0.0),
+    ("재학생과 신입생", "", [], [], False, "target_audience", "", "OK", "PASS", 1.0),
+    ("재학생과 신입생", "", [], ["신입생"], False, "freshman_rule", "", "OK", "FAIL", 0.0),
+    ("한국장학재단 누리집", "", [], [], False, "apply_method", "", "OK", "PASS", 1.0),
+    ("누리집", "", [], [], False, "apply_method_auth", "", "OK", "REVIEW", 0.5),
+    ("beta first, alpha then", "", ["alpha (gamma) beta"], [], False, "", "", "OK", "PASS", 1.0),
+    ("alpha", "", ["alpha gamma beta"], [], False, "", "", "OK", "FAIL", 0.0),
+    ("alpha beta", "", ["alpha, beta", "none at all", "nor this"], [], False, "", "", "OK", "REVIEW", 0.5),
+    ("alpha beta", "", ["alpha beta"], ["beta"], False, "", "", "OK", "FAIL", 0.0),
+    ("alpha를 찾을 수 없습니다", "", ["alpha"], [], False, "", "", "OK", "FAIL", 0.0),
+    (" ab ", None, ["ab"], None, None, None, None, "OK", "PASS", 1.0),
+    (None, "", None, [], False, "", "", "OK", "FAIL", 0.0),
+]
+
+
+def test_answer_verdict_follows_the_whole_cascade(spark):
+    names = "answer facts quotes negatives abstain category situation status".split()
+    kinds = "string string array<string> array<string> boolean string string string".split()
+    df = spark.createDataFrame([(i, *v[:8]) for i, v in enumerate(VERDICTS)], "i int, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    got = {r["i"]: (r["status"], r["score"]) for r in df.select("i", evaluation.answer_verdict(*map(F.col, names)).alias("v")).select("i", "v.*").collect()}
+    assert got == {i: v[8:] for i, v in enumerate(VERDICTS)}
