@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.words import worker_cache
 from corpusloom.session import pick, stored, table
 
 CAPACITY = 2048
@@ -22,10 +23,10 @@ SIMPLE = re.compile("([A-Za-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00d
 GAPS = re.compile(r"[\x20\x09-\x0D]+")
 ODD = re.compile("[\x1c-\x1f]")
 
-PIECES_PER_GROUP = 50_000  # pieces that one task packs in the first round
-FAN_IN = 8  # groups that one group of the next round takes over
+PIECES_PER_GROUP = 50_000  # items that one task packs
+FAN_IN = 8  # groups that one group of the next round takes over, where their underfull bins are few enough
 NEARLY_FULL = 0.995  # bins filled so far are emitted
-CARRIED_PER_GROUP = 20_000  # underfull bins that a group hands on; fuller ones beyond it are emitted as they are
+STILL_MERGES = 0.95  # rounds end when one leaves more than this share of its items as underfull bins
 
 
 class WordEncoder:
@@ -79,17 +80,25 @@ class WordEncoder:
         return b"".join(found)
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of a tokenizer file that a Python worker keeps from task to task, with the words it has learned."""
+    cache = worker_cache("packing")
+    if path not in cache:
+        cache[path] = WordEncoder(path)
+    return cache[path]
+
+
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Documents as pieces: doc_id, row, piece, start, length, ids_crc32.
+    """Documents as pieces: doc_id, piece, start, length, ids_crc32.
 
     A document is its ids, then END_ID; one longer than capacity is cut into pieces of capacity,
-    the last may be shorter. Null and empty texts are END_ID alone. `row` tells repeated rows
-    of one doc_id apart (0 where a doc_id is there once).
+    the last may be shorter. Null and empty texts are END_ID alone. Texts are read whole whatever
+    their length. Repeated rows and rows without doc_id are cut each; columns other than doc_id
+    and text are not read. An empty table gives an empty table.
     """
-    held: dict[str, WordEncoder] = {}
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = held.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        encoder = worker_encoder(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
@@ -130,65 +139,76 @@ def best_fit(sizes: Sequence[int], capacity: int) -> list[int]:
     return chosen
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, pieces_per_group: int = PIECES_PER_GROUP, fan_in: int = FAN_IN, carried: int = CARRIED_PER_GROUP) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, pieces_per_group: int = PIECES_PER_GROUP, fan_in: int = FAN_IN) -> DataFrame:
     """Bins of items (item long, length long): bin (string), members (array of struct<item, length>).
 
     Round by round, groups pack their items by best fit, emit the bins that are nearly full and
-    hand the others on as items of the next round, which has fan_in times fewer groups. A task
-    holds pieces_per_group items in the first round and at most fan_in * carried after it.
-    The last round has one group and emits all. Every round is written before the next reads it.
+    hand the others on as items of the next round. Up to fan_in groups meet in one of the next
+    round, fewer where so many underfull bins are left that a group would take over more than
+    pieces_per_group. The round of one group emits all, and so does a round that hardly merged
+    anything, as where every bin is over half full: no bin is given up while it may still be
+    filled. Every round is written before the next reads it. Equal lengths go in any order.
     """
     member = "array<struct<item:long,length:long>>"
+    schema = f"bin string, grp int, size long, done boolean, members {member}"
 
     def run(last: bool, round_: int):
         def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             sizes = group["size"].to_numpy()
             chosen = best_fit([int(x) for x in sizes], capacity)
             filled = np.bincount(chosen, weights=sizes, minlength=max(chosen) + 1).astype(np.int64)
-            order = np.argsort(chosen, kind="stable")
             joined: dict[int, list] = {}
             lists = group["members"].to_numpy()
-            for i in order:
+            for i in np.argsort(chosen, kind="stable"):
                 joined.setdefault(chosen[i], []).extend(lists[i])
-            done = filled >= (0 if last else NEARLY_FULL * capacity)
-            open_bins = np.flatnonzero(~done)
-            if len(open_bins) > carried:  # the fullest are done: what they lack is least
-                done[open_bins[np.argsort(-filled[open_bins], kind="stable")[: len(open_bins) - carried]]] = True
             return pd.DataFrame({
-                "bin": [f"{round_}-{key[0]}-{b}" for b in range(len(filled))], "grp": int(key[0]) // fan_in,
-                "size": filled, "done": done, "members": [joined[b] for b in range(len(filled))],
+                "bin": [f"{round_}-{key[0]}-{b}" for b in range(len(filled))], "grp": int(key[0]), "size": filled,
+                "done": filled >= (0 if last else NEARLY_FULL * capacity), "members": [joined[b] for b in range(len(filled))],
             })
 
         return packed
 
-    n = items.count()
-    groups = max(1, -(-n // pieces_per_group))
+    left = items.count()
+    groups = max(1, -(-left // pieces_per_group))
     single = F.array(F.struct(F.col("item").cast("long"), F.col("length").cast("long"))).cast(member)
     rows = items.select(F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int").alias("grp"), F.col("length").cast("long").alias("size"), single.alias("members"))
     done, round_ = None, 0
     while True:
-        schema = f"bin string, grp int, size long, done boolean, members {member}"
         made = stored(rows.groupBy("grp").applyInPandas(run(groups == 1, round_), schema))
-        ready = made.filter("done").select("bin", "members")
+        before, left = left, made.filter("NOT done").count()
+        over = left <= STILL_MERGES * before and left > 0
+        ready = (made.filter("done") if over else made).select("bin", "members")
         done = ready if done is None else done.unionByName(ready)
-        if groups == 1:
+        if not over:
             return done
-        rows = made.filter("NOT done").select("grp", "size", "members")
-        groups, round_ = -(-groups // fan_in), round_ + 1
+        fewer = min(groups, max(1, -(-groups // fan_in), -(-left // pieces_per_group)))
+        parent = F.floor(F.col("grp").cast("long") * fewer / groups).cast("int")
+        rows = made.filter("NOT done").select(parent.alias("grp"), "size", "members")
+        groups, round_ = fewer, round_ + 1
+
+
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every member of the batch's bins with its place in its sequence."""
+    for batch in batches:
+        n = [len(m) for m in batch["members"]]
+        flat = [(m["item"], m["length"]) for members in batch["members"] for m in members]
+        item, length = (np.array([f[k] for f in flat], np.int64) for k in (0, 1))
+        ends = np.cumsum(length)
+        first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        before = np.repeat(ends[first] - length[first], n) if len(flat) else ends
+        yield pd.DataFrame({"sequence_id": np.repeat(batch["sequence_id"].to_numpy(), n), "item": item, "offset": ends - length - before})
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Rows of one doc_id that are there more than once are packed each. Full pieces are
-    sequences of their own. An empty table gives an empty table.
+    Documents are cut as cut() says, which also defines nulls, repeats and long texts. Full
+    pieces are sequences of their own. Which of several pieces of one length goes into which
+    sequence is left open. An empty table gives an empty table.
     """
     pieces = stored(cut(docs, tokenizer_path, capacity).withColumn("item", F.monotonically_increasing_id()))
     bins = pack(pieces.filter(F.col("length") < capacity).select("item", "length"), capacity)
-    placed = (
-        bins.select(F.xxhash64("bin").alias("sequence_id"), F.posexplode("members").alias("at", "m"), "members")
-        .select("sequence_id", F.col("m.item").alias("item"), F.aggregate(F.slice("members", 1, F.col("at")), F.lit(0).cast("long"), lambda a, m: a + m["length"]).alias("offset"))
-    )
+    placed = bins.select(F.xxhash64("bin").alias("sequence_id"), "members").mapInPandas(_placed, "sequence_id long, item long, offset long")
     short = pieces.filter(F.col("length") < capacity).join(placed, "item")
     full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": F.xxhash64(F.concat_ws("-", F.lit("full"), "item")), "offset": F.lit(0).cast("long")})
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

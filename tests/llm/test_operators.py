@@ -226,11 +226,15 @@ def test_packing(docs, odd, empty):
 def test_packing_in_rounds(spark):
     random = np.random.default_rng(1)
     items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(random.integers(1, 900, 3000))], "item long, length long")
-    bins = packing.pack(items, capacity=1000, pieces_per_group=1000, fan_in=2, carried=200).collect()
+    bins = packing.pack(items, capacity=1000, pieces_per_group=500, fan_in=2).collect()
     seen = Counter(m["item"] for b in bins for m in b["members"])
     assert len(seen) == 3000 and set(seen.values()) == {1}
     assert all(sum(m["length"] for m in b["members"]) <= 1000 for b in bins)
     assert len(bins) <= 1.03 * items.agg(F.sum("length")).first()[0] / 1000
+    over_half = spark.createDataFrame([(i, 600) for i in range(400)], "item long, length long")
+    assert len(packing.pack(over_half, capacity=1000, pieces_per_group=50).collect()) == 400
+    some_fit = spark.createDataFrame([(i, 600) for i in range(400)] + [(i, 400) for i in range(400, 800)], "item long, length long")
+    assert len(packing.pack(some_fit, capacity=1000, pieces_per_group=50).collect()) <= 430
 
 
 # Jaccard join
