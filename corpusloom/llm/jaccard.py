@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays
@@ -21,7 +22,10 @@ NEED, OF = 3, 7
 COUNTERS = 1 << 22  # of the frequency sketch that orders shingles; its size does not grow with the corpus
 SLICES = 64
 BITMAP = 2048  # parity bits of a set, whose differences bound two sets' difference
-BROADCAST_IDS = 500_000  # ids of documents to read again are broadcast up to so many (4 MB), else joined by shuffle
+BROADCAST_IDS = 500_000  # row numbers and ids are broadcast up to so many (4 MB), else joined by shuffle
+POSTINGS_PER_BUCKET = 250_000  # of the index lists that one group holds; the number of buckets follows from the sets' sizes
+LIST_PART = 65_536  # a list of a shingle in more documents is cut by its sets into parts of about so many
+LIST_BLOCK = 500  # sets of an open list that are compared with as many others in one group
 CACHE_WORDS = 200_000
 PAIRS_AT_ONCE = 500  # pairs whose whole sets a worker holds
 BAND = np.log(4 / 3)  # sizes of linked sets lie in the same band or in the next
@@ -82,36 +86,39 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _sketch_place(items: np.ndarray) -> np.ndarray:
+    """Counter of the upper 48 bits of a hash, which is the one of their lower 32 bits too."""
     return (items >> np.uint64(3)).astype(np.int64) & (COUNTERS - 1)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """One pass over all texts, written: per document its set's digest, size and bitmap (kind 0), and each task's part of
-    the frequency sketch (kind 1). A document without words has no digest."""
+    """One pass over all texts, written: per document a row number, its set's digest, size, bitmap and packed hashes
+    (kind 0), and each task's part of the frequency sketch (kind 1). A document without words has no digest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            digests, sizes, bitmaps, pending, held = [], [], [], [], 0
+            digests, sizes, bitmaps, packed, pending, held = [], [], [], [], [], 0
             for text in batch["text"]:
                 items = shingles(text)
+                some = len(items) > 0
                 sizes.append(len(items))
-                digests.append(_digest(items) if len(items) else None)
-                bitmaps.append(_bitmap(items) if len(items) else None)
-                pending.append(_sketch_place(items))
+                digests.append(_digest(items) if some else None)
+                bitmaps.append(_bitmap(items) if some else None)
+                packed.append(_packed(items) if some else None)
+                pending.append(_sketch_place(items >> np.uint64(16)))
                 held += len(items)
                 if held > 1_000_000:
                     np.add(counts, np.bincount(np.concatenate(pending), minlength=COUNTERS).astype(np.uint32), out=counts)
                     pending, held = [], 0
             if held:
                 np.add.at(counts, np.concatenate(pending), 1)
-            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"], "node": pd.array(digests, dtype="Int64"), "size": sizes, "bitmap": bitmaps, "slice": None, "part": None, "data": None})
+            yield pd.DataFrame({"kind": 0, "row": batch["_row"], "doc_id": batch["doc_id"], "node": pd.array(digests, dtype="Int64"), "size": sizes, "bitmap": bitmaps, "items": packed, "slice": None, "part": None, "data": None})
         part = arrays.partial_rows(counts, SLICES)
-        yield pd.DataFrame({"kind": 1, "doc_id": None, "node": None, "size": None, "bitmap": None, "slice": part["slice"], "part": part["part"], "data": part["data"]})
+        yield pd.DataFrame({"kind": 1, "row": None, "doc_id": None, "node": None, "size": None, "bitmap": None, "items": None, "slice": part["slice"], "part": part["part"], "data": part["data"]})
 
-    schema = f"kind int, doc_id {kind}, node long, size int, bitmap binary, {arrays.PARTIAL}"
-    return stored(docs.mapInPandas(run, schema))
+    schema = f"kind int, row long, doc_id {kind}, node long, size int, bitmap binary, items binary, {arrays.PARTIAL}"
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()).mapInPandas(run, schema))
 
 
 def _frequency_classes(sets: DataFrame) -> np.ndarray:
@@ -121,49 +128,53 @@ def _frequency_classes(sets: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def _index_lists(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
+def _parts_of(classes: np.ndarray, tokens: np.ndarray, list_part: int) -> np.ndarray:
+    """Into how many parts the lists of tokens are cut, from how many documents may hold them."""
+    return np.maximum(1, (np.int64(2) << classes[_sketch_place(tokens)].astype(np.int64)) // list_part)
+
+
+def _index_lists(sets: DataFrame, classes: Broadcast, buckets: int, list_part: int) -> DataFrame:
     """Postings of every set's prefix: its first size/4 + 1 shingles, rare ones first, dealt by shingle to buckets.
 
     Two sets that link share a shingle of their prefixes. A row holds a batch's postings of one
-    bucket: shingle, place in the batch's list of sets, and position in the set.
+    bucket: shingle, place in the batch's list of sets, and position in the set. A shingle that
+    very many documents hold is dealt to several buckets, by its sets.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order_class = shared.value
+        order_class = classes.value
         known: set[int] = set()
         for batch in batches:
             nodes, sizes, tokens, owners, places = [], [], [], [], []
-            for text in batch["text"]:
-                items = shingles(text)
-                if not len(items):
-                    continue
-                node = _digest(items)
+            for node, size, blob in zip(batch["node"].tolist(), batch["size"].tolist(), batch["items"], strict=True):
                 if node in known:
                     continue
                 known.add(node)
-                prefix = len(items) // 4 + 1
-                rare = order_class[_sketch_place(items)]
-                first = np.lexsort((items, rare))[:prefix]
-                owners.append(np.full(prefix, len(nodes), np.uint32))
-                places.append(np.minimum(np.arange(prefix), 65535).astype(np.uint16))
+                items = _unpacked(blob)
+                prefix = int(size) // 4 + 1
+                first = np.argsort(order_class[_sketch_place(items)], kind="stable")[:prefix]  # the hashes are in order already
+                owners.append(np.full(len(first), len(nodes), np.uint32))
+                places.append(np.minimum(np.arange(len(first)), 65535).astype(np.uint16))
                 tokens.append(items[first])
-                nodes.append(node), sizes.append(len(items))
+                nodes.append(node), sizes.append(size)
             if not nodes:
                 continue
             token, owner, place = np.concatenate(tokens), np.concatenate(owners), np.concatenate(places)
-            bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            node_array, size_array = np.array(nodes, np.int64), np.array(sizes, np.uint32)
+            parts = _parts_of(order_class, token, list_part)
+            part = _mixed(node_array[owner].view(np.uint64)) % parts.astype(np.uint64)
+            bucket = (((token >> np.uint64(16)) + part) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             token, owner, place, bucket = token[order].astype(np.uint32), owner[order], place[order], bucket[order]
             bounds = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            node_array, size_array = np.array(nodes, np.int64), np.array(sizes, np.uint32)
             rows = []
             for a, b in zip(bounds, [*bounds[1:], len(bucket)], strict=True):
                 here, local = np.unique(owner[a:b], return_inverse=True)
                 rows.append((int(bucket[a]), node_array[here].tobytes(), size_array[here].tobytes(), token[a:b].tobytes(), local.astype(np.uint32).tobytes() if len(here) > 65535 else local.astype(np.uint16).tobytes(), place[a:b].tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "nodes", "sizes", "tokens", "owners", "places"])
 
-    return docs.select("text").mapInPandas(run, "bucket int, nodes binary, sizes binary, tokens binary, owners binary, places binary")
+    held = sets.filter("kind = 0 AND node IS NOT NULL").select("node", "size", "items")
+    return held.mapInPandas(run, "bucket int, nodes binary, sizes binary, tokens binary, owners binary, places binary")
 
 
 def _may_link(size_a, size_b, place_a, place_b):
@@ -172,14 +183,18 @@ def _may_link(size_a, size_b, place_a, place_b):
     return OF * left >= NEED * (size_a + size_b)
 
 
-def _bucket_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's index lists: pairs of each set with its list's pivots (list 0), and lists of three or more sets.
+PAIR, LISTED, PIVOT = -1, 0, 1  # kinds of rows of _bucket_pairs
+
+
+def _bucket_pairs(group: pd.DataFrame, classes: np.ndarray, buckets: int, list_part: int) -> pd.DataFrame:
+    """Of a bucket's index lists: pairs of each set with its list's pivots, lists of three or more sets, and pivots of cut lists.
 
     A list is skipped in blocks: sets of sizes that cannot link lie in other bands, and pairs
     whose positions leave too little to share are left out. Every band of a list has one
     pivot, the set with the fewest rarer shingles, which is the one most like the others; a set
-    is compared with those of its band and of the next ones. What they leave open is found
-    from their answers later, see links().
+    is compared with those of its band and of the next ones. The parts of a list that was cut
+    have pivots of their own, which are compared in links(). What the pivots leave open is
+    found from their answers later, see links().
     """
     nodes, sizes, tokens, owners, places, base = [], [], [], [], [], 0
     for n, s, t, o, p in zip(group["nodes"], group["sizes"], group["tokens"], group["owners"], group["places"], strict=True):
@@ -191,7 +206,7 @@ def _bucket_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     unique, first, where = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
     size_of = np.concatenate(sizes)[first].astype(np.int64)
     token, owner, place = np.concatenate(tokens), where[np.concatenate(owners)], np.concatenate(places).astype(np.int64)
-    columns = ["a", "b", "list", "size", "place"]
+    columns = ["kind", "a", "b", "list", "size", "place"]
     # Only lists of two sets or more; a set that several batches held counts once.
     order = np.lexsort((owner, token))
     token, owner, place = token[order], owner[order], place[order]
@@ -200,8 +215,9 @@ def _bucket_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     start = np.concatenate([[True], token[1:] != token[:-1]])
     run = np.cumsum(start) - 1
     length = np.bincount(run)[run]
-    shared = length >= 2
-    token, owner, place, length = token[shared], owner[shared], place[shared], length[shared]
+    cut = _parts_of(classes, token.astype(np.uint64), list_part) > 1
+    shared = (length >= 2) | cut
+    token, owner, place, length, cut = token[shared], owner[shared], place[shared], length[shared], cut[shared]
     if not len(token):
         return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
     size = size_of[owner]
@@ -209,7 +225,7 @@ def _bucket_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     with np.errstate(over="ignore"):
         choice = _mixed(unique[owner].view(np.uint64))
     order = np.lexsort((choice, place, band, token))
-    token, owner, place, length, size, band = token[order], owner[order], place[order], length[order], size[order], band[order]
+    token, owner, place, length, size, band, cut = token[order], owner[order], place[order], length[order], size[order], band[order], cut[order]
     opens = np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])])
     block = np.cumsum(opens) - 1
     pivot = np.flatnonzero(opens)
@@ -224,14 +240,17 @@ def _bucket_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a, b = owner[mine[ok]], owner[its[ok]]
         pairs.append(np.minimum(a, b) * len(unique) + np.maximum(a, b))
     code = np.unique(np.concatenate(pairs))
-    found = pd.DataFrame({"a": unique[code // len(unique)], "b": unique[code % len(unique)], "list": -1, "size": 0, "place": 0})
-    long = length >= 3
-    lists = pd.DataFrame({"a": unique[owner[long]], "b": 0, "list": (np.int64(key[0]) << 32) + token[long].astype(np.int64), "size": size[long], "place": place[long]})
-    return pd.concat([found, lists], ignore_index=True)[columns]
+    found = pd.DataFrame({"kind": PAIR, "a": unique[code // len(unique)], "b": unique[code % len(unique)], "list": 0, "size": 0, "place": 0})
+    long = (length >= 3) | cut
+    # A list is known by its shingle and the bucket of its first part.
+    part = (choice[order] % _parts_of(classes, token.astype(np.uint64), list_part).astype(np.uint64)).astype(np.int64)
+    name = ((int(group["bucket"].iloc[0]) - part) % buckets << 32) + token.astype(np.int64)
+    rows = lambda kind, at: pd.DataFrame({"kind": kind, "a": unique[owner[at]], "b": 0, "list": name[at], "size": size[at], "place": place[at]})
+    return pd.concat([found, rows(LISTED, long), rows(PIVOT, pivot[cut[pivot]])], ignore_index=True)[columns]
 
 
-def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among pairs (a, b), written: first by size and bitmap, then by the whole sets, read again from the texts."""
+def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among pairs (a, b), written: first by size and bitmap, then by the whole sets."""
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -239,23 +258,17 @@ def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataF
                 continue
             x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("bitmap_a", "bitmap_b"))
             apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
-            yield batch.loc[OF * apart <= batch["size_a"].to_numpy(np.int64) + batch["size_b"].to_numpy(np.int64), ["a", "b", "rep_a", "rep_b"]]
+            yield batch.loc[OF * apart <= batch["size_a"].to_numpy(np.int64) + batch["size_b"].to_numpy(np.int64), ["a", "b", "row_a", "row_b"]]
 
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bitmap").alias(f"bitmap_{name}"), F.col("rep").alias(f"rep_{name}"))
+        return nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("bitmap").alias(f"bitmap_{name}"), F.col("row").alias(f"row_{name}"))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
-    left = stored(sized.mapInPandas(possible, "a long, b long, rep_a long, rep_b long"))
-    wanted = stored(left.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")).distinct())
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            items = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"node": [_digest(s) if len(s) else 0 for s in items], "items": [_packed(s) for s in items]})
-
-    read_again = stored(docs.join(ids, "doc_id", "left_semi").mapInPandas(read, "node long, items binary"))
-    sets = read_again.dropDuplicates(["node"])
+    left = stored(sized.mapInPandas(possible, "a long, b long, row_a long, row_b long"))
+    wanted = stored(left.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct())
+    rows = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    # A node's row is one of those that hold its set, so every set is there once.
+    whole = stored(sets.filter("kind = 0").select("row", "node", "items").join(rows, "row", "left_semi").select("node", "items"))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -266,21 +279,53 @@ def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataF
                 kept.append(OF * int((t[at] == s).sum()) >= NEED * (len(s) + len(t)))
             yield batch.loc[kept, ["a", "b"]]
 
-    with_sets = left.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    with_sets = with_sets.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    conf, at_once = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with_sets = left.select("a", "b").join(whole.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+    with_sets = with_sets.join(whole.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
+    conf, at_once = sets.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(at_once)
     conf.set(at_once, str(PAIRS_AT_ONCE))
     try:
         verdicts = stored(with_sets.mapInPandas(exact, "a long, b long"))
     finally:
         conf.set(at_once, before)
-    for done in (left, wanted, read_again):
+    for done in (left, wanted, whole):
         drop_stored(done)
     return verdicts
 
 
-def links(docs: DataFrame, nodes: DataFrame, classes: np.ndarray) -> DataFrame:
+def _pairs_of_pivots(pivots: DataFrame) -> DataFrame:
+    """Pairs of the pivots of a cut list's parts with the list's own pivot of their size band or the next ones."""
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(BAND)))
+    rows = pivots.select("list", "size", "place", F.col("a").alias("node"), band.alias("band"))
+    first = rows.groupBy("list", "band").agg(F.min(F.struct("place", F.xxhash64("node").alias("order"), "node", "size")).alias("p"))
+    near = rows.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other"))
+    met = near.join(first.select("list", F.col("band").alias("other"), "p"), ["list", "other"])
+    shared = F.least(F.col("size") - F.col("place"), F.col("p.size") - F.col("p.place"))
+    ok = (F.col("node") != F.col("p.node")) & (OF * shared >= NEED * (F.col("size") + F.col("p.size")))
+    return met.filter(ok).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+
+
+def _pairs_of_lists(open_: DataFrame, list_block: int) -> DataFrame:
+    """Pairs of one list's sets in different components that sizes and positions leave possible.
+
+    open_: list, n (its length), node, size, place, component. A list's sets are dealt into
+    blocks of about list_block, and every two blocks meet in a group of their own.
+    """
+    blocks = F.ceil(F.col("n") / list_block).cast("int")
+    dealt = open_.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    x = dealt.select("*", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j")).alias("x")
+    y = dealt.select("*", F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i")).alias("y")
+    shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    met = x.join(
+        y,
+        (F.col("x.list") == F.col("y.list")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
+        & ((F.col("x._own") < F.col("y._own")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.component") != F.col("y.component"))
+        & (OF * shared >= NEED * (F.col("x.size") + F.col("y.size"))),
+    )
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int = LIST_PART, list_block: int = LIST_BLOCK) -> DataFrame:
     """Links (a, b) between nodes (different sets) whose components are those of all links.
 
     First every set is compared with the pivots of its index lists. Sets that link with a
@@ -288,73 +333,94 @@ def links(docs: DataFrame, nodes: DataFrame, classes: np.ndarray) -> DataFrame:
     the pairs that lie in different components and were not compared yet are, unless sizes or
     positions rule them out. So every pair of sets that links is found or lies in a component.
     """
-    spark = docs.sparkSession
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lists = _index_lists(docs, classes, buckets)
-    found = stored(lists.groupBy("bucket").applyInPandas(_bucket_pairs, "a long, b long, list long, size long, place long"))
-    tested = stored(found.filter("list < 0").select("a", "b").distinct())
-    first = _pair_verdicts(tested, nodes, docs)
+    spark = sets.sparkSession
+    postings = nodes.agg(F.sum(F.floor(F.col("size") / 4) + 1)).first()[0] or 0
+    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // POSTINGS_PER_BUCKET))
+    shared = spark.sparkContext.broadcast(classes)
+
+    def pairs_of(group: pd.DataFrame) -> pd.DataFrame:
+        return _bucket_pairs(group, shared.value, buckets, list_part)
+
+    lists = _index_lists(sets, shared, buckets, list_part)
+    found = stored(lists.groupBy("bucket").applyInPandas(pairs_of, "kind int, a long, b long, list long, size long, place long"))
+    tested = found.filter(F.col("kind") == PAIR).select("a", "b").unionByName(_pairs_of_pivots(found.filter(F.col("kind") == PIVOT)))
+    tested = stored(tested.distinct())
+    first = _pair_verdicts(tested, nodes, sets)
 
     part = components(first)
-    named = found.filter("list >= 0").select("list", F.col("a").alias("node"), "size", "place").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = found.filter(F.col("kind") == LISTED).select("list", F.col("a").alias("node"), "size", "place").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named)
     drop_stored(found)
-    split = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-    open_ = stored(named.join(split, "list", "left_semi"))
+    split = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("list", "n")
+    open_ = stored(named.join(split, "list"))
     drop_stored(named)
-    x, y = open_.alias("x"), open_.alias("y")
-    shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    more = x.join(
-        y,
-        (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        & (OF * shared >= NEED * (F.col("x.size") + F.col("y.size"))),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = stored(more.join(tested, ["a", "b"], "left_anti"))
+    rest = stored(_pairs_of_lists(open_, list_block).join(tested, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return first
-    return first.unionByName(_pair_verdicts(rest, nodes, docs))
+    return first.unionByName(_pair_verdicts(rest, nodes, sets))
+
+
+def _rows_in_components(texts: DataFrame) -> DataFrame:
+    """Per row of texts (doc_id, text): doc_id, node, n_shingles, component (a node; null without words)."""
+    sets = sets_of(texts)
+    rows = sets.filter("kind = 0").select("row", "doc_id", "node", "size", "bitmap")
+    nodes = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
+    part = components(links(sets, nodes, _frequency_classes(sets)))
+    named = nodes.select("node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(named, "node", "left")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id.
 
     Documents of equal sets are one node, whose id is a digest of the set. Null and empty texts
-    and texts without words have no shingles and link with nothing. Rows of one doc_id share a
-    component if their texts link; each row has its own n_shingles. An empty table gives an
+    and texts without words have no shingles and link with nothing. Texts are read whole
+    whatever their length. Rows of one doc_id are rows of their own, with equal component_id if
+    their texts link. Rows without doc_id link as others do; a component of such rows alone has
+    no component_id. Columns other than doc_id and text are not read. An empty table gives an
     empty table.
     """
-    texts = pick(docs, "doc_id", "text")
-    sets = sets_of(texts)
-    rows = sets.filter("kind = 0").select("doc_id", "node", "size", "bitmap")
-    nodes = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").cast("long").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
-    found = links(texts, nodes, _frequency_classes(sets))
-    part = components(found)
-    # A component's id is the least doc_id of its nodes.
-    named = nodes.select("node", "rep").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = named.join(ids, "component").select("node", "component_id")
-    out = rows.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id"))
+    out = _rows_in_components(pick(docs, "doc_id", "text"))
+    # A component's id is the least doc_id of its rows.
+    ids = out.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").cast("long").alias("component_id"))
+    return out.join(ids, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("component").isNull(), F.col("doc_id").cast("long"))).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, the one of the least doc_id, with the columns it had.
 
-    Of rows that share that doc_id one stays. Rows without doc_id stay.
+    Rows without words link with nothing and all stay. Where rows of different texts share a
+    doc_id, or have none, each text is judged by itself: one that is no near copy stays. Of rows
+    equal in doc_id and set one stays, whichever; of a component without any doc_id one row stays.
+    Columns of any name may ride along. An empty table gives an empty table.
     """
-    ids = near_copies(docs)
-    drop = stored(ids.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     held = docs.columns
-    place = held.index("doc_id") if "doc_id" in held else [c.lower() for c in held].index("doc_id")
+    at = {n: held.index(n) if n in held else [c.lower() for c in held].index(n) for n in ("doc_id", "text")}
+    key = f"_c{at['doc_id']}"
     plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
-    gone = drop.withColumnRenamed("doc_id", f"_c{place}")
-    small = drop.count() <= BROADCAST_IDS
-    kept = plain.join(F.broadcast(gone) if small else gone, f"_c{place}", "left_anti").select(*plain.columns)
-    repeated = ids.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        null_ids = kept.filter(F.col(f"_c{place}").isNull())
-        kept = kept.filter(F.col(f"_c{place}").isNotNull()).dropDuplicates([f"_c{place}"]).unionByName(null_ids)
-    return kept.toDF(*held)
+    rows = stored(_rows_in_components(pick(docs, "doc_id", "text")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    best = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("best"))
+    # Ids that are there once are kept or dropped by id alone; the texts of others are looked at again.
+    unsure = stored(rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id"))
+    gone = rows.filter("component IS NOT NULL").join(best, "component").filter((F.col("doc_id") != F.col("best.doc_id")) | F.col("best.doc_id").isNull()).select("doc_id")
+    by_id = stored(gone.unionByName(unsure).filter("doc_id IS NOT NULL").distinct()).withColumnRenamed("doc_id", key)
+    hint = F.broadcast if by_id.count() <= BROADCAST_IDS else (lambda df: df)
+    sure = plain.join(hint(by_id), key, "left_anti").filter(F.col(key).isNotNull())
+    if unsure.isEmpty():
+        return sure.toDF(*held)
+
+    @F.pandas_udf("long")
+    def node_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_digest(s) if len(s := shingles(t)) else None for t in texts], dtype="Int64")
+
+    again = unsure.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", key)
+    small = F.broadcast if unsure.count() <= BROADCAST_IDS else (lambda df: df)
+    looked = plain.join(small(again), key, "left_semi").unionByName(plain.filter(F.col(key).isNull())).withColumn("_node", node_of(f"_c{at['text']}"))
+    winners = best.select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_of"))
+    won = looked.filter("_node IS NOT NULL").join(winners, (F.col("_node") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    won = won.dropDuplicates([key, "_node"])
+    return sure.unionByName(won.drop("_node")).unionByName(looked.filter("_node IS NULL").drop("_node")).toDF(*held)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

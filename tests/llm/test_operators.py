@@ -349,7 +349,7 @@ def plain_components(texts):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-def test_jaccard_join(spark, odd, empty):
+def near_texts():
     random = np.random.default_rng(3)
     word = lambda: f"w{random.integers(0, 4000)}"
     texts = []
@@ -364,8 +364,11 @@ def test_jaccard_join(spark, odd, empty):
                 copy = copy[: len(copy) * 9 // 10]
             texts.append(" ".join(copy))
         texts.append(" ".join(passage + [word() for _ in range(random.integers(3, 60))]))
-    texts += ["a b c", "A b\tc", "a b", "", None, "x y z v w", "X y z v w"]
-    rows = list(enumerate(texts))
+    return texts + ["a b c", "A b\tc", "a b", "", None, "x y z v w", "X y z v w"]
+
+
+def test_jaccard_join(spark, odd, empty):
+    rows = list(enumerate(near_texts()))
     df = spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id long, text string, component_id string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(df).collect()}
     assert got == plain_components(rows)
@@ -374,6 +377,28 @@ def test_jaccard_join(spark, odd, empty):
     kept = jaccard.keep_first(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in got.items() if d == c)
     assert Counter(r["doc_id"] for r in jaccard.keep_first(odd).collect())[6] == 1
+    assert jaccard.keep_first(empty).count() == 0 and jaccard.keep_first(odd).columns == odd.columns
+
+
+def test_jaccard_join_of_cut_lists_and_small_blocks(spark, monkeypatch):
+    rows = list(enumerate(near_texts()))
+    whole = jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda *given: whole(*given, list_part=4, list_block=2))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+
+
+def test_keep_first_judges_each_text_of_a_shared_or_missing_id(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, c + " end"), (None, c), (None, "d e f g h i"), (None, "d e f g h i"), (None, None), (4, ""), (4, ""), (5, "D e f g h i")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _node int")
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_first(df).collect())
+    best_c = [k for k in got if k[1] and k[1].startswith("c0")]
+    assert len(best_c) == 1 and best_c[0][0] == 3 and got[best_c[0]] == 1
+    del got[best_c[0]]
+    assert got == Counter({(1, a): 1, (2, b): 1, (5, "D e f g h i"): 1, (None, None): 1, (4, ""): 2})
+    ids = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(df).collect()}
+    assert (None, 2, 5) in ids and (None, 36, 3) in ids and (None, 0, None) in ids
 
 
 def test_components_of_chains_and_hubs(spark):
