@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends at files that outlive executors."""
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """Python workers get at most n rows in a batch in the jobs that run inside: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, partition_by: list[str] | None = None, row_group_mb: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: the lineage ends at files that outlive executors.
+
+    row_group_mb: size of the files' row groups, which tasks hold while they write and read; smaller for large binary columns.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write if row_group_mb is None else df.write.option("parquet.block.size", row_group_mb << 20)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
