@@ -61,11 +61,12 @@ def _source_key(source: str = "source") -> Column:
 
 
 def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """How a mix takes each source: _key, source_size, target, _whole (copies of all) and _bound.
+    """How a mix takes each source: _key, source_size, target, _whole (copies of all), _bound, _some and _of.
 
-    rows: doc_id, source, size, _draw. Rows up to the place _bound in the source's order get one
-    more copy: those whose middle lies within what the whole copies leave of the target. Only
-    the hash bucket in which that ends is put in order, the others are known by their sums, so
+    rows: doc_id, source, size, _draw. Rows before the place _bound in the source's order get one
+    more copy, and at it _some of the _of rows that are equal there (all where _of is null): those
+    whose middle lies within what the whole copies leave of the target. Only the hash bucket in
+    which that ends is put in order, equal rows as one, the others are known by their sums, so
     that no task holds a source.
     """
     n = rows.count()
@@ -85,20 +86,41 @@ def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_share: floa
     ends = running.groupBy("_key").agg(F.min(open_).alias("_edge"), F.max(full).alias("_full"))
     edges = stored(ends.join(keyed.select("_key", "_rest"), "_key").select("_key", "_rest", "_edge._bucket", "_edge._before", F.col("_full._last").alias("_last")))
 
-    inside = Window.partitionBy("_key").orderBy(_place()).rowsBetween(Window.unboundedPreceding, -1)
     edge = bucketed.withColumn("_key", _source_key()).join(hint(edges.filter("_bucket IS NOT NULL").drop("_last")), ["_key", "_bucket"])
-    edge = edge.withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    taken = edge.filter((F.col("_rest") > 0) & (2 * F.col("_ahead") + F.col("size") <= 2 * F.col("_rest"))).groupBy("_key").agg(F.max(_place()).alias("_in_edge"))
-    bounds = edges.select("_key", "_last").join(taken, "_key", "left").select("_key", F.coalesce("_in_edge", "_last").alias("_bound"))
+    places = edge.groupBy("_key", "_rest", "_before", _place().alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("_at.size")
+    ahead = F.col("_before") + F.coalesce(F.sum(size * F.col("_n")).over(inside), F.lit(0))
+    more = F.when(size == 0, F.col("_n")).otherwise(F.greatest(F.lit(1), F.floor((F.col("_rest") - F.col("_ahead")) / F.greatest(size, F.lit(1)) + 0.5)))
+    first_fits = (F.col("_rest") > 0) & (2 * F.col("_ahead") + size <= 2 * F.col("_rest"))
+    taken = places.withColumn("_ahead", ahead).filter(first_fits).withColumn("_some", F.least(F.col("_n"), more))
+    last = taken.groupBy("_key").agg(F.max(F.struct("_at", "_some", F.col("_n").alias("_of"))).alias("_in"))
+    bounds = edges.select("_key", "_last").join(last, "_key", "left")
+    bounds = bounds.select("_key", F.coalesce("_in._at", "_last").alias("_bound"), F.col("_in._some").alias("_some"), F.col("_in._of").alias("_of"))
     return stored(keyed.drop("_rest").join(bounds, "_key", "left"))
 
 
 def _with_copies(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """rows with source_size, target and copies; the plan is broadcast up to BROADCAST_SOURCES sources."""
+    """rows with source_size, target and copies; the plan is broadcast up to BROADCAST_SOURCES sources.
+
+    Where only some of equal rows get one more copy, these are numbered: within parts of the
+    written rows, whose counts give where each part starts.
+    """
     hint = F.broadcast if plans.count() <= BROADCAST_SOURCES else (lambda df: df)
     joined = rows.withColumn("_key", _source_key()).join(hint(plans), "_key")
-    extra = F.coalesce((_place() <= F.col("_bound")).cast("long"), F.lit(0).cast("long"))
-    return joined.withColumn("copies", F.col("_whole") + extra).drop("_key", "_whole", "_bound")
+    inner = ["_key", "_whole", "_bound", "_some", "_of"]
+    extra = lambda more: (F.col("_whole") + F.coalesce(more.cast("long"), F.lit(0).cast("long")))
+    if plans.filter("_some < _of").isEmpty():
+        return joined.withColumn("copies", extra(_place() <= F.col("_bound"))).drop(*inner)
+    shared = F.coalesce((_place() == F.col("_bound")) & (F.col("_some") < F.col("_of")), F.lit(False))
+    plain = joined.filter(~shared).withColumn("copies", extra(_place() <= F.col("_bound"))).drop(*inner)
+    equal = stored(joined.filter(shared).withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = equal.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n")).select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_id"))
+    numbered = equal.withColumn("_number", number).join(starts, ["_key", "_part"])
+    some = numbered.withColumn("copies", extra(F.col("_start") + F.col("_number") <= F.col("_some"))).drop(*inner, "_id", "_part", "_number", "_start")
+    return plain.unionByName(some)
 
 
 def repetitions(docs: DataFrame, seed: int = 7, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -107,8 +129,10 @@ def repetitions(docs: DataFrame, seed: int = 7, weights: Sequence[int] = (5, 2,
     Every document is repeated the whole number of times that its source's rate allows. The
     rest of the target is met with one more copy of the documents that come first in a seeded
     order of the source, up to the document whose middle passes it: the error is half a
-    document at most. size: words of the text, 0 for null. Sources may be null. Equal rows are
-    treated alike. An empty table gives an empty table.
+    document at most. size: words of the whole text, 0 for null and empty. Sources and ids may
+    be null. Of rows equal in id, source and size as many get one more copy as fit; which of
+    them do is left open. Columns other than doc_id, source and text are not read. An empty
+    table gives an empty table.
     """
     rows = stored(pick(docs, "doc_id", "source", "text").select("doc_id", "source", count_words(F.col("text")).alias("size"), _draw(seed).alias("_draw")))
     out = _with_copies(rows, plan(rows, weights, budget_share, max_epochs))
@@ -116,7 +140,11 @@ def repetitions(docs: DataFrame, seed: int = 7, weights: Sequence[int] = (5, 2,
 
 
 def repeat_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of docs as often as repetitions() takes them, with the columns they had. Texts are not shuffled."""
+    """The rows of docs as often as repetitions() takes them, with the columns they had. Texts are not shuffled.
+
+    Nulls, long texts and repeated rows as there; columns of any name may ride along. An empty
+    table gives an empty table.
+    """
     held = docs.columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
     at = {n: held.index(n) if n in held else [c.lower() for c in held].index(n) for n in ("doc_id", "source", "text")}
