@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import pick, table
+from corpusloom.session import pick, stored, table
 
 DRAWS_PER_DIGEST = 4  # an md5 digest holds four draws of 32 bits
 ROWS_PER_SLOT_GROUP = 20_000
@@ -51,44 +51,44 @@ def assign(rows: DataFrame, key: str, weights: Sequence[float], grown_weights: S
     return with_digests.withColumns(cols).drop(*names)
 
 
-def number_slots(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """Add `slot`: 0, 1, 2, ... within each shard, without bringing a shard to one task.
+def number_slots(rows: DataFrame) -> DataFrame:
+    """rows, written, with `slot`: 0, 1, 2, ... within each shard, without bringing a shard or a key to one task.
 
-    Rows are numbered within (shard, hash group); the groups' counts, summed along each
-    shard, give where each group starts. Groups hold some ROWS_PER_SLOT_GROUP rows at any size.
+    Rows are dealt into groups by where they were written, at most ROWS_PER_SLOT_GROUP of a
+    written part each, and numbered within (shard, group); the groups' counts, summed along each
+    shard, give where each group starts.
     """
-    groups = max(8, -(-n_rows // ROWS_PER_SLOT_GROUP))
-    grouped = rows.withColumn("_group", F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int"))
-    within = Window.partitionBy("shard", "_group").orderBy(F.col(key), "_tie")
+    written = stored(rows.withColumn("_id", F.monotonically_increasing_id()))
+    in_part = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    grouped = written.withColumn("_group", F.struct(F.shiftright("_id", 33).alias("part"), F.floor(in_part / ROWS_PER_SLOT_GROUP).alias("piece")))
     before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         grouped.groupBy("shard", "_group").agg(F.count(F.lit(1)).alias("_n"))
         .select("shard", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    numbered = grouped.withColumn("_in_group", F.row_number().over(within) - 1)
+    numbered = grouped.withColumn("_in_group", F.row_number().over(Window.partitionBy("shard", "_group").orderBy("_id")) - 1)
     joined = numbered.join(starts, ["shard", "_group"])
-    return joined.withColumn("slot", (F.col("_start") + F.col("_in_group")).cast("long")).drop("_group", "_start", "_in_group")
+    return joined.withColumn("slot", (F.col("_start") + F.col("_in_group")).cast("long")).drop("_id", "_group", "_start", "_in_group")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Documents to `shards` equal shards by doc_id: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    size: UTF-8 bytes of the text plus 8 (null text: 8, checksum of no bytes). law is 'key'.
-    Repeated rows share a shard and have a slot each; which of two equal rows comes first makes
-    no difference. An empty table gives an empty table.
+    size: UTF-8 bytes of the whole text plus 8 (null text: 8, checksum of no bytes). law is
+    'key'. Rows without doc_id share a shard, as do repeated rows, and have a slot each; the
+    order of slots is left open. Bids that are equal go to the lower shard. Columns other than
+    doc_id and text are not read. An empty table gives an empty table.
     """
     rows = pick(docs, "doc_id", "text").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
     )
-    placed = assign(rows, "doc_id", [1.0] * shards, [1.0] * (shards + 1))
-    placed = placed.withColumn("_tie", F.struct("size", "text_crc32"))
-    out = number_slots(placed, "doc_id", docs.count())
+    out = number_slots(assign(rows, "doc_id", [1.0] * shards, [1.0] * (shards + 1)))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-# No SQL: DuckDB has neither crc32 nor the hash that deals rows into slot groups; tests compare with plain Python.
+# No SQL: DuckDB has neither crc32 nor an order of rows to number slots by; tests compare with plain Python.
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
