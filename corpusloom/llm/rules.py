@@ -63,13 +63,24 @@ def compiled(rules: Sequence[Rule]) -> Column:
     return holds
 
 
+def _named_apart(docs: DataFrame, text: str, added: Sequence[str]) -> tuple[DataFrame, str, list[Column]]:
+    """docs under names that cannot clash, the text's name there, and the columns to give back: those not named as one of `added`."""
+    held = docs.columns
+    place = held.index(text) if text in held else [c.lower() for c in held].index(text.lower())
+    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(held) if c.lower() not in added]
+    return docs.toDF(*[f"_c{i}" for i in range(len(held))]), f"_c{place}", back
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns COUNTS (long), all 0 for null or empty text. Narrow; no user functions.
+    """docs with the columns COUNTS (long), all 0 for null and empty text. Narrow; no user functions.
 
-    n_repeat_words: words in 8-word windows that occur twice or more in the text. A text whose
-    window hashes all differ has none; for the others the windows themselves are sorted with
-    their places and compared, so that no hash decides a count.
+    Every row is measured by itself, whole and whatever its length; repeated rows alike. A
+    column of docs that is called like a count is replaced by it, any other stays as it is. An
+    empty table gives an empty table. n_repeat_words: words in 8-word windows that occur twice
+    or more in the text. A text whose window hashes all differ has none; for the others the
+    windows themselves are sorted with their places and compared, so that no hash decides a count.
     """
+    docs, text, back = _named_apart(docs, text, COUNTS)
     content = F.coalesce(F.col(text), F.lit(""))
     gone = lambda c: F.octet_length(content) - F.octet_length(F.replace(content, F.lit(c), F.lit("")))
     lines = F.filter(F.split(content, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
@@ -120,16 +131,14 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     out = found.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_repeats"), covered), F.lit(0)).cast("long"))
     # Through a generator of one row, so that a filter on the counts stays above them instead of being copied into each.
     kept = out.select(*docs.columns, F.explode(F.array(F.struct(*COUNTS))).alias("_counts"))
-    return kept.select(*docs.columns, *[F.col(f"_counts.{c}").alias(c) for c in COUNTS])
+    return kept.select(*back, *[F.col(f"_counts.{c}").alias(c) for c in COUNTS])
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """measures() with base_failed and kept (boolean)."""
-    return (
-        measures(docs, text)
-        .withColumn("base_failed", ~compiled(BASE))
-        .withColumn("kept", ~F.col("base_failed") & compiled(rules))
-    )
+    """measures() with base_failed and kept (boolean), which replace columns of docs that are called so."""
+    plain, name, back = _named_apart(docs, text, (*COUNTS, "base_failed", "kept"))
+    counted = measures(plain, name)
+    return counted.select(*back, *COUNTS, (~compiled(BASE)).alias("base_failed"), (compiled(BASE) & compiled(rules)).alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,14 +147,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows whose text the rules keep, with the columns they had.
+    """The rows whose text the rules keep, with the columns they had, whatever these are called.
 
-    Columns of any name may ride along: the counts are made under names of their own.
+    Null and empty texts go; repeated rows stay or go together. An empty table gives an empty table.
     """
-    held = docs.columns
-    place = next(i for i, c in enumerate(held) if c == "text") if "text" in held else [c.lower() for c in held].index("text")
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
-    return judge(plain, f"_c{place}").filter("kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(held)])
+    plain, name, back = _named_apart(docs, "text", ())
+    return judge(plain, name).filter("kept").select(*back)
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_FORMS)
