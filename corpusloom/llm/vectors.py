@@ -19,7 +19,7 @@ REACH = 3.0  # half a window, in deviations of a projection of two vectors that
 GRID_CELLS = 4.0  # a cell of the grid is so many half windows wide
 MOST_GRID = 6  # projections that make up the grid at most
 ROWS_PER_CELL = 400
-BLOCK = 1500  # rows of a cell that are compared with another block's at a time
+BLOCK = 500  # rows of a cell that are compared with another block's at a time
 RECALL = 0.999  # of linked pairs that reach the least count of collisions, from the projections' normal law
 SEED = 17
 
@@ -72,8 +72,10 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE) -> D
     Equal vectors of a label are one class, which links its rows with each other (cosine 1);
     classes are compared by their least vec_id, and n_links counts the classes' rows. Vectors
     that cannot link (see usable()), or whose length differs from all others', have no links
-    and a component of their own. Rows of one vec_id that are there more than once link as
-    different rows do, and share a component. The first projections form a grid of cells in
+    and a component of their own; without vec_id a row has neither links nor a component, and is
+    kept. Rows of one vec_id that are there more than once link as different rows do, and share
+    a component. Columns other than vec_id, embedding and label are not read. An empty table
+    gives an empty table. The first projections form a grid of cells in
     which the windows' rows meet; all projections' collisions are then counted, and pairs with
     enough are checked in double precision. Rows of a cell beyond BLOCK are compared block by block.
     """
