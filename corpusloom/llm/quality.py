@@ -18,13 +18,14 @@ from corpusloom.llm import arrays
 from corpusloom.llm.words import split_words, worker_cache
 from corpusloom.session import nonnull, pick, stored, table
 
-BUCKETS = 8192  # words are hashed to so many vectors: the model's size does not grow with the corpus
+BUCKETS = 1 << 16  # words are hashed to so many vectors: the model's size does not grow with the corpus
 RESERVED = 64  # the first buckets are for marks and markers
 DIM = 32
 NONZERO = 4  # of a random index vector
 REACH = 2  # words to either side that are context
 SLICES = 16
-SAMPLE_ROWS = 20_000  # most labelled documents that the network is fitted on
+SAMPLE_ROWS = 20_000  # labelled documents that the network is fitted on, give or take a few hundredths
+TOKENS_AT_ONCE = 2_000_000  # whose contexts are summed at once
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.3
@@ -115,7 +116,7 @@ def _add_contexts(total: np.ndarray, texts: pd.Series) -> None:
         if len(ids):
             run += [ids, gap]
             size += len(ids) + REACH
-        if size > 400_000:
+        if size > TOKENS_AT_ONCE:
             flush()
             run, size = [], 0
     if run:
@@ -242,24 +243,30 @@ def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Model, DataFrame]:
     """The model and every document's features.
 
-    Word vectors come from all texts. The network is fitted on at most sample_rows labelled
-    documents, the first in the order of a hash of doc_id, never on held-out ones. Labels
-    other than 0 and 1 are ignored; of repeated labels the least counts.
+    Word vectors come from all texts. The network is fitted on some sample_rows labelled
+    documents, those of the least hashes, never on held-out ones. Labels other than 0 and 1
+    are ignored; of repeated labels the least counts, and repeated documents count once.
     """
     texts = pick(docs, "doc_id", "text")
     vectors = word_vectors(texts)
     x = features(texts, vectors)
     marked = pick(labels, "doc_id", "quality").filter("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marked = marked.filter(~held_out())
-    rows = x.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample_rows).select("x", "quality").collect()
-    data = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, FEATURES)
-    return Model(vectors, fit(data, np.array([r["quality"] for r in rows]))), x
+    rows = x.join(marked.filter(~held_out()), "doc_id").select("doc_id", "x", "quality").distinct()
+    # Rows below a bound of their hash, set by their count, so that each task sends its share of the sample alone.
+    shade = F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 40))
+    bound = min(1 << 40, (sample_rows << 40) // max(1, rows.count()))
+    sample = sorted((r["shade"], bytes(r["x"]), r["quality"]) for r in rows.filter(shade < bound).select(shade.alias("shade"), "x", "quality").collect())
+    data = np.frombuffer(b"".join(r[1] for r in sample), np.float32).reshape(-1, FEATURES)
+    return Model(vectors, fit(data, np.array([r[2] for r in sample]))), x
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; null and empty texts are scored as texts without words.
 
-    Repeated rows get equal scores. Without usable labels every score is 0.5.
+    Texts are read whole whatever their length. Repeated rows get equal scores; rows without
+    doc_id are scored, and never held out. Without usable labels every score is 0.5; with one
+    label alone all scores are equal. Columns other than doc_id and text are not read. An empty
+    table gives an empty table.
     """
     model, x = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model.network)
@@ -273,7 +280,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are predicted to be good, with the columns they had."""
+    """The rows that are predicted to be good, with the columns they had, whatever these are called.
+
+    Null and empty texts are judged as texts without words; repeated rows stay or go together.
+    An empty table gives an empty table.
+    """
     model, _ = train(docs, labels)
     held = docs.columns
     place = held.index("text") if "text" in held else [c.lower() for c in held].index("text")
