@@ -20,6 +20,7 @@ END = b"\n"  # ends every text and stands before it as context; no word holds it
 SEGMENT = 1 << 20  # bytes that are worked on at once; longer texts go on with their last bytes as context
 MOST_NODES = 4_000_000  # a trie of up to so many nodes is broadcast, the nodes of a larger one are joined by shuffle
 MOST_WORDS = 8_000_000  # word counts up to so many words are broadcast (12 bytes each), more are joined by shuffle
+TEXTS_PER_RANGE = 2_000  # training texts for each range of keys, so that a range's counts do not grow with the corpus
 TASK_WORDS = 1_000_000  # distinct words a task holds before it hands them on
 TASK_NODES = 4_000_000  # likewise nodes of the highest order
 MASKS = [np.uint64((1 << (8 * (k + 1))) - 1) for k in range(ORDER + 1)]  # of a node's key at each order
@@ -274,14 +275,18 @@ def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: i
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     score: log10 probability of what spelled() makes of the text, under the trie of all nodes of
-    the training texts; over most_nodes they are joined by shuffle, with the same scores. base_score: of its tokens under the training texts' smoothed counts; the
-    end is a token. Null and empty texts are the end alone. Repeated rows count and are scored
-    each. Without training texts every byte has probability 1/256 and every count is 0.
+    the training texts; over most_nodes they are joined by shuffle, with the same scores.
+    base_score: of its tokens under the training texts' smoothed counts; the end is a token.
+    Null and empty texts are the end alone; texts are read whole, long ones in segments. Rows
+    without doc_id are training texts. Repeated rows count and are scored each. Without training
+    texts every byte has probability 1/256 and every count is 0. Columns other than doc_id and
+    text are not read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     texts = pick(docs, "doc_id", "text")
-    ranges = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    gathered = gather(texts.filter(in_training()), ranges)
+    training = texts.filter(in_training())
+    ranges = min(1 << 16, max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), training.count() // TEXTS_PER_RANGE))
+    gathered = gather(training, ranges)
     sums = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     n_texts = sums["text"]["total"] if "text" in sums else 0
     n_words = sums["word"]["n"] if "word" in sums else 0
