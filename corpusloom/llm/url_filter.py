@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import nonnull, pick, table
+from corpusloom.session import nonnull, pick, stored, table
 
 BLOCK_WORDS = 8  # a block is one cache line: 8 words of 64 bits
 BITS_SET = 8  # bits a key sets, all in its block
@@ -23,8 +23,9 @@ EXACT_RULES = 10_000  # rule tables up to so many rows are broadcast to the join
 RULES: tuple[tuple[str, str], ...] = (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
 )
-# Hosts whose pages make up the query's list of canonical URLs.
-LISTED_HOSTS = ("cheap-pills.example.com", "spam-farm.example.org")
+HOT_URLS = 10_000  # urls that more than 1 in so many pages have are joined by broadcast; there can be no more of them
+# Registered names under which the query's list has URLs.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def host_of(url: Column) -> Column:
@@ -109,7 +110,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     host suffix with so much of its path. The filter passes those that may be listed, and an
     exact join on the key itself drops what it passed wrongly. The longest rule wins (a tie:
     the longer host); without a rule a listed page is blocked and any other allowed. A null or
-    odd url has an empty host and path, and is allowed. Repeated pages are judged each.
+    odd url has an empty host and path, and is allowed. Urls are read whole whatever their
+    length. Repeated pages are judged each, pages without id too. Columns other than page_id and
+    url are not read. An empty table gives an empty table, an empty list blocks by rules alone.
     """
     spark = pages.sparkSession
     urls = pick(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -126,7 +129,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     rule_keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(F.lit("r:"), s, p))))
     own = F.array(F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path"))))
     # Equal (host, path) are judged once; hosts and paths are few against pages.
-    distinct = urls.filter("host <> '' OR path <> ''").select("host", "path").distinct()
+    counted = stored(urls.filter("host <> '' OR path <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
+    distinct = counted.select("host", "path")
     candidates = distinct.select("host", "path", F.explode(F.array_distinct(F.concat(own, rule_keys))).alias("key")).withColumn("h", F.xxhash64("key"))
     hits = maybe_listed(candidates, bloom).select("host", "path", "key")
     ruled = hits.filter(F.col("key").startswith("r:")).withColumn("key", F.substring("key", 3, 1 << 30))
@@ -136,7 +140,17 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     )
     by_list = hits.filter(F.col("key").startswith("u:")).join(keys, "key", "left_semi").select("host", "path", F.lit(None).cast(by_rule.schema["rule"].dataType).alias("rule"), F.lit(True).alias("listed"))
     judged = by_rule.unionByName(by_list).groupBy("host", "path").agg(F.max("rule").alias("best"), F.max("listed").alias("listed"))
-    out = urls.join(judged, ["host", "path"], "left")
+    # Pages without host and path need no join, and urls that very many pages have none by shuffle.
+    most = max(HOT_URLS, (counted.agg(F.sum("n")).first()[0] or 0) // HOT_URLS)
+    judged = stored(distinct.join(judged, ["host", "path"], "left"))
+    hot = counted.filter(F.col("n") > most).select("host", "path")
+    none = [F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in ("best", "listed")]
+    parts = [
+        urls.filter("host = '' AND path = ''").select("page_id", "host", "path", *none),
+        urls.join(F.broadcast(hot), ["host", "path"], "left_anti").join(judged, ["host", "path"]).select("page_id", "host", "path", "best", "listed"),
+        urls.join(F.broadcast(judged.join(F.broadcast(hot), ["host", "path"], "left_semi")), ["host", "path"]).select("page_id", "host", "path", "best", "listed"),
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     is_listed = F.coalesce("listed", F.lit(False))
     return out.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
@@ -145,17 +159,27 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     )
 
 
+def listed_urls(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The query's list of canonical URLs: key.
+
+    A stand-in for the lists that are published: the pages of LISTED_NAMES that a crawl has
+    seen, in any spelling, and for every toxic document an address under each of these names,
+    few of which any page has.
+    """
+    seen = pages.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("key"))
+    seen = seen.filter(F.col("key").rlike(rf"^(?:[^/]*\.)?(?:{'|'.join(LISTED_NAMES)})\.example\.[a-z]+/"))
+    toxic = documents.select("doc_id", "lang").join(labels.filter("toxic = 1").select("doc_id"), "doc_id")
+    hosts = F.explode(F.array(*[F.lit(f"{n}.example.net/") for n in LISTED_NAMES]))
+    reported = toxic.select("doc_id", "lang", hosts.alias("host")).select(F.concat("host", "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("key"))
+    return seen.unionByName(reported)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    on_list = F.lit(False)
-    for h in LISTED_HOSTS:
-        on_list = on_list | (host == h) | F.endswith(host, F.lit("." + h))
-    listed = pages.filter(on_list).select(canonical(host, path).alias("key"))
+    listed = listed_urls(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-_LISTED = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in LISTED_HOSTS)
 _RULES = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in RULES)
 SQL = {
     "op9_url_filter": rf"""
@@ -166,7 +190,8 @@ WITH parts AS (
 ), named AS (
   SELECT *, regexp_replace(host, '^(?:www|m|blog)\.', '') || regexp_replace(path, '(?:\.html|/+)$', '') AS name FROM parts
 ), listed AS (
-  SELECT DISTINCT name FROM named WHERE {_LISTED}
+  SELECT name FROM named WHERE regexp_matches(name, '^([^/]*\.)?({'|'.join(LISTED_NAMES)})\.example\.[a-z]+/')
+  UNION SELECT h || '.example.net/' || lang || '/' || doc_id FROM documents JOIN labels USING (doc_id), (SELECT unnest({list(LISTED_NAMES)}) AS h) WHERE toxic = 1
 ), rules(rule_host, rule_path, rule_verdict) AS (
   VALUES {_RULES}
 )
