@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import arrays
 from corpusloom.llm.components import components
 from corpusloom.llm.words import lower_ascii, split_words, worker_cache
-from corpusloom.session import drop_stored, pick, stored, table
+from corpusloom.session import drop_stored, pick, rows_at_once, stored, table
 
 WORDS = 5
 # Two sets link if 7 * shared >= 3 * (sizes added), which is a similarity of 0.75.
@@ -27,7 +27,8 @@ POSTINGS_PER_BUCKET = 250_000  # of the index lists that one group holds; the nu
 LIST_PART = 65_536  # a list of a shingle in more documents is cut by its sets into parts of about so many
 LIST_BLOCK = 500  # sets of an open list that are compared with as many others in one group
 CACHE_WORDS = 200_000
-PAIRS_AT_ONCE = 500  # pairs whose whole sets a worker holds
+ROWS_AT_ONCE = 500  # texts, sets or pairs of sets that a worker holds
+ROW_GROUP_MB = 4  # of the files of sets
 BAND = np.log(4 / 3)  # sizes of linked sets lie in the same band or in the next
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -118,7 +119,8 @@ def sets_of(docs: DataFrame) -> DataFrame:
         yield pd.DataFrame({"kind": 1, "row": None, "doc_id": None, "node": None, "size": None, "bitmap": None, "items": None, "slice": part["slice"], "part": part["part"], "data": part["data"]})
 
     schema = f"kind int, row long, doc_id {kind}, node long, size int, bitmap binary, items binary, {arrays.PARTIAL}"
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()).mapInPandas(run, schema))
+    with rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id()).mapInPandas(run, schema), row_group_mb=ROW_GROUP_MB)
 
 
 def _frequency_classes(sets: DataFrame) -> np.ndarray:
@@ -268,7 +270,7 @@ def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
     wanted = stored(left.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct())
     rows = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     # A node's row is one of those that hold its set, so every set is there once.
-    whole = stored(sets.filter("kind = 0").select("row", "node", "items").join(rows, "row", "left_semi").select("node", "items"))
+    whole = stored(sets.filter("kind = 0").select("row", "node", "items").join(rows, "row", "left_semi").select("node", "items"), row_group_mb=ROW_GROUP_MB)
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -281,13 +283,8 @@ def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
 
     with_sets = left.select("a", "b").join(whole.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     with_sets = with_sets.join(whole.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    conf, at_once = sets.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(at_once)
-    conf.set(at_once, str(PAIRS_AT_ONCE))
-    try:
+    with rows_at_once(sets.sparkSession, ROWS_AT_ONCE):
         verdicts = stored(with_sets.mapInPandas(exact, "a long, b long"))
-    finally:
-        conf.set(at_once, before)
     for done in (left, wanted, whole):
         drop_stored(done)
     return verdicts
@@ -342,7 +339,8 @@ def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int
         return _bucket_pairs(group, shared.value, buckets, list_part)
 
     lists = _index_lists(sets, shared, buckets, list_part)
-    found = stored(lists.groupBy("bucket").applyInPandas(pairs_of, "kind int, a long, b long, list long, size long, place long"))
+    with rows_at_once(spark, 4 * ROWS_AT_ONCE):
+        found = stored(lists.groupBy("bucket").applyInPandas(pairs_of, "kind int, a long, b long, list long, size long, place long"))
     tested = found.filter(F.col("kind") == PAIR).select("a", "b").unionByName(_pairs_of_pivots(found.filter(F.col("kind") == PIVOT)))
     tested = stored(tested.distinct())
     first = _pair_verdicts(tested, nodes, sets)
