@@ -93,20 +93,24 @@ def _sketch_place(items: np.ndarray) -> np.ndarray:
 
 def sets_of(docs: DataFrame) -> DataFrame:
     """One pass over all texts, written: per document a row number, its set's digest, size, bitmap and packed hashes
-    (kind 0), and each task's part of the frequency sketch (kind 1). A document without words has no digest."""
+    (kind 0), and each task's part of the frequency sketch (kind 1). A document without words has no digest. Of equal
+    sets that a task meets the hashes are written once, with the row that is marked `whole`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNTERS, np.uint32)
+        known: set[int] = set()
         for batch in batches:
             digests, sizes, bitmaps, packed, pending, held = [], [], [], [], [], 0
             for text in batch["text"]:
                 items = shingles(text)
                 some = len(items) > 0
                 sizes.append(len(items))
-                digests.append(_digest(items) if some else None)
+                node = _digest(items) if some else None
+                digests.append(node)
                 bitmaps.append(_bitmap(items) if some else None)
-                packed.append(_packed(items) if some else None)
+                packed.append(_packed(items) if some and node not in known else None)
+                known.add(node)
                 pending.append(_sketch_place(items >> np.uint64(16)))
                 held += len(items)
                 if held > 1_000_000:
@@ -114,11 +118,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     pending, held = [], 0
             if held:
                 np.add.at(counts, np.concatenate(pending), 1)
-            yield pd.DataFrame({"kind": 0, "row": batch["_row"], "doc_id": batch["doc_id"], "node": pd.array(digests, dtype="Int64"), "size": sizes, "bitmap": bitmaps, "items": packed, "slice": None, "part": None, "data": None})
+            yield pd.DataFrame({"kind": 0, "row": batch["_row"], "doc_id": batch["doc_id"], "node": pd.array(digests, dtype="Int64"), "size": sizes, "bitmap": bitmaps, "whole": [p is not None for p in packed], "items": packed, "slice": None, "part": None, "data": None})
         part = arrays.partial_rows(counts, SLICES)
-        yield pd.DataFrame({"kind": 1, "row": None, "doc_id": None, "node": None, "size": None, "bitmap": None, "items": None, "slice": part["slice"], "part": part["part"], "data": part["data"]})
+        yield pd.DataFrame({"kind": 1, "row": None, "doc_id": None, "node": None, "size": None, "bitmap": None, "whole": None, "items": None, "slice": part["slice"], "part": part["part"], "data": part["data"]})
 
-    schema = f"kind int, row long, doc_id {kind}, node long, size int, bitmap binary, items binary, {arrays.PARTIAL}"
+    schema = f"kind int, row long, doc_id {kind}, node long, size int, bitmap binary, whole boolean, items binary, {arrays.PARTIAL}"
     with rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
         return stored(docs.withColumn("_row", F.monotonically_increasing_id()).mapInPandas(run, schema), row_group_mb=ROW_GROUP_MB)
 
@@ -175,7 +179,7 @@ def _index_lists(sets: DataFrame, classes: Broadcast, buckets: int, list_part: i
                 rows.append((int(bucket[a]), node_array[here].tobytes(), size_array[here].tobytes(), token[a:b].tobytes(), local.astype(np.uint32).tobytes() if len(here) > 65535 else local.astype(np.uint16).tobytes(), place[a:b].tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "nodes", "sizes", "tokens", "owners", "places"])
 
-    held = sets.filter("kind = 0 AND node IS NOT NULL").select("node", "size", "items")
+    held = sets.filter("kind = 0 AND whole").select("node", "size", "items")
     return held.mapInPandas(run, "bucket int, nodes binary, sizes binary, tokens binary, owners binary, places binary")
 
 
@@ -308,18 +312,22 @@ def _pairs_of_lists(open_: DataFrame, list_block: int) -> DataFrame:
     open_: list, n (its length), node, size, place, component. A list's sets are dealt into
     blocks of about list_block, and every two blocks meet in a group of their own.
     """
+    apart = F.col("x.component") != F.col("y.component")
+    shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    near = OF * shared >= NEED * (F.col("x.size") + F.col("y.size"))
+    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    short = open_.filter(F.col("n") <= list_block).drop("n")
+    of_short = short.alias("x").join(short.alias("y"), (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & apart & near).select(*pair)
     blocks = F.ceil(F.col("n") / list_block).cast("int")
-    dealt = open_.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = open_.filter(F.col("n") > list_block).withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     x = dealt.select("*", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j")).alias("x")
     y = dealt.select("*", F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i")).alias("y")
-    shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     met = x.join(
         y,
         (F.col("x.list") == F.col("y.list")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
-        & ((F.col("x._own") < F.col("y._own")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.component") != F.col("y.component"))
-        & (OF * shared >= NEED * (F.col("x.size") + F.col("y.size"))),
+        & ((F.col("x._own") < F.col("y._own")) | (F.col("x.node") < F.col("y.node"))) & apart & near,
     )
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return of_short.unionByName(met.select(*pair)).distinct()
 
 
 def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int = LIST_PART, list_block: int = LIST_BLOCK) -> DataFrame:
@@ -339,7 +347,7 @@ def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int
         return _bucket_pairs(group, shared.value, buckets, list_part)
 
     lists = _index_lists(sets, shared, buckets, list_part)
-    with rows_at_once(spark, 4 * ROWS_AT_ONCE):
+    with rows_at_once(spark, 20 * ROWS_AT_ONCE):
         found = stored(lists.groupBy("bucket").applyInPandas(pairs_of, "kind int, a long, b long, list long, size long, place long"))
     tested = found.filter(F.col("kind") == PAIR).select("a", "b").unionByName(_pairs_of_pivots(found.filter(F.col("kind") == PIVOT)))
     tested = stored(tested.distinct())
@@ -361,8 +369,8 @@ def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int
 def _rows_in_components(texts: DataFrame) -> DataFrame:
     """Per row of texts (doc_id, text): doc_id, node, n_shingles, component (a node; null without words)."""
     sets = sets_of(texts)
-    rows = sets.filter("kind = 0").select("row", "doc_id", "node", "size", "bitmap")
-    nodes = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
+    rows = sets.filter("kind = 0").select("row", "doc_id", "node", "size", "bitmap", "whole")
+    nodes = stored(rows.filter("whole").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
     part = components(links(sets, nodes, _frequency_classes(sets)))
     named = nodes.select("node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return rows.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(named, "node", "left")
