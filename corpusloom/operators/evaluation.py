@@ -35,22 +35,6 @@ def latency(runs: DataFrame, by: str, seconds: str = "seconds") -> DataFrame:
     return runs.groupBy(by).agg(F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.avg(seconds).alias("mean"))
 
 
-def verdict(answer: Column, quotes: Column, expected_abstain: Column, status: Column) -> Column:
-    """struct(status, score, reason) of an answer: the first rule that applies decides."""
-    squeezed = F.regexp_replace(answer, r"\s+", "")
-    part_of = lambda q: squeezed.contains(F.regexp_replace(q, r"\s+", ""))
-    ratio = F.when(F.size(quotes) > 0, F.size(F.filter(quotes, part_of)) / F.size(quotes)).otherwise(0.0)
-    give = lambda s, r, why: F.struct(F.lit(s).alias("status"), F.round(r, 4).alias("score"), F.lit(why).alias("reason"))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    abstains = F.coalesce(F.lower(answer), F.lit("")).rlike("no answer|not found|cannot")
-    return (
-        F.when(status == "NOT_RUN", give("NOT_RUN", zero, "did not run")).when(status != "OK", give("ERROR", zero, "call failed"))
-        .when(expected_abstain & abstains, give("PASS", one, "abstained")).when(expected_abstain, give("FAIL", zero, "should abstain"))
-        .when(abstains, give("FAIL", zero, "abstained needlessly")).when(ratio >= 0.5, give("PASS", ratio, "quotes found"))
-        .when(ratio > 0, give("REVIEW", ratio, "some quotes found")).otherwise(give("FAIL", zero, "no quote found"))
-    )
-
-
 def _says(text: Column, *words: str) -> Column:
     return text.rlike("|".join(words))
 

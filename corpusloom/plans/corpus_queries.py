@@ -131,7 +131,7 @@ def missing_body(spark, sf_dir):
 
 
 @R.add("greedy_budget", f"""WITH RECURSIVE {DOCUMENTS_SQL}, c AS (
-  SELECT site, doc_id, doc_id % 7 AS assets, row_number() OVER (PARTITION BY site ORDER BY date DESC, doc_id) AS i FROM base WHERE doc_id % 3 = 0
+  SELECT site, doc_id, doc_id % 7 AS assets, row_number() OVER (PARTITION BY site ORDER BY date DESC, doc_id) AS i FROM base
 ), walk(site, i, doc_id, taken, docs, used) AS (
   SELECT site, 0, NULL::BIGINT, false, 0, 0::BIGINT FROM (SELECT DISTINCT site FROM c)
   UNION ALL
@@ -140,8 +140,7 @@ def missing_body(spark, sf_dir):
   FROM walk w JOIN c ON c.site = w.site AND c.i = w.i + 1)
 SELECT site, doc_id, taken FROM walk WHERE i > 0""")
 def greedy_budget(spark, sf_dir):
-    d = documents(spark, sf_dir).filter(F.col("doc_id") % 3 == 0)
-    c = d.select("site", "doc_id", (F.col("doc_id") % 7).alias("assets"), F.struct((-F.unix_date(F.col("date").cast("date"))).alias("a"), F.col("doc_id").alias("b")).alias("priority"))
+    c = documents(spark, sf_dir).select("site", "doc_id", (F.col("doc_id") % 7).alias("assets"), F.struct((-F.unix_date(F.col("date").cast("date"))).alias("a"), F.col("doc_id").alias("b")).alias("priority"))
     return freshness.greedy_budget(c, "site", 8, 20)
 
 

@@ -64,26 +64,42 @@ def latency_stats(spark, sf_dir):
     return E.latency(runs(spark, sf_dir), "verdict")
 
 
-@R.add("eval_answer", r"""WITH turns AS (
-  SELECT a.conv_id, a.turn, a.text AS answer, q.text AS question FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant'
-), quoted AS (
-  SELECT *, list_filter(string_split(question, ' ')[1:4], lambda w: len(w) >= 4) AS quotes, conv_id % 9 = 0 AS abstain,
-    CASE WHEN conv_id % 13 = 0 THEN 'NOT_RUN' WHEN conv_id % 11 = 0 THEN 'FAILED' ELSE 'OK' END AS status FROM turns
-), judged AS (
-  SELECT *, CASE WHEN len(quotes) > 0 THEN len(list_filter(quotes, lambda w: contains(regexp_replace(answer, '\s+', '', 'g'), regexp_replace(w, '\s+', '', 'g')))) / len(quotes) ELSE 0 END::DOUBLE AS ratio,
-    regexp_matches(lower(answer), 'no answer|not found|cannot') AS abstains FROM quoted)
-SELECT conv_id, turn, CASE WHEN status = 'NOT_RUN' THEN 'NOT_RUN' WHEN status <> 'OK' THEN 'ERROR' WHEN abstain AND abstains THEN 'PASS' WHEN abstain OR abstains THEN 'FAIL'
-    WHEN ratio >= 0.5 THEN 'PASS' WHEN ratio > 0 THEN 'REVIEW' ELSE 'FAIL' END AS verdict,
-  round(CASE WHEN status <> 'OK' THEN 0 WHEN abstain AND abstains THEN 1 WHEN abstain OR abstains THEN 0 ELSE ratio END, 4)::DOUBLE AS score FROM judged""")
+# Answers with what is known of their questions, and the verdict that the rules ask for, written down by hand:
+# answer, quotes, negatives, facts, should_abstain, category, situation, status; verdict.
+_ANSWERS = (
+    ("관련 공지를 찾지 못했습니다", [], [], "", True, "x", "", "OK", "PASS"), ("내일입니다", [], [], "", True, "x", "", "OK", "FAIL"),
+    ("제목만 있어 원문 확인이 필요", [], [], "", False, "title_only_notice", "", "OK", "PASS"), ("9월 9일입니다", [], [], "", False, "title_only_notice", "", "OK", "FAIL"),
+    ("그 정보는 없습니다", [], [], "", False, "missing_time", "", "OK", "PASS"), ("세 시", [], [], "", False, "missing_time", "", "OK", "FAIL"),
+    ("신청은 9월 9일 까지", [], [], "", False, "period_apply", "", "OK", "PASS"), ("신청은 9월 16일 까지", [], [], "", False, "period_apply", "", "OK", "FAIL"), ("9월 중순", [], [], "", False, "period_apply", "", "OK", "REVIEW"),
+    ("신청 9월 9일, 서류 9월 16일", [], [], "", False, "period_distinction", "", "OK", "PASS"), ("두 마감은 같습니다", [], [], "", False, "period_distinction", "", "OK", "FAIL"),
+    ("서류 제출은 9월 16일", [], [], "서류 제출", False, "period_distinction", "", "OK", "PASS"), ("3월 17일", [], [], "", False, "other_year_distinction", "", "OK", "PASS"),
+    ("9월 9일", [], [], "", False, "other_year_distinction", "", "OK", "FAIL"), ("곧", [], [], "", False, "other_semester_distinction", "", "OK", "REVIEW"),
+    ("재학생과 신입생", [], [], "", False, "target_audience", "", "OK", "PASS"), ("재학생", [], [], "", False, "target_audience", "", "OK", "REVIEW"), ("재학생과 신입생 모두 금지", [], ["금지"], "", False, "target_audience", "", "OK", "FAIL"),
+    ("한국장학재단 누리집", [], [], "", False, "apply_method", "", "OK", "PASS"), ("학교", [], [], "", False, "apply_method", "", "OK", "REVIEW"),
+    ("도서관 삼층 열람실 이용", ["열람실 이용 안내"], [], "", False, "x", "", "OK", "PASS"), ("도서관", ["열람실 이용 안내", "도서관", "셋째 인용 문구"], [], "", False, "x", "", "OK", "REVIEW"), ("아무 말", ["열람실 이용 안내"], [], "", False, "x", "", "OK", "FAIL"),
+    ("확인할 수 없습니다", ["도서관"], [], "", False, "x", "", "OK", "FAIL"), ("무엇", [], [], "", False, "x", "", "NOT_RUN", "NOT_RUN"), ("무엇", [], [], "", False, "x", "", "503", "ERROR"),
+)
+
+
+@R.add("eval_answer", f"""WITH turns AS (
+  SELECT a.conv_id, a.turn, [{', '.join(f"'{a[8]}'" for a in _ANSWERS)}][(a.conv_id * 7 + a.turn) % {len(_ANSWERS)} + 1] AS verdict
+  FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant')
+SELECT conv_id, turn, verdict, CASE verdict WHEN 'PASS' THEN 1.0 WHEN 'REVIEW' THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM turns""")
 def eval_answer(spark, sf_dir):
+    return _judged(spark, sf_dir).select("conv_id", "turn", F.col("v.status").alias("verdict"), "v.score")
+
+
+def _judged(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    q = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    q = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"))
     a = c.filter("role = 'assistant'").join(q, ["conv_id", "turn"])
-    quotes = F.filter(F.slice(F.split("question", " "), 1, 4), lambda w: F.length(w) >= 4)
-    n = F.col("conv_id")
-    status = F.when(n % 13 == 0, "NOT_RUN").when(n % 11 == 0, "FAILED").otherwise("OK")
-    v = E.verdict(F.col("text"), quotes, n % 9 == 0, status)
-    return a.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", F.col("v.status").alias("verdict"), "v.score")
+    strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    rows = F.array(*[
+        F.struct(F.lit(x[0]).alias("answer"), strings(x[1]).alias("quotes"), strings(x[2]).alias("negatives"), *[F.lit(v).alias(n) for n, v in zip(("facts", "abstain", "category", "situation", "status"), x[3:8], strict=True)])
+        for x in _ANSWERS
+    ])
+    x = a.withColumn("x", F.element_at(rows, ((F.col("conv_id") * 7 + F.col("turn")) % len(_ANSWERS) + 1).cast("int")))
+    return x.withColumn("v", E.answer_verdict(*[F.col(f"x.{n}") for n in ("answer", "facts", "quotes", "negatives", "abstain", "category", "situation", "status")]))
 
 
 @R.add("quota_report", """WITH items AS (
@@ -136,15 +152,17 @@ def stop_after_rate_limit(spark, sf_dir):
     return E.stop_after(e, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase").select("event_id", "user_id", "not_run")
 
 
-@R.add("error_classes", """WITH m AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 503 WHEN 1 THEN 429 WHEN 2 THEN 401 WHEN 3 THEN 500 ELSE NULL END AS status,
-  CASE WHEN event_id % 11 = 0 THEN 'Request Timed Out' WHEN event_id % 5 = 0 THEN 'quota is used up' WHEN event_id % 13 = 0 THEN 'model overloaded' ELSE event_type END AS message FROM events)
-SELECT CASE WHEN regexp_matches(lower(message), 'timeout|timed out|deadline') THEN 'timeout' WHEN status = 503 OR regexp_matches(lower(message), 'unavailable|overloaded') THEN 'unavailable'
-  WHEN status = 429 OR regexp_matches(lower(message), 'quota|rate limit') THEN 'rate_limited' WHEN status IN (401, 403) OR regexp_matches(lower(message), 'api key|permission|unauthorized') THEN 'auth' ELSE 'internal' END AS kind,
-  count(*) AS n FROM m GROUP BY 1""")
+# Messages of failed calls and their kinds, in the order of the rules.
+_FAILURES = (
+    (504, "x", "timeout"), (0, "Request timed out", "timeout"), (0, "504 from the gateway", "timeout"), (503, "x", "service_unavailable"), (0, "error 503", "service_unavailable"), (0, "model overloaded", "service_unavailable"),
+    (429, "x", "rate_limit"), (0, "Quota is used up", "rate_limit"), (500, "got 429", "rate_limit"), (401, "x", "auth_error"), (0, "API_KEY_INVALID", "auth_error"), (500, "x", "internal_api_error"), (0, "Overloaded", "internal_api_error"),
+)
+
+
+@R.add("error_classes", f"SELECT [{', '.join(f"'{k}'" for _, _, k in _FAILURES)}][event_id % {len(_FAILURES)} + 1] AS kind, count(*) AS n FROM events GROUP BY 1")
 def error_classes(spark, sf_dir):
-    n = F.col("event_id")
-    status = F.when(n % 7 == 0, 503).when(n % 7 == 1, 429).when(n % 7 == 2, 401).when(n % 7 == 3, 500)
-    message = F.when(n % 11 == 0, "Request Timed Out").when(n % 5 == 0, "quota is used up").when(n % 13 == 0, "model overloaded").otherwise(F.col("event_type"))
+    i = (F.col("event_id") % len(_FAILURES) + 1).cast("int")
+    status, message = (F.element_at(F.array(*[F.lit(x[k]) for x in _FAILURES]), i) for k in (0, 1))
     return table(spark, sf_dir, "events").groupBy(T.error_class(status, message).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,10 +187,10 @@ def duplicate_texts(spark, sf_dir):
     return E.duplicates(table(spark, sf_dir, "documents"), F.md5(F.lower(F.regexp_replace("text", "[^a-zA-Z]+", ""))))
 
 
-@R.add("split_leakage", "SELECT DISTINCT source AS family FROM documents WHERE doc_id % 5 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 7 = 3")
+@R.add("split_leakage", "SELECT DISTINCT source AS family FROM documents WHERE doc_id % 5 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 5 <> 0")
 def split_leakage(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.filter("doc_id % 5 = 0").select(F.col("source").alias("family")).intersect(d.filter("doc_id % 7 = 3").select("source"))
+    return d.filter("doc_id % 5 = 0").select(F.col("source").alias("family")).intersect(d.filter("doc_id % 5 <> 0").select("source"))
 
 
 @R.add("superseded_by", f"""WITH {DOCUMENTS_SQL}, k AS (SELECT *, lower(regexp_replace(title, '[^a-zA-Z]+', '', 'g')) AS clean FROM base)

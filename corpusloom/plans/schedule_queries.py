@@ -17,7 +17,12 @@ R = Registry()
 TITLES = (("THE", "[Tt]he "), ("ION", "ion[ .,]"), ("AUX", "aux"), ("VER", "ver"))
 BODIES = (("OF", " of "), ("LA", " la "), ("DER", " der "))
 OTHERS = " que | und "
-KINDS = (("correction", "^[Rr]e"), ("extension", "en[ .,]"), ("result", "ed[ .,]"))
+# Titles and what each says about its notice, its term and its readers, written down by hand.
+_NOTICES = (
+    ("[정정] 2026학년도 1학기 수강신청 안내", "correction", 2026, "1", ["재학생"]), ("수강신청 정정 안내", "announcement", None, None, []), ("장학금 신청 기간 연장", "extension", None, None, []),
+    ("2025-2학기 폐강 과목", "cancellation", 2025, "2", []), ("최종 합격 공지 신입생", "result", None, None, ["신입생"]), ("2026 하계 계절학기 학부생 모집", "announcement", 2026, "summer", ["학부생"]),
+    ("(수정) 2026년도 동계 계절 수업", "correction", 2026, "winter", []), ("예비군 외국인 유학생 공지", "announcement", None, None, ["외국인 유학생", "예비군"]),
+)
 
 
 def tagged(spark, sf_dir):
@@ -46,9 +51,37 @@ def topic_counts(spark, sf_dir):
     return tagging.topic_counts(tagged(spark, sf_dir))
 
 
-@R.add("notice_kind", f"""WITH {DOCUMENTS_SQL} SELECT CASE {' '.join(f"WHEN regexp_matches(title, '{p}') THEN '{k}'" for k, p in KINDS)} ELSE 'announcement' END AS kind, count(*) AS n FROM base GROUP BY 1""")
+def _notices(spark, sf_dir):
+    n = F.pmod(F.col("doc_id"), F.lit(len(_NOTICES)))
+    title = F.element_at(F.array(*[F.lit(t[0]) for t in _NOTICES]), (n + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", title.alias("title"), F.when(F.col("doc_id") % 3 == 0, "재학생 대상").otherwise(F.col("content")).alias("content"))
+
+
+_NOTICE_SQL = f"""notices AS (SELECT doc_id, doc_id % {len(_NOTICES)} + 1 AS i, doc_id % 3 = 0 AS addressed FROM documents)"""
+_LISTS = "[" + ", ".join("[" + ", ".join(f"'{a}'" for a in t[4]) + "]::VARCHAR[]" for t in _NOTICES) + "]"
+_GROUPS = "[" + ", ".join(f"'{a}'" for a in tagging.AUDIENCES) + "]"
+
+
+@R.add("notice_kind", f"WITH {_NOTICE_SQL} SELECT [{', '.join(f"'{t[1]}'" for t in _NOTICES)}][i] AS kind, count(*) AS n FROM notices GROUP BY 1")
 def notice_kind(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy(tagging.notice_kind(F.col("title"), KINDS).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _notices(spark, sf_dir).groupBy(tagging.notice_kind(F.col("title")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("tag_terms", f"""WITH {_NOTICE_SQL} SELECT doc_id, [{', '.join('NULL' if t[2] is None else str(t[2]) for t in _NOTICES)}][i]::INT AS year, [{', '.join('NULL' if t[3] is None else f"'{t[3]}'" for t in _NOTICES)}][i] AS semester FROM notices""")
+def tag_terms(spark, sf_dir):
+    return _notices(spark, sf_dir).select("doc_id", tagging.term_of(F.col("title"), F.col("content")).alias("t")).select("doc_id", "t.year", "t.semester")
+
+
+@R.add("tag_audience", f"""WITH {_NOTICE_SQL} SELECT doc_id, list_filter({_GROUPS}, lambda g: list_contains({_LISTS}[i], g) OR (addressed AND g = '재학생')) AS audience FROM notices""")
+def tag_audience(spark, sf_dir):
+    # The first title addresses students by its text alone where doc_id divides by 3.
+    n = _notices(spark, sf_dir).withColumn("title", F.when(F.col("title").startswith("[정정]"), F.concat("title", F.lit(" 재학생"))).otherwise(F.col("title")))
+    return n.select("doc_id", tagging.audience(F.col("title"), F.col("content")).alias("audience"))
+
+
+@R.add("tag_status_counts", f"""WITH {_TAGGED} SELECT CASE WHEN list_contains(topics, 'UNCLASSIFIED') THEN 'unclassified' WHEN list_contains(topics, 'OTHER') THEN 'other' ELSE 'tagged' END AS status, count(*) AS n FROM tagged GROUP BY 1""")
+def tag_status_counts(spark, sf_dir):
+    return tagging.status_counts(tagged(spark, sf_dir))
 
 
 @R.add("validate_tags", f"""WITH {_TAGGED}, broken AS (
@@ -74,62 +107,71 @@ def keyword_coverage(spark, sf_dir):
     return tagging.keyword_coverage(documents(spark, sf_dir), BODIES)
 
 
-_STAMPS = """stamps AS (
-  SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d,
-    CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y.%m.%d') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d')
-      WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30.25+09:00' WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 23:59Z' WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30+24:00'
-      WHEN 6 THEN strftime(o_orderdate, '%Y-%m.%d') ELSE strftime(o_orderdate, '%Y-%m-%d') || ' later' END AS s FROM orders)"""
+_DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+# Spellings of a timestamp after its day, and what each is in UTC: seconds to add, or null where it is refused.
+_TAILS = (
+    ("", 0), ("T10:20:30.25+09:00", 4830.25), (" 23:59Z", 86340), ("T10:20:30+24:00", None), (" later", None), ("T25:00", None), ("T00:00:00-0130", 5400), ("T00:00+09:60", None),
+    ("T00:00z", None), ("T00:00 +09:00", None), ("T01:02:03.1234567Z", 3723.123456), ("T01:02.5", 3720.5),
+)
 
 
 def _stamps(spark, sf_dir):
     k, day = F.col("o_orderkey"), lambda f: F.date_format("o_orderdate", f)
-    s = (
-        F.when(k % 8 == 0, day("yyyy-MM-dd")).when(k % 8 == 1, day("yyyy.MM.dd")).when(k % 8 == 2, day("yyyyMMdd")).when(k % 8 == 3, F.concat(day("yyyy-MM-dd"), F.lit("T10:20:30.25+09:00")))
-        .when(k % 8 == 4, F.concat(day("yyyy-MM-dd"), F.lit(" 23:59Z"))).when(k % 8 == 5, F.concat(day("yyyy-MM-dd"), F.lit("T10:20:30+24:00"))).when(k % 8 == 6, day("yyyy-MM.dd")).otherwise(F.concat(day("yyyy-MM-dd"), F.lit(" later")))
-    )
-    return table(spark, sf_dir, "orders").select(k.alias("k"), s.alias("s"))
+    tail = F.element_at(F.array(*[F.lit(t) for t, _ in _TAILS]), (k % len(_TAILS) + 1).cast("int"))
+    form = F.floor(k / len(_TAILS)) % 4
+    head = F.when(form == 0, day("yyyy-MM-dd")).when(form == 1, day("yyyy.MM.dd")).when(form == 2, day("yyyyMMdd")).otherwise(day("yyyy-MM.dd"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(head, tail).alias("s"))
+
+
+_STAMPS = f"""stamps AS (
+  SELECT o_orderkey AS k, {_DAY} AS d, o_orderkey % {len(_TAILS)} AS tail, (o_orderkey // {len(_TAILS)}) % 4 AS form,
+    [{', '.join(f"'{t}'" for t, _ in _TAILS)}][o_orderkey % {len(_TAILS)} + 1] AS after,
+    [{', '.join('NULL' if n is None else str(int(n * 1_000_000)) for _, n in _TAILS)}]::BIGINT[] AS micros FROM orders)"""
 
 
-@R.add("parse_iso_utc", f"""WITH {_STAMPS} SELECT k, CASE WHEN k % 8 < 3 THEN d::TIMESTAMP WHEN k % 8 = 3 THEN d::TIMESTAMP + INTERVAL '1 hour 20 minutes 30 seconds 250 milliseconds'
-  WHEN k % 8 = 4 THEN d::TIMESTAMP + INTERVAL '23 hours 59 minutes' END AS at FROM stamps""")
+@R.add("parse_iso_utc", f"""WITH {_STAMPS} SELECT k, CASE WHEN form < 2 OR (form = 2 AND tail = 0) THEN d::TIMESTAMP + to_microseconds(micros[tail + 1]) END AS at FROM stamps""")
 def parse_iso_utc(spark, sf_dir):
     return _stamps(spark, sf_dir).select("k", D.parse_iso_utc(F.col("s")).cast("timestamp_ntz").alias("at"))
 
 
-@R.add("normalize_date", f"""WITH {_STAMPS} SELECT k, CASE WHEN k % 8 IN (0, 1) THEN d WHEN k % 8 = 6 THEN d ELSE substr(s, 1, 10) END AS day FROM stamps""")
+_DAY_FORMS = ("2026-01-02", "2026.1.2", "2026/01/02", "2026-01-02T03:04:05", "2026-1-2 3:4:5", "2026.01.02 03:04:05", "2026/01/02 03:04:05", "26.1.2", "2026-02-30", "", "notice of today")
+_DAYS = ("2026-01-02", "2026-01-02", "2026-01-02", "2026-01-02", "2026-01-02", "2026-01-02", "2026/01/02", "26.1.2", "2026-02-30", "2030-01-01", "notice of ")
+
+
+@R.add("normalize_date", f"SELECT o_orderkey AS k, [{', '.join(f"'{d}'" for d in _DAYS)}][o_orderkey % {len(_DAYS)} + 1] AS day FROM orders")
 def normalize_date(spark, sf_dir):
-    return _stamps(spark, sf_dir).select("k", D.normalize_date(F.col("s"), F.lit("2026-01-01")).alias("day"))
+    k = F.col("o_orderkey")
+    s = F.element_at(F.array(*[F.lit(d) for d in _DAY_FORMS]), (k % len(_DAY_FORMS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), D.normalize_date(s, F.lit("2030-01-01")).alias("day"))
 
 
 _ASKED = """asked AS (
-  SELECT o_orderkey AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS dd, o_orderkey % 2 + 1 AS t, o_orderkey % 4 AS form FROM orders)"""
+  SELECT o_orderkey AS k, year(o_orderdate)::VARCHAR AS y, substr(year(o_orderdate)::VARCHAR, 3, 2) AS yy, month(o_orderdate) AS m, day(o_orderdate) AS dd, (o_orderkey % 2 + 1)::VARCHAR AS t, o_orderkey % 8 AS form FROM orders)"""
 
 
 def _asked(spark, sf_dir):
     k = F.col("o_orderkey")
     y, m, d, t = (f.cast("string") for f in (F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), k % 2 + 1))
-    q = (
-        F.when(k % 4 == 0, F.concat(y, F.lit("학년도 "), t, F.lit("학기 등록금은 "), m, F.lit("월 "), d, F.lit("일 2차 납부 SAT")))
-        .when(k % 4 == 1, F.concat(F.substring(y, 3, 2), F.lit("년 "), t, F.lit("학기 장학금을 "), m, F.lit("."), d, F.lit(" 까지")))
-        .when(k % 4 == 2, F.concat(m, F.lit("월 "), d, F.lit("일 수강신청은 언제"))).otherwise(F.lit("휴학 안내를 찾기"))
-    )
-    return table(spark, sf_dir, "orders").select(k.alias("k"), q.alias("q"))
+    yy, say = F.substring(y, 3, 2), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [
+        say(y, "학년도 ", t, "학기 등록금은 ", m, "월 ", d, "일 2차 납부 SAT"), say(yy, "년 ", t, "학기 장학금을 ", m, ".", d, " 까지"), say(m, "월 ", d, "일 수강신청은 언제"), F.lit("휴학 안내를 찾기"),
+        say("'", yy, " ", t, "학기 공지"), say(yy, "-", t, "학기 수강"), say(y, "년 졸업"), say(y, " 학사일정 TOPCIT 특강"),
+    ]
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.element_at(F.array(*forms), (k % 8 + 1).cast("int")).alias("q"))
 
 
-@R.add("query_entities", f"""WITH {_ASKED} SELECT k, CASE WHEN form = 0 OR form = 1 THEN y::VARCHAR END AS year, CASE WHEN form = 0 OR form = 1 THEN substr(y::VARCHAR, 3, 2) END AS short_year,
-  CASE WHEN form < 2 THEN t::VARCHAR END AS semester, CASE WHEN form = 0 THEN '2' END AS round, CASE WHEN form IN (0, 2) THEN m::VARCHAR END AS month, CASE WHEN form IN (0, 2) THEN dd::VARCHAR END AS day
-FROM asked WHERE y >= 2000 UNION ALL SELECT k, CASE WHEN form = 1 THEN '20' || substr(y::VARCHAR, 3, 2) WHEN form = 0 THEN NULL END, CASE WHEN form = 1 THEN substr(y::VARCHAR, 3, 2) END,
-  CASE WHEN form < 2 THEN t::VARCHAR END, CASE WHEN form = 0 THEN '2' END, CASE WHEN form IN (0, 2) THEN m::VARCHAR END, CASE WHEN form IN (0, 2) THEN dd::VARCHAR END FROM asked WHERE y < 2000""")
+@R.add("query_entities", f"""WITH {_ASKED} SELECT k, CASE WHEN form IN (0, 6, 7) THEN y WHEN form IN (1, 4, 5) THEN '20' || yy END AS year, CASE WHEN form NOT IN (2, 3) THEN chr(39) || yy END AS short_year,
+  CASE WHEN form IN (0, 1, 4, 5) THEN t || '학기' END AS semester, CASE WHEN form = 0 THEN '2차' END AS round, CASE WHEN form IN (0, 2) THEN m END::INT AS month, CASE WHEN form IN (0, 2) THEN dd END::INT AS day FROM asked""")
 def query_entities(spark, sf_dir):
     return _asked(spark, sf_dir).select("k", T.entities(F.col("q")).alias("e")).select("k", "e.*")
 
 
-@R.add("question_terms", f"""WITH {_ASKED} SELECT k, CASE WHEN form = 0 AND y >= 2000 THEN [y || '-' || t] ELSE [] END AS pairs,
-  CASE form WHEN 0 THEN ['학년도', '학기', '등록금', '납부'] WHEN 1 THEN ['학기', '장학금', '까지'] WHEN 2 THEN ['수강신청'] ELSE ['휴학', '찾기'] END AS terms,
-  CASE WHEN form = 0 THEN ['SAT'] ELSE [] END AS capitals FROM asked""")
+@R.add("question_terms", f"""WITH {_ASKED} SELECT k, CASE form WHEN 0 THEN [y || '-' || t] WHEN 1 THEN ['20' || yy || '-' || t] WHEN 5 THEN ['20' || yy || '-' || t] ELSE [] END AS pairs,
+  CASE form WHEN 0 THEN ['학년', '등록금', '납부'] WHEN 1 THEN ['까지'] WHEN 2 THEN ['수강신청'] WHEN 3 THEN ['휴학', '찾기'] WHEN 4 THEN ['공지'] WHEN 5 THEN ['수강'] WHEN 6 THEN ['졸업'] ELSE ['학사일정', '특강'] END AS terms,
+  CASE form WHEN 0 THEN ['sat'] WHEN 7 THEN ['topcit'] ELSE [] END AS distinctive FROM asked""")
 def question_terms(spark, sf_dir):
     q = F.col("q")
-    return _asked(spark, sf_dir).select("k", T.term_pairs(q).alias("pairs"), T.subject_terms(q, ["은", "을", "를"], ["안내", "언제"]).alias("terms"), T.capitals(q).alias("capitals"))
+    return _asked(spark, sf_dir).select("k", T.term_pairs(q).alias("pairs"), T.subject_terms(q).alias("terms"), T.distinctive_terms(q).alias("distinctive"))
 
 
 @R.add("month_days", f"""WITH {_ASKED} SELECT k, CASE WHEN form < 3 THEN [lpad(m::VARCHAR, 2, '0') || '-' || lpad(dd::VARCHAR, 2, '0')] ELSE [] END AS days FROM asked""")

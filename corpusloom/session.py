@@ -38,9 +38,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else one in the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir, else one in the warehouse.
+
+    Off a local master a warehouse in a local folder is refused: executors would not see each other's files.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
-    return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    if given:
+        return given
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_intermediate"
 
 
 @contextmanager
@@ -69,6 +77,12 @@ def stored(df: DataFrame, partition_by: list[str] | None = None, row_group_mb: i
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files make fewer parts, before work that is slow per row. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table that stored() made, once nothing reads it any more."""
     spark = df.sparkSession
