@@ -160,24 +160,24 @@ def listing_exhausted(spark, sf_dir):
     return freshness.exhausted(p, "board", "page", "urls").select("board", "page", "exhausted")
 
 
-_INDEX = """index AS (
+INDEX_SQL = """index AS (
   SELECT id, CASE WHEN doc_id % 13 <> 0 THEN substr(sha256(title || chr(10) || CASE WHEN doc_id % 6 = 0 THEN content || 'x' ELSE content END), 1, 16) END AS hash FROM base WHERE doc_id % 9 <> 0
   UNION ALL SELECT 'gone' || doc_id, 'x' FROM base WHERE doc_id % 17 = 0)"""
 
 
-def _index(spark, sf_dir):
+def index_rows(spark, sf_dir):
     d, n = documents(spark, sf_dir), F.col("doc_id")
     held = d.filter(n % 9 != 0).select("id", F.when(n % 13 != 0, T.content_hash(F.col("title"), F.when(n % 6 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")))).alias("hash"))
     return held.unionByName(d.filter(n % 17 == 0).select(F.concat(F.lit("gone"), n.cast("string")).alias("id"), F.lit("x").alias("hash")))
 
 
-@R.add("sync_diff", f"""WITH {DOCUMENTS_SQL}, {_INDEX} SELECT coalesce(d.id, i.id) AS id,
+@R.add("sync_diff", f"""WITH {DOCUMENTS_SQL}, {INDEX_SQL} SELECT coalesce(d.id, i.id) AS id,
   CASE WHEN i.id IS NULL THEN 'missing' WHEN d.id IS NULL THEN 'extra' WHEN i.hash IS NULL THEN 'unverifiable'
     WHEN i.hash = substr(sha256(title || chr(10) || content), 1, 16) THEN 'matched' ELSE 'stale' END AS state
 FROM base d FULL JOIN index i ON d.id = i.id""")
 def sync_diff(spark, sf_dir):
     d = documents(spark, sf_dir).withColumn("hash", T.content_hash(F.col("title"), F.col("content")))
-    return indexing.sync_diff(d, _index(spark, sf_dir))
+    return indexing.sync_diff(d, index_rows(spark, sf_dir))
 
 
 _CHUNK_SETS = DOCUMENTS_SQL + """, existing AS (

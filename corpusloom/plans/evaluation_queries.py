@@ -27,7 +27,7 @@ def runs(spark, sf_dir):
 
 
 _GOT = ", ".join(f"'https://h/' || ((doc_id * {3 + k} + {k * k}) % 10)" for k in range(5))
-_RUNS = DOCUMENTS_SQL + f""", runs AS (
+RUNS_SQL = DOCUMENTS_SQL + f""", runs AS (
   SELECT doc_id AS "case", source_type, site, CASE WHEN doc_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split, [{_GOT}] AS got,
     ['https://h/' || (doc_id % 10), 'https://h/' || ((doc_id + 1) % 10)] AS expected, doc_id % 9 = 0 AS should_abstain, doc_id % 6 = 0 AS abstained, (doc_id * 37 % 101) / 10.0::DOUBLE AS seconds,
     CASE WHEN doc_id % 23 = 0 THEN 'NOT_RUN' WHEN doc_id % 17 = 0 THEN 'ERROR' WHEN doc_id % 3 = 0 THEN 'FAIL' WHEN doc_id % 7 = 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM base
@@ -36,7 +36,7 @@ _RUNS = DOCUMENTS_SQL + f""", runs AS (
     CASE WHEN should_abstain THEN CASE WHEN abstained THEN 1.0 ELSE 0.0 END WHEN list_has_any(got[1:1], expected) THEN 1.0 WHEN list_has_any(got[1:3], expected) THEN 0.7 ELSE 0.0 END::DOUBLE AS score FROM runs)"""
 
 
-@R.add("eval_retrieval", f'WITH {_RUNS} SELECT "case", hit1, hit3, hit5, all_found, score FROM marks')
+@R.add("eval_retrieval", f'WITH {RUNS_SQL} SELECT "case", hit1, hit3, hit5, all_found, score FROM marks')
 def eval_retrieval(spark, sf_dir):
     return E.retrieval_marks(runs(spark, sf_dir)).select("case", "hit1", "hit3", "hit5", "all_found", "score")
 
@@ -44,7 +44,7 @@ def eval_retrieval(spark, sf_dir):
 _RATE = "round(100.0::DOUBLE * count(*) FILTER ({c}) / count(*), 2)"
 
 
-@R.add("retrieval_breakdown", f"""WITH {_RUNS} SELECT source_type, split, count(*) AS n, {_RATE.format(c='hit1')} AS top1, {_RATE.format(c='hit3')} AS top3,
+@R.add("retrieval_breakdown", f"""WITH {RUNS_SQL} SELECT source_type, split, count(*) AS n, {_RATE.format(c='hit1')} AS top1, {_RATE.format(c='hit3')} AS top3,
   {_RATE.format(c='hit5')} AS top5, {_RATE.format(c='all_found')} AS "full" FROM marks WHERE NOT should_abstain GROUP BY ROLLUP (source_type, split)""")
 def retrieval_breakdown(spark, sf_dir):
     return E.breakdown(E.retrieval_marks(runs(spark, sf_dir)), "source_type", "split")
@@ -53,13 +53,13 @@ def retrieval_breakdown(spark, sf_dir):
 _V = "round(100.0::DOUBLE * count(*) FILTER (verdict = '{v}') / nullif(count(*) FILTER (verdict <> 'NOT_RUN'), 0), 2)"
 
 
-@R.add("run_metrics", f"""WITH {_RUNS} SELECT split, count(*) AS n, count(*) FILTER (verdict = 'NOT_RUN') AS not_run, {_V.format(v='PASS')} AS pass_rate,
+@R.add("run_metrics", f"""WITH {RUNS_SQL} SELECT split, count(*) AS n, count(*) FILTER (verdict = 'NOT_RUN') AS not_run, {_V.format(v='PASS')} AS pass_rate,
   {_V.format(v='FAIL')} AS fail_rate, {_V.format(v='REVIEW')} AS review_rate, {_V.format(v='ERROR')} AS error_rate FROM runs GROUP BY split""")
 def run_metrics(spark, sf_dir):
     return E.run_metrics(runs(spark, sf_dir), "split")
 
 
-@R.add("latency_stats", f"WITH {_RUNS} SELECT verdict, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95, avg(seconds) AS mean FROM runs GROUP BY verdict")
+@R.add("latency_stats", f"WITH {RUNS_SQL} SELECT verdict, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95, avg(seconds) AS mean FROM runs GROUP BY verdict")
 def latency_stats(spark, sf_dir):
     return E.latency(runs(spark, sf_dir), "verdict")
 
@@ -125,7 +125,7 @@ def review_summary(spark, sf_dir):
     return E.review_summary(rows, "lang")
 
 
-@R.add("compare_runs", f"""WITH {_RUNS} SELECT source_type, count(*) AS cases, round(100 * (avg(CASE WHEN verdict = 'PASS' THEN 1.0 ELSE score END) - avg(score)), 2) AS delta_pp FROM marks
+@R.add("compare_runs", f"""WITH {RUNS_SQL} SELECT source_type, count(*) AS cases, round(100 * (avg(CASE WHEN verdict = 'PASS' THEN 1.0 ELSE score END) - avg(score)), 2) AS delta_pp FROM marks
 WHERE "case" % 4 <> 0 GROUP BY source_type""")
 def compare_runs(spark, sf_dir):
     before = E.retrieval_marks(runs(spark, sf_dir)).select("case", "source_type", "score", "verdict")
@@ -139,7 +139,7 @@ def unknown_judgments(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(known, "doc_id", "left_anti").select("doc_id")
 
 
-@R.add("resume_plan", f"""WITH {_RUNS} SELECT d.doc_id AS "case", CASE WHEN r.verdict IS NULL OR r.verdict = 'NOT_RUN' THEN 'run' WHEN r.verdict = 'ERROR' THEN 'retry' ELSE 'reuse' END AS plan
+@R.add("resume_plan", f"""WITH {RUNS_SQL} SELECT d.doc_id AS "case", CASE WHEN r.verdict IS NULL OR r.verdict = 'NOT_RUN' THEN 'run' WHEN r.verdict = 'ERROR' THEN 'retry' ELSE 'reuse' END AS plan
 FROM base d LEFT JOIN runs r ON d.doc_id = r."case" AND r."case" % 3 <> 1""")
 def resume_plan(spark, sf_dir):
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("case"))

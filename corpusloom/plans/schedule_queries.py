@@ -33,7 +33,7 @@ def _sql_matches(text, rules):
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{p}') THEN {{'topic': '{t}', 'quote': regexp_extract({text}, '{p}')}} END" for t, p in rules) + "], lambda x: x IS NOT NULL)"
 
 
-_TAGGED = DOCUMENTS_SQL + f""", m AS (
+TAGGED_SQL = DOCUMENTS_SQL + f""", m AS (
   SELECT *, {_sql_matches('title', TITLES)} AS bt, {_sql_matches('substr(content, 1, 1500)', BODIES)} AS bb, title || ' ' || substr(content, 1, 1000) AS head FROM base
 ), hits AS (
   SELECT *, CASE WHEN len(bt) > 0 THEN bt[1:2] WHEN len(bb) > 0 THEN bb[1:2] WHEN regexp_matches(head, '{OTHERS}') THEN [{{'topic': 'OTHER', 'quote': regexp_extract(head, '{OTHERS}')}}]
@@ -41,12 +41,12 @@ _TAGGED = DOCUMENTS_SQL + f""", m AS (
 ), tagged AS (SELECT doc_id, title, list_transform(hit, lambda x: x.topic) AS topics, list_filter(list_transform(hit, lambda x: x.quote), lambda q: q <> '') AS evidence FROM hits)"""
 
 
-@R.add("tag_topics", f"WITH {_TAGGED} SELECT doc_id, topics, evidence FROM tagged")
+@R.add("tag_topics", f"WITH {TAGGED_SQL} SELECT doc_id, topics, evidence FROM tagged")
 def tag_topics(spark, sf_dir):
     return tagged(spark, sf_dir).select("doc_id", "topics", "evidence")
 
 
-@R.add("topic_counts", f"WITH {_TAGGED} SELECT topic, count(*) AS n FROM (SELECT unnest(topics) AS topic FROM tagged) GROUP BY topic")
+@R.add("topic_counts", f"WITH {TAGGED_SQL} SELECT topic, count(*) AS n FROM (SELECT unnest(topics) AS topic FROM tagged) GROUP BY topic")
 def topic_counts(spark, sf_dir):
     return tagging.topic_counts(tagged(spark, sf_dir))
 
@@ -79,12 +79,12 @@ def tag_audience(spark, sf_dir):
     return n.select("doc_id", tagging.audience(F.col("title"), F.col("content")).alias("audience"))
 
 
-@R.add("tag_status_counts", f"""WITH {_TAGGED} SELECT CASE WHEN list_contains(topics, 'UNCLASSIFIED') THEN 'unclassified' WHEN list_contains(topics, 'OTHER') THEN 'other' ELSE 'tagged' END AS status, count(*) AS n FROM tagged GROUP BY 1""")
+@R.add("tag_status_counts", f"""WITH {TAGGED_SQL} SELECT CASE WHEN list_contains(topics, 'UNCLASSIFIED') THEN 'unclassified' WHEN list_contains(topics, 'OTHER') THEN 'other' ELSE 'tagged' END AS status, count(*) AS n FROM tagged GROUP BY 1""")
 def tag_status_counts(spark, sf_dir):
     return tagging.status_counts(tagged(spark, sf_dir))
 
 
-@R.add("validate_tags", f"""WITH {_TAGGED}, broken AS (
+@R.add("validate_tags", f"""WITH {TAGGED_SQL}, broken AS (
   SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN list_append(topics, 'OTHER') ELSE topics END AS topics, CASE WHEN doc_id % 7 = 0 THEN ['nowhere in it'] ELSE evidence END AS evidence FROM tagged
 ), r AS (
   SELECT b.doc_id, list_filter([CASE WHEN d.doc_id IS NULL THEN 'unknown_document' END, CASE WHEN len(topics) NOT BETWEEN 1 AND 3 THEN 'topic_count' END,
