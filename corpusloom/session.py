@@ -83,6 +83,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing needs any more: it does when the driver's JVM collects its garbage, which may be late."""
+    spark._jvm.System.gc()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table that stored() made, once nothing reads it any more."""
     spark = df.sparkSession
