@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,15 +11,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 PARTIAL = "slice int, part int, data binary"
-MERGERS = 256  # groups of tasks whose arrays are merged first
 
 
-def partial_rows(array: np.ndarray, slices: int) -> pd.DataFrame:
+def merging_groups(df: DataFrame) -> int:
+    """Groups of tasks whose arrays are merged first: as many as a group then has tasks, so that both steps stay small."""
+    return max(1, math.isqrt(df.rdd.getNumPartitions()))
+
+
+def partial_rows(array: np.ndarray, slices: int, groups: int) -> pd.DataFrame:
     """A task's array as rows of PARTIAL; slices that are all zero are left out."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    part = (context.partitionId() if context else 0) % MERGERS
+    part = (context.partitionId() if context else 0) % groups
     pieces = [(i, p) for i, p in enumerate(np.array_split(array, slices)) if p.any()]
     return pd.DataFrame({"slice": [i for i, _ in pieces], "part": part, "data": [zlib.compress(p.tobytes(), 1) for _, p in pieces]})
 
@@ -43,6 +48,7 @@ def merged(parts: DataFrame, shape: tuple[int, ...], dtype: np.dtype, slices: in
 
 def over_batches(df: DataFrame, column: str, add: Callable[[np.ndarray, pd.Series], None], shape: tuple[int, ...], dtype: np.dtype, slices: int) -> DataFrame:
     """Rows of PARTIAL from calling add(array, values) on every batch of a column."""
+    groups = merging_groups(df)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         array = np.zeros(shape, dtype)
@@ -51,6 +57,6 @@ def over_batches(df: DataFrame, column: str, add: Callable[[np.ndarray, pd.Serie
             add(array, batch[column])
             seen = True
         if seen:
-            yield partial_rows(array, slices)
+            yield partial_rows(array, slices, groups)
 
     return df.select(column).mapInPandas(run, PARTIAL)

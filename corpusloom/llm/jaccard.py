@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import arrays
 from corpusloom.llm.components import components
 from corpusloom.llm.words import lower_ascii, split_words, worker_cache
-from corpusloom.session import drop_stored, pick, rows_at_once, stored, table
+from corpusloom.session import drop_stored, pick, release, rows_at_once, stored, table
 
 WORDS = 5
 # Two sets link if 7 * shared >= 3 * (sizes added), which is a similarity of 0.75.
@@ -23,7 +23,9 @@ COUNTERS = 1 << 22  # of the frequency sketch that orders shingles; its size doe
 SLICES = 64
 BITMAP = 2048  # parity bits of a set, whose differences bound two sets' difference
 BROADCAST_IDS = 500_000  # row numbers and ids are broadcast up to so many (4 MB), else joined by shuffle
-POSTINGS_PER_BUCKET = 250_000  # of the index lists that one group holds; the number of buckets follows from the sets' sizes
+POSTINGS_PER_BUCKET = 500_000  # of the index lists that one group holds; the number of buckets follows from the sets' sizes
+LEAST_BUCKETS = 64
+MOST_PLACE = 255  # a posting's place in its set, where larger ones count as this, which skips less and loses nothing
 LIST_PART = 65_536  # a list of a shingle in more documents is cut by its sets into parts of about so many
 LIST_BLOCK = 500  # sets of an open list that are compared with as many others in one group
 CACHE_WORDS = 200_000
@@ -96,6 +98,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     (kind 0), and each task's part of the frequency sketch (kind 1). A document without words has no digest. Of equal
     sets that a task meets the hashes are written once, with the row that is marked `whole`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    groups = arrays.merging_groups(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNTERS, np.uint32)
@@ -119,7 +122,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             if held:
                 np.add.at(counts, np.concatenate(pending), 1)
             yield pd.DataFrame({"kind": 0, "row": batch["_row"], "doc_id": batch["doc_id"], "node": pd.array(digests, dtype="Int64"), "size": sizes, "bitmap": bitmaps, "whole": [p is not None for p in packed], "items": packed, "slice": None, "part": None, "data": None})
-        part = arrays.partial_rows(counts, SLICES)
+        part = arrays.partial_rows(counts, SLICES, groups)
         yield pd.DataFrame({"kind": 1, "row": None, "doc_id": None, "node": None, "size": None, "bitmap": None, "whole": None, "items": None, "slice": part["slice"], "part": part["part"], "data": part["data"]})
 
     schema = f"kind int, row long, doc_id {kind}, node long, size int, bitmap binary, whole boolean, items binary, {arrays.PARTIAL}"
@@ -160,7 +163,7 @@ def _index_lists(sets: DataFrame, classes: Broadcast, buckets: int, list_part: i
                 prefix = int(size) // 4 + 1
                 first = np.argsort(order_class[_sketch_place(items)], kind="stable")[:prefix]  # the hashes are in order already
                 owners.append(np.full(len(first), len(nodes), np.uint32))
-                places.append(np.minimum(np.arange(len(first)), 65535).astype(np.uint16))
+                places.append(np.minimum(np.arange(len(first)), MOST_PLACE).astype(np.uint8))
                 tokens.append(items[first])
                 nodes.append(node), sizes.append(size)
             if not nodes:
@@ -207,7 +210,7 @@ def _bucket_pairs(group: pd.DataFrame, classes: np.ndarray, buckets: int, list_p
         n, t = np.frombuffer(n, np.int64), np.frombuffer(t, np.uint32)
         nodes.append(n), sizes.append(np.frombuffer(s, np.uint32)), tokens.append(t)
         owners.append(np.frombuffer(o, np.uint16 if len(o) == 2 * len(t) else np.uint32).astype(np.int64) + base)
-        places.append(np.frombuffer(p, np.uint16))
+        places.append(np.frombuffer(p, np.uint8))
         base += len(n)
     unique, first, where = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
     size_of = np.concatenate(sizes)[first].astype(np.int64)
@@ -245,9 +248,13 @@ def _bucket_pairs(group: pd.DataFrame, classes: np.ndarray, buckets: int, list_p
         ok &= _may_link(size[mine], size[its], place[mine], place[its])
         a, b = owner[mine[ok]], owner[its[ok]]
         pairs.append(np.minimum(a, b) * len(unique) + np.maximum(a, b))
-    code = np.unique(np.concatenate(pairs))
-    found = pd.DataFrame({"kind": PAIR, "a": unique[code // len(unique)], "b": unique[code % len(unique)], "list": 0, "size": 0, "place": 0})
-    long = (length >= 3) | cut
+    code, votes = np.unique(np.concatenate(pairs), return_counts=True)
+    found = pd.DataFrame({"kind": PAIR, "a": unique[code // len(unique)], "b": unique[code % len(unique)], "list": 0, "size": votes, "place": 0})
+    # Of two sets in bands that can link one has met the other as a pivot; three or more are listed.
+    held = np.bincount(block)
+    beside = (token[pivot[1:]] == token[pivot[:-1]]) & (band[pivot[1:]] - band[pivot[:-1]] == 1)
+    around = held + np.concatenate([[0], held[:-1] * beside]) + np.concatenate([held[1:] * beside, [0]])
+    long = (around[block] >= 3) | cut
     # A list is known by its shingle and the bucket of its first part.
     part = (choice[order] % _parts_of(classes, token.astype(np.uint64), list_part).astype(np.uint64)).astype(np.int64)
     name = ((int(group["bucket"].iloc[0]) - part) % buckets << 32) + token.astype(np.int64)
@@ -327,20 +334,21 @@ def _pairs_of_lists(open_: DataFrame, list_block: int) -> DataFrame:
         (F.col("x.list") == F.col("y.list")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
         & ((F.col("x._own") < F.col("y._own")) | (F.col("x.node") < F.col("y.node"))) & apart & near,
     )
-    return of_short.unionByName(met.select(*pair)).distinct()
+    return of_short.unionByName(met.select(*pair))
 
 
 def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int = LIST_PART, list_block: int = LIST_BLOCK) -> DataFrame:
     """Links (a, b) between nodes (different sets) whose components are those of all links.
 
-    First every set is compared with the pivots of its index lists. Sets that link with a
-    pivot share its answers: a pair of one component is not compared. Then, of each list,
-    the pairs that lie in different components and were not compared yet are, unless sizes or
-    positions rule them out. So every pair of sets that links is found or lies in a component.
+    Every set has candidates, the pivots of its index lists. First it is compared with the one
+    that it shares most lists with. Sets that link share their answers: a pair of one component
+    is not compared. Then the other candidates that lie in another component are compared, and
+    of each list the pairs of different components, unless sizes or positions rule them out. So
+    every pair of sets that links is found or lies in a component.
     """
     spark = sets.sparkSession
     postings = nodes.agg(F.sum(F.floor(F.col("size") / 4) + 1)).first()[0] or 0
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // POSTINGS_PER_BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-postings // POSTINGS_PER_BUCKET))
     shared = spark.sparkContext.broadcast(classes)
 
     def pairs_of(group: pd.DataFrame) -> pd.DataFrame:
@@ -349,18 +357,29 @@ def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int
     lists = _index_lists(sets, shared, buckets, list_part)
     with rows_at_once(spark, 20 * ROWS_AT_ONCE):
         found = stored(lists.groupBy("bucket").applyInPandas(pairs_of, "kind int, a long, b long, list long, size long, place long"))
-    tested = found.filter(F.col("kind") == PAIR).select("a", "b").unionByName(_pairs_of_pivots(found.filter(F.col("kind") == PIVOT)))
-    tested = stored(tested.distinct())
+    release(spark)
+    pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "size").unionByName(_pairs_of_pivots(found.filter(F.col("kind") == PIVOT)).withColumn("size", F.lit(1).cast("long")))
+    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("size").alias("votes")))
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
+    best = ways.groupBy("a").agg(F.max(F.struct("votes", "b"))["b"].alias("b"))
+    tested = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = _pair_verdicts(tested, nodes, sets)
+    release(spark)
 
-    part = components(first)
+    part = stored(components(first))
     named = found.filter(F.col("kind") == LISTED).select("list", F.col("a").alias("node"), "size", "place").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named)
     drop_stored(found)
     split = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("list", "n")
     open_ = stored(named.join(split, "list"))
     drop_stored(named)
-    rest = stored(_pairs_of_lists(open_, list_block).join(tested, ["a", "b"], "left_anti"))
+    of = lambda name: part.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
+    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+    others = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
+    rest = stored(_pairs_of_lists(open_, list_block).unionByName(others).distinct().join(tested, ["a", "b"], "left_anti"))
+    for done in (open_, pairs, tested):
+        drop_stored(done)
+    release(spark)
     if rest.isEmpty():
         return first
     return first.unionByName(_pair_verdicts(rest, nodes, sets))
