@@ -19,7 +19,8 @@ REACH = 3.0  # half a window, in deviations of a projection of two vectors that
 GRID_CELLS = 4.0  # a cell of the grid is so many half windows wide
 MOST_GRID = 6  # projections that make up the grid at most
 ROWS_PER_CELL = 400
-BLOCK = 500  # rows of a cell that are compared with another block's at a time
+BROADCAST_CELLS = 100_000  # sizes of up to so many cells are broadcast, so that a large cell's rows meet in its blocks only
+BLOCK = 1500  # rows of a cell that are compared with another block's at a time
 RECALL = 0.999  # of linked pairs that reach the least count of collisions, from the projections' normal law
 SEED = 17
 
@@ -116,10 +117,11 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE) -> D
     placed = stored(reps.select("rep", "label", "dim", "n", "embedding").mapInPandas(
         place, f"rep long, label {rows.schema['label'].dataType.simpleString()}, dim int, n long, x binary, cell string, home boolean"))
     key = ["label", "dim", "cell"]
-    full = placed.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes")).filter("rows > 1 AND homes > 0")
+    full = stored(placed.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes")).filter("rows > 1 AND homes > 0"))
+    hint = F.broadcast if full.count() <= BROADCAST_CELLS else (lambda df: df)
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = (
-        placed.join(full, key).withColumn("b", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("b")).cast("int"))
+        placed.join(hint(full), key).withColumn("b", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("b")).cast("int"))
         # A home row asks in each block of others; every row answers in its block to each block of homes.
         .withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda o: F.struct(o.alias("o")))))
     )
