@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dates as D
 from corpusloom.functions import text as T
+from corpusloom.operators import extraction
 from corpusloom.operators import schedules as S
 from corpusloom.operators import tagging
 from corpusloom.plans import Registry
@@ -270,3 +271,58 @@ def calendar_events(spark, sf_dir):
     )
     docs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, line.alias("l")))), lambda x: x["l"]), "\n").alias("content"))
     return S.date_lines(docs).select("doc_id", "title", "start", "end")
+
+
+# Notices about a day ({d}: month and day of the order) with the schedules that they hold, written down by hand:
+# rule, kind, start and end (day: 0 for the order's, 1 for the next, 7 and 5 for the Monday and Friday meant; time), confirmed, ambiguous, unconfirmed.
+_TEXTS = (
+    ("[취소] {d} 14:00 행사는 취소되었습니다.", [("cancelled", "event", (0, "14:00"), None, True, False, [])]),
+    ("보고서 제출은 {d} 자정까지입니다.", [("midnight", "deadline", None, None, False, True, ["time", "exact_boundary"])]),
+    ("등록은 {d}부터 {d}까지입니다. 모든 접수는 마감일 17:30에 끝납니다.", [("split_sentence", "period", (0, None), (0, "17:30"), True, False, ["start_time"])]),
+    ("부스 신청: {d} 09:00 오픈 ~ {d} 18:00 마감 (선착순, 조기 마감)", [("first_come", "period", (0, "09:00"), (0, "18:00"), True, True, [])]),
+    ("정정 기간: {d} ~ {d} 매일 10:00~17:00", [("daily", "period", (0, "10:00"), (0, "17:00"), True, True, ["daily_recurrence_pattern"])]),
+    ("설명회: 1차 {d} 11:00, 2차 {d} 16:00 (각 1시간)", [("rounds", "event", (0, "11:00"), (0, "12:00"), True, False, []), ("rounds", "event", (0, "16:00"), (0, "17:00"), True, False, [])]),
+    ("접수는 {d} 13:00까지이며, 납부는 {d} 15:00까지입니다.", [("staged", "deadline", None, (0, "13:00"), True, False, []), ("staged", "deadline", None, (0, "15:00"), True, False, [])]),
+    ("마감이 당초 {d}에서 {d} 15:00로 연장되었습니다.", [("extended", "deadline", None, (0, "15:00"), True, True, [])]),
+    ("신청은 10월 말경 시작됩니다.", [("vague", "period", None, None, False, True, ["start_date", "end_date", "time"])]),
+    ("지난 {d} 시작되었고 과제는 {d} 23:59까지 냅니다.", [("past_and_future", "deadline", None, (0, "23:59"), True, False, [])]),
+    ("금일(1월 1일) 17:00까지 수정", [("urgent", "deadline", None, (0, "17:00"), True, False, [])]), ("오늘 18시까지 제출", [("today", "deadline", None, (0, "18:00"), True, False, [])]),
+    ("내일 오후 2시 30분에 모임", [("tomorrow", "event", (1, "14:30"), None, True, True, ["end_time"])]), ("과제는 다음 주 월요일까지입니다.", [("next_monday", "deadline", None, (7, None), False, True, ["time", "exact_boundary"])]),
+    ("이번 주 금요일까지 제출", [("this_friday", "deadline", None, (5, None), False, True, ["time"])]), ("조사는 {d} 10:00부터 {d} 17:00까지", [("range_with_times", "period", (0, "10:00"), (0, "17:00"), True, False, [])]),
+    ("시험은 {d}부터 {d}까지입니다.", [("range", "period", (0, None), (0, None), False, True, ["time"])]), ("{d}은 기념일로 휴업일입니다.", [("holiday", "all_day", (0, None), (0, None), False, True, ["time"])]),
+    ("대여 신청은 {d} 18:00까지 받습니다.", [("deadline", "deadline", None, (0, "18:00"), True, False, [])]), ("송부는 2월 31일 18:00까지", [("deadline", "deadline", None, None, False, True, ["exact_date"])]),
+    ("독서 대회\n신청: {s} ~ {s}", [("dated_range", "period", (0, None), (0, None), False, False, ["start_time", "time"])]), ("3단계\n{s} 9:30 ~ 12:00\n시험 응시", [("hours", "event", (0, "09:30"), (0, "12:00"), True, False, [])]),
+    ("보고서\n제출: {s} 18:00까지", [("dated", "deadline", None, (0, "18:00"), True, False, [])]), ("자료실은 늘 열려 있습니다", []), ("마감은 {d} 25:00까지", [("deadline", "deadline", None, None, False, True, ["time"])]),
+)
+
+
+def _expected():
+    day = {0: "o_orderdate::DATE", 1: "(o_orderdate::DATE + 1)", 7: "(o_orderdate::DATE + (8 - isodow(o_orderdate))::INT)", 5: "(o_orderdate::DATE + (5 - isodow(o_orderdate))::INT)"}
+    date = lambda x: "NULL::VARCHAR" if x is None else f"strftime({day[x[0]]}, '%Y-%m-%d')"
+    at = lambda x: "NULL::VARCHAR" if x is None or x[1] is None else f"strftime({day[x[0]]}, '%Y-%m-%d') || 'T{x[1]}:00+09:00'"
+    rows = [
+        f"SELECT o_orderkey AS doc_id, {place} AS place, '{rule}' AS rule, '{kind}' AS kind, {date(start)} AS start_date, {date(end)} AS end_date, {at(start)} AS start_at, {at(end)} AS end_at, {str(sure).lower()} AS confirmed, "
+        f"{str(unsure).lower()} AS ambiguous, [{', '.join(f"'{u}'" for u in lacks)}]::VARCHAR[] AS unconfirmed FROM orders WHERE o_orderkey % {len(_TEXTS)} = {i}"
+        for i, (_, found) in enumerate(_TEXTS) for place, (rule, kind, start, end, sure, unsure, lacks) in enumerate(found)
+    ]
+    return " UNION ALL ".join(rows)
+
+
+@R.add("extract_schedules", _expected())
+def extract_schedules(spark, sf_dir):
+    k, m, d = F.col("o_orderkey"), F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string")
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in _TEXTS]), (k % len(_TEXTS) + 1).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{d}"), F.concat(m, F.lit("월 "), d, F.lit("일"))), F.lit("{s}"), F.concat(m, F.lit("."), d))
+    docs = table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("content"), F.col("o_orderdate").cast("date").alias("ref"))
+    return extraction.extract_schedules(docs).select("doc_id", "place", "rule", "kind", "start_date", "end_date", "start_at", "end_at", "confirmed", "ambiguous", "unconfirmed")
+
+
+@R.add("suppressed_spans", """WITH s AS (SELECT l_orderkey AS k, list(struct_pack(s := l_partkey % 50, e := l_partkey % 50 + 5) ORDER BY l_linenumber) FILTER (l_linenumber % 2 = 0) AS strong,
+    list(struct_pack(s := l_suppkey % 60, e := l_suppkey % 60 + 4) ORDER BY l_linenumber) FILTER (l_linenumber % 2 = 1) AS weak FROM lineitem GROUP BY 1)
+SELECT k, list_transform(list_filter(coalesce(weak, []), lambda w: len(list_filter(coalesce(strong, []), lambda t: greatest(w.s, t.s) < least(w.e, t.e))) = 0), lambda w: w.s::BIGINT).list_sort() AS starts FROM s""")
+def suppressed_spans(spark, sf_dir):
+    i, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    span = lambda at, size: F.struct(at.alias("start"), (at + size).alias("end"))
+    of = lambda odd, s: F.transform(F.array_sort(F.collect_list(F.when(n % 2 == odd, F.struct(n.alias("n"), s.alias("s"))))), lambda x: x["s"])
+    g = i.groupBy(F.col("l_orderkey").alias("k")).agg(of(0, span(F.col("l_partkey") % 50, 5)).alias("strong"), of(1, span(F.col("l_suppkey") % 60, 4)).alias("weak"))
+    return g.select("k", F.array_sort(F.transform(extraction.suppress_overlaps(F.col("weak"), F.col("strong")), lambda w: w["start"])).alias("starts"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.plans import Registry
 from corpusloom.plans.corpus import RESOLVED_SQL, version_rows
-from corpusloom.session import table
+from corpusloom.session import shared_dir, table
 from corpusloom.sources import pages as P
 from corpusloom.streaming import upserts as U
 
@@ -44,6 +46,18 @@ def stream_window_counts(spark, sf_dir):
     return U.windowed(s, "ts", "1 day", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@R.add("stream_late_rejects", f"""WITH {RESOLVED_SQL} SELECT key, 2 AS seq, substr(why, 2) AS reason FROM second_why WHERE why[1] = '-' UNION ALL SELECT key, 3, substr(why, 2) FROM third_why WHERE why[1] = '-'""")
+def stream_late_rejects(spark, sf_dir):
+    _, log = U.upsert(U.open_stream(spark, f"{sf_dir}/documents.parque[t]"), version_rows)
+    return log.filter("decision = 'skipped'").select("key", "seq", "reason")
+
+
+@R.add("stream_backfill", "SELECT event_id, user_id, upper(event_type) AS kind FROM events")
+def stream_backfill(spark, sf_dir):
+    s = U.open_stream(spark, f"{sf_dir}/events.parque[t]")
+    return U.backfill(s, lambda d: d.select("event_id", "user_id", F.upper("event_type").alias("kind")), f"{shared_dir(spark)}/backfill-{uuid.uuid4().hex}")
+
+
 @R.add("stream_upsert", f"WITH {RESOLVED_SQL} SELECT key, id, source, status, date, hash FROM third")
 def stream_upsert(spark, sf_dir):
     s = U.open_stream(spark, f"{sf_dir}/documents.parque[t]")

@@ -12,6 +12,7 @@ from corpusloom.operators import versions
 from corpusloom.session import shared_dir
 
 AS_VERSION = [f.split(":")[0] for f in versions.VERSION[7:-1].split(",")]
+MERGE_EVERY = 16  # batches whose changes are read one by one before a whole state is written
 
 
 def open_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
@@ -19,55 +20,103 @@ def open_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> DataF
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
+def _folder(spark: SparkSession, name: str, given: str | None) -> str:
+    """Where a stream keeps its checkpoint and what belongs to it: the caller's folder, else a new one in the shared folder."""
+    return given.rstrip("/") if given else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _finished(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the batches whose output under a folder is complete, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath() for f in fs.listStatus(path)]
+    done = [p.getName() for p in names if p.getName().startswith(prefix) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[len(prefix) :]) for n in done)
+
+
+def _state(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    """key and current of all keys as of the batches below a number: the last whole state and the changes after it."""
+    whole = [n for n in _finished(spark, root, "whole-") if n < before]
+    changes = [n for n in _finished(spark, root, "changes-") if n < before and (not whole or n > whole[-1])]
+    parts = [spark.read.parquet(f"{root}/whole-{n}").withColumn("_batch", F.lit(n)) for n in whole[-1:]]
+    parts += [spark.read.parquet(f"{root}/changes-{n}").select("key", "current").withColumn("_batch", F.lit(n)) for n in changes]
+    if not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("key").agg(F.max_by("current", "_batch").alias("current")) if len(parts) > 1 else rows.drop("_batch")
+
+
 def upsert(stream: DataFrame, to_versions: Callable[[DataFrame], DataFrame], checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The current versions and the log after all that a stream holds now.
 
-    Each batch folds its versions onto the current ones and writes a state of its own number, so
-    a batch that runs again after a failure writes the same state. A late or older version loses
-    by the same rules as in the batch operator, and shows in the log as skipped.
+    Each batch folds its versions onto the current ones of the same keys and writes those keys
+    alone, under its own number beside the checkpoint; every MERGE_EVERY batches a whole state is
+    written. A batch that runs again after a failure reads what lies before it and writes the
+    same. With the same checkpoint a later call goes on where the last one ended, also without
+    new rows. A late or older version loses by the same rules as in the batch operator, and
+    shows in the log as skipped.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    last: dict[str, int] = {}
+    root = _folder(spark, "upsert", checkpoint)
+    states = f"{root}/versions"
 
     def fold(batch: DataFrame, number: int) -> None:
         new = to_versions(batch).select("key", *AS_VERSION)
-        before = last.get("state")
-        if before is not None:
+        held = _state(spark, states, number)
+        if held is not None:
             # The current version stands first in the fold: its seq is below any other.
-            held = spark.read.parquet(f"{root}/state-{before}").select("key", "current.*").withColumn("seq", F.lit(-1))
-            touched = held.join(new.select("key").distinct(), "key", "left_semi")
-            same = held.join(new.select("key").distinct(), "key", "left_anti").select("key", *AS_VERSION)
-            done = versions.resolve(touched.select("key", *AS_VERSION).unionByName(new))
-            kept = versions.resolve(same)
-            done = done.unionByName(kept)
-        else:
-            done = versions.resolve(new)
-        done.write.mode("overwrite").parquet(f"{root}/state-{number}")
-        last["state"] = number
-
-    at = checkpoint or f"{root}/checkpoint"
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", at).trigger(availableNow=True).start()
+            touched = held.join(new.select("key").distinct(), "key", "left_semi").select("key", "current.*").withColumn("seq", F.lit(-1))
+            new = touched.select("key", *AS_VERSION).unionByName(new)
+        versions.resolve(new).write.mode("overwrite").parquet(f"{states}/changes-{number}")
+        if (number + 1) % MERGE_EVERY == 0:
+            _state(spark, states, number + 1).write.mode("overwrite").parquet(f"{states}/whole-{number}")
+
+    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = _finished(spark, states, "changes-")
+    if not done:
+        empty = versions.resolve(to_versions(spark.createDataFrame([], stream.schema)).select("key", *AS_VERSION))
+        return empty.select("key", "current"), versions.log_rows(empty)
+    return _state(spark, states, done[-1] + 1), versions.log_rows(spark.read.parquet(*[f"{states}/changes-{n}" for n in done]))
+
+
+def backfill(stream: DataFrame, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataFrame:
+    """What work gives for all rows that a stream holds now, batch by batch.
+
+    A batch that fails stops the run; what came before it is kept beside the checkpoint, and the
+    next call with the same checkpoint starts at that batch. No row is worked on twice once its
+    batch is done.
+    """
+    spark = stream.sparkSession
+    root = _folder(spark, "backfill", checkpoint)
+
+    def put(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{root}/done/batch-{number}")
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    state = spark.read.parquet(f"{root}/state-{last['state']}")
-    logs = spark.read.parquet(*[f"{root}/state-{n}" for n in range(last["state"] + 1)])
-    return state, versions.log_rows(logs)
+    done = _finished(spark, f"{root}/done", "batch-")
+    return spark.read.parquet(*[f"{root}/done/batch-{n}" for n in done]) if done else work(spark.createDataFrame([], stream.schema))
 
 
-def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str = "30 days") -> DataFrame:
+def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str = "30 days", checkpoint: str | None = None) -> DataFrame:
     """The first row of each key within the watermark, as a table of what a stream holds now."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/dedupe-{uuid.uuid4().hex}"
+    root = _folder(spark, "dedupe", checkpoint)
     once = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
     query = once.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(once.schema).parquet(f"{root}/out")
 
 
-def windowed(stream: DataFrame, time: str, width: str, by: str, delay: str = "1 hour") -> DataFrame:
+def windowed(stream: DataFrame, time: str, width: str, by: str, delay: str = "1 hour", checkpoint: str | None = None) -> DataFrame:
     """Counts by window and group, complete after all that a stream holds now."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/window-{uuid.uuid4().hex}"
+    root = _folder(spark, "window", checkpoint)
     counts = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"))
     flat = counts.select(F.col("window.start").alias("start"), by, "n")
 
