@@ -59,8 +59,8 @@ def redact(text: Column, secret: str) -> Column:
 
 
 def scrub(text: Column) -> Column:
-    """Bytes that are not UTF-8 replaced and NUL dropped, so that every writer accepts the text."""
-    return F.make_valid_utf8(F.replace(text, F.lit("\x00"), F.lit("")))
+    """Halves of surrogate pairs and bytes that are not UTF-8 as U+FFFD, and NUL dropped, so that every writer accepts the text."""
+    return F.regexp_replace(F.make_valid_utf8(F.replace(text, F.lit("\x00"), F.lit(""))), r"[\x{D800}-\x{DFFF}]", "\ufffd")
 
 
 def error_class(status: Column, message: Column, kind: Column | None = None) -> Column:

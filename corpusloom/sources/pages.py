@@ -1,118 +1,138 @@
-"""Jobs over tables of web pages: links, fields, tables, listings and FAQ rows."""
+"""Jobs over tables of web pages: links, fields, tables, listings, board and FAQ rows."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.dates import normalize_date
 from corpusloom.session import pick
 
 MOST_ROWS, MOST_COLS = 100, 30  # bounds of a cell's spans
 FILES = re.compile(r"\.(pdf|hwp|hwpx|docx?|xlsx?|zip)(?:$|\?)", re.I)
+DOWNLOADS = re.compile(r"download\.do|fileDown\.do|\.(?:pdf|hwp|hwpx)(?:\?|$)", re.I)
+BOARD = re.compile(r"/bbs/[^/]+/\d+/(?:artclList|\d+/artclView)\.do")
 MENU = {"nav", "menu"}
-
-
-class _Reader(HTMLParser):
-    """Links with their text and menu path, images, table cells and headed sections of a page, in one pass."""
-
+EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+UNREAD = {"script", "style", "nav", "input", "button", "select"}
+BLOCKS = {"p", "div", "li", "ul", "ol", "dl", "dt", "dd", "tr", "td", "th", "table", "section", "article", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "br", "header", "footer", "main", "body"}
+
+
+@dataclass
+class Node:
+    tag: str
+    attrs: dict[str, str]
+    parent: Node | None = None
+    children: list[Node | str] = field(default_factory=list)
+
+    def walk(self) -> Iterator[Node]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+    def all(self, *tags: str) -> list[Node]:
+        return [n for n in self.walk() if n.tag in tags]
+
+    def marked(self, name: str) -> list[Node]:
+        """Nodes of a class, or of an id if the name begins with #."""
+        return [n for n in self.walk() if (n.attrs.get("id") == name[1:] if name.startswith("#") else name in n.attrs.get("class", "").split())]
+
+    def up(self) -> Iterator[Node]:
+        node = self.parent
+        while node is not None:
+            yield node
+            node = node.parent
+
+    def text(self) -> str:
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                out.append(node)
+            elif node.tag not in ("script", "style"):
+                stack.extend(reversed(node.children))
+        return "".join(out)
+
+
+class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.links: list[dict] = []
-        self.images: list[str] = []
-        self.tables: list[list[list[tuple[str, int, int]]]] = []
-        self.heads: list[tuple[str, str]] = []
-        self.text: list[str] = []
-        self._open: list[str] = []
-        self._path: list[str] = []
-        self._cell: list | None = None
-        self._skip = 0
+        self.root = Node("", {})
+        self.at = self.root
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag in ("script", "style"):
-            self._skip += 1
-        elif tag == "a":
-            self.links.append({"href": a.get("href") or "", "text": "", "menu": any(t in MENU for t in self._open)})
-        elif tag == "img" and a.get("src"):
-            self.images.append(a["src"])
-        elif tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables:
-            if not self.tables[-1]:
-                self.tables[-1].append([])
-            span = lambda n, most: min(most, int(a[n])) if (a.get(n) or "").isdigit() and int(a[n]) > 0 else 1
-            self._cell = ["", span("rowspan", MOST_ROWS), span("colspan", MOST_COLS)]
-            self.tables[-1][-1].append(self._cell)
-        if tag in ("h1", "h2", "h3", "dt", "dd"):
-            self.heads.append((tag, ""))
-        if tag not in ("br", "img", "meta", "link", "input", "hr"):
-            self._open.append(tag)
+        if tag in ("li", "tr", "td", "th", "dt", "dd", "p", "option"):  # a new one ends one that was left open
+            near = next((n for n in (self.at, *self.at.up()) if n.tag in (tag, "ul", "ol", "dl", "table")), None)
+            if near is not None and near.tag == tag and near.parent is not None:
+                self.at = near.parent
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in EMPTY:
+            self.at = node
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self._skip = max(0, self._skip - 1)
-        if tag in ("td", "th"):
-            self._cell = None
-        if tag in self._open:
-            while self._open.pop() != tag:
-                pass
+        found = next((n for n in (self.at, *self.at.up()) if n.tag == tag), None)
+        if found is not None and found.parent is not None:
+            self.at = found.parent
 
     def handle_data(self, data: str) -> None:
-        if self._skip:
-            return
-        self.text.append(data)
-        if "a" in self._open and self.links:
-            self.links[-1]["text"] += data
-        if self._cell is not None:
-            self._cell[0] += data
-        for t in ("h1", "h2", "h3", "dt", "dd"):
-            if t in self._open and self.heads and self.heads[-1][0] == t:
-                self.heads[-1] = (t, self.heads[-1][1] + data)
+        self.at.children.append(data)
 
 
-def read(html: str | None) -> _Reader:
-    r = _Reader()
-    r.feed(html or "")
-    r.close()
-    return r
+def read(html: str | None) -> Node:
+    b = _Builder()
+    b.feed(html or "")
+    b.close()
+    return b.root
 
 
 def _squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+def cells_of(table: Node) -> list[list[tuple[str, int, int]]]:
+    """A table's rows as cells of text, rows and columns spanned, within their bounds."""
+    span = lambda c, n, most: min(most, max(1, int(c.attrs[n]))) if c.attrs.get(n, "").strip().isdigit() else 1
+    return [
+        [(_squeeze(c.text()), span(c, "rowspan", MOST_ROWS), span(c, "colspan", MOST_COLS)) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
+        for row in table.all("tr")
+    ]
+
+
 def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """A table's rows as 'a | b', cells repeated over the rows and columns that they span."""
-    out: list[dict[int, str]] = []
+    """A table's rows as 'a | b', cells repeated over all rows and columns that they span, also beyond the last row; gaps are empty cells."""
+    out: dict[tuple[int, int], str] = {}
+    width = 0
     for y, row in enumerate(rows):
-        while len(out) <= y:
-            out.append({})
         x = 0
         for text, down, right in row:
-            while x in out[y]:
+            while (y, x) in out:
                 x += 1
             for dy in range(down):
-                while len(out) <= y + dy and y + dy < len(rows):
-                    out.append({})
-                if y + dy < len(rows):
-                    for dx in range(right):
-                        out[y + dy].setdefault(x + dx, _squeeze(text))
+                for dx in range(right):
+                    out[y + dy, x + dx] = text
             x += right
-    return [" | ".join(r[k] for k in sorted(r)) for r in out if r]
+            width = max(width, x)
+    height = max((y for y, _ in out), default=-1) + 1
+    return [" | ".join(out.get((y, x), "") for x in range(width)) for y in range(height)]
 
 
 def _job(pages: DataFrame, make: Callable[[object, str, str], list[tuple]], columns: str) -> DataFrame:
     """make(page_id, url, html) for every page, its tuples as rows."""
     narrow = pick(pages, "page_id", "url", "html")
-    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    names = [c.strip().split(" ")[0] for c in re.sub(r"<[^<>]*>|<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", columns).split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,50 +144,179 @@ def _job(pages: DataFrame, make: Callable[[object, str, str], list[tuple]], colu
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Every link: page_id, place, href, target (absolute), label, in_menu."""
-    return _job(
-        pages, lambda p, u, h: [(p, i, x["href"], urljoin(u, x["href"]), _squeeze(x["text"]), x["menu"]) for i, x in enumerate(read(h).links)],
-        "page_id long, place int, href string, target string, label string, in_menu boolean",
-    )
+    """Every link: page_id, place, href, target (absolute), label, in_menu, menu_path.
+
+    menu_path: of the list items around a link, from the outermost, the label of the link that
+    heads each of them.
+    """
+
+    def make(page_id: object, url: str, html: str) -> list[tuple]:
+        out = []
+        for i, a in enumerate(read(html).all("a")):
+            around = list(a.up())
+            heads = [next((c for c in n.children if isinstance(c, Node) and c.tag == "a"), None) for n in reversed(around) if n.tag == "li"]
+            path = [_squeeze(h.text()) for h in heads if h is not None]
+            href = a.attrs.get("href", "")
+            out.append((page_id, i, href, urljoin(url, href), _squeeze(a.text()), any(n.tag in MENU for n in around), path))
+        return out
+
+    return _job(pages, make, "page_id long, place int, href string, target string, label string, in_menu boolean, menu_path array<string>")
+
+
+def discover(pages: DataFrame, canonical: Callable[[Column], Column], daily: str = "학사일정", days: int = 14) -> DataFrame:
+    """An inventory of the pages that menus lead to: url, title, menu_path, kind, interval_days, status.
+
+    A URL is its canonical form, else as it stands, and then left for review. Of several links
+    to one URL the one of the deepest path counts, of equally deep ones the first; they are
+    compared by a partial aggregate, so that a link that every page has meets nowhere.
+    """
+    found = links(pages).filter((F.col("href") != "") & (F.size("menu_path") > 0))
+    keyed = found.select(canonical(F.col("target")).alias("own"), "target", "label", "menu_path", "page_id", "place")
+    order = F.struct((-F.size("menu_path")).alias("depth"), "page_id", "place", "label", "menu_path", F.col("own").isNotNull().alias("known"))
+    best = keyed.groupBy(F.coalesce("own", "target").alias("url")).agg(F.min(order).alias("b"))
+    interval = F.when(F.array_join("b.menu_path", " ").contains(daily), 1).otherwise(days)
+    return best.select("url", F.col("b.label").alias("title"), F.col("b.menu_path").alias("menu_path"), F.lit("guidance").alias("kind"), interval.alias("interval_days"),
+                       F.when(F.col("b.known"), "pending").otherwise("external_or_dynamic_review").alias("status"))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Names by which a site's pages mark their parts: classes, or ids with a #."""
+
+    content: str = "#_contentBuilder"
+    tabs: str = "#menuUItab"
+    contact: str = "wrap-contact"
+    hidden: tuple[str, ...] = ("hidden", "sch-guide-layer", "alb-foot")
+    diet: str = "#dietInfoArea"
+    calendar: str = "#schdulWrap"
+    body: str = "txt"
+
+
+def _visible_lines(node: Node, layout: Layout) -> list[str]:
+    """Lines of a node's text; tables row by row, what no reader sees left out."""
+    out, line = [], []
+
+    def end() -> None:
+        text = _squeeze("".join(line))
+        line.clear()
+        if text:
+            out.append(text)
 
+    def visit(n: Node) -> None:
+        for c in n.children:
+            if isinstance(c, str):
+                line.append(c)
+            elif c.tag in UNREAD or any(h in c.attrs.get("class", "").split() for h in layout.hidden):
+                continue
+            elif c.tag == "table":
+                end()
+                out.extend(r for r in grid(cells_of(c)) if r.strip(" |"))
+            else:
+                if c.tag in BLOCKS:
+                    end()
+                visit(c)
+                if c.tag in BLOCKS:
+                    end()
 
-def discover(pages: DataFrame, host: Column) -> DataFrame:
-    """Targets with the longest label that leads to each, and whether they lie outside the page's host."""
-    found = links(pages).withColumn("external", ~F.col("target").rlike(r"^https?://") | (F.regexp_extract("target", r"^https?://([^/?#]+)", 1) != host))
-    w = Window.partitionBy("target").orderBy(F.length("label").desc(), "page_id", "place")
-    return found.withColumn("n", F.row_number().over(w)).filter("n = 1").select("target", "label", "external")
+    visit(node)
+    end()
+    return out
+
+
+_LINKS = "array<struct<url:string,title:string>>"
+
+
+def extract_page(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """Fields of guidance pages: page_id, title, content, content_status, tabs, boards, attachments, images, related, contact, updated, coverage.
+
+    A page without the content element is read as a whole and has the coverage 'content_missing'.
+    Tables are rendered with their spans; board links are named, their listings are not text of
+    their own.
+    """
+
+    def make(page_id: object, url: str, html: str) -> list[tuple]:
+        root = read(html)
+        found = root.marked(layout.content)
+        content = found[0] if found else root
+        anchors = [(urljoin(url, a.attrs["href"]), a.attrs["href"], _squeeze(a.text())) for a in content.all("a") if a.attrs.get("href")]
+        tabs = [(urljoin(url, a.attrs["href"]), _squeeze(a.text())) for t in root.marked(layout.tabs) for a in t.all("a") if a.attrs.get("href")]
+        boards = sorted({re.sub(r"/\d+/artclView\.do.*$", "/artclList.do", u).split("?")[0] for u, _, _ in anchors if BOARD.search(u)})
+        files = [(u, name) for u, href, name in anchors if DOWNLOADS.search(href)]
+        related = [(u, name) for u, href, name in anchors if href.startswith(("http", "/"))]
+        images = [(urljoin(url, i.attrs["src"]), i.attrs.get("alt", "")) for i in content.all("img") if i.attrs.get("src")]
+        contact = _squeeze(" ".join(n.text() for n in root.marked(layout.contact)[:1]))
+        day = re.search(r"최종 수정일\s*:\s*(\d{4})[.\-/](\d{2})[.\-/](\d{2})", contact)
+        coverage = "html_text_with_unextracted_media" if files or images else "html_text_only"
+        if content.all("iframe") and not files:
+            coverage = "dynamic_content_requires_review"
+        if any(n.all("table") for n in content.marked(layout.diet)):
+            coverage = "current_week_diet_html"
+        elif any(n.marked("sche-comt") or n.marked("box-sch") for n in content.marked(layout.calendar)):
+            coverage = "calendar_html"
+        text = "\n".join(_visible_lines(content, layout))
+        heading = next((_squeeze(h.text()) for h in root.all("h1")), "")
+        title = next((t for u, t in tabs if u == url), heading)
+        pairs = lambda rows: [{"url": u, "title": t} for u, t in rows]
+        return [(page_id, title, text, "text" if text else "empty", pairs(tabs), boards, pairs(files), pairs(images), pairs(related), contact, "-".join(day.groups()) if day else "", coverage if found else "content_missing")]
+
+    columns = f"page_id long, title string, content string, content_status string, tabs {_LINKS}, boards array<string>, attachments {_LINKS}, images {_LINKS}, related {_LINKS}, contact string, updated string, coverage string"
+    return _job(pages, make, columns)
+
+
+def extract_links(pages: DataFrame, layout: Layout = Layout(), viewer: str = "바로보기") -> DataFrame:
+    """page_id, body, images (absolute http(s) URLs), attachments (links to downloads with a name, viewer buttons left out)."""
+
+    def make(page_id: object, url: str, html: str) -> list[tuple]:
+        root = read(html)
+        views = [n for n in root.marked("viewCont") if "view" in n.attrs.get("class", "").split()]
+        body = next(("".join(x.text().split("\n")).strip() for v in views for x in v.marked(layout.body)), "")
+        images = [u for v in views for i in v.all("img") if i.attrs.get("src") and urlsplit(u := urljoin(url, i.attrs["src"])).scheme in ("http", "https")]
+        files = [{"url": urljoin(url, a.attrs["href"]), "title": name} for a in root.all("a") if "download.do" in a.attrs.get("href", "") and (name := _squeeze(a.text())) and name != viewer]
+        return [(page_id, body, images, files)]
+
+    return _job(pages, make, f"page_id long, body string, images array<string>, attachments {_LINKS}")
 
 
 def fields(pages: DataFrame) -> DataFrame:
     """page_id, heading, n_images, attachments (names of linked files), tables (rendered rows), date, coverage."""
 
     def make(page_id: object, url: str, html: str) -> list[tuple]:
-        r = read(html)
-        head = next((_squeeze(t) for k, t in r.heads if k == "h1"), "")
-        files = [urljoin(url, x["href"]) for x in r.links if FILES.search(x["href"])]
-        rows = [line for t in r.tables for line in grid(t)]
-        body = _squeeze(" ".join(r.text))
+        root = read(html)
+        head = next((_squeeze(h.text()) for h in root.all("h1")), "")
+        files = [urljoin(url, a.attrs["href"]) for a in root.all("a") if FILES.search(a.attrs.get("href", ""))]
+        rows = [line for t in root.all("table") for line in grid(cells_of(t))]
+        body = _squeeze(root.text())
         day = re.search(r"(20\d{2})[.-](\d{1,2})[.-](\d{1,2})", body)
-        return [(page_id, head, len(r.images), files, rows, f"{day[1]}-{int(day[2]):02d}-{int(day[3]):02d}" if day else None, "full" if len(body) >= 80 else "short" if body else "empty")]
+        n_images = sum(bool(i.attrs.get("src")) for i in root.all("img"))
+        return [(page_id, head, n_images, files, rows, f"{day[1]}-{int(day[2]):02d}-{int(day[3]):02d}" if day else None, "full" if len(body) >= 80 else "short" if body else "empty")]
 
     return _job(pages, make, "page_id long, heading string, n_images int, attachments array<string>, tables array<string>, date string, coverage string")
 
 
-def listing(pages: DataFrame, since: str) -> DataFrame:
-    """Rows of board pages whose table cells hold a date: page_id, place, title, date, pinned, wanted."""
+def listing(pages: DataFrame, since: str, article: str = r"https?://[^/]+/bbs/[^/]+/\d+/\d+/artclView\.do|https?://.*") -> DataFrame:
+    """Rows of board pages that link to an article and hold a date: page_id, place, url, title, date, pinned, wanted.
+
+    article: pattern that a row's whole URL must match. A row is pinned if it is marked as a
+    notice or its first cell is no number.
+    """
+    whole = re.compile(article)
 
     def make(page_id: object, url: str, html: str) -> list[tuple]:
         out = []
-        for table in read(html).tables:
-            for i, row in enumerate(table):
-                cells = [_squeeze(c[0]) for c in row]
-                day = next((m for c in cells if (m := re.fullmatch(r"(20\d{2})[.-](\d{2})[.-](\d{2})", c))), None)
-                if day and len(cells) > 1:
+        for table in read(html).all("table"):
+            for i, row in enumerate(table.all("tr")):
+                cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
+                texts = [_squeeze(c.text()) for c in cells]
+                day = next((m for t in texts if (m := re.fullmatch(r"(20\d{2})[.-](\d{2})[.-](\d{2})\.?", t))), None)
+                link = next((a for c in cells for a in c.all("a") if a.attrs.get("href")), None)
+                target = urljoin(url, link.attrs["href"]) if link is not None else url
+                if day and len(texts) > 1 and whole.fullmatch(target):
                     date = "-".join(day.groups())
-                    out.append((page_id, i, cells[1], date, not cells[0].isdigit(), date >= since))
+                    pinned = "notice" in row.attrs.get("class", "").split() or not texts[0].isdigit()
+                    out.append((page_id, i, target, _squeeze(link.text()) if link is not None else texts[1], date, pinned, date >= since))
         return out
 
-    return _job(pages, make, "page_id long, place int, title string, date string, pinned boolean, wanted boolean")
+    return _job(pages, make, "page_id long, place int, url string, title string, date string, pinned boolean, wanted boolean")
 
 
 def reached(rows: DataFrame, since: str) -> DataFrame:
@@ -176,11 +325,36 @@ def reached(rows: DataFrame, since: str) -> DataFrame:
     return rows.groupBy("page_id").agg(F.coalesce(latest < since, F.lit(False)).alias("reached"))
 
 
+def board_rows(pages: DataFrame, source: str, category: str, today: Column) -> DataFrame:
+    """Notices of board tables with fixed columns (number, title, writer, file, date): id, title, content, source, category, date, url.
+
+    Rows of fewer than five cells, without a titled link, or whose link leads to no article are
+    left out. Of several rows of one URL the first stays, by page and place.
+    """
+
+    def make(page_id: object, url: str, html: str) -> list[tuple]:
+        out = []
+        for i, row in enumerate(read(html).all("tr")):
+            cells = [c for c in row.children if isinstance(c, Node) and c.tag == "td"]
+            link = next(iter(cells[1].all("a")), None) if len(cells) >= 5 else None
+            title = _squeeze(link.text()) if link is not None else ""
+            target = urljoin(url, link.attrs.get("href", "")) if title else ""
+            parts = urlsplit(target)
+            if title and parts.scheme in ("http", "https") and "artclView.do" in parts.path:
+                out.append((page_id, i, title, _squeeze(cells[2].text()), _squeeze(cells[4].text()), target))
+        return out
+
+    rows = _job(pages, make, "page_id long, place int, title string, writer string, day string, url string")
+    first = rows.groupBy("url").agg(F.min(F.struct("page_id", "place", "title", "writer", "day")).alias("r")).select("url", "r.*")
+    named = F.when(F.col("writer") != "", F.concat(F.lit(f"{source} ("), "writer", F.lit(")"))).otherwise(source)
+    return first.select(F.sha2("url", 256).alias("id"), "title", F.col("title").alias("content"), named.alias("source"), F.lit(category).alias("category"), normalize_date(F.col("day"), today).alias("date"), "url")
+
+
 def faq(pages: DataFrame, prefix: str) -> DataFrame:
     """A row for each question and answer (dt, dd): id, page_id, question, answer, total."""
 
     def make(page_id: object, url: str, html: str) -> list[tuple]:
-        heads = [(k, _squeeze(t)) for k, t in read(html).heads if k in ("dt", "dd")]
+        heads = [(n.tag, _squeeze(n.text())) for n in read(html).all("dt", "dd")]
         pairs = [(q, a) for (k, q), (n, a) in zip(heads, heads[1:], strict=False) if k == "dt" and n == "dd"]
         return [(page_id, q, a, len(pairs)) for q, a in pairs]
 
