@@ -115,7 +115,7 @@ def _ruled(text: Column, ref: Column, specs: Column) -> Column:
 
     def finish(x: Column) -> Column:
         year = lambda m: F.struct(F.coalesce(m["y"], F.year(ref)).alias("y"), m["m"].alias("m"), m["d"].alias("d"), m["h"].alias("h"), m["mi"].alias("mi")).cast(MOMENT)
-        after = F.when(x["start"]["y"].isNotNull(), x["start"]["y"] + F.when(x["end"]["m"] < x["start"]["m"], 1).otherwise(0))
+        after = F.when(x["start"].isNotNull(), F.coalesce(x["start"]["y"], F.year(ref)) + F.when(x["end"]["m"] < x["start"]["m"], 1).otherwise(0))
         end = F.when(x["end"].isNotNull(), year(F.struct(F.coalesce(x["end"]["y"], after).alias("y"), x["end"]["m"].alias("m"), x["end"]["d"].alias("d"), x["end"]["h"].alias("h"), x["end"]["mi"].alias("mi"))))
         start = F.when(x["start"].isNotNull(), year(x["start"]))
         hour = x["hour"] + F.when((x["half"] == "오후") & (x["hour"] < 12), 12).otherwise(0)

@@ -25,7 +25,7 @@ def page_links(spark, sf_dir):
 _HOST = r"[a-z0-9.-]+\.example\.(?:com|org|net)"
 
 
-@R.add("discover_links", """WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h,
+@R.add("discover_links", r"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h,
     regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages
 ), l AS (SELECT page_id, i, scheme || '://' || host || h[i + 1] AS url, trim(t[i + 1]) AS title, host FROM a, unnest(range(len(h))) AS u(i)
 ), best AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, i) = 1)
@@ -58,9 +58,9 @@ def _boards(spark, sf_dir):
 
 
 @R.add("parse_listing", """WITH b AS (SELECT o_custkey AS page_id, o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT page_id, 'Title ' || k AS title, date, k % 7 = 0 AS pinned, date >= '2003-06-01' AS wanted FROM b WHERE date >= '2000-01-01'""")
+SELECT page_id, 'Title ' || k AS title, date, k % 7 = 0 AS pinned, date >= '2000-09-01' AS wanted FROM b WHERE date >= '2000-01-01'""")
 def parse_listing(spark, sf_dir):
-    return P.listing(_boards(spark, sf_dir), "2003-06-01", r"https://h/bbs/x/1/\d+/artclView\.do").select("page_id", "title", "date", "pinned", "wanted")
+    return P.listing(_boards(spark, sf_dir), "2000-09-01", r"https://h/bbs/x/1/\d+/artclView\.do").select("page_id", "title", "date", "pinned", "wanted")
 
 
 @R.add("page_headings")

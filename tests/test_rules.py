@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import html
+import io
 import re
 import zipfile
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dates as D
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, evaluation, freshness, indexing, retrieval, schedules, versions
+from corpusloom.operators import chunking, evaluation, extraction, freshness, indexing, media, retrieval, schedules, versions
 from corpusloom.plans import corpus, source_queries
 from corpusloom.sources import files, pages
 from corpusloom.streaming import upserts
@@ -64,6 +66,7 @@ def test_check_time_moves_up_on_a_skip_of_the_same_revision(spark):
 @pytest.mark.parametrize(("text", "want"), [
     ("2026-01-02", "2026-01-02 00:00:00"), ("2026.01.02 03:04", "2026-01-02 03:04:00"), ("20260102", "2026-01-02 00:00:00"), ("2026-01-02T00:00:00+09:00", "2026-01-01 15:00:00"),
     ("2026-01-02T00:00:00.1234567Z", "2026-01-02 00:00:00.123456"), ("2026-01-02T00:00:00-0130", "2026-01-02 01:30:00"), ("2026-02-30", None), ("2026-01.02", None),
+    ("2026-01-02 00:00 +09:00", None), ("2026-01-02T00:00z", None), ("20260102T03:04", None), ("2026.01-02", None), ("2026-1-2", None), (" 2026-01-02 ", "2026-01-02 00:00:00"), ("2026-01-02T03:04.5", "2026-01-02 03:04:00.5"),
     ("2026-01-02T00:00+24:00", None), ("2026-01-02T00:00+09:60", None), ("2026-01-02T25:00", None), ("2026-01-02 x", None), ("", None), (None, None),
 ])
 def test_parse_iso_utc(spark, text, want):
@@ -74,27 +77,93 @@ def test_parse_iso_utc(spark, text, want):
 def test_scalars(spark):
     row = spark.range(1).select(
         T.collapse_space(F.lit(" a  b\n")), T.redact(F.lit("key=abc"), "abc"), T.percent(F.lit(1), F.lit(3)), T.percent(F.lit(1), F.lit(0)), T.content_status(F.lit("t"), F.lit(" t "), F.lit("text")),
-        T.scrub(F.lit("a\x00b")), D.normalize_date(F.lit("26.1.2"), F.lit("x")), D.first_long([F.lit("short"), F.lit("2026-01-02T00")]),
+        T.scrub(F.lit("a\x00b")), D.normalize_date(F.lit("2026.1.2"), F.lit("x")), D.first_long([F.lit("short"), F.lit("2026-01-02T00")]),
     ).first()
     assert tuple(row) == ("a b", "key=***", 33.33, None, "title_only", "ab", "2026-01-02", "2026-01-02")
 
 
-def test_chunks_cover_their_text(spark):
+def plain_merge(pieces, size, overlap):
+    out, window, total = [], [], 0
+    for piece in pieces:
+        if total + len(piece) > size and window:
+            out.append("".join(window).strip())
+            while window and (total > overlap or total + len(piece) > size):
+                total -= len(window.pop(0))
+        window.append(piece)
+        total += len(piece)
+    return [x for x in [*out, "".join(window).strip()] if x]
+
+
+def plain_split(text, size, overlap, separators=chunking.SEPARATORS):
+    """Piece by piece: the first separator that occurs, kept at the start of the part that follows it."""
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    separator, rest = separators[at], separators[at + 1 :]
+    raw = text.split(separator) if separator else []
+    parts = [raw[0], *(separator + p for p in raw[1:])] if separator else list(text)
+    out, short = [], []
+    for part in (p for p in parts if p):
+        if len(part) < size:
+            short.append(part)
+            continue
+        out += plain_merge(short, size, overlap) if short else []
+        short = []
+        out += plain_split(part, size, overlap, rest) if rest else [part.strip()]
+    return [x for x in out + (plain_merge(short, size, overlap) if short else []) if x]
+
+
+def test_splitter_equals_a_plain_one(spark):
+    random = np.random.default_rng(4)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    marks = ["\n\n", "\n", ". ", " ", "a", "bb ", "  ", "\n\n\n", "c" * 90]
+    texts += ["".join(marks[i] for i in random.integers(0, len(marks), 60)) for _ in range(300)] + ["", " ", "\n\n", "y" * 1300, "x" * 50]
+    for size, overlap in ((500, 80), (60, 10), (20, 0), (7, 3)):
+        for t in texts if size > 100 else texts[-305:]:
+            assert chunking.split_text(t, size, overlap) == (plain_split(t, size, overlap) if t else [])
+
+
+def test_chunks_have_headers_and_lose_no_document(spark):
     body = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(120)) for i in range(5)) + "\n" + "y" * 1300
-    parts = chunking.split_text(body)
-    assert all(len(p) <= 500 for p in parts)
-    assert all(any(w in p for p in parts) for w in body.split()[:-1])
-    assert sum(p.count("y") for p in parts) >= 1300
-    rows = [("a", "u", "T", "short", "text"), ("b", "u", "T", body, "text"), ("c", "u", "T", body, "title_only")]
-    out = chunking.chunk_documents(spark.createDataFrame(rows, "id string, url string, title string, content string, status string")).collect()
-    assert sum(r["parent_id"] == "a" for r in out) == 1 and sum(r["parent_id"] == "c" for r in out) == 1
-    assert all(r["page_content"].startswith("T\n") for r in out)
-    assert {r["chunk_index"] for r in out if r["parent_id"] == "b"} == set(range(next(r["total_chunks"] for r in out if r["parent_id"] == "b")))
+    rows = [("a", "u", "T", "short", "text"), ("b", "u", "T", body, "text"), ("c", "u", "T", body, "title_only"), ("d", None, "T", body, None), ("e", None, None, None, None), ("f", "u", "T", "T", "text")]
+    df = spark.createDataFrame(rows, "id string, url string, title string, content string, status string").withColumns({"category": F.lit("C"), "date": F.lit("2026-01-01"), "source": F.lit(None).cast("string")})
+    out = chunking.chunk_documents(df).collect()
+    of = lambda i: sorted((r for r in out if r["parent_id"] == i), key=lambda r: r["chunk_index"])
+    assert [len(of(i)) for i in "acef"] == [1, 1, 1, 1] and of("a")[0]["page_content"] == "T\nshort" and of("e")[0]["page_content"] == "\n"
+    for i in "bd":
+        assert [r["page_content"] for r in of(i)] == [f"[C] T (등록일: 2026-01-01, 출처: )\n\n{c}" for c in plain_split(body, 500, 80)]
+        assert {r["total_chunks"] for r in of(i)} == {len(of(i))}
+    assert chunking.chunk_documents(df.limit(0)).count() == 0
 
 
 def test_table_spans():
-    r = pages.read("<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c</td><td>d</td></tr></table>")
-    assert pages.grid(r.tables[0]) == ["a | b | b", "a | c | d"]
+    table = lambda html: pages.grid(pages.cells_of(pages.read(html).all("table")[0]))
+    assert table("<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c</td><td>d</td></tr></table>") == ["a | b | b", "a | c | d"]
+    assert table("<table><tr><td>a<td></td><td rowspan=3>c</td></tr><tr><td>d</td></tr></table>") == ["a |  | c", "d |  | c", " |  | c"]
+    assert table("<table><tr><td rowspan=x colspan=0>a</td></tr></table>") == ["a"] and table("<table></table>") == []
+
+
+def test_inventory_keeps_the_deepest_path(spark):
+    menu = "<nav><ul><li><a href='/hub/1/v.do'>Study</a><ul><li><a href='/hub/2/v.do'>학사일정</a></li></ul></li><li><a href='/hub/2/v.do'>Dates</a></li><li><a href='http://x.org/'>Out</a></li></ul></nav><a href='/hub/9/v.do'>No menu</a>"
+    df = spark.createDataFrame([(1, "https://h.example.com/", menu), (2, "https://h.example.com/a", menu)], "page_id long, url string, html string")
+    got = {r["url"]: (r["title"], r["menu_path"], r["interval_days"], r["status"]) for r in pages.discover(df, lambda u: T.canonical_url(u, r"h\.example\.com")).collect()}
+    assert got == {
+        "https://h.example.com/hub/1/v.do": ("Study", ["Study"], 14, "pending"), "https://h.example.com/hub/2/v.do": ("학사일정", ["Study", "학사일정"], 1, "pending"),
+        "http://x.org/": ("Out", ["Out"], 14, "external_or_dynamic_review"),
+    }
+
+
+def test_guidance_page(spark):
+    html_ = """<h1>Rules</h1><div id=menuUItab><a href='/p/1'>One</a><a href='/p/2'>Two</a></div><div id=_contentBuilder><nav>menu</nav><p>Text <b>bold</b></p><script>x</script><p class='hidden'>no</p>
+      <table><tr><td rowspan=2>g</td><td>a</td></tr><tr><td>b</td></tr></table><a href='/f/download.do?1'>File</a><a href='http://o/'>Other</a><a href='/bbs/n/7/99/artclView.do'>Row</a><img src=i.png alt=pic></div>
+      <div class='wrap-contact'>Office 최종 수정일 : 2026.03.04</div>"""
+    r = pages.extract_page(spark.createDataFrame([(1, "https://h/p/2", html_), (2, "https://h/", None)], "page_id long, url string, html string")).collect()
+    a, b = sorted(r, key=lambda x: x["page_id"])
+    assert a["title"] == "Two" and a["content"] == "Text bold\ng | a\ng | b\nFileOtherRow" and a["updated"] == "2026-03-04" and a["coverage"] == "html_text_with_unextracted_media"
+    assert [x["url"] for x in a["attachments"]] == ["https://h/f/download.do?1"] and a["boards"] == ["https://h/bbs/n/7/artclList.do"] and [tuple(x) for x in a["images"]] == [("https://h/p/i.png", "pic")]
+    assert [x["url"] for x in a["related"]] == ["https://h/f/download.do?1", "http://o/", "https://h/bbs/n/7/99/artclView.do"] and len(a["tabs"]) == 2
+    assert (b["content"], b["content_status"], b["coverage"]) == ("", "empty", "content_missing")
+    view = "<div class='view viewCont'><div class=txt>Body\n</div><img src='/a.png'><img src='data:x'></div><a href='/x/download.do'>F  1</a><a href='/y/download.do'>바로보기</a>"
+    x = pages.extract_links(spark.createDataFrame([(1, "https://h/q", view)], "page_id long, url string, html string")).first()
+    assert (x["body"], x["images"], [tuple(f) for f in x["attachments"]]) == ("Body", ["https://h/a.png"], [("https://h/x/download.do", "F 1")])
 
 
 def test_pages(spark):
@@ -127,8 +196,20 @@ def test_files(spark, tmp_path):
         z.writestr("b.jsonl", "1\n2\n")
         z.writestr("a.jsonl", "x\n")
     assert [(r["member"], r["place"], r["line"]) for r in files.read_zip_lines(spark, str(tmp_path / "z.zip")).collect()] == [("a.jsonl", 0, "x"), ("b.jsonl", 0, "1"), ("b.jsonl", 1, "2")]
-    kinds = files.file_format(spark.createDataFrame([(bytearray(b"%PDF-1.4"),), (bytearray(b"PK\x03\x04rest"),), (bytearray(b"text"),)], "content binary"))
-    assert [r["format"] for r in kinds.collect()] == ["pdf", "zip", "unsupported"]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("Contents/content.hpf", "")
+        z.writestr("Contents/section1.xml", "<s><p><t>c</t></p></s>")
+        z.writestr("Contents/section0.xml", "<s xmlns:h='u'><h:p><h:t>a</h:t><h:t>b</h:t></h:p><h:p/></s>")
+    heads = [("a", b"%PDF-1.4"), ("b", b"PK\x03\x04rest"), ("c", b"text"), ("d.do", buffer.getvalue()), ("e.hwpx", b"PK\x03\x04rest"), ("f", bytes.fromhex("d0cf11e0a1b11ae1")), ("g", b"RIFFxxxxWEBP"), ("h", b""), ("i", None)]
+    df = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in heads], "path string, content binary")
+    assert {r["path"]: r["format"] for r in files.file_format(df).collect()} == {
+        "a": "pdf", "b": "unsupported", "c": "unsupported", "d.do": "hwpx", "e.hwpx": "hwpx", "f": "hwp", "g": "image", "h": "unsupported", "i": "unsupported"}
+    texts = {r["path"]: (r["text"], r["status"], r["sections"]) for r in files.hwpx_text(df).collect()}
+    assert texts["d.do"] == ("ab\n\nc", "success", 2) and texts["b"][1] == "failed" and texts["i"][1] == "failed" and len(texts) == 9
+    assert files.fingerprint(spark, [str(tmp_path / "a.json")]).first()["rows"] == 2
+    files.write_documents(spark.createDataFrame([("a\x00b", 1)], "t string, n int"), str(tmp_path / "lines"))
+    assert [tuple(r) for r in files.read_lines(spark, str(tmp_path / "lines"), "t string, n int").collect()] == [("ab", 1)]
 
 
 def test_stream_in_many_batches_equals_batch(spark, tmp_path):
@@ -145,6 +226,51 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     assert log.filter("decision = 'skipped'").count() > 0
 
 
+def test_streams_go_on_after_a_failure_and_a_restart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upserts, "MERGE_EVERY", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    parts, rows = corpus.version_rows(docs), str(tmp_path / "versions")
+    for seq in (1, 2):
+        parts.filter(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(rows)
+    broken = {"left": 1}
+
+    def fails_in_the_second_batch(batch):
+        if batch.filter("seq = 2").limit(1).count() and broken["left"]:
+            broken["left"] -= 1
+            raise RuntimeError("lost")
+        return batch
+
+    at = str(tmp_path / "checkpoint")
+    open_ = lambda: upserts.open_stream(spark, rows)
+    with pytest.raises(Exception, match="lost"):
+        upserts.upsert(open_(), fails_in_the_second_batch, at)
+    upserts.upsert(open_(), fails_in_the_second_batch, at)
+    parts.filter("seq = 3").coalesce(1).write.mode("append").parquet(rows)
+    upserts.upsert(open_(), fails_in_the_second_batch, at)
+    state, log = upserts.upsert(open_(), fails_in_the_second_batch, at)  # nothing new
+    want = versions.resolve(parts)
+    names = ["key", "current.hash", "current.source", "current.checked_at"]
+    assert sorted(map(str, state.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
+    assert log.count() == versions.log_rows(want).count()
+    (tmp_path / "none").mkdir()
+    parts.limit(0).write.mode("overwrite").parquet(str(tmp_path / "none"))
+    empty, none = upserts.upsert(upserts.open_stream(spark, str(tmp_path / "none")), lambda b: b, str(tmp_path / "c2"))
+    assert empty.count() == 0 and none.count() == 0
+
+    seen = []
+
+    def work(batch):
+        first = batch.agg(F.min("seq")).first()[0]
+        if first == 2 and 2 not in seen:
+            seen.append(2)
+            raise RuntimeError("lost")
+        return batch.select("doc_id", "seq")
+
+    with pytest.raises(Exception, match="lost"):
+        upserts.backfill(open_(), work, str(tmp_path / "c3"))
+    assert sorted(map(tuple, upserts.backfill(open_(), work, str(tmp_path / "c3")).collect())) == sorted(map(tuple, parts.select("doc_id", "seq").collect()))
+
+
 def test_upsert_is_idempotent_and_keeps_untouched_parents(spark):
     c = "chunk_id string, parent_id string, url string, chunk_index int, page_content string"
     old = spark.createDataFrame([("a_c0", "a", "u1", 0, "x"), ("a_c1", "a", "u1", 1, "y"), ("b_c0", "b", "u2", 0, "z")], c)
@@ -218,11 +344,64 @@ def test_knn_in_blocks_without_the_driver(spark, monkeypatch):
 
 
 def test_select_context_caps_a_url_and_drops_what_is_far_behind(spark):
-    rows = [(1, f"c{i}", u, s, i) for i, (u, s) in enumerate([("a", .9), ("a", .88), ("b", .85), ("a", .84), ("a", .83), ("c", .7)], 1)]
-    df = spark.createDataFrame(rows, "query_id long, chunk_id string, url string, final_score double, final_rank int")
+    rows = [(1, f"c{i}", u, s, i, False) for i, (u, s) in enumerate([("a", .9), ("a", .88), ("b", .85), ("a", .84), ("a", .83), ("c", .7)], 1)]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id string, url string, final_score double, place int, guided boolean")
+    for spared in (df.withColumn("guided", F.lit(True)), None):
+        kept = retrieval.select_context(df if spared is None else spared, 9, least=-1 if spared is None else 0.25)
+        assert "c6" in {r["chunk_id"] for r in kept.collect()}
     assert [r["chunk_id"] for r in retrieval.select_context(df, 5).orderBy("context_rank").collect()] == ["c1", "c2", "c3", "c4"]
 
 
+def test_page_headings_equal_the_standard_parser(spark):
+    class Head(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.text = False, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "h1"
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "h1"
+
+        def handle_data(self, data):
+            self.text += data if self.inside else ""
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").join(source_queries.page_headings(spark, "/root/testdata/sf0.01"), "page_id").collect():
+        h = Head()
+        h.feed(r["html"])
+        assert r["heading"] == " ".join(h.text.split())
+
+
+SCHEDULES = [  # shapes of sentences and what they hold: rule, start, end, unconfirmed
+    ("3월 2일 14:00 예정된 강연은 취소되었습니다.", [("cancelled", "2026-03-02T14:00:00+09:00", None, [])]), ("과제는 3월 2일 자정까지입니다.", [("midnight", None, None, ["time", "exact_boundary"])]),
+    ("조사는 12월 30일부터 1월 2일까지입니다.", [("range", "2026-12-30", "2027-01-02", ["time"])]), ("조사는 2027년 1월 2일 09:00부터 1월 3일 18:00까지", [("range_with_times", "2027-01-02T09:00:00+09:00", "2027-01-03T18:00:00+09:00", [])]),
+    ("조사는 3월 9일 09:00부터 3월 2일 18:00까지", [("range_with_times", None, None, ["period_order"])]), ("내일 오전 9시에 모임", [("tomorrow", "2026-03-05T09:00:00+09:00", None, ["end_time"])]),
+    ("2026학년도 장학 안내문입니다 3.1\n신청 기간: 3.2(월) 10:00 ~ 3.9 24:00", [("dated_range", "2026-03-02T10:00:00+09:00", "2026-03-09", ["time", "exact_boundary"])]),
+    ("면접 일시: 2026.3.7(토) 14:00", [("dated", "2026-03-07T14:00:00+09:00", None, ["end_time"])]), ("행사 3.7", [("dated", "2026-03-07", "2026-03-07", ["time"])]), ("값은 3.7 배", []), (None, []), ("", []),
+]
+
+
+def test_schedules(spark):
+    df = spark.createDataFrame([(i, t, dt.date(2026, 3, 4)) for i, (t, _) in enumerate(SCHEDULES)], "doc_id long, content string, ref date")
+    got: dict = {}
+    for r in extraction.extract_schedules(df).orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append((r["rule"], r["start_at"] or r["start_date"], r["end_at"] or r["end_date"], r["unconfirmed"]))
+    assert got == {i: want for i, (_, want) in enumerate(SCHEDULES) if want}
+    conflict = extraction.extract_schedules(df.filter("doc_id = 6")).first()
+    assert "headline names other days" in conflict["reason"] and not conflict["confirmed"] and extraction.extract_schedules(df.limit(0)).count() == 0
+
+
+def test_media_are_kept_only_for_the_same_revision(spark):
+    asset = "array<struct<url:string,name:string,text:string,status:string>>"
+    schema = f"url string, title string, html_content string, content string, content_status string, images {asset}, attachments {asset}, media_status string, attempted_at string"
+    image = [("https://m/i#1", "i", "seen", "success")]
+    new = [("a", "T", None, "body", "text", image, None, "partial", "2"), ("b", "T", None, "body", "text", image, None, "partial", "2"), ("c", "T", "", "body", "text", None, None, "failed_or_unsupported", "2"), ("d", "T", None, "body", "text", image, [], "complete", "2")]
+    old = [("a", "T", "body", "body seen", "mixed", [("https://m/i", "j", "seen", "success")], [], "complete", "1"), ("b", "T", "other", "other seen", "mixed", image, [], "complete", "1"), ("c", "T", None, "body", "mixed", None, None, "complete", "1")]
+    got = {r["url"]: (r["content"], r["media_status"], r["media_refresh_status"]) for r in media.retain_previous(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()}
+    assert got == {"a": ("body seen", "complete", "partial"), "b": ("body", "partial", None), "c": ("body", "failed_or_unsupported", None), "d": ("body", "complete", None)}
+
+
 def test_overlap_pairs_equal_a_plain_join(spark):
     d = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
     rows = [(i, i % 2, d(i * 3 % 40), d(i * 3 % 40 + i % 17)) for i in range(60)]
