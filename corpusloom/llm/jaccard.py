@@ -21,7 +21,7 @@ WORDS = 5
 NEED, OF = 3, 7
 COUNTERS = 1 << 22  # of the frequency sketch that orders shingles; its size does not grow with the corpus
 SLICES = 64
-BITMAP = 2048  # parity bits of a set, whose differences bound two sets' difference
+LEAST_BITS, MOST_BITS = 1 << 11, 1 << 17  # parity bits of a set, two or more a shingle, whose differences bound two sets' difference
 BROADCAST_IDS = 500_000  # row numbers and ids are broadcast up to so many (4 MB), else joined by shuffle
 POSTINGS_PER_BUCKET = 500_000  # of the index lists that one group holds; the number of buckets follows from the sets' sizes
 LEAST_BUCKETS = 64
@@ -73,10 +73,22 @@ def _digest(items: np.ndarray) -> int:
 
 
 def _bitmap(items: np.ndarray) -> bytes:
-    odd = np.bincount((items >> np.uint64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(items) - 1).bit_length()))
+    odd = np.bincount((items >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _bits_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Differing parity bits of pairs of sets; the longer bitmap of a pair is folded onto the shorter, which parities allow."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for size in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == size).all(axis=1))
+        x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1, min(size) // 8) for side in (a, b))
+        out[at] = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1)
+    return out
+
+
 def _packed(items: np.ndarray) -> bytes:
     """The upper 48 bits of a set's hashes, in order: for comparing two sets they tell shingles apart as well as 64 do."""
     return (items >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -248,8 +260,8 @@ def _bucket_pairs(group: pd.DataFrame, classes: np.ndarray, buckets: int, list_p
         ok &= _may_link(size[mine], size[its], place[mine], place[its])
         a, b = owner[mine[ok]], owner[its[ok]]
         pairs.append(np.minimum(a, b) * len(unique) + np.maximum(a, b))
-    code, votes = np.unique(np.concatenate(pairs), return_counts=True)
-    found = pd.DataFrame({"kind": PAIR, "a": unique[code // len(unique)], "b": unique[code % len(unique)], "list": 0, "size": votes, "place": 0})
+    code = np.unique(np.concatenate(pairs))
+    found = pd.DataFrame({"kind": PAIR, "a": unique[code // len(unique)], "b": unique[code % len(unique)], "list": 0, "size": 0, "place": 0})
     # Of two sets in bands that can link one has met the other as a pivot; three or more are listed.
     held = np.bincount(block)
     beside = (token[pivot[1:]] == token[pivot[:-1]]) & (band[pivot[1:]] - band[pivot[:-1]] == 1)
@@ -269,8 +281,7 @@ def _pair_verdicts(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("bitmap_a", "bitmap_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            apart = _bits_apart(batch["bitmap_a"].tolist(), batch["bitmap_b"].tolist())
             yield batch.loc[OF * apart <= batch["size_a"].to_numpy(np.int64) + batch["size_b"].to_numpy(np.int64), ["a", "b", "row_a", "row_b"]]
 
     def side(name: str) -> DataFrame:
@@ -340,11 +351,10 @@ def _pairs_of_lists(open_: DataFrame, list_block: int) -> DataFrame:
 def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int = LIST_PART, list_block: int = LIST_BLOCK) -> DataFrame:
     """Links (a, b) between nodes (different sets) whose components are those of all links.
 
-    Every set has candidates, the pivots of its index lists. First it is compared with the one
-    that it shares most lists with. Sets that link share their answers: a pair of one component
-    is not compared. Then the other candidates that lie in another component are compared, and
-    of each list the pairs of different components, unless sizes or positions rule them out. So
-    every pair of sets that links is found or lies in a component.
+    First every set is compared with the pivots of its index lists. Sets that link with a
+    pivot share its answers: a pair of one component is not compared. Then, of each list,
+    the pairs that lie in different components and were not compared yet are, unless sizes or
+    positions rule them out. So every pair of sets that links is found or lies in a component.
     """
     spark = sets.sparkSession
     postings = nodes.agg(F.sum(F.floor(F.col("size") / 4) + 1)).first()[0] or 0
@@ -358,11 +368,8 @@ def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int
     with rows_at_once(spark, 20 * ROWS_AT_ONCE):
         found = stored(lists.groupBy("bucket").applyInPandas(pairs_of, "kind int, a long, b long, list long, size long, place long"))
     release(spark)
-    pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "size").unionByName(_pairs_of_pivots(found.filter(F.col("kind") == PIVOT)).withColumn("size", F.lit(1).cast("long")))
-    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("size").alias("votes")))
-    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
-    best = ways.groupBy("a").agg(F.max(F.struct("votes", "b"))["b"].alias("b"))
-    tested = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = found.filter(F.col("kind") == PAIR).select("a", "b").unionByName(_pairs_of_pivots(found.filter(F.col("kind") == PIVOT)))
+    tested = stored(pairs.distinct())
     first = _pair_verdicts(tested, nodes, sets)
     release(spark)
 
@@ -370,14 +377,12 @@ def links(sets: DataFrame, nodes: DataFrame, classes: np.ndarray, list_part: int
     named = found.filter(F.col("kind") == LISTED).select("list", F.col("a").alias("node"), "size", "place").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named)
     drop_stored(found)
-    split = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("list", "n")
-    open_ = stored(named.join(split, "list"))
+    split = stored(named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("list", "n"))
+    hint = F.broadcast if split.count() <= BROADCAST_IDS else (lambda df: df)
+    open_ = stored(named.join(hint(split), "list"))
     drop_stored(named)
-    of = lambda name: part.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
-    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
-    others = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
-    rest = stored(_pairs_of_lists(open_, list_block).unionByName(others).distinct().join(tested, ["a", "b"], "left_anti"))
-    for done in (open_, pairs, tested):
+    rest = stored(_pairs_of_lists(open_, list_block).distinct().join(tested, ["a", "b"], "left_anti"))
+    for done in (open_, tested):
         drop_stored(done)
     release(spark)
     if rest.isEmpty():

@@ -458,6 +458,16 @@ def test_jaccard_join_of_cut_lists_and_small_blocks(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_bitmaps_bound_the_difference_of_sets_of_any_size():
+    random = np.random.default_rng(8)
+    for n, changed in ((10, 0), (1000, 100), (1500, 700), (5000, 100), (90_000, 9000)):
+        a = np.unique(random.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[changed:], random.integers(0, 1 << 63, changed // 2).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        got = jaccard._bits_apart([jaccard._bitmap(a)] * 2, [jaccard._bitmap(b), jaccard._bitmap(a)])
+        assert got[1] == 0 and apart * 0.4 <= got[0] <= apart
+
+
 def test_keep_first_judges_each_text_of_a_shared_or_missing_id(spark):
     a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
     rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, c + " end"), (None, c), (None, "d e f g h i"), (None, "d e f g h i"), (None, None), (4, ""), (4, ""), (5, "D e f g h i")]
