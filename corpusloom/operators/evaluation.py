@@ -17,22 +17,44 @@ def retrieval_marks(run: DataFrame) -> DataFrame:
     return found.withColumns({"all_found": none_missing, "some_found": F.col("hit5"), "score": score})
 
 
+def positions(run: DataFrame) -> DataFrame:
+    """case, url, place of every expected URL in what came back (from 1, 0 where it did not)."""
+    return run.select("case", "got", F.explode("expected").alias("url")).select("case", "url", F.array_position("got", F.col("url")).alias("place"))
+
+
 def breakdown(marks: DataFrame, *by: str) -> DataFrame:
-    """Top-1, 3 and 5 hit rates in percent over every subset of groups that a rollup of `by` gives."""
-    rate = lambda c: percent(F.count_if(F.col(c)), F.count(F.lit(1)))
-    return marks.filter(~F.col("should_abstain")).rollup(*by).agg(F.count(F.lit(1)).alias("n"), rate("hit1").alias("top1"), rate("hit3").alias("top3"), rate("hit5").alias("top5"), rate("all_found").alias("full"))
+    """Top-1, 3 and 5 hit rates in percent, of all expected found and of some, over every subset of groups that a rollup of `by` gives."""
+    rate = lambda c: percent(F.count_if(c), F.count(F.lit(1)))
+    some = F.col("some_found") & ~F.col("all_found")
+    return marks.filter(~F.col("should_abstain")).rollup(*by).agg(
+        F.count(F.lit(1)).alias("n"), *[rate(F.col(f"hit{k}")).alias(f"top{k}") for k in (1, 3, 5)], rate(F.col("all_found")).alias("full"), rate(some).alias("partial"),
+    )
 
 
 def run_metrics(runs: DataFrame, by: str) -> DataFrame:
-    """Verdict rates of what ran; rows that did not run count only as such."""
+    """Verdict rates of what ran, hits of answerable cases and abstentions of the others; rows that did not run count only as such.
+
+    runs: verdict, should_abstain, hit1, hit3, abstained.
+    """
     ran = F.col("verdict") != "NOT_RUN"
-    rate = lambda v: percent(F.count_if(F.col("verdict") == v), F.count_if(ran))
-    return runs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~ran).alias("not_run"), rate("PASS").alias("pass_rate"), rate("FAIL").alias("fail_rate"), rate("REVIEW").alias("review_rate"), rate("ERROR").alias("error_rate"))
+    rate = lambda part, whole: percent(F.count_if(ran & part), F.count_if(ran & whole))
+    told, quiet = ~F.col("should_abstain"), F.col("should_abstain")
+    verdicts = [rate(F.col("verdict") == v, F.lit(True)).alias(f"{v.lower()}_rate") for v in ("PASS", "FAIL", "REVIEW", "ERROR")]
+    return runs.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~ran).alias("not_run"), *verdicts, rate(told & F.col("hit1"), told).alias("hit_at_1"), rate(told & F.col("hit3"), told).alias("hit_at_3"),
+        rate(quiet & F.col("abstained"), quiet).alias("abstain_rate"),
+    )
 
 
 def latency(runs: DataFrame, by: str, seconds: str = "seconds") -> DataFrame:
-    """Exact median, 95th percentile and mean."""
-    return runs.groupBy(by).agg(F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.avg(seconds).alias("mean"))
+    """Exact median, 95th percentile and mean of all that ran, of what succeeded, and the mean of what failed.
+
+    Seconds of one group are counted by value, of which there are few.
+    """
+    ran = F.when(F.col("verdict") != "NOT_RUN", F.col(seconds))
+    good = F.when(F.col("verdict").isin("PASS", "FAIL", "REVIEW"), F.col(seconds))
+    both = lambda c, name: [F.percentile(c, F.lit(0.5)).alias(f"{name}p50"), F.percentile(c, F.lit(0.95)).alias(f"{name}p95"), F.avg(c).alias(f"{name}mean")]
+    return runs.groupBy(by).agg(*both(ran, ""), *both(good, "ok_"), F.avg(F.when(F.col("verdict") == "ERROR", F.col(seconds))).alias("error_mean"))
 
 
 def _says(text: Column, *words: str) -> Column:
@@ -136,14 +158,50 @@ def quota_report(items: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def review_summary(rows: DataFrame, by: str) -> DataFrame:
-    """Accuracy of judged rows, null while any applicable row is unjudged."""
+    """Accuracy of judged rows, null while any applicable row is unjudged; counts of reasons of failures; coverage of references.
+
+    rows: applicable, judged (boolean, null if not yet), reasons (array), covered (boolean).
+    """
     applicable = F.col("applicable")
     judged = F.count_if(applicable & F.col("judged").isNotNull())
-    return rows.groupBy(by).agg(F.count_if(applicable).alias("applicable"), judged.alias("judged"), F.when(judged == F.count_if(applicable), percent(F.count_if(applicable & F.col("judged")), judged)).alias("accuracy"))
+    accuracy = F.when(judged == F.count_if(applicable), percent(F.count_if(applicable & F.col("judged")), judged))
+    whole = rows.groupBy(by).agg(F.count_if(applicable).alias("applicable"), judged.alias("judged"), accuracy.alias("accuracy"), percent(F.count_if(applicable & F.col("covered")), F.count_if(applicable)).alias("coverage"))
+    reasons = rows.filter(~F.coalesce("judged", F.lit(True))).select(by, F.explode("reasons").alias("reason")).groupBy(by, "reason").agg(F.count(F.lit(1)).alias("n"))
+    listed = reasons.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct("reason", "n"))).alias("failures"))  # reasons are few
+    return whole.join(listed, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
+REASONS = ("wrong", "incomplete", "outdated", "unsupported", "link")
+
+
+def review_violations(judgments: DataFrame, cases: DataFrame) -> DataFrame:
+    """case and violations of judgments that may not be counted: unknown cases, reasons that lack or are unknown, links judged without references, answers that did not run.
+
+    judgments: case, answer, link (booleans or null), reasons, note; cases: case, has_references, status.
+    """
+    j = judgments.join(cases, "case", "left")
+    failed = ~F.coalesce("answer", F.lit(True)) | ~F.coalesce("link", F.lit(True))
+    unknown = F.size(F.array_except(F.coalesce("reasons", F.array().cast("array<string>")), F.array(*[F.lit(r) for r in REASONS]))) > 0
+    checks = F.array_compact(F.array(
+        F.when(F.col("status").isNull(), "unknown_case"), F.when(failed & ((F.coalesce(F.size("reasons"), F.lit(0)) <= 0) | (F.trim(F.coalesce("note", F.lit(""))) == "")), "reason_lacks"), F.when(unknown, "unknown_reason"),
+        F.when(F.col("link").isNotNull() & ~F.coalesce("has_references", F.lit(False)), "link_without_references"), F.when(F.coalesce(F.col("status").isin("NOT_RUN", "ERROR"), F.lit(False)), "did_not_answer"),
+    ))
+    return j.select("case", checks.alias("violations")).filter(F.size("violations") > 0)
+
+
+def unlike_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Why two runs may not be compared, no row if they may: fields of their contexts (one row each) that differ, and cases that one of them lacks.
+
+    before, after: case and the context fields dataset, split, snapshot, config on every row.
+    """
+    fields = ("dataset", "split", "snapshot", "config")
+    j = before.alias("b").join(after.alias("a"), "case", "full_outer")
+    reasons = [F.when(F.col("b.dataset").isNull() | F.col("a.dataset").isNull(), "cases")] + [F.when(F.col(f"b.{f}") != F.col(f"a.{f}"), f) for f in fields]
+    return j.select(F.explode(F.array_compact(F.array(*reasons))).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def compare_runs(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
-    """Change of the score in percent points for cases that both runs have."""
+    """Change of the score in percent points for cases that both runs have; unlike_runs() says whether the two may be compared."""
     j = before.select("case", by, F.col("score").alias("was")).join(after.select("case", F.col("score").alias("now")), "case")
     return j.groupBy(by).agg(F.count(F.lit(1)).alias("cases"), F.round(100 * (F.avg("now") - F.avg("was")), 2).alias("delta_pp"))
 

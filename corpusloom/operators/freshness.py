@@ -26,11 +26,12 @@ def bare_title_causes(docs: DataFrame) -> DataFrame:
     return bare.join(F.broadcast(total)).select("cause", "n", (F.col("bare") * 100 > F.col("total") * 30).alias("noteworthy"))
 
 
-def due_for_recheck(docs: DataFrame, policy: DataFrame, now: Column, default_days: int = 14) -> DataFrame:
-    """docs with `recheck`: requires_manual_review, due or not_due. policy: url, days, manual (one row a url)."""
+def due_for_recheck(docs: DataFrame, policy: DataFrame, now: Column, default_days: int = 14, forced: Column | None = None) -> DataFrame:
+    """docs with `recheck`: requires_manual_review, due or not_due. policy: url, days, manual (one row a url); forced rows are due whatever their age."""
     joined = docs.join(policy, "url", "left")
+    forced = F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
     age = (F.unix_micros(now) - F.unix_micros("checked_at")) >= F.coalesce("days", F.lit(default_days)).cast("long") * 86_400_000_000
-    state = F.when(F.coalesce("manual", F.lit(False)), "requires_manual_review").when(F.col("checked_at").isNull() | age, "due").otherwise("not_due")
+    state = F.when(F.coalesce("manual", F.lit(False)), "requires_manual_review").when(forced | F.col("checked_at").isNull() | age, "due").otherwise("not_due")
     return joined.withColumn("recheck", state)
 
 
@@ -56,6 +57,11 @@ def newest_first(docs: DataFrame, wanted: Column, limit: int, groups: str) -> Da
     return ranked.withColumn("selected", F.col("rank") <= limit)
 
 
+def deferred(selected: DataFrame, groups: str) -> DataFrame:
+    """Per group of newest_first()'s rows how many were selected and how many wait."""
+    return selected.groupBy(groups).agg(F.count_if("selected").alias("taken"), F.count_if(~F.col("selected")).alias("deferred"))
+
+
 def greedy_budget(candidates: DataFrame, by: str, max_docs: int, max_assets: int) -> DataFrame:
     """Per group, in the order of priority, whether a row still fits both budgets; a row that does not consumes nothing.
 
@@ -86,6 +92,17 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumns({"_last": last, "place": F.min(order).over(w)}).filter("_last = 1").drop("_last")
 
 
+def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key; equal places go in any order."""
+    w = Window.partitionBy(key).orderBy(order)
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def missing_bodies(docs: DataFrame) -> DataFrame:
+    """Documents to collect again: without a body, with the title for one, or marked as a bare title."""
+    return docs.filter((F.coalesce("content", F.lit("")) == "") | (F.col("content") == F.col("title")) | (F.col("status") == "title_only"))
+
+
 def exhausted(pages: DataFrame, board: str, number: str, urls: str) -> DataFrame:
     """Whether a listing page shows the same set of URLs as the page before it."""
     w = Window.partitionBy(board).orderBy(number)

@@ -31,7 +31,9 @@ def stale_chunks(existing: DataFrame, incoming: DataFrame, match_url: bool = Tru
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame, match_url: bool = True) -> DataFrame:
-    """The index after an ingest: untouched parents stay, stale chunks go, chunks emitted again are replaced."""
+    """The index after an ingest: untouched parents stay, stale chunks go, chunks emitted again are replaced. Nothing to ingest is refused."""
+    if incoming.isEmpty():
+        raise ValueError("no chunks to ingest")
     kept = existing.join(stale_chunks(existing, incoming, match_url), "chunk_id", "left_anti").join(incoming.select("chunk_id"), "chunk_id", "left_anti")
     return kept.unionByName(incoming)
 
@@ -46,7 +48,7 @@ def parent_hash(chunks: DataFrame) -> DataFrame:
 
 
 def manifest_check(docs: DataFrame, expected: DataFrame) -> DataFrame:
-    """Row count and an order-free digest against a manifest (name, n, digest), one row a name."""
+    """Whether a manifest (name, n, digest) names a collection, and its row count and order-free digest are those of docs; one row a name."""
     digest = F.sum(F.conv(F.substring(F.sha2("content", 256), 1, 10), 16, 10).cast("decimal(38,0)"))
     have = docs.groupBy("name").agg(F.count(F.lit(1)).alias("have_n"), digest.alias("have_digest"))
-    return expected.join(have, "name", "left").select("name", (F.col("n") == F.coalesce("have_n", F.lit(0))).alias("same_count"), F.coalesce(F.col("digest") == F.col("have_digest"), F.lit(False)).alias("same_content"))
+    return expected.join(have, "name", "left").select("name", (F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"), (F.col("n") == F.coalesce("have_n", F.lit(0))).alias("same_count"), F.coalesce(F.col("digest") == F.col("have_digest"), F.lit(False)).alias("same_content"))

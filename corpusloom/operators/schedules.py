@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.dates import on_local_date, utc_of
+
 # The kinds of a schedule and what each needs.
 NEEDS = {"event": ("start",), "period": ("start", "end"), "deadline": ("end",), "all_day": ("start",), "undated": ()}
 
@@ -28,35 +30,70 @@ def overlap_pairs(a: DataFrame, b: DataFrame, by: str, bucket_days: int = 7) ->
     return j.filter((F.col("a_s") <= F.col("b_e")) & (F.col("b_s") <= F.col("a_e")) & (F.col("bucket") == F.floor(F.unix_date(begins) / bucket_days))).select("a_id", "b_id")
 
 
-def page(schedules: DataFrame, by: str, limit: int, offset: int) -> DataFrame:
-    """A page of each user's schedules by start, else end, and id, with the user's total."""
+def page(schedules: DataFrame, by: str, limit: int, offset: int, wanted: Column | None = None) -> DataFrame:
+    """A page of each user's wanted schedules by start, else end, and id, with the number of all that are wanted.
+
+    wanted: any condition on range, completion and priority; see wanted_schedules().
+    """
+    rows = schedules if wanted is None else schedules.filter(wanted)
     w = Window.partitionBy(by).orderBy(F.coalesce("start", "end"), "id")
-    totals = schedules.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    totals = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
     n = F.row_number().over(w)
-    return schedules.withColumn("place", n).filter((F.col("place") > offset) & (F.col("place") <= offset + limit)).join(totals, by)
+    return rows.withColumn("place", n).filter((F.col("place") > offset) & (F.col("place") <= offset + limit)).join(totals, by)
+
+
+def wanted_schedules(since: Column | None = None, until: Column | None = None, completed: bool | None = None, priority: str | None = None) -> Column:
+    """Schedules that touch a range, that are completed or not, and of a priority; what is None does not count."""
+    out = F.lit(True)
+    if until is not None:
+        out = out & (F.coalesce("start", "end") <= until)
+    if since is not None:
+        out = out & (F.coalesce("end", "start") >= since)
+    if completed is not None:
+        out = out & (F.col("completed") == completed)
+    return out & (F.col("priority") == priority) if priority else out
 
 
-def validate(schedules: DataFrame) -> DataFrame:
-    """id and violations (array) by kind: required and forbidden ends, order, priority."""
+def violations(zone: str = "Asia/Seoul") -> Column:
+    """What breaks the contract of a schedule's kind, as an array: kind, priority, zone, title, ends that lack or are
+    forbidden, their order, and times that do not fall on their days in the zone.
+
+    Columns: kind, priority, start, end (dates), and, where a schedule has times, start_at, end_at (texts with an offset), zone, title.
+    """
     checks = [
         F.when(~F.col("kind").isin(*NEEDS), "unknown_kind"), F.when(~F.coalesce(F.col("priority"), F.lit("")).isin("HIGH", "MEDIUM", "LOW"), "bad_priority"),
+        F.when(F.coalesce("zone", F.lit(zone)) != zone, "unknown_zone"), F.when(~F.length(F.trim(F.coalesce("title", F.lit("")))).between(1, 200), "bad_title"),
         F.when(F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("end") < F.col("start")), "end_before_start"),
         F.when((F.col("kind") == "undated") & (F.col("start").isNotNull() | F.col("end").isNotNull()), "date_forbidden"),
         F.when((F.col("kind") == "deadline") & F.col("start").isNotNull(), "start_forbidden"),
+        F.when((F.col("kind") == "all_day") & (F.col("start_at").isNotNull() | F.col("end_at").isNotNull()), "time_forbidden"),
+        F.when(utc_of(F.col("end_at")) < utc_of(F.col("start_at")), "end_time_before_start_time"),
     ]
+    for end in ("start", "end"):
+        at = F.col(f"{end}_at")
+        checks += [F.when(at.isNotNull() & utc_of(at).isNull(), f"bad_{end}_time"), F.when(~on_local_date(at, F.col(end), F.lit(zone)), f"{end}_time_on_another_day")]
     checks += [F.when((F.col("kind") == kind) & F.col(end).isNull(), f"{end}_required") for kind, ends in NEEDS.items() for end in ends]
-    return schedules.select("id", F.array_sort(F.array_compact(F.array(*checks))).alias("violations"))
+    return F.array_sort(F.array_compact(F.array(*checks)))
+
+
+def validate(schedules: DataFrame, zone: str = "Asia/Seoul") -> DataFrame:
+    """id, violations and the row in its normal form: title trimmed, times in UTC. Columns that lack are null."""
+    held = set(schedules.columns)
+    rows = schedules.withColumns({c: F.lit(None).cast("string") for c in ("start_at", "end_at", "zone") if c not in held} | ({} if "title" in held else {"title": F.lit("-")}))
+    return rows.select("id", violations(zone).alias("violations"), F.trim("title").alias("title"), utc_of(F.col("start_at")).alias("start_utc"), utc_of(F.col("end_at")).alias("end_utc"))
 
 
 def patched(schedules: DataFrame, patches: DataFrame, fields: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
-    """Rows with the fields that a patch sends (listed in `sent`) laid over; a required field sent as null is refused."""
+    """Rows with the fields that a patch sends (listed in `sent`) laid over; refused, and left as it was, is one that sends a
+    required field as null. What then breaks the contract is for validate()."""
     j = schedules.alias("s").join(patches.alias("p"), "id", "left")
     sent = lambda f: F.coalesce(F.array_contains("p.sent", f), F.lit(False))
     refused = F.lit(False)
     for f in required:
         refused = refused | (sent(f) & F.col(f"p.{f}").isNull())
+    others = [F.col(f"s.{c}").alias(c) for c in schedules.columns if c not in (*fields, "id")]
     cols = [F.when(sent(f) & ~refused, F.col(f"p.{f}")).otherwise(F.col(f"s.{f}")).alias(f) for f in fields]
-    return j.select("id", *cols, refused.alias("refused"))
+    return j.select("id", *cols, *others, refused.alias("refused"))
 
 
 def valid_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:

@@ -93,3 +93,14 @@ def audit(versions: DataFrame, log: DataFrame) -> DataFrame:
     fared = log.groupBy(F.col("new_source").alias("source")).agg(F.count_if(F.col("decision") == "overwritten").alias("overwritten"), F.count_if(F.col("decision") == "skipped").alias("skipped"))
     joined = seen.join(fared, "source", "left").na.fill(0, ["overwritten", "skipped"])
     return joined.withColumn("new", F.col("n_rows") - F.col("overwritten") - F.col("skipped"))
+
+
+def audit_sample(log: DataFrame, n: int = 50) -> DataFrame:
+    """The first n decisions by key and order, each with the number of all; Spark keeps n rows a task and merges them."""
+    total = log.agg(F.count(F.lit(1)).alias("total"))
+    return log.orderBy("key", "seq").limit(n).join(F.broadcast(total))
+
+
+def crowded(versions: DataFrame, key: str = "key", most: int = 64) -> DataFrame:
+    """Keys with more versions than a fold over an array should hold, which resolve() is not meant for."""
+    return versions.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)

@@ -40,6 +40,16 @@ def resolution_audit(spark, sf_dir):
     return versions.audit(version_stream(spark, sf_dir), versions.log_rows(resolved(spark, sf_dir)))
 
 
+@R.add("resolution_sample", f"""WITH {RESOLVED_SQL}, {_LOG} SELECT key, seq, old_source, new_source, substr(why, 2) AS reason, (SELECT count(*) FROM log) AS total FROM log ORDER BY key, seq LIMIT 50""")
+def resolution_sample(spark, sf_dir):
+    return versions.audit_sample(versions.log_rows(resolved(spark, sf_dir))).select("key", "seq", "old_source", "new_source", "reason", "total")
+
+
+@R.add("crowded_keys", f"WITH {VERSIONS_SQL} SELECT key, count(*) AS n FROM versions GROUP BY key HAVING count(*) > 2")
+def crowded_keys(spark, sf_dir):
+    return versions.crowded(version_stream(spark, sf_dir), most=2)
+
+
 @R.add("status_distribution", f"""WITH {RESOLVED_SQL} SELECT t.source_type, r.status, count(*) AS n
 FROM third r JOIN base t ON r.id = t.id GROUP BY t.source_type, r.status""")
 def status_distribution(spark, sf_dir):
@@ -90,14 +100,14 @@ def compact_text(spark, sf_dir):
 @R.add("due_for_recheck", f"""WITH {VERSIONS_SQL}, policy AS (
   SELECT url, (doc_id % 20 + 1)::INT AS days, doc_id % 11 = 0 AS manual FROM base WHERE doc_id % 4 = 0)
 SELECT v.key, v.source, CASE WHEN coalesce(manual, false) THEN 'requires_manual_review'
-  WHEN checked_at IS NULL OR TIMESTAMP '{NOW}' - checked_at >= to_days(coalesce(days, 14)) THEN 'due' ELSE 'not_due' END AS recheck
+  WHEN doc_id % 23 = 0 OR checked_at IS NULL OR TIMESTAMP '{NOW}' - checked_at >= to_days(coalesce(days, 14)) THEN 'due' ELSE 'not_due' END AS recheck
 FROM versions v LEFT JOIN policy p USING (url)""")
 def due_for_recheck(spark, sf_dir):
     n = F.col("doc_id").cast("int")
     policy = documents(spark, sf_dir).filter(n % 4 == 0).select("url", (n % 20 + 1).alias("days"), (n % 11 == 0).alias("manual"))
 
     v = version_stream(spark, sf_dir)
-    return freshness.due_for_recheck(v, policy, F.lit(NOW).cast("timestamp")).select("key", "source", "recheck")
+    return freshness.due_for_recheck(v, policy, F.lit(NOW).cast("timestamp"), forced=F.col("doc_id") % 23 == 0).select("key", "source", "recheck")
 
 
 @R.add("snapshot_due", f"""WITH {VERSIONS_SQL} SELECT count(*) AS n, count(checked_at) AS checked,
@@ -126,8 +136,26 @@ def keyword_select(spark, sf_dir):
 @R.add("missing_body", f"""WITH {VERSIONS_SQL} SELECT source, status, count(*) AS n FROM versions
 WHERE coalesce(content, '') = '' OR content = title OR status = 'title_only' GROUP BY source, status""")
 def missing_body(spark, sf_dir):
-    v = version_stream(spark, sf_dir)
-    return freshness.distribution(v.filter((F.coalesce("content", F.lit("")) == "") | (F.col("content") == F.col("title")) | (F.col("status") == "title_only")), "source", "status")
+    return freshness.distribution(freshness.missing_bodies(version_stream(spark, sf_dir)), "source", "status")
+
+
+@R.add("missing_body_rows", f"WITH {VERSIONS_SQL} SELECT key, source FROM versions WHERE coalesce(content, '') = '' OR content = title OR status = 'title_only'")
+def missing_body_rows(spark, sf_dir):
+    return freshness.missing_bodies(version_stream(spark, sf_dir)).select("key", "source")
+
+
+@R.add("enrichment_deferred", f"""WITH {DOCUMENTS_SQL}, wanted AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY date DESC, doc_id) <= 10 AS taken FROM base WHERE (date >= '2024-06-01' OR doc_id % 5 = 0) AND doc_id % 3 = 0)
+SELECT site, count(*) FILTER (taken) AS taken, count(*) FILTER (NOT taken) AS deferred FROM wanted GROUP BY site""")
+def enrichment_deferred(spark, sf_dir):
+    # Only what failed before is tried again: those whose number divides by 3.
+    n, d = F.col("doc_id"), documents(spark, sf_dir)
+    return freshness.deferred(freshness.newest_first(d, ((F.col("date") >= "2024-06-01") | (n % 5 == 0)) & (n % 3 == 0), 10, "site"), "site")
+
+
+@R.add("first_wins", "SELECT user_id, first(event_id ORDER BY ts, event_id) AS event_id FROM events GROUP BY user_id")
+def first_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("seq", F.struct("ts", "event_id"))
+    return freshness.first_wins(e, "user_id", "seq").select("user_id", "event_id")
 
 
 @R.add("greedy_budget", f"""WITH RECURSIVE {DOCUMENTS_SQL}, c AS (
@@ -225,7 +253,7 @@ def parent_hash(spark, sf_dir):
 
 @R.add("manifest_check", """WITH have AS (
   SELECT lang AS name, count(*) AS n, sum(('0x' || substr(sha256(text), 1, 10))::BIGINT) AS digest FROM documents GROUP BY lang)
-SELECT name, name <> 'fr' AS same_count, name <> 'de' AS same_content FROM have""")
+SELECT name, true AS named, name <> 'fr' AS same_count, name <> 'de' AS same_content FROM have""")
 def manifest_check(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("name"), F.col("text").alias("content"))
     digest = F.sum(F.conv(F.substring(F.sha2("content", 256), 1, 10), 16, 10).cast("decimal(38,0)"))

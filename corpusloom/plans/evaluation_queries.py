@@ -45,7 +45,7 @@ _RATE = "round(100.0::DOUBLE * count(*) FILTER ({c}) / count(*), 2)"
 
 
 @R.add("retrieval_breakdown", f"""WITH {RUNS_SQL} SELECT source_type, split, count(*) AS n, {_RATE.format(c='hit1')} AS top1, {_RATE.format(c='hit3')} AS top3,
-  {_RATE.format(c='hit5')} AS top5, {_RATE.format(c='all_found')} AS "full" FROM marks WHERE NOT should_abstain GROUP BY ROLLUP (source_type, split)""")
+  {_RATE.format(c='hit5')} AS top5, {_RATE.format(c='all_found')} AS "full", {_RATE.format(c='hit5 AND NOT all_found')} AS partial FROM marks WHERE NOT should_abstain GROUP BY ROLLUP (source_type, split)""")
 def retrieval_breakdown(spark, sf_dir):
     return E.breakdown(E.retrieval_marks(runs(spark, sf_dir)), "source_type", "split")
 
@@ -53,15 +53,35 @@ def retrieval_breakdown(spark, sf_dir):
 _V = "round(100.0::DOUBLE * count(*) FILTER (verdict = '{v}') / nullif(count(*) FILTER (verdict <> 'NOT_RUN'), 0), 2)"
 
 
+_H = "round(100.0::DOUBLE * count(*) FILTER (verdict <> 'NOT_RUN' AND {w} AND {c}) / nullif(count(*) FILTER (verdict <> 'NOT_RUN' AND {w}), 0), 2)"
+
+
 @R.add("run_metrics", f"""WITH {RUNS_SQL} SELECT split, count(*) AS n, count(*) FILTER (verdict = 'NOT_RUN') AS not_run, {_V.format(v='PASS')} AS pass_rate,
-  {_V.format(v='FAIL')} AS fail_rate, {_V.format(v='REVIEW')} AS review_rate, {_V.format(v='ERROR')} AS error_rate FROM runs GROUP BY split""")
+  {_V.format(v='FAIL')} AS fail_rate, {_V.format(v='REVIEW')} AS review_rate, {_V.format(v='ERROR')} AS error_rate,
+  {_H.format(c='hit1', w='NOT should_abstain')} AS hit_at_1, {_H.format(c='hit3', w='NOT should_abstain')} AS hit_at_3, {_H.format(c='abstained', w='should_abstain')} AS abstain_rate FROM marks GROUP BY split""")
 def run_metrics(spark, sf_dir):
-    return E.run_metrics(runs(spark, sf_dir), "split")
+    return E.run_metrics(E.retrieval_marks(runs(spark, sf_dir)), "split")
+
 
+_Q = ", ".join(f"quantile_cont(seconds, {q}) FILTER ({c}) AS {n}p{int(q * 100)}" for n, c in (("", "verdict <> 'NOT_RUN'"), ("ok_", "verdict IN ('PASS', 'FAIL', 'REVIEW')")) for q in (0.5, 0.95))
 
-@R.add("latency_stats", f"WITH {RUNS_SQL} SELECT verdict, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95, avg(seconds) AS mean FROM runs GROUP BY verdict")
+
+@R.add("latency_stats", f"""WITH {RUNS_SQL} SELECT split, {_Q}, avg(seconds) FILTER (verdict <> 'NOT_RUN') AS mean, avg(seconds) FILTER (verdict IN ('PASS', 'FAIL', 'REVIEW')) AS ok_mean, avg(seconds) FILTER (verdict = 'ERROR') AS error_mean FROM runs GROUP BY split""")
 def latency_stats(spark, sf_dir):
-    return E.latency(runs(spark, sf_dir), "verdict")
+    return E.latency(runs(spark, sf_dir), "split")
+
+
+@R.add("hit_positions", f"""WITH {RUNS_SQL} SELECT "case", unnest(expected) AS url, coalesce(list_position(got, unnest(expected)), 0)::BIGINT AS place FROM runs""")
+def hit_positions(spark, sf_dir):
+    return E.positions(runs(spark, sf_dir))
+
+
+@R.add("clause_bindings", f"""WITH c AS (SELECT conv_id, turn, conv_id % 5 AS f FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, [['9월 9일=apply'], ['9월 16일=consent'], ['9월 9일=apply', '9월 16일=consent'], ['3월 2일=none'], []][f + 1] AS bindings FROM c""")
+def clause_bindings(spark, sf_dir):
+    said = F.element_at(F.array(*[F.lit(x) for x in ("신청은 9월 9일", "서류는 09월 16일까지", "신청은 9월 9일, 가구원 동의는 9월 16일", "개강 3월 2일", "13월 40일 신청")]), (F.col("conv_id") % 5 + 1).cast("int"))
+    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return c.select("conv_id", "turn", F.transform(E.dated_clauses(said), lambda x: F.concat(x["day"], F.lit("="), x["of"])).alias("bindings"))
 
 
 # Answers with what is known of their questions, and the verdict that the rules ask for, written down by hand:
@@ -117,12 +137,38 @@ def quota_report(spark, sf_dir):
     return E.quota_report(items, want.unionByName(extra))
 
 
-@R.add("review_summary", """WITH j AS (SELECT d.source, d.lang, quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang <> 'en' OR l.doc_id IS NOT NULL)
-SELECT lang, count(*) AS applicable, count(quality) AS judged, CASE WHEN count(quality) = count(*) THEN round(100.0::DOUBLE * count(*) FILTER (quality = 1) / count(quality), 2) END AS accuracy FROM j GROUP BY lang""")
+@R.add("review_summary", """WITH j AS (SELECT d.source, d.lang, quality, d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang <> 'en' OR l.doc_id IS NOT NULL
+), r AS (SELECT lang, unnest(CASE WHEN doc_id % 3 = 0 THEN ['wrong', 'link'] ELSE ['outdated'] END) AS reason FROM j WHERE quality <> 1
+), f AS (SELECT lang, list(reason || '=' || n ORDER BY reason) AS failures FROM (SELECT lang, reason, count(*) AS n FROM r GROUP BY ALL) GROUP BY lang)
+SELECT lang, count(*) AS applicable, count(quality) AS judged, CASE WHEN count(quality) = count(*) THEN round(100.0::DOUBLE * count(*) FILTER (quality = 1) / count(quality), 2) END AS accuracy,
+  round(100.0::DOUBLE * count(*) FILTER (doc_id % 2 = 0) / count(*), 2) AS coverage, coalesce(any_value(failures), []) AS failures FROM j LEFT JOIN f USING (lang) GROUP BY lang""")
 def review_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    rows = d.select("lang", ((F.col("lang") != "en") | F.col("quality").isNotNull()).alias("applicable"), (F.col("quality") == 1).alias("judged"))
-    return E.review_summary(rows, "lang")
+    n = F.col("doc_id")
+    reasons = F.when(n % 3 == 0, F.array(F.lit("wrong"), F.lit("link"))).otherwise(F.array(F.lit("outdated")))
+    rows = d.select("lang", ((F.col("lang") != "en") | F.col("quality").isNotNull()).alias("applicable"), (F.col("quality") == 1).alias("judged"), reasons.alias("reasons"), (n % 2 == 0).alias("covered"))
+    shown = F.transform(F.coalesce("failures", F.array().cast("array<struct<reason:string,n:bigint>>")), lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string")))
+    return E.review_summary(rows, "lang").withColumn("failures", shown)
+
+
+@R.add("review_violations", """WITH j AS (SELECT doc_id AS "case", doc_id % 2 = 0 AS answer, CASE WHEN doc_id % 3 = 0 THEN true END AS link, CASE WHEN doc_id % 5 = 0 THEN ['odd'] WHEN doc_id % 5 = 1 THEN [] ELSE ['wrong'] END AS reasons FROM labels
+), c AS (SELECT doc_id AS "case", doc_id % 4 <> 0 AS refs, CASE WHEN doc_id % 7 = 0 THEN 'NOT_RUN' ELSE 'OK' END AS status FROM documents WHERE lang <> 'es'
+), v AS (SELECT "case", list_filter([CASE WHEN status IS NULL THEN 'unknown_case' END, CASE WHEN NOT answer AND len(reasons) = 0 THEN 'reason_lacks' END, CASE WHEN list_contains(reasons, 'odd') THEN 'unknown_reason' END,
+  CASE WHEN link IS NOT NULL AND NOT coalesce(refs, false) THEN 'link_without_references' END, CASE WHEN status = 'NOT_RUN' THEN 'did_not_answer' END], lambda x: x IS NOT NULL) AS violations FROM j LEFT JOIN c USING ("case"))
+SELECT "case", violations FROM v WHERE len(violations) > 0""")
+def review_violations(spark, sf_dir):
+    n = F.col("doc_id")
+    reasons = F.when(n % 5 == 0, F.array(F.lit("odd"))).when(n % 5 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("wrong")))
+    j = table(spark, sf_dir, "labels").select(n.alias("case"), (n % 2 == 0).alias("answer"), F.when(n % 3 == 0, True).alias("link"), reasons.alias("reasons"), F.lit("note").alias("note"))
+    c = table(spark, sf_dir, "documents").filter("lang <> 'es'").select(n.alias("case"), (n % 4 != 0).alias("has_references"), F.when(n % 7 == 0, "NOT_RUN").otherwise("OK").alias("status"))
+    return E.review_violations(j, c)
+
+
+@R.add("unlike_runs", """WITH d AS (SELECT doc_id FROM documents) SELECT 'cases' AS reason, count(*) AS n FROM d WHERE doc_id % 10 IN (0, 1) UNION ALL SELECT 'config', count(*) FROM d WHERE doc_id % 10 NOT IN (0, 1) AND doc_id % 3 = 0""")
+def unlike_runs(spark, sf_dir):
+    n = F.col("case")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case"), F.lit("h").alias("dataset"), F.lit("dev").alias("split"), F.lit("s").alias("snapshot"))
+    return E.unlike_runs(d.filter(n % 10 != 0).withColumn("config", F.lit("a")), d.filter(n % 10 != 1).withColumn("config", F.when(n % 3 == 0, "b").otherwise("a")))
 
 
 @R.add("compare_runs", f"""WITH {RUNS_SQL} SELECT source_type, count(*) AS cases, round(100 * (avg(CASE WHEN verdict = 'PASS' THEN 1.0 ELSE score END) - avg(score)), 2) AS delta_pp FROM marks

@@ -237,7 +237,25 @@ def list_schedules(spark, sf_dir):
   CASE WHEN kind = 'deadline' AND "start" IS NOT NULL THEN 'start_forbidden' END, CASE WHEN kind IN ('event', 'period', 'all_day') AND "start" IS NULL THEN 'start_required' END,
   CASE WHEN kind IN ('period', 'deadline') AND "end" IS NULL THEN 'end_required' END], lambda x: x IS NOT NULL)) AS violations FROM schedules""")
 def validate_schedule(spark, sf_dir):
-    return S.validate(schedules(spark, sf_dir))
+    return S.validate(schedules(spark, sf_dir)).select("id", "violations")
+
+
+@R.add("validate_schedule_times", f"""WITH {_SCHEDULES}, t AS (SELECT *, id % 5 AS f FROM schedules WHERE kind = 'period' AND priority <> 'NONE')
+SELECT id, list_sort(list_filter([CASE WHEN "end" < "start" THEN 'end_before_start' END, CASE WHEN "start" IS NULL THEN 'start_required' END, CASE WHEN "end" IS NULL THEN 'end_required' END, CASE WHEN f = 1 THEN 'start_time_on_another_day' END,
+  CASE WHEN f = 2 THEN 'bad_start_time' END, CASE WHEN f = 3 THEN 'unknown_zone' END, CASE WHEN f = 4 THEN 'bad_title' END], lambda x: x IS NOT NULL)) AS violations FROM t""")
+def validate_schedule_times(spark, sf_dir):
+    f = F.col("id") % 5
+    s = schedules(spark, sf_dir).filter("kind = 'period' AND priority <> 'NONE'")
+    at = F.concat(F.date_format("start", "yyyy-MM-dd"), F.when(f == 1, "T20:00:00Z").when(f == 2, "T08:00:00").otherwise("T08:00:00+09:00"))
+    s = s.withColumns({"start_at": at, "end_at": F.lit(None).cast("string"), "zone": F.when(f == 3, "UTC").otherwise("Asia/Seoul"), "title": F.when(f == 4, " ").otherwise(" t ")})
+    return S.validate(s).select("id", "violations")
+
+
+@R.add("filtered_schedules", f"""WITH {_SCHEDULES} SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce("start", "end") NULLS FIRST, id) AS place, count(*) OVER (PARTITION BY user_id) AS total
+FROM schedules WHERE coalesce("start", "end") <= DATE '1999-12-31' AND coalesce("end", "start") >= DATE '1996-01-01' AND id % 3 <> 0 AND priority = 'HIGH' QUALIFY place <= 5""")
+def filtered_schedules(spark, sf_dir):
+    wanted = S.wanted_schedules(F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date"), False, "HIGH")
+    return S.page(schedules(spark, sf_dir).withColumn("completed", F.col("id") % 3 == 0), "user_id", 5, 0, wanted).select("id", "user_id", "place", "total")
 
 
 @R.add("patch_state", f"""WITH {_SCHEDULES} SELECT id, CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN 'event' ELSE kind END AS kind,
@@ -245,7 +263,16 @@ def validate_schedule(spark, sf_dir):
 def patch_state(spark, sf_dir):
     s = schedules(spark, sf_dir)
     p = s.filter("id % 5 = 0").select("id", F.when(F.col("id") % 10 != 0, "event").alias("kind"), F.lit("2000-01-01").cast("date").alias("end"), F.array(F.lit("kind"), F.lit("end")).alias("sent"))
-    return S.patched(s, p, ("kind", "end"), ("kind",))
+    return S.patched(s, p, ("kind", "end"), ("kind",)).select("id", "kind", "end", "refused")
+
+
+@R.add("patched_violations", f"""WITH {_SCHEDULES}, p AS (SELECT *, id % 5 = 0 AND id % 10 <> 0 AS laid FROM schedules), q AS (SELECT id, priority, "start", CASE WHEN laid THEN 'event' ELSE kind END AS kind, CASE WHEN laid THEN DATE '2000-01-01' ELSE "end" END AS "end" FROM p)
+SELECT id, len(list_filter([CASE WHEN kind = 'odd' THEN 1 END, CASE WHEN priority = 'NONE' THEN 1 END, CASE WHEN "end" < "start" THEN 1 END, CASE WHEN kind = 'undated' AND ("start" IS NOT NULL OR "end" IS NOT NULL) THEN 1 END,
+  CASE WHEN kind = 'deadline' AND "start" IS NOT NULL THEN 1 END, CASE WHEN kind IN ('event', 'period', 'all_day') AND "start" IS NULL THEN 1 END, CASE WHEN kind IN ('period', 'deadline') AND "end" IS NULL THEN 1 END], lambda x: x IS NOT NULL))::INT AS n FROM q""")
+def patched_violations(spark, sf_dir):
+    s = schedules(spark, sf_dir)
+    p = s.filter("id % 5 = 0").select("id", F.when(F.col("id") % 10 != 0, "event").alias("kind"), F.lit("2000-01-01").cast("date").alias("end"), F.array(F.lit("kind"), F.lit("end")).alias("sent"))
+    return S.validate(S.patched(s, p, ("kind", "end"), ("kind",))).select("id", F.size("violations").alias("n"))
 
 
 @R.add("valid_sessions", """SELECT event_id, c_custkey AS user_id, c_name AS name FROM events JOIN customer ON user_id = c_custkey

@@ -279,6 +279,8 @@ def test_upsert_is_idempotent_and_keeps_untouched_parents(spark):
     want = [("a_c0", "new"), ("b_c0", "z")]
     assert sorted((r["chunk_id"], r["page_content"]) for r in once.collect()) == want
     assert sorted((r["chunk_id"], r["page_content"]) for r in indexing.upsert_chunks(once, new).collect()) == want
+    with pytest.raises(ValueError, match="no chunks"):
+        indexing.upsert_chunks(old, new.limit(0))
 
 
 def test_page_headings_keep_pages_whose_heading_breaks_off(spark, tmp_path):
@@ -411,8 +413,9 @@ def test_overlap_pairs_equal_a_plain_join(spark):
 
 
 def test_run_metrics_leave_out_what_did_not_run(spark):
-    r = evaluation.run_metrics(spark.createDataFrame([("a", "PASS"), ("a", "FAIL"), ("a", "NOT_RUN")], "g string, verdict string"), "g").first()
-    assert (r["n"], r["not_run"], r["pass_rate"]) == (3, 1, 50.0)
+    rows = [("a", "PASS", False, True, True, False), ("a", "FAIL", False, False, True, False), ("a", "NOT_RUN", False, True, True, False), ("a", "PASS", True, False, False, True)]
+    r = evaluation.run_metrics(spark.createDataFrame(rows, "g string, verdict string, should_abstain boolean, hit1 boolean, hit3 boolean, abstained boolean"), "g").first()
+    assert (r["n"], r["not_run"], r["pass_rate"], r["hit_at_1"], r["hit_at_3"], r["abstain_rate"]) == (4, 1, 66.67, 50.0, 100.0, 100.0)
 
 
 VERDICTS = [
