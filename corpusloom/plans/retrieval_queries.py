@@ -263,8 +263,12 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(d)
 
 
-@R.add("single_chunks", f"""WITH {DOCUMENTS_SQL} SELECT id || '_c0' AS chunk_id, id AS parent_id, 1 AS total_chunks, md5(title || chr(10) || content) AS body
-FROM base WHERE len(title || chr(10) || content) <= 500""")
+_STRIP = lambda c: f"trim({c}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@R.add("single_chunks", f"""WITH {DOCUMENTS_SQL}, s AS (SELECT id, {_STRIP('title')} || chr(10) || {_STRIP('content')} AS whole FROM base)
+SELECT id || '_c0' AS chunk_id, id AS parent_id, 1 AS total_chunks, md5(whole) AS body FROM s WHERE len(whole) <= 500""")
 def single_chunks(spark, sf_dir):
-    d = documents(spark, sf_dir).withColumn("status", F.lit("text")).filter(F.length("title") + 1 + F.length("content") <= 500)
-    return chunking.chunk_documents(d).select("chunk_id", "parent_id", "total_chunks", F.md5("page_content").alias("body"))
+    d = documents(spark, sf_dir).withColumn("status", F.lit("text"))
+    c = chunking.chunk_documents(d).filter((F.col("total_chunks") == 1) & (F.length("page_content") <= 500))
+    return c.select("chunk_id", "parent_id", "total_chunks", F.md5("page_content").alias("body"))
