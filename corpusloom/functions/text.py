@@ -203,7 +203,7 @@ def date_bonus(body: Column, year: Column, month: Column, day: Column) -> Column
 def off_topic(q: Column) -> Column:
     """Whether a question asks for code, or for something outside without any intent that concerns the campus."""
     campus = (
-        "(?i)교내|대학|한성대|학교|학사|수강|교육|특강|신청|접수|방법|일정|기간|대상|모집|선발|장학|학점|이수|대회|공모전|경진대회|프로그램|캠프|센터|동아리|설명회|특화|지원|학생"
+        "(?i)교내|대학|학교|학사|수강|교육|특강|신청|접수|방법|일정|기간|대상|모집|선발|장학|학점|이수|대회|공모전|경진대회|프로그램|캠프|센터|동아리|설명회|특화|지원|학생"
     )
     code = r"(?i)코드\s*(?:짜줘|작성|구현|만들어|출력)|소스코드|알고리즘\s*(?:짜줘|구현)|구현해줘|코딩해줘|트리\s*구현|구현하는\s*코드"
     outside = r"(?i)아이폰|갤럭시|스마트폰\s*스펙|노트북\s*추천|그래픽카드|cpu|gpu|날씨|기온|미세먼지|주식|코인|비트코인|부동산|영화\s*추천|맛집\s*추천|이진\s*탐색|이진\s*트리|자료구조"

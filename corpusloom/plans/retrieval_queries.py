@@ -173,7 +173,7 @@ _TERMS = {
     "by_semester": "CASE WHEN NOT plain OR semester IS NULL THEN 0 ELSE CASE WHEN contains(title, '1학기') OR contains(content, '1학기') THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN contains(title, '2학기') THEN -0.15::DOUBLE ELSE 0 END END",
     "by_round": "CASE WHEN NOT plain OR round IS NULL THEN 0 ELSE CASE WHEN contains(title, '2차') THEN 0.22::DOUBLE WHEN contains(content, '2차') THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN contains(title, '1차') THEN -0.18::DOUBLE ELSE 0 END END",
     "by_length": "CASE WHEN len(trim(content, chr(32) || chr(9) || chr(10) || chr(13))) < 80 THEN -0.25::DOUBLE ELSE 0 END",
-    "by_schedule": f"CASE WHEN schedule AND ({_HAS('body', retrieval.SCHEDULE_ANSWERS)} OR regexp_matches(body, '(?:19|20)[0-9]{{2}}\s*[.\-/]\s*[0-9]{{1,2}}\s*[.\-/]\s*[0-9]{{1,2}}')) THEN 0.12::DOUBLE ELSE 0 END",
+    "by_schedule": rf"CASE WHEN schedule AND ({_HAS('body', retrieval.SCHEDULE_ANSWERS)} OR regexp_matches(body, '(?:19|20)[0-9]{{2}}\s*[.\-/]\s*[0-9]{{1,2}}\s*[.\-/]\s*[0-9]{{1,2}}')) THEN 0.12::DOUBLE ELSE 0 END",
     "by_target": f"CASE WHEN target AND {_HAS('content', retrieval.TARGET_ANSWERS)} THEN 0.12::DOUBLE ELSE 0 END",
     "by_place": "CASE WHEN chunk_index = 0 THEN 0.05::DOUBLE ELSE 0 END",
     "by_acronym": "len(list_filter(acronyms, lambda a: contains(lower(title), a))) * 0.08::DOUBLE",

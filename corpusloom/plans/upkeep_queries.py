@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dates as D
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, media, reports, tagging
+from corpusloom.operators import chunking, evaluation, media, reports, tagging
 from corpusloom.plans import Registry
 from corpusloom.plans.corpus import DOCUMENTS_SQL, documents
 from corpusloom.plans.corpus_queries import INDEX_SQL, index_rows
@@ -265,8 +266,6 @@ def rescored_runs(spark, sf_dir):
 
 @R.add("sample_failures", f"""WITH {RUNS_SQL} SELECT "case", source_type, row_number() OVER (PARTITION BY source_type ORDER BY "case") AS place FROM marks WHERE NOT should_abstain AND NOT hit5 QUALIFY place <= 3""")
 def sample_failures(spark, sf_dir):
-    from corpusloom.operators import evaluation
-
     m = evaluation.retrieval_marks(runs(spark, sf_dir))
     return reports.sample_failures(m, ~F.col("should_abstain") & ~F.col("hit5"), "source_type", ["case"], 3).select("case", "source_type", "place")
 
@@ -305,8 +304,6 @@ def line_kinds(spark, sf_dir):
 
 @R.add("enrichment_order", f"""WITH {DOCUMENTS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY site ORDER BY source_type <> 'notice', CASE WHEN source_type = 'notice' THEN -epoch(date::DATE) ELSE 0 END, source_type <> 'notice' AND doc_id % 4 = 0, doc_id) AS turn FROM base""")
 def enrichment_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     d = reports.enrichment_order(documents(spark, sf_dir).withColumn("media_status", F.when(F.col("doc_id") % 4 == 0, "complete").otherwise("partial")))
     return d.select("doc_id", F.row_number().over(Window.partitionBy("site").orderBy("turn", "doc_id")).alias("turn"))
 
