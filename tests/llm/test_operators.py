@@ -645,6 +645,20 @@ def test_word_vectors_and_scores_equal_plain_python(spark, docs):
         assert math.isclose(r["score"], plain_score(texts[r["doc_id"]], want, model.network), abs_tol=1e-4)
 
 
+@pytest.mark.parametrize("seed", [2, 3, 4])
+def test_the_fit_stops_before_it_overfits_and_temperature_does_not_raise_the_loss(seed):
+    random = np.random.default_rng(seed)
+
+    def drawn():
+        x = random.normal(size=(3000, quality.FEATURES))
+        return x, (x[:, 0] + random.normal(size=3000) > 0).astype(float)
+
+    net = quality.fit(*drawn())
+    x, y = drawn()
+    loss = lambda t: np.logaddexp(0, np.where(y == 1, -net.logits(x), net.logits(x)) / t).mean()
+    assert loss(net.temperature) <= loss(1.0) + 0.01 and ((net.scores(x) > 0.5) == y).mean() > 0.72
+
+
 def test_temperature_lowers_the_loss_and_the_sample_has_its_size(spark):
     random = np.random.default_rng(2)
     x = random.normal(size=(3000, quality.FEATURES))
