@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corpusloom.llm import html_text, jaccard, lexical, mixing, nearest, packing, ppm, quality, rules, sharding, url_filter, vectors
+from corpusloom.llm import html_text, jaccard, lexical, mixing, nearest, packing, ppm, quality, rules, sharding, spelling, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -20,8 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_scores": ppm.op8_ppm_scores,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_embedding_near_duplicates": vectors.op10_embedding_near_duplicates,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_nearest_neighbours": nearest.op13_nearest_neighbours,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {**rules.SQL, **mixing.SQL, **url_filter.SQL, **vectors.SQL, **jaccard.SQL, **lexical.SQL}
+SQL: dict[str, str] = {**rules.SQL, **mixing.SQL, **url_filter.SQL, **vectors.SQL, **jaccard.SQL, **lexical.SQL, **spelling.SQL}
