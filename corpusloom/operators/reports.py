@@ -104,15 +104,17 @@ def make_items(questions: DataFrame, evidence: DataFrame, docs: DataFrame) -> Da
     return j.select("item", "kind", urls.alias("reference_urls"), F.transform(rows_, lambda r: r["quote"]).alias("quotes"), problems.alias("problems"))
 
 
-def event_questions(events: DataFrame, calendar: str, dev: int) -> DataFrame:
-    """Items of a calendar's events (place, span, name; span begins YYYY.MM): the first dev in order are 'dev', the rest 'test'.
+def event_questions(events: DataFrame, calendar: str, dev: int, *keep: str) -> DataFrame:
+    """Items of a calendar's events, as calendar_events() gives them (place, span, name): question, answer and the quote that shows it.
 
-    Places are given with the events, so that no order over all of them is made.
+    Of each calendar the first dev by place, which counts from 0, are 'dev', the rest 'test'; no
+    order over all events is made. Columns to keep, as the document's, are named behind.
     """
     month = F.regexp_extract("span", r"^\d{4}\.(\d{2})", 1).cast("int").cast("string")
     question = F.concat(F.lit(f"{calendar} 중 "), month, F.lit("월에 진행되는 '"), F.col("name"), F.lit("' 일정은 언제야?"))
     answer = F.concat(F.lit(f"{calendar}상 "), month, F.lit("월의 '"), F.col("name"), F.lit("' 일정은 "), F.col("span"), F.lit("이다."))
-    return events.select("place", F.when(F.col("place") <= dev, "dev").otherwise("test").alias("split"), question.alias("question"), answer.alias("answer"))
+    split = F.when(F.col("place") < dev, "dev").otherwise("test")
+    return events.select(*keep, "place", split.alias("split"), question.alias("question"), answer.alias("answer"), F.concat_ws(" ", "span", "name").alias("quote"))
 
 
 def zip_by_place(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -101,12 +101,42 @@ def valid_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFr
     return live.join(users, "user_id")
 
 
+def calendar_events(docs: DataFrame) -> DataFrame:
+    """doc_id, place, span, name, start, end of the events in calendars that give dates and names on lines of their own.
+
+    Lines are trimmed and empty ones left out. A line that begins with a date (YYYY.MM.DD and
+    whatever stands behind it, as a weekday) takes the next line for its name; if that is a lone
+    `~` and another date follows, the three lines are the span and the fourth the name. Lines once
+    taken begin no other event, so that a date in a name's place is a name. Events without a name,
+    or whose lines hold runs of blanks, give none; one that a document repeats counts where it is
+    first. `place` counts a document's events from 0; `start` and `end` are null where a span
+    names a day that does not exist. Null and empty contents have no events.
+    """
+    trimmed = F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    lines = F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
+    # A cursor that consumes: matches do not overlap, and each takes the most lines that it can.
+    date = r"\d{4}\.\d{2}\.\d{2}[^\n]*"
+    taken = F.regexp_extract_all(lines, F.lit(rf"(?<![^\n]){date}(?:\n~\n{date})?(?:\n[^\n]*)?"), F.lit(0))
+    parts = F.transform(taken, lambda t: F.split(t, "\n"))
+    ranged = lambda p: F.coalesce((F.get(p, F.lit(1)) == "~") & F.get(p, F.lit(2)).rlike(r"^\d{4}\.\d{2}\.\d{2}"), F.lit(False))
+    span = lambda p: F.when(ranged(p), F.concat(F.get(p, F.lit(0)), F.lit(" ~ "), F.get(p, F.lit(2)))).otherwise(F.get(p, F.lit(0)))
+    name = lambda p: F.when(ranged(p), F.get(p, F.lit(3))).otherwise(F.get(p, F.lit(1)))
+    targets = F.array_distinct(F.array_compact(F.transform(parts, lambda p: F.concat(span(p), F.lit("\n"), name(p)))))
+    plain = F.filter(targets, lambda t: ~t.rlike(r"(?U)[^\S\n ]|  "))
+    events = docs.select("doc_id", F.explode(F.transform(plain, lambda t, i: F.struct(i.alias("place"), t.alias("t")))).alias("e"))
+    found = events.select("doc_id", F.col("e.place").alias("place"), F.split_part("e.t", F.lit("\n"), F.lit(1)).alias("span"), F.split_part("e.t", F.lit("\n"), F.lit(2)).alias("name"))
+    day = lambda pattern: F.try_to_date(F.regexp_extract("span", pattern, 1), "yyyy.MM.dd")
+    start, end = day(r"^(\d{4}\.\d{2}\.\d{2})"), day(r"^[^~]* ~ (\d{4}\.\d{2}\.\d{2})")
+    return found.select("doc_id", "place", "span", "name", start.alias("start"), F.when(F.col("span").rlike(r" ~ \d{4}\.\d{2}\.\d{2}"), end).otherwise(start).alias("end"))
+
+
 def date_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line, start, end, title of lines 'date[ ~ date] title', or a date line and the title in the next.
 
-    Dates are YYYY.MM.DD or YYYY-MM-DD; impossible ones give no row.
+    Dates are YYYY.MM.DD or YYYY-MM-DD, also with a weekday in brackets behind; impossible ones
+    give no row. Spans over several lines are for calendar_events().
     """
-    day = r"((?:19|20)\d{2})[.-](\d{1,2})[.-](\d{1,2})"
+    day = r"((?:19|20)\d{2})[.-](\d{1,2})[.-](\d{1,2})(?:\s*\([^()\n]{1,3}\))?"
     pattern = rf"^\s*{day}(?:\s*~\s*{day})?\s*(.*?)\s*$"
     lines = docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("line", "text"))
     w = Window.partitionBy("doc_id").orderBy("line")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dates as D
 from corpusloom.functions import text as T
-from corpusloom.operators import extraction
+from corpusloom.operators import extraction, reports
 from corpusloom.operators import schedules as S
 from corpusloom.operators import tagging
 from corpusloom.plans import Registry
@@ -285,6 +285,44 @@ def valid_sessions(spark, sf_dir):
     return S.valid_sessions(s.join(F.broadcast(now)), users, F.col("now")).select("event_id", "user_id", "name")
 
 
+# Calendars of the customers, a line or several for each order: a span over four lines, a day and a name, the same between other
+# lines and blanks, and an event that stands there twice. A day has its weekday behind it.
+_WEEKDAYS = ("월", "화", "수", "목", "금", "토", "일")
+_CALENDAR = f"""days AS (
+  SELECT o_custkey, o_orderkey, o_orderdate AS d1, (o_orderdate + to_days((o_orderkey % 9)::INT))::DATE AS d2, o_orderpriority || ' ' || o_orderstatus || o_orderkey % 50 AS name FROM orders
+), shown AS (
+  SELECT *, strftime(d1, '%Y.%m.%d') || '(' || {list(_WEEKDAYS)}[isodow(d1)] || ')' AS t1, strftime(d2, '%Y.%m.%d') || '(' || {list(_WEEKDAYS)}[isodow(d2)] || ')' AS t2 FROM days
+), firsts AS (
+  SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN t1 || ' ~ ' || t2 ELSE t1 END AS span, name, d1::DATE AS "start", (CASE WHEN o_orderkey % 4 = 0 THEN d2 ELSE d1 END)::DATE AS "end", min(o_orderkey) AS k
+  FROM shown GROUP BY ALL
+), calendar AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS place, span, name, "start", "end" FROM firsts)"""
+
+
+def calendar_documents(spark, sf_dir):
+    k = F.col("o_orderkey")
+    shown = lambda d: F.concat(F.date_format(d, "yyyy.MM.dd"), F.lit("("), F.element_at(F.array(*map(F.lit, _WEEKDAYS)), F.weekday(d) + 1), F.lit(")"))
+    day, later = F.col("o_orderdate"), F.date_add("o_orderdate", (k % 9).cast("int"))
+    name = F.concat("o_orderpriority", F.lit(" "), "o_orderstatus", (k % 50).cast("string"))
+    line = (
+        F.when(k % 4 == 0, F.concat_ws("\n", shown(day), F.lit("~"), shown(later), name)).when(k % 4 == 1, F.concat_ws("\n", shown(day), name))
+        .when(k % 4 == 2, F.concat_ws("\n", F.lit("안내 ~ 2026년"), F.concat(F.lit("  "), shown(day)), F.lit(" "), F.concat(F.lit("\t"), name, F.lit(" "))))
+        .otherwise(F.concat_ws("\n", shown(day), name, shown(day), name))
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(k, line.alias("l")))), lambda x: x["l"])
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(lines, "\n").alias("content"))
+
+
+@R.add("calendar_lines", f'WITH {_CALENDAR} SELECT doc_id, place, span, name, "start", "end" FROM calendar')
+def calendar_lines(spark, sf_dir):
+    return S.calendar_events(calendar_documents(spark, sf_dir))
+
+
+@R.add("event_questions", f"""WITH {_CALENDAR} SELECT doc_id, place, CASE WHEN place < 5 THEN 'dev' ELSE 'test' END AS split, '학사일정 중 ' || month("start") || '월에 진행되는 ''' || name || ''' 일정은 언제야?' AS question,
+  '학사일정상 ' || month("start") || '월의 ''' || name || ''' 일정은 ' || span || '이다.' AS answer, span || ' ' || name AS quote FROM calendar""")
+def event_questions(spark, sf_dir):
+    return reports.event_questions(S.calendar_events(calendar_documents(spark, sf_dir)), "학사일정", 5, "doc_id")
+
+
 @R.add("calendar_events", """WITH d AS (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y.%m.%d') AS day, strftime(o_orderdate + INTERVAL 2 DAY, '%Y.%m.%d') AS later, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
 SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 3 = 2 THEN 'name ' ELSE 'event ' END || o_orderkey AS title, strptime(day, '%Y.%m.%d')::DATE AS "start",
   CASE WHEN o_orderkey % 3 = 1 THEN strptime(later, '%Y.%m.%d') ELSE strptime(day, '%Y.%m.%d') END::DATE AS "end" FROM d""")

@@ -239,13 +239,6 @@ def make_items(spark, sf_dir):
     return reports.make_items(q, e, d).select("item", "kind", "reference_urls", "problems")
 
 
-@R.add("event_questions", """SELECT o_orderkey AS place, CASE WHEN o_orderkey <= 1000 THEN 'dev' ELSE 'test' END AS split, '학사일정 중 ' || month(o_orderdate) || '월에 진행되는 ''' || o_clerk || ''' 일정은 언제야?' AS question,
-  '학사일정상 ' || month(o_orderdate) || '월의 ''' || o_clerk || ''' 일정은 ' || strftime(o_orderdate, '%Y.%m.%d') || '이다.' AS answer FROM (SELECT *, 'Clerk ' || o_custkey AS o_clerk FROM orders)""")
-def event_questions(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), F.date_format("o_orderdate", "yyyy.MM.dd").alias("span"), F.concat(F.lit("Clerk "), F.col("o_custkey").cast("string")).alias("name"))
-    return reports.event_questions(e, "학사일정", 1000)
-
-
 @R.add("zip_by_place", """SELECT a.o_orderkey AS place, a.o_orderpriority AS name_a, a.o_orderstatus AS span_a, b.o_orderpriority AS name_b, b.o_orderstatus AS span_b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey WHERE a.o_custkey % 2 = 0 AND b.o_custkey % 3 = 0""")
 def zip_by_place(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("place"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("span"))

@@ -455,3 +455,40 @@ def test_answer_verdict_follows_the_whole_cascade(spark):
     df = spark.createDataFrame([(i, *v[:8]) for i, v in enumerate(VERDICTS)], "i int, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     got = {r["i"]: (r["status"], r["score"]) for r in df.select("i", evaluation.answer_verdict(*map(F.col, names)).alias("v")).select("i", "v.*").collect()}
     assert got == {i: v[8:] for i, v in enumerate(VERDICTS)}
+
+
+def plain_calendar(content):
+    """Events by a cursor over the lines, as the rules say."""
+    lines = [x.strip() for x in (content or "").split("\n") if x.strip()]
+    dated = lambda i: i < len(lines) and re.match(r"\d{4}\.\d{2}\.\d{2}", lines[i]) is not None
+    found, i = [], 0
+    while i < len(lines):
+        if not dated(i):
+            i += 1
+            continue
+        ranged = i + 2 < len(lines) and lines[i + 1] == "~" and dated(i + 2)
+        span = f"{lines[i]} ~ {lines[i + 2]}" if ranged else lines[i]
+        at = i + 3 if ranged else i + 1
+        name = lines[at] if at < len(lines) else ""
+        if name and (span, name) not in found and " ".join(f"{span} {name}".split()) == f"{span} {name}":
+            found.append((span, name))
+        i = at + 1
+    return found
+
+
+def test_calendar_events_equal_a_cursor_over_lines(spark):
+    random = np.random.default_rng(8)
+    lines = ["2026.03.02(월)", "2026.03.06(금)", "~", "개강", " 수강 신청 ", "", "2026.02.31", "a  b", "2026.04.01 ~ 2026.04.03", "글 2026.01.01"]
+    texts = ["\n".join(random.choice(lines, 25)) for _ in range(60)] + [None, "", "2026.03.02(월)", "2026.03.02(월)\n~\n2026.03.06(금)", "2026.03.02(월)\n~\n2026.03.06(금)\n개강", "2026.03.02\n" * 3 + "끝" + "\nx" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string")
+    got = {}
+    for r in schedules.calendar_events(df).orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append((r["span"], r["name"]))
+        assert r["place"] == len(got[r["doc_id"]]) - 1
+        if r["span"] == "2026.03.02(월) ~ 2026.03.06(금)":
+            assert (r["start"], r["end"]) == (dt.date(2026, 3, 2), dt.date(2026, 3, 6))
+        if r["span"] == "2026.02.31":
+            assert r["start"] is None and r["end"] is None
+    assert got == {i: plain_calendar(t) for i, t in enumerate(texts) if plain_calendar(t)}
+    one = schedules.date_lines(spark.createDataFrame([(1, "2026.03.02(월) ~ 2026.03.06(금) 개강\n2026-03-09 (수)\n 입학식")], "doc_id int, content string")).collect()
+    assert [(r["title"], str(r["start"]), str(r["end"])) for r in one] == [("개강", "2026-03-02", "2026-03-06"), ("입학식", "2026-03-09", "2026-03-09")]
