@@ -238,6 +238,12 @@ def revision_signature(title: Column, html: Column, content: Column, status: Col
     return F.when(body.isNotNull(), F.struct(t.alias("title"), body.alias("body"), media_signature(images).alias("images"), media_signature(attachments).alias("attachments")))
 
 
+def revision_hash(revision: Column) -> Column:
+    """Hash of a revision_signature(); null where the revision is not known."""
+    joined = lambda f: F.array_join(revision[f], " ")
+    return F.when(revision.isNotNull(), F.sha2(F.concat_ws("\u0001", revision["title"], revision["body"], joined("images"), joined("attachments")), 256))
+
+
 def extraction_summary(images: Column, attachments: Column) -> Column:
     """struct(summary, has_ocr, has_attachment) of extracted assets: how many of each kind gave text."""
     size = lambda a: F.coalesce(F.size(a), F.lit(0))

@@ -11,10 +11,11 @@ from corpusloom.functions.text import content_hash
 VALID = ("text", "mixed", "ocr", "ocr_enhanced", "attachment")
 ENRICHED = ("mixed", "ocr", "ocr_enhanced", "attachment")
 UNRANKED = 99
+OBSERVED = ("pending", "attempted", "not_applicable")  # what a collector that has seen the page says of its attachments
 
 VERSION = (
     "struct<seq:int,source:string,rank:int,id:string,title:string,content:string,status:string,date:string,"
-    "updated_at:timestamp,checked_at:timestamp,signature:string,hash:string,emptied:boolean>"
+    "updated_at:timestamp,checked_at:timestamp,signature:string,media:string,hash:string,failed:boolean,attached:string>"
 )
 LOG = "array<struct<seq:int,decision:string,old_source:string,new_source:string,reason:string>>"
 
@@ -28,6 +29,20 @@ def is_valid(v: Column) -> Column:
     return v["status"].isin(*VALID) & (F.coalesce(v["content"], F.lit("")) != "") & (v["content"] != F.coalesce(v["title"], F.lit("")))
 
 
+def source_emptied(old: Column, new: Column) -> Column:
+    """Whether a bare title shows that the source itself took its text away or replaced its media, so that what was read before no longer holds.
+
+    Only a collector that saw the page after the old check can tell: it did not fail, it says how
+    it fares with the attachments, and the page is not dated earlier. Then the revision (title,
+    html and media), where both are known, or the media alone must differ.
+    """
+    later = new["checked_at"].isNotNull() & (old["checked_at"].isNull() | (new["checked_at"] > old["checked_at"]))
+    changed = F.coalesce(old["signature"] != new["signature"], F.lit(False)) | (F.coalesce(old["media"], F.lit("")) != F.coalesce(new["media"], F.lit("")))
+    seen = (new["status"] == "title_only") & ~F.coalesce(new["failed"], F.lit(False)) & F.coalesce(new["attached"].isin(*OBSERVED), F.lit(False))
+    earlier = (F.coalesce(old["date"], F.lit("")) != "") & (F.coalesce(new["date"], F.lit("")) != "") & (new["date"] < old["date"])
+    return seen & later & ~earlier & changed
+
+
 def decision(old: Column, new: Column) -> Column:
     """Why the new version is taken ('+...') or left ('-...'); the first rule that applies decides.
 
@@ -36,13 +51,13 @@ def decision(old: Column, new: Column) -> Column:
     old_ok, new_ok = is_valid(old), is_valid(new)
     bare = new["status"] == "title_only"
     o_up, n_up = old["updated_at"], new["updated_at"]
-    o_date, n_date = F.coalesce(old["date"], F.lit("")), F.coalesce(new["date"], F.lit(""))
+    o_date, n_date = F.nullif(old["date"], F.lit("")), F.nullif(new["date"], F.lit(""))  # decides only where both are known
     both_signed = old["signature"].isNotNull() & new["signature"].isNotNull()
     revised = F.when(both_signed, old["signature"] != new["signature"]).otherwise(old["hash"] != new["hash"])
     checked = old["checked_at"].isNotNull() & new["checked_at"].isNotNull() & revised
     differs = F.when(old["hash"] != new["hash"], "_content_differs").otherwise("")
     return (
-        F.when(old_ok & ~new_ok, F.when(F.coalesce(new["emptied"], F.lit(False)), "+source_emptied").otherwise("-keep_valid"))
+        F.when(old_ok & ~new_ok, F.when(source_emptied(old, new), "+source_emptied").otherwise("-keep_valid"))
         .when(~old_ok & new_ok, "+first_valid")
         .when((n_up > o_up) & ~bare, "+newer_update").when(n_up < o_up, "-older_update")
         .when(o_up.isNotNull() & n_up.isNull(), "-update_known").when(o_up.isNull() & n_up.isNotNull() & ~bare, "+update_known")

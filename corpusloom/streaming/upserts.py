@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from corpusloom.operators import versions
 from corpusloom.session import shared_dir
 
 AS_VERSION = [f.split(":")[0] for f in versions.VERSION[7:-1].split(",")]
-MERGE_EVERY = 16  # batches whose changes are read one by one before a whole state is written
+BUCKETS = 64  # of a state that upsert() keeps
 
 
 def open_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
@@ -36,52 +36,60 @@ def _finished(spark: SparkSession, folder: str, prefix: str) -> list[int]:
     return sorted(int(n[len(prefix) :]) for n in done)
 
 
-def _state(spark: SparkSession, root: str, before: int) -> DataFrame | None:
-    """key and current of all keys as of the batches below a number: the last whole state and the changes after it."""
-    whole = [n for n in _finished(spark, root, "whole-") if n < before]
-    changes = [n for n in _finished(spark, root, "changes-") if n < before and (not whole or n > whole[-1])]
-    parts = [spark.read.parquet(f"{root}/whole-{n}").withColumn("_batch", F.lit(n)) for n in whole[-1:]]
-    parts += [spark.read.parquet(f"{root}/changes-{n}").select("key", "current").withColumn("_batch", F.lit(n)) for n in changes]
-    if not parts:
-        return None
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("key").agg(F.max_by("current", "_batch").alias("current")) if len(parts) > 1 else rows.drop("_batch")
+def _places(spark: SparkSession, states: str, before: int) -> dict[int, int]:
+    """Each bucket's last batch below a number: the state of all keys as of that batch lies there."""
+    done = [n for n in _finished(spark, states, "places-") if n < before]
+    return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch int").parquet(f"{states}/places-{done[-1]}").collect()} if done else {}
 
 
-def upsert(stream: DataFrame, to_versions: Callable[[DataFrame], DataFrame], checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _held(spark: SparkSession, states: str, places: dict[int, int], buckets: Iterable[int]) -> DataFrame | None:
+    """key and current of the keys in some buckets; only their files are read."""
+    paths = [f"{states}/batch-{places[b]}/bucket={b}" for b in sorted(buckets) if b in places]
+    return spark.read.schema(f"key string, current {versions.VERSION}").parquet(*paths) if paths else None
+
+
+def upsert(stream: DataFrame, to_versions: Callable[[DataFrame], DataFrame], checkpoint: str | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """The current versions and the log after all that a stream holds now.
 
-    Each batch folds its versions onto the current ones of the same keys and writes those keys
-    alone, under its own number beside the checkpoint; every MERGE_EVERY batches a whole state is
-    written. A batch that runs again after a failure reads what lies before it and writes the
-    same. With the same checkpoint a later call goes on where the last one ended, also without
-    new rows. A late or older version loses by the same rules as in the batch operator, and
-    shows in the log as skipped.
+    The state is dealt to buckets by the hash of its keys. Each batch folds its versions onto the
+    current ones of the same keys, and reads and writes the buckets alone that hold its keys,
+    under its own number beside the checkpoint; a table of one row a bucket says where each one's
+    state lies. A batch that runs again after a failure reads what lies before it and writes the
+    same. With the same checkpoint, and the same number of buckets, a later call goes on where the
+    last one ended, also without new rows. A late or older version loses by the same rules as in
+    the batch operator, and shows in the log as skipped.
     """
     spark = stream.sparkSession
     root = _folder(spark, "upsert", checkpoint)
     states = f"{root}/versions"
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = to_versions(batch).select("key", *AS_VERSION)
-        held = _state(spark, states, number)
+        given = f"{states}/given-{number}"
+        to_versions(batch).select("key", *AS_VERSION).write.mode("overwrite").parquet(given)
+        new = spark.read.parquet(given)
+        touched = [r["bucket"] for r in new.select(bucket.alias("bucket")).distinct().collect()]  # as many as there are buckets at most
+        places = _places(spark, states, number)
+        held = _held(spark, states, places, touched)
         if held is not None:
             # The current version stands first in the fold: its seq is below any other.
-            touched = held.join(new.select("key").distinct(), "key", "left_semi").select("key", "current.*").withColumn("seq", F.lit(-1))
-            new = touched.select("key", *AS_VERSION).unionByName(new)
+            known = held.join(new.select("key").distinct(), "key", "left_semi").select("key", "current.*").withColumn("seq", F.lit(-1))
+            new = known.select("key", *AS_VERSION).unionByName(new)
         versions.resolve(new).write.mode("overwrite").parquet(f"{states}/changes-{number}")
-        if (number + 1) % MERGE_EVERY == 0:
-            _state(spark, states, number + 1).write.mode("overwrite").parquet(f"{states}/whole-{number}")
+        changed = spark.read.parquet(f"{states}/changes-{number}").select("key", "current")
+        state = changed if held is None else changed.unionByName(held.join(changed, "key", "left_anti"))
+        state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/batch-{number}")
+        now = places | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{states}/places-{number}")
 
     query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = _finished(spark, states, "changes-")
-    if not done:
-        empty = versions.resolve(to_versions(spark.createDataFrame([], stream.schema)).select("key", *AS_VERSION))
-        return empty.select("key", "current"), versions.log_rows(empty)
-    return _state(spark, states, done[-1] + 1), versions.log_rows(spark.read.parquet(*[f"{states}/changes-{n}" for n in done]))
+    done = _finished(spark, states, "places-")
+    places = _places(spark, states, done[-1] + 1) if done else {}
+    empty = versions.resolve(to_versions(spark.createDataFrame([], stream.schema)).select("key", *AS_VERSION))
+    held = _held(spark, states, places, places)
+    log = versions.log_rows(spark.read.schema(empty.schema).parquet(*[f"{states}/changes-{n}" for n in done]) if done else empty)
+    return (empty.select("key", "current") if held is None else held), log
 
 
 def backfill(stream: DataFrame, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataFrame:
@@ -114,15 +122,22 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str = "30 d
 
 
 def windowed(stream: DataFrame, time: str, width: str, by: str, delay: str = "1 hour", checkpoint: str | None = None) -> DataFrame:
-    """Counts by window and group, complete after all that a stream holds now."""
+    """Counts by window and group of what a stream holds now.
+
+    Batches write the windows that they changed; of a window the largest count is the last. A
+    window is forgotten once the watermark passes its end, so that the state does not grow with
+    the stream; rows that come later than `delay` then count no more.
+    """
     spark = stream.sparkSession
     root = _folder(spark, "window", checkpoint)
     counts = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"))
     flat = counts.select(F.col("window.start").alias("start"), by, "n")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch-{number}")
 
-    query = flat.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query = flat.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(flat.schema).parquet(f"{root}/out")
+    done = _finished(spark, f"{root}/out", "batch-")
+    shown = spark.read.schema(flat.schema).parquet(*[f"{root}/out/batch-{n}" for n in done]) if done else spark.createDataFrame([], flat.schema)
+    return shown.groupBy("start", by).agg(F.max("n").alias("n"))

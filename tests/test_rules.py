@@ -20,7 +20,10 @@ from corpusloom.plans import corpus, source_queries
 from corpusloom.sources import files, pages
 from corpusloom.streaming import upserts
 
-BASE = {"seq": 1, "source": "a", "rank": 2, "id": "x", "title": "t", "content": "long body", "status": "text", "date": "2026-01-02", "updated_at": None, "checked_at": None, "signature": None, "hash": "h1", "emptied": False}
+BASE = {"seq": 1, "source": "a", "rank": 2, "id": "x", "title": "t", "content": "long body", "status": "text", "date": "2026-01-02", "updated_at": None, "checked_at": None, "signature": None, "media": "", "hash": "h1", "failed": False, "attached": None}
+BARE = {"status": "title_only", "content": "", "attached": "pending"}
+
+T1, T2 = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 5)
 
 
 def decide(spark, old, new):
@@ -32,12 +35,19 @@ def decide(spark, old, new):
     return out["log"][0]["decision"], out["log"][0]["reason"], out["current"]["source"], out["current"]["checked_at"]
 
 
-T1, T2 = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 5)
-
-
 @pytest.mark.parametrize(("old", "new", "want"), [
     ({}, {"status": "title_only", "content": "t"}, ("skipped", "keep_valid", "a")),
-    ({}, {"status": "title_only", "content": "t", "emptied": True}, ("overwritten", "source_emptied", "b")),
+    ({"media": "old.png", "status": "ocr"}, {**BARE, "media": "new.png", "checked_at": T2}, ("overwritten", "source_emptied", "b")),
+    ({"media": "old.png", "status": "ocr", "checked_at": T1, "signature": "s1"}, {**BARE, "media": "new.png", "checked_at": T2, "signature": "s2"}, ("overwritten", "source_emptied", "b")),
+    ({"checked_at": T1, "signature": "s1"}, {**BARE, "attached": "not_applicable", "checked_at": T2, "signature": "s2"}, ("overwritten", "source_emptied", "b")),
+    ({"media": "old.png"}, {**BARE, "media": "new.png"}, ("skipped", "keep_valid", "a")),
+    ({"media": "old.png", "checked_at": T2}, {**BARE, "media": "new.png", "checked_at": T2}, ("skipped", "keep_valid", "a")),
+    ({"media": "old.png"}, {**BARE, "media": "new.png", "checked_at": T2, "date": "2026-01-01"}, ("skipped", "keep_valid", "a")),
+    ({"media": "old.png"}, {**BARE, "media": "new.png", "checked_at": T2, "failed": True}, ("skipped", "keep_valid", "a")),
+    ({"media": "old.png"}, {**BARE, "media": "new.png", "checked_at": T2, "attached": None}, ("skipped", "keep_valid", "a")),
+    ({"media": "a.png", "signature": "s"}, {**BARE, "media": "a.png", "checked_at": T2, "signature": "s"}, ("skipped", "keep_valid", "a")),
+    ({"media": "a.png", "signature": None}, {**BARE, "media": "a.png", "checked_at": T2, "signature": "s"}, ("skipped", "keep_valid", "a")),
+    ({"date": ""}, {"date": "2026-01-03"}, ("skipped", "not_longer", "a")),
     ({"status": "title_only", "content": "t"}, {}, ("overwritten", "first_valid", "b")),
     ({"updated_at": T1}, {"updated_at": T2}, ("overwritten", "newer_update", "b")),
     ({"updated_at": T2}, {"updated_at": T1}, ("skipped", "older_update", "a")),
@@ -226,8 +236,7 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     assert log.filter("decision = 'skipped'").count() > 0
 
 
-def test_streams_go_on_after_a_failure_and_a_restart(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(upserts, "MERGE_EVERY", 2)
+def test_streams_go_on_after_a_failure_and_a_restart(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     parts, rows = corpus.version_rows(docs), str(tmp_path / "versions")
     for seq in (1, 2):
@@ -271,6 +280,33 @@ def test_streams_go_on_after_a_failure_and_a_restart(spark, tmp_path, monkeypatc
     assert sorted(map(tuple, upserts.backfill(open_(), work, str(tmp_path / "c3")).collect())) == sorted(map(tuple, parts.select("doc_id", "seq").collect()))
 
 
+def test_a_batch_of_one_key_reads_and_writes_one_bucket(spark, tmp_path):
+    parts, rows, at = corpus.version_rows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), str(tmp_path / "versions"), str(tmp_path / "checkpoint")
+    parts.filter("seq = 1").coalesce(1).write.parquet(rows)
+    upserts.upsert(upserts.open_stream(spark, rows), lambda b: b, at, buckets=8)
+    one = parts.filter("seq = 2").orderBy("doc_id").limit(1)
+    one.coalesce(1).write.mode("append").parquet(rows)
+    read, held = [], upserts._held
+    upserts._held = lambda spark, states, places, buckets: read.append(list(buckets)) or held(spark, states, places, buckets)
+    try:
+        state, _ = upserts.upsert(upserts.open_stream(spark, rows), lambda b: b, at, buckets=8)
+    finally:
+        upserts._held = held
+    assert len(read[0]) == 1 and len(read[1]) == 8
+    assert [p.name for p in (tmp_path / "checkpoint/versions/batch-1").glob("bucket=*")] == [f"bucket={read[0][0]}"]
+    want = versions.resolve(parts.filter("seq = 1").unionByName(one))
+    names = ["key", "current.hash", "current.source"]
+    assert sorted(map(str, state.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
+
+
+def test_window_counts_of_many_batches(spark, tmp_path):
+    for day in range(4):  # each batch brings a day, and a row of the day before that is still in time
+        at = [dt.datetime(2026, 1, 1 + day, 12)] * 3 + [dt.datetime(2026, 1, max(1, day), 23)]
+        spark.createDataFrame([(t, "k") for t in at], "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    got = upserts.windowed(upserts.open_stream(spark, str(tmp_path / "rows")), "ts", "1 day", "kind", "2 days").collect()
+    assert sorted((r["start"].day, r["n"]) for r in got) == [(1, 5), (2, 4), (3, 4), (4, 3)]
+
+
 def test_upsert_is_idempotent_and_keeps_untouched_parents(spark):
     c = "chunk_id string, parent_id string, url string, chunk_index int, page_content string"
     old = spark.createDataFrame([("a_c0", "a", "u1", 0, "x"), ("a_c1", "a", "u1", 1, "y"), ("b_c0", "b", "u2", 0, "z")], c)
