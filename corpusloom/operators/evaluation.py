@@ -22,12 +22,26 @@ def positions(run: DataFrame) -> DataFrame:
     return run.select("case", "got", F.explode("expected").alias("url")).select("case", "url", F.array_position("got", F.col("url")).alias("place"))
 
 
-def breakdown(marks: DataFrame, *by: str) -> DataFrame:
-    """Top-1, 3 and 5 hit rates in percent, of all expected found and of some, over every subset of groups that a rollup of `by` gives."""
-    rate = lambda c: percent(F.count_if(c), F.count(F.lit(1)))
-    some = F.col("some_found") & ~F.col("all_found")
-    return marks.filter(~F.col("should_abstain")).rollup(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[rate(F.col(f"hit{k}")).alias(f"top{k}") for k in (1, 3, 5)], rate(F.col("all_found")).alias("full"), rate(some).alias("partial"),
+def breakdown(marks: DataFrame) -> DataFrame:
+    """Hit rates in percent by category, by split, by kind of case, by the slice of all three, and of all: one scan, by grouping sets.
+
+    marks: category, split, case_type (single, multi, abstain), expected, got. A case of one
+    expected URL is hit if it is among the first 1, 3 or 5; one of several if all are, and
+    `partial` counts those of which some, not all, are among the first 5. Abstaining cases count
+    in `total` and `abstain` alone, not in `n`, of which the rates are. `level` tells the grouping.
+    """
+    got = lambda k: F.slice("got", 1, k)
+    asked = (F.col("case_type") != "abstain") & (F.size("expected") > 0)
+    hit = lambda k: asked & (F.size(F.array_except("expected", got(k))) == 0)
+    some = asked & (F.col("case_type") == "multi") & F.arrays_overlap("expected", got(5))
+    rows = marks.select("category", "split", "case_type", asked.alias("asked"), *[hit(k).alias(f"hit{k}") for k in (1, 3, 5)], (some & ~hit(5)).alias("part"))
+    n = F.count_if("asked")
+    sets = [[F.col("category")], [F.col("split")], [F.col("case_type")], [F.col(c) for c in ("category", "split", "case_type")], []]
+    # A bit of grouping_id() is set where a column is summed over: category 4, split 2, case_type 1.
+    level = F.element_at(F.create_map(*[F.lit(x) for x in (3, "category", 5, "split", 6, "case_type", 0, "slice", 7, "all")]), F.grouping_id().cast("int"))
+    return rows.groupingSets(sets, "category", "split", "case_type").agg(
+        level.alias("level"), F.count(F.lit(1)).alias("total"), n.alias("n"), F.count_if(F.col("case_type") == "abstain").alias("abstain"),
+        *[percent(F.count_if(f"hit{k}"), n).alias(f"top{k}") for k in (1, 3, 5)], percent(F.count_if("part"), n).alias("partial"),
     )
 
 
@@ -46,15 +60,49 @@ def run_metrics(runs: DataFrame, by: str) -> DataFrame:
     )
 
 
+BINS = 4096  # of a histogram that finds a quantile's neighbourhood
+_RANKS = (("", "ran", 0.5), ("", "ran", 0.95), ("ok_", "good", 0.5), ("ok_", "good", 0.95))
+
+
 def latency(runs: DataFrame, by: str, seconds: str = "seconds") -> DataFrame:
     """Exact median, 95th percentile and mean of all that ran, of what succeeded, and the mean of what failed.
 
-    Seconds of one group are counted by value, of which there are few.
+    Quantiles are interpolated between the two values beside their rank. Two counting passes find
+    them: a histogram of BINS between a group's least and largest value says in which bin a rank
+    lies, and only the values of these bins are then counted one by one. What a task holds does
+    not grow with a group's values, and no group is sorted as a whole.
     """
-    ran = F.when(F.col("verdict") != "NOT_RUN", F.col(seconds))
-    good = F.when(F.col("verdict").isin("PASS", "FAIL", "REVIEW"), F.col(seconds))
-    both = lambda c, name: [F.percentile(c, F.lit(0.5)).alias(f"{name}p50"), F.percentile(c, F.lit(0.95)).alias(f"{name}p95"), F.avg(c).alias(f"{name}mean")]
-    return runs.groupBy(by).agg(*both(ran, ""), *both(good, "ok_"), F.avg(F.when(F.col("verdict") == "ERROR", F.col(seconds))).alias("error_mean"))
+    value = F.col(seconds).cast("double")
+    rows = runs.select(F.col(by).alias("_by"), F.when(F.col("verdict") != "NOT_RUN", value).alias("ran"), F.when(F.col("verdict").isin("PASS", "FAIL", "REVIEW"), value).alias("good"), F.when(F.col("verdict") == "ERROR", value).alias("failed"))
+    means = rows.groupBy("_by").agg(F.avg("ran").alias("mean"), F.avg("good").alias("ok_mean"), F.avg("failed").alias("error_mean"))
+    values = rows.select("_by", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in ("ran", "good")])).alias("x")).select("_by", "x.*").filter("v IS NOT NULL AND NOT isnan(v)")
+    spans = values.groupBy("_by", "kind").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(f"{name}p{round(100 * q)}").alias("name"), F.lit(q).alias("q"), F.lit(kind).alias("of")) for name, kind, q in _RANKS])
+    ranks = spans.select("_by", "kind", "least", "most", "n", F.explode(F.filter(wanted, lambda w: w["of"] == F.col("kind"))).alias("w")).select(
+        "_by", "kind", "least", "most", F.col("w.name").alias("name"), (F.col("w.q") * (F.col("n") - 1)).alias("at"))
+    same = lambda a, b: F.col(f"{a}._by").eqNullSafe(F.col(f"{b}._by")) & (F.col(f"{a}.kind") == F.col(f"{b}.kind"))
+    bin_ = F.when(F.col("s.most") > F.col("s.least"), F.least(F.lit(BINS - 1), F.floor((F.col("v.v") - F.col("s.least")) / (F.col("s.most") - F.col("s.least")) * BINS))).otherwise(0).cast("int")
+    binned = values.alias("v").join(spans.alias("s"), same("v", "s")).select("v._by", "v.kind", "v.v", bin_.alias("bin"))
+
+    def placed(counts: DataFrame, key: str, upto: list) -> DataFrame:
+        """Counts with how many values lie before each; a group has BINS rows, or those of a few bins."""
+        before = Window.partitionBy(*upto).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+
+    bins = placed(binned.groupBy("_by", "kind", "bin").agg(F.count(F.lit(1)).alias("c")), "bin", ["_by", "kind"])
+    low, high = F.floor("r.at"), F.ceil("r.at")
+    holds = (low < F.col("b.before") + F.col("b.c")) & (high >= F.col("b.before"))
+    picked = bins.alias("b").join(ranks.alias("r"), same("b", "r") & holds).select("b._by", "b.kind", "b.bin", F.col("b.before").alias("before_bin"), "r.name", "r.at")
+    one = picked.select("_by", "kind", "bin", "before_bin").distinct()
+    in_bins = binned.alias("v").join(one.alias("p"), same("v", "p") & (F.col("v.bin") == F.col("p.bin"))).groupBy("v._by", "v.kind", "v.bin", "p.before_bin", "v.v").agg(F.count(F.lit(1)).alias("c"))
+    exact = placed(in_bins, "v", ["_by", "kind", "bin"]).withColumn("before", F.col("before") + F.col("before_bin"))
+    beside = exact.alias("e").join(picked.alias("r"), same("e", "r") & (F.col("e.bin") == F.col("r.bin")))
+    inside = lambda at: (at >= F.col("e.before")) & (at < F.col("e.before") + F.col("e.c"))
+    ends = beside.groupBy("e._by", "r.name").agg(F.max("r.at").alias("at"), F.max(F.when(inside(low), F.col("e.v"))).alias("low"), F.max(F.when(inside(high), F.col("e.v"))).alias("high"))
+    found = ends.select("_by", "name", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("v"))
+    wide = found.groupBy("_by").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ("p50", "p95", "ok_p50", "ok_p95")])
+    out = means.alias("m").join(wide.alias("w"), F.col("m._by").eqNullSafe(F.col("w._by")), "left")
+    return out.select(F.col("m._by").alias(by), "p50", "p95", "mean", "ok_p50", "ok_p95", "ok_mean", "error_mean")
 
 
 def _says(text: Column, *words: str) -> Column:

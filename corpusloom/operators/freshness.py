@@ -63,26 +63,30 @@ def deferred(selected: DataFrame, groups: str) -> DataFrame:
 
 
 def greedy_budget(candidates: DataFrame, by: str, max_docs: int, max_assets: int) -> DataFrame:
-    """Per group, in the order of priority, whether a row still fits both budgets; a row that does not consumes nothing.
-
-    What is left of a budget only changes with a row that is taken, so each of at most max_docs
-    rounds takes every group's least row after its last one that still fits: no group is brought
-    to one task.
+    """Per group, in the order of priority, whether a row is taken: a row that does not fit both budgets consumes nothing, and one without assets is passed over.
+
+    Of the rows with the same number of assets those are taken that come first: what no longer
+    fits does not fit later. So only the first max_docs rows of each number up to max_assets can
+    ever be taken. These candidates are found by a ranking that is cut in the tasks before it is
+    shuffled, and one ordered fold over at most max_docs * max_assets of them per group decides:
+    two jobs, whatever the budgets, and no group is gathered. Rows of equal priority go by
+    doc_id. Null assets count as none.
     """
-    rows = stored(candidates.select(by, "priority", "doc_id", "assets").withColumn("_row", F.monotonically_increasing_id()))
-    order = F.struct("priority", "doc_id", "assets", "_row")
-    taken, state = rows.filter(F.lit(False)).select("_row"), None
-    for _ in range(max_docs):
-        if state is None:
-            still = rows.withColumn("_used", F.lit(0).cast("long"))
-        else:
-            still = rows.join(state, F.col(by).eqNullSafe(F.col("_by"))).filter(order > F.col("_last"))
-        least = still.filter(F.col("_used") + F.col("assets") <= max_assets).groupBy(by).agg(F.min(order).alias("_last"), F.max("_used").alias("_used"))
-        state = stored(least.select(F.col(by).alias("_by"), "_last", (F.col("_used") + F.col("_last.assets")).alias("_used")))
-        if state.isEmpty():
-            break
-        taken = taken.unionByName(state.select("_last._row"))
-    return rows.join(taken.withColumn("taken", F.lit(True)), "_row", "left").select(by, "doc_id", F.coalesce("taken", F.lit(False)).alias("taken"))
+    rows = candidates.select(by, "priority", "doc_id", F.coalesce("assets", F.lit(0)).cast("long").alias("assets")).withColumn("_row", F.monotonically_increasing_id())
+    rows = stored(rows)
+    same = Window.partitionBy(by, "assets").orderBy("priority", "doc_id", "_row")
+    able = rows.filter((F.col("assets") > 0) & (F.col("assets") <= max_assets)).withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= max_docs)
+    inner = F.array_sort(F.collect_list(F.struct("priority", "doc_id", "_row", "assets")))
+    state = "struct<docs:int,used:bigint,taken:array<bigint>>"
+    start = F.struct(F.lit(0).alias("docs"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("taken")).cast(state)
+
+    def step(held: Column, row: Column) -> Column:
+        fits = (held["docs"] < max_docs) & (held["used"] + row["assets"] <= max_assets)
+        after = F.struct((held["docs"] + 1).alias("docs"), (held["used"] + row["assets"]).alias("used"), F.concat(held["taken"], F.array(row["_row"])).alias("taken"))
+        return F.when(fits, after.cast(state)).otherwise(held)
+
+    folded = able.groupBy(by).agg(inner.alias("_rows")).select(F.explode(F.aggregate("_rows", start, step, lambda held: held["taken"])).alias("_row"))
+    return rows.join(folded.withColumn("taken", F.lit(True)), "_row", "left").select(by, "doc_id", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

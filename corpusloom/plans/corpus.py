@@ -62,8 +62,8 @@ def version_rows(d: DataFrame) -> DataFrame:
         F.when(number % 14 == 0, at(number % 12)).alias("updated_at"), at(F.lit(9)).alias("checked_at"), F.when(number % 4 == 0, image(".png#archived")).otherwise(no_image).alias("images"), *unseen)
     feed = base.filter(number % 5 == 0).select(
         *common, F.lit(3).alias("seq"), F.lit("feed").alias("source"), F.lit(1).alias("rank"), F.when(number % 10 == 0, "").otherwise(F.col("title")).alias("content"), F.lit("title_only").alias("status"),
-        day(number % 2).alias("date"), none("timestamp").alias("updated_at"), at(number % 20).alias("checked_at"), F.when(number % 25 == 0, image("-new.png")).when(number % 4 == 0, image(".png")).otherwise(no_image).alias("images"),
-        F.when(number % 10 == 0, "").alias("html"), (number % 15 == 0).alias("failed"), F.element_at(F.array(*map(F.lit, ("pending", "failed", "not_applicable"))), F.floor(number / 5).cast("int") % 3 + 1).alias("attached"))
+        day(number % 2).alias("date"), none("timestamp").alias("updated_at"), at(number * 7 % 33).alias("checked_at"), F.when(number % 25 == 0, image("-new.png")).when(number % 4 == 0, image(".png")).otherwise(no_image).alias("images"),
+        F.when(number % 10 == 0, "").alias("html"), (number % 15 == 0).alias("failed"), F.element_at(F.array(*map(F.lit, ("pending", "failed", "not_applicable", "attempted"))), F.floor(number / 5).cast("int") % 4 + 1).alias("attached"))
     rows = versions.with_hash(site.unionByName(archive).unionByName(feed))
     no_files = F.lit(None).cast("array<struct<url:string>>")
     signed = rows.withColumns({
@@ -81,8 +81,8 @@ VERSIONS_SQL = DOCUMENTS_SQL + """, raw AS (
     strftime(date::DATE + (doc_id % 3)::INT, '%Y-%m-%d'), CASE WHEN doc_id % 14 = 0 THEN TIMESTAMP '2026-01-01' + to_days((doc_id % 12)::INT) END,
     TIMESTAMP '2026-01-10', CASE WHEN doc_id % 4 = 0 THEN 'https://h/i/' || id || '.png' ELSE '' END, NULL, false, NULL FROM base WHERE doc_id % 3 = 0
   UNION ALL SELECT doc_id, id, title, url, source_type, 3, 'feed', 1, CASE WHEN doc_id % 10 = 0 THEN '' ELSE title END, 'title_only', strftime(date::DATE + (doc_id % 2)::INT, '%Y-%m-%d'), NULL,
-    TIMESTAMP '2026-01-01' + to_days((doc_id % 20)::INT), CASE WHEN doc_id % 25 = 0 THEN 'https://h/i/' || id || '-new.png' WHEN doc_id % 4 = 0 THEN 'https://h/i/' || id || '.png' ELSE '' END,
-    CASE WHEN doc_id % 10 = 0 THEN '' END, doc_id % 15 = 0, ['pending', 'failed', 'not_applicable'][(doc_id // 5) % 3 + 1] FROM base WHERE doc_id % 5 = 0
+    TIMESTAMP '2026-01-01' + to_days((doc_id * 7 % 33)::INT), CASE WHEN doc_id % 25 = 0 THEN 'https://h/i/' || id || '-new.png' WHEN doc_id % 4 = 0 THEN 'https://h/i/' || id || '.png' ELSE '' END,
+    CASE WHEN doc_id % 10 = 0 THEN '' END, doc_id % 15 = 0, ['pending', 'failed', 'not_applicable', 'attempted'][(doc_id // 5) % 4 + 1] FROM base WHERE doc_id % 5 = 0
 ), versions AS (
   SELECT *, substr(sha256(title || chr(10) || content), 1, 16) AS hash,
     CASE WHEN html IS NOT NULL THEN sha256(trim(title) || chr(1) || trim(html) || chr(1) || media || chr(1))

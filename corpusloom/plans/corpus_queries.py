@@ -163,8 +163,8 @@ def first_wins(spark, sf_dir):
 ), walk(site, i, doc_id, taken, docs, used) AS (
   SELECT site, 0, NULL::BIGINT, false, 0, 0::BIGINT FROM (SELECT DISTINCT site FROM c)
   UNION ALL
-  SELECT w.site, c.i, c.doc_id, w.docs < 8 AND w.used + c.assets <= 20, w.docs + (w.docs < 8 AND w.used + c.assets <= 20)::INT,
-    w.used + CASE WHEN w.docs < 8 AND w.used + c.assets <= 20 THEN c.assets ELSE 0 END
+  SELECT w.site, c.i, c.doc_id, c.assets > 0 AND w.docs < 8 AND w.used + c.assets <= 20, w.docs + (c.assets > 0 AND w.docs < 8 AND w.used + c.assets <= 20)::INT,
+    w.used + CASE WHEN c.assets > 0 AND w.docs < 8 AND w.used + c.assets <= 20 THEN c.assets ELSE 0 END
   FROM walk w JOIN c ON c.site = w.site AND c.i = w.i + 1)
 SELECT site, doc_id, taken FROM walk WHERE i > 0""")
 def greedy_budget(spark, sf_dir):

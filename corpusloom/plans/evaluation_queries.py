@@ -44,10 +44,22 @@ def eval_retrieval(spark, sf_dir):
 _RATE = "round(100.0::DOUBLE * count(*) FILTER ({c}) / count(*), 2)"
 
 
-@R.add("retrieval_breakdown", f"""WITH {RUNS_SQL} SELECT source_type, split, count(*) AS n, {_RATE.format(c='hit1')} AS top1, {_RATE.format(c='hit3')} AS top3,
-  {_RATE.format(c='hit5')} AS top5, {_RATE.format(c='all_found')} AS "full", {_RATE.format(c='hit5 AND NOT all_found')} AS partial FROM marks WHERE NOT should_abstain GROUP BY ROLLUP (source_type, split)""")
+_SETS = """SELECT CASE grouping(category, split, case_type) WHEN 3 THEN 'category' WHEN 5 THEN 'split' WHEN 6 THEN 'case_type' WHEN 0 THEN 'slice' ELSE 'all' END AS level, category, split, case_type,
+  count(*) AS total, count(*) FILTER (asked) AS n, count(*) FILTER (case_type = 'abstain') AS abstain, {rates} FROM cases GROUP BY GROUPING SETS ((category), (split), (case_type), (category, split, case_type), ())"""
+_PART = "round(100.0::DOUBLE * count(*) FILTER ({c}) / nullif(count(*) FILTER (asked), 0), 2)"
+_TOPS = ", ".join([f"{_PART.format(c=f'asked AND list_has_all(got[1:{k}], wanted)')} AS top{k}" for k in (1, 3, 5)] + [
+    _PART.format(c="asked AND case_type = 'multi' AND list_has_any(got[1:5], wanted) AND NOT list_has_all(got[1:5], wanted)") + " AS partial"])
+
+
+@R.add("retrieval_breakdown", f"""WITH {RUNS_SQL}, cases AS (
+  SELECT source_type AS category, split, CASE WHEN should_abstain THEN 'abstain' WHEN "case" % 4 = 0 THEN 'multi' ELSE 'single' END AS case_type, got,
+    CASE WHEN should_abstain THEN [] WHEN "case" % 4 = 0 THEN expected ELSE expected[1:1] END AS wanted, NOT should_abstain AS asked FROM runs
+) {_SETS.format(rates=_TOPS)}""")
 def retrieval_breakdown(spark, sf_dir):
-    return E.breakdown(E.retrieval_marks(runs(spark, sf_dir)), "source_type", "split")
+    kind = F.when(F.col("should_abstain"), "abstain").when(F.col("case") % 4 == 0, "multi").otherwise("single")
+    r = runs(spark, sf_dir).withColumns({"category": F.col("source_type"), "case_type": kind})
+    wanted = F.when(kind == "abstain", F.array().cast("array<string>")).when(kind == "multi", F.col("expected")).otherwise(F.slice("expected", 1, 1))
+    return E.breakdown(r.withColumn("expected", wanted))
 
 
 _V = "round(100.0::DOUBLE * count(*) FILTER (verdict = '{v}') / nullif(count(*) FILTER (verdict <> 'NOT_RUN'), 0), 2)"

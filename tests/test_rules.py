@@ -333,7 +333,7 @@ def test_greedy_budget_skips_what_does_not_fit(spark):
     assert got == {1: True, 2: False, 3: True, 4: True}
 
 
-def test_greedy_budget_equals_a_fold_without_a_group_in_one_array(spark):
+def test_greedy_budget_equals_a_fold_over_few_candidates(spark):
     random = np.random.default_rng(1)
     rows = [(None if i % 11 == 0 else f"g{i % 3}", int(random.integers(0, 40)), i // 2, int(random.integers(0, 7))) for i in range(300)] + [("g1", 3, 5, 2)] * 3
     df = spark.createDataFrame(rows, "by string, priority long, doc_id long, assets long")
@@ -341,13 +341,22 @@ def test_greedy_budget_equals_a_fold_without_a_group_in_one_array(spark):
     for g in {r[0] for r in rows}:
         docs = used = 0
         for _, d, a in sorted(r[1:] for r in rows if r[0] == g):
-            fits = docs < 8 and used + a <= 20
+            fits = a > 0 and docs < 8 and used + a <= 20
             docs, used = docs + fits, used + a * fits
             want.append((str(g), d, fits))
     found = freshness.greedy_budget(df, "by", 8, 20)
     assert sorted((str(r["by"]), r["doc_id"], r["taken"]) for r in found.collect()) == sorted(want)
-    assert "collect_list" not in found._jdf.queryExecution().toString()
     assert not any(r["taken"] for r in freshness.greedy_budget(df, "by", 0, 20).collect())
+    many = spark.range(50_000).select(F.lit("g").alias("by"), F.col("id").alias("priority"), F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("assets"))
+    taken = freshness.greedy_budget(many, "by", 5, 7)
+    assert sorted(r["doc_id"] for r in taken.filter("taken").collect()) == [1, 2, 4, 5, 7]
+    # Of 50,000 rows in a group the array that is folded holds at most max_docs of each number of assets.
+    assert "WindowGroupLimit" in taken._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_budget_passes_over_rows_without_assets(spark):
+    rows = spark.createDataFrame([("g", i, i, a) for i, a in enumerate([0, 0, 5, None, 3])], "by string, priority long, doc_id long, assets long")
+    assert sorted(r["doc_id"] for r in freshness.greedy_budget(rows, "by", 2, 10).filter("taken").collect()) == [2, 4]
 
 
 def test_newest_first_ranks_by_days(spark):
@@ -528,3 +537,28 @@ def test_calendar_events_equal_a_cursor_over_lines(spark):
     assert got == {i: plain_calendar(t) for i, t in enumerate(texts) if plain_calendar(t)}
     one = schedules.date_lines(spark.createDataFrame([(1, "2026.03.02(월) ~ 2026.03.06(금) 개강\n2026-03-09 (수)\n 입학식")], "doc_id int, content string")).collect()
     assert [(r["title"], str(r["start"]), str(r["end"])) for r in one] == [("개강", "2026-03-02", "2026-03-06"), ("입학식", "2026-03-09", "2026-03-09")]
+
+
+def test_latency_quantiles_of_continuous_values_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "BINS", 16)
+    random = np.random.default_rng(2)
+    rows = [(f"g{i % 3}" if i % 7 else None, ["PASS", "FAIL", "ERROR", "NOT_RUN"][i % 4], float(random.gamma(2.0, 3.0))) for i in range(3000)]
+    rows += [("one", "PASS", 2.5), ("same", "PASS", 4.0), ("same", "PASS", 4.0), ("none", "NOT_RUN", 1.0), ("null", "PASS", None)]
+    got = {r["by"]: r for r in evaluation.latency(spark.createDataFrame(rows, "by string, verdict string, seconds double"), "by").collect()}
+    assert len(got) == 8
+    for g, r in got.items():
+        for name, kinds in (("", ("PASS", "FAIL", "ERROR")), ("ok_", ("PASS", "FAIL"))):
+            v = [s for b, k, s in rows if b == g and k in kinds and s is not None]
+            for q in (50, 95):
+                assert r[f"{name}p{q}"] == (pytest.approx(np.percentile(v, q), rel=1e-12) if v else None)
+            assert r[f"{name}mean"] == (pytest.approx(np.mean(v)) if v else None)
+
+
+def test_breakdown_by_every_grouping(spark):
+    rows = [("a", "dev", "single", ["u1"], ["u1", "x"]), ("a", "dev", "multi", ["u1", "u2"], ["u2", "x", "u1"]), ("a", "test", "multi", ["u1", "u2"], ["u1"]), ("b", "dev", "abstain", [], ["u1"]), ("b", "dev", "single", ["u9"], ["a", "b", "c", "u9"])]
+    got = {(r["level"], r["category"], r["split"], r["case_type"]): (r["total"], r["n"], r["abstain"], r["top1"], r["top3"], r["top5"], r["partial"]) for r in evaluation.breakdown(
+        spark.createDataFrame(rows, "category string, split string, case_type string, expected array<string>, got array<string>")).collect()}
+    assert got["all", None, None, None] == (5, 4, 1, 25.0, 50.0, 75.0, 25.0)
+    assert got["category", "b", None, None] == (2, 1, 1, 0.0, 0.0, 100.0, 0.0) and got["split", None, "test", None] == (1, 1, 0, 0.0, 0.0, 0.0, 100.0)
+    assert got["case_type", None, None, "abstain"] == (1, 0, 1, None, None, None, None) and got["slice", "a", "dev", "multi"] == (1, 1, 0, 0.0, 100.0, 100.0, 0.0)
+    assert len(got) == 1 + 2 + 2 + 3 + 5
