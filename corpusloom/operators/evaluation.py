@@ -280,5 +280,21 @@ def verify_evidence(items: DataFrame, docs: DataFrame) -> DataFrame:
     return g.withColumn("verdict", F.when(F.size("reasons") == 0, "verified").otherwise("rejected"))
 
 
+def superseded_by(docs: DataFrame) -> DataFrame:
+    """id, newer (the newest correction of the same title that is later dated), n_newer (how many are) of what is no correction itself.
+
+    docs: id, clean (the title without its marks of correction), date, corrected. Corrections are
+    counted by title and day before anything is joined, and how many come later is summed over a
+    title's days, so that the output is a row a document and nothing pairs up; documents meet
+    their counts by title and day. Empty titles match nothing.
+    """
+    rows = docs.filter((F.col("clean") != "") & F.col("date").isNotNull())
+    latest = F.struct(F.col("date").alias("day"), F.col("id").alias("id"))
+    days = rows.groupBy("clean", "date").agg(F.count_if("corrected").alias("n"), F.max(F.when(F.col("corrected"), latest)).alias("latest"))
+    later = Window.partitionBy("clean").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = days.select("clean", "date", F.sum("n").over(later).alias("n_newer"), F.max("latest").over(later)["id"].alias("newer")).filter("n_newer > 0")
+    return rows.filter(~F.col("corrected")).join(above, ["clean", "date"]).select("id", "newer", "n_newer")
+
+
 def duplicates(rows: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+QUESTIONS_SENT, CHUNKS_SCANNED = 2048, 1024  # questions that every task may hold, and chunks that they are compared with at once
 QUESTIONS_AT_ONCE, CHUNKS_AT_ONCE = 1024, 8192  # about the sides of one matrix product
 DIGITS = 6
 
@@ -25,28 +26,63 @@ def relevance(distance: Column) -> Column:
 def knn(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, raw_score, raw_rank: the k chunks of the best relevance for each question.
 
-    Questions are dealt into blocks and chunks into parts by hash, both sized by their counts.
-    Each block meets each part in a group of its own, by shuffle, which keeps k a question by
-    one matrix product; neither passes through the driver. Scores have DIGITS decimals; equal
-    ones go by chunk_id. Vectors: `embedding`, unit length.
+    Up to QUESTIONS_SENT questions are sent to every task, which scans the chunks where they lie
+    and keeps k a question; only these are shuffled. More questions are dealt into blocks and
+    chunks into parts by hash, both sized by their counts; each block meets each part in a group
+    of its own, by shuffle, which keeps k a question by one matrix product. Scores have DIGITS
+    decimals; equal ones go by chunk_id. Vectors: `embedding`, unit length.
     """
-    blocks, parts = max(1, -(-queries.count() // QUESTIONS_AT_ONCE)), max(1, -(-chunks.count() // CHUNKS_AT_ONCE))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", "embedding", dealt("query_id", blocks).alias("_block"), each(parts).alias("_part"))
-    c = chunks.select("chunk_id", "embedding", each(blocks).alias("_block"), dealt("chunk_id", parts).alias("_part"))
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = q.groupBy("_block", "_part").cogroup(c.groupBy("_block", "_part")).applyInPandas(_nearest(k), f"query_id {kind}, chunk_id string, raw_score double")
+    few = queries.select("query_id", "embedding").limit(QUESTIONS_SENT + 1).collect()
+    if len(few) <= QUESTIONS_SENT:
+        found = chunks.select("chunk_id", "embedding").mapInPandas(_scanned(chunks.sparkSession, few, k), f"query_id {kind}, chunk_id string, raw_score double")
+    else:
+        blocks, parts = max(1, -(-queries.count() // QUESTIONS_AT_ONCE)), max(1, -(-chunks.count() // CHUNKS_AT_ONCE))
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = queries.select("query_id", "embedding", dealt("query_id", blocks).alias("_block"), each(parts).alias("_part"))
+        c = chunks.select("chunk_id", "embedding", each(blocks).alias("_block"), dealt("chunk_id", parts).alias("_part"))
+        found = q.groupBy("_block", "_part").cogroup(c.groupBy("_block", "_part")).applyInPandas(_nearest(k), f"query_id {kind}, chunk_id string, raw_score double")
     w = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), "chunk_id")
     return found.withColumn("raw_rank", F.row_number().over(w)).filter(F.col("raw_rank") <= k)
 
 
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.round(1 - (2 - 2 * (q @ x.T)) / 2**0.5, DIGITS)
+
+
+def _scanned(spark: SparkSession, questions: list[Row], k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A scan of chunks that keeps the k best of each question, and gives them at the end of a task."""
+    shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in questions]), np.array([r["embedding"] for r in questions], np.float64)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        asks, names, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        least = np.full(len(ids), -np.inf)
+        for batch in batches:
+            for at in range(0, len(batch) if len(ids) else 0, CHUNKS_SCANNED):
+                part = batch.iloc[at : at + CHUNKS_SCANNED]
+                score = _scores(q, np.array(part["embedding"].tolist(), np.float64))
+                here = np.partition(score, -k, axis=1)[:, -k] if len(part) > k else np.full(len(ids), -np.inf)
+                i, j = np.nonzero(score >= np.maximum(least, here)[:, None])
+                asks, names, scores = np.r_[asks, i], np.r_[names, part["chunk_id"].to_numpy()[j]], np.r_[scores, score[i, j]]
+                order = np.lexsort((names, -scores, asks))
+                first = np.searchsorted(asks[order], np.arange(len(ids)))
+                order = order[np.arange(len(order)) - first[asks[order]] < k]
+                asks, names, scores = asks[order], names[order], scores[order]
+                full = np.flatnonzero(np.bincount(asks, minlength=len(ids)) == k)
+                least[full] = scores[np.searchsorted(asks, full, "right") - 1]
+        yield pd.DataFrame({"query_id": ids[asks], "chunk_id": names, "raw_score": scores})
+
+    return scan
+
+
 def _nearest(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def local(questions: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(chunks):
             return pd.DataFrame({"query_id": questions["query_id"][:0], "chunk_id": chunks["chunk_id"][:0], "raw_score": np.zeros(0)})
         q, x = (np.array(side["embedding"].tolist(), np.float64) for side in (questions, chunks))
-        score = np.round(1 - (2 - 2 * (q @ x.T)) / 2**0.5, DIGITS)
+        score = _scores(q, x)
         ids, names = questions["query_id"].to_numpy(), chunks["chunk_id"].to_numpy()
         best: list[pd.DataFrame] = []
         for i in range(len(ids)):

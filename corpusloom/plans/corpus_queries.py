@@ -210,11 +210,11 @@ def sync_diff(spark, sf_dir):
 
 _CHUNK_SETS = DOCUMENTS_SQL + """, existing AS (
   SELECT id || '_c' || k AS chunk_id, id AS parent_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE url END AS url, k AS chunk_index, CASE WHEN doc_id % 5 = 0 AND k = 0 THEN 'h' || doc_id END AS content_hash,
-    substr(content, 1 + 40 * k::INT, 40) AS page_content FROM base, range(3) AS r(k)
+    substr(content, 1 + (length(content) + 2) // 3 * k::INT, (length(content) + 2) // 3) AS page_content FROM base, range(3) AS r(k)
 ), incoming AS (
-  SELECT 'n' || id || '_c' || k AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN id ELSE 'n' || id END AS parent_id, url, k AS chunk_index, NULL::VARCHAR AS content_hash, substr(content, 1, 30) AS page_content
+  SELECT 'n' || id || '_c' || k AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN id ELSE 'n' || id END AS parent_id, url, k AS chunk_index, NULL::VARCHAR AS content_hash, 'new ' || content AS page_content
     FROM base, range(2) AS r(k) WHERE doc_id % 7 = 0
-  UNION ALL SELECT id || '_c0', id, url, 0, NULL, substr(content, 1, 30) FROM base WHERE doc_id % 11 = 0
+  UNION ALL SELECT id || '_c0', id, url, 0, NULL, content FROM base WHERE doc_id % 11 = 0
 ), stale AS (
   SELECT chunk_id FROM existing e WHERE (chunk_id IN (SELECT chunk_id FROM incoming) OR parent_id IN (SELECT parent_id FROM incoming) OR (url <> '' AND url IN (SELECT url FROM incoming)))
     AND chunk_id NOT IN (SELECT chunk_id FROM incoming))"""
@@ -225,10 +225,11 @@ def _chunk_sets(spark, sf_dir):
     k = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
     name = lambda prefix: F.concat(F.lit(prefix), F.col("id"), F.lit("_c"), F.col("k").cast("string")).alias("chunk_id")
     none = F.lit(None).cast("string").alias("content_hash")
+    third = F.floor((F.length("content") + 2) / 3).cast("int")  # a document's whole text is in its three chunks
     existing = k.select(name(""), F.col("id").alias("parent_id"), F.when(n % 4 == 0, "").otherwise(F.col("url")).alias("url"), F.col("k").cast("long").alias("chunk_index"),
-                        F.when((n % 5 == 0) & (F.col("k") == 0), F.concat(F.lit("h"), n.cast("string"))).alias("content_hash"), F.substring("content", 1 + 40 * F.col("k"), F.lit(40)).alias("page_content"))
-    new = k.filter((n % 7 == 0) & (F.col("k") < 2)).select(name("n"), F.when(n % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("n"), "id")).alias("parent_id"), "url", F.col("k").cast("long").alias("chunk_index"), none, F.substring("content", 1, 30).alias("page_content"))
-    again = k.filter((n % 11 == 0) & (F.col("k") == 0)).select(name(""), F.col("id").alias("parent_id"), "url", F.lit(0).cast("long").alias("chunk_index"), none, F.substring("content", 1, 30).alias("page_content"))
+                        F.when((n % 5 == 0) & (F.col("k") == 0), F.concat(F.lit("h"), n.cast("string"))).alias("content_hash"), F.substring("content", 1 + third * F.col("k"), third).alias("page_content"))
+    new = k.filter((n % 7 == 0) & (F.col("k") < 2)).select(name("n"), F.when(n % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("n"), "id")).alias("parent_id"), "url", F.col("k").cast("long").alias("chunk_index"), none, F.concat(F.lit("new "), "content").alias("page_content"))
+    again = k.filter((n % 11 == 0) & (F.col("k") == 0)).select(name(""), F.col("id").alias("parent_id"), "url", F.lit(0).cast("long").alias("chunk_index"), none, F.col("content").alias("page_content"))
     return existing, new.unionByName(again)
 
 

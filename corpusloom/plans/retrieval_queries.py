@@ -37,7 +37,7 @@ def _pick(values, number):
 def chunks(spark, sf_dir):
     n = F.col("doc_id")
     c = plain_chunks(spark, sf_dir).withColumn("title", _pick(TITLES, n))
-    content = F.concat("title", F.lit("\n"), _pick(BODIES, n), F.when(n % 7 != 3, F.concat(F.lit(" "), F.substring("content", 1, 200))).otherwise(F.lit("")))
+    content = F.concat("title", F.lit("\n"), _pick(BODIES, n), F.when(n % 7 != 3, F.concat(F.lit(" "), F.col("content"))).otherwise(F.lit("")))
     return c.select(
         "doc_id", "chunk_id", "embedding", "title", content.alias("content"), "date", "source_type", F.when(n % 5 == 0, "title_only").otherwise("text").alias("status"),
         (n % 3).cast("int").alias("chunk_index"), F.concat(F.lit("https://h/p"), (n % 6).cast("string")).alias("url"),
@@ -67,7 +67,7 @@ _LIST = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in
 
 _KNN = CHUNKS_SQL.replace("), chunks AS (", "), vectors AS (") + f""", {_ASKED}, chunks AS (
   SELECT doc_id, chunk_id, embedding, {_LIST(TITLES)}[doc_id % 12 + 1] AS title, {_LIST(TITLES)}[doc_id % 12 + 1] || chr(10) || {_LIST(BODIES)}[doc_id % 7 + 1]
-      || CASE WHEN doc_id % 7 <> 3 THEN ' ' || substr(content, 1, 200) ELSE '' END AS content, date, source_type, CASE WHEN doc_id % 5 = 0 THEN 'title_only' ELSE 'text' END AS status,
+      || CASE WHEN doc_id % 7 <> 3 THEN ' ' || content ELSE '' END AS content, date, source_type, CASE WHEN doc_id % 5 = 0 THEN 'title_only' ELSE 'text' END AS status,
     (doc_id % 3)::INT AS chunk_index, 'https://h/p' || (doc_id % 6) AS url FROM vectors
 ), questions AS (
   SELECT v.doc_id AS query_id, embedding, a.* FROM vectors v JOIN asked a ON a.i = (v.doc_id // 20) % 10 WHERE v.doc_id % 20 = 0

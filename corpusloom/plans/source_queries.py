@@ -63,6 +63,19 @@ def parse_listing(spark, sf_dir):
     return P.listing(_boards(spark, sf_dir), "2000-09-01", r"https://h/bbs/x/1/\d+/artclView\.do").select("page_id", "title", "date", "pinned", "wanted")
 
 
+@R.add("faq_rows", """SELECT o_custkey AS page_id, 'https://h/faq/' || o_custkey AS url, o_orderpriority || ' Order ' || o_orderkey || '?' AS question,
+  'State ' || o_orderstatus || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN 'date | ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'date | ' || o_custkey || chr(10) ELSE '' END || 'by ' || o_custkey AS answer,
+  o_orderpriority AS category, (o_custkey % 9 + 1)::INTEGER AS total, sha256('faq:' || o_orderpriority || ' Order ' || o_orderkey || '?') AS id FROM orders""")
+def faq_rows(spark, sf_dir):
+    key, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    grid = say("<table><tr><th rowspan=2>date</th><td>", F.date_format("o_orderdate", "yyyy-MM-dd"), "</td></tr><tr><td>", text("o_custkey"), "</td></tr></table>\n")
+    item = say("<li><p class='question'><span class='cate-name'>", text("o_orderpriority"), "</span><b>Order ", text("o_orderkey"), "?</b></p><div class='answer'> State ", text("o_orderstatus"), "\n", F.when(key % 3 == 0, grid).otherwise(""), "by ", text("o_custkey"), "</div>")
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    html = say("<h1>FAQ</h1><div class='faq-list'><ul>", F.col("items"), "</ul></div><i class='_totPage'>", (F.col("page_id") % 9 + 1).cast("string"), "</i>")
+    return P.faq(lists.select("page_id", say("https://h/faq/", text("page_id")).alias("url"), html.alias("html")), "faq:").drop("content_hash")
+
+
 @R.add("page_headings")
 def page_headings(spark, sf_dir):
     # No SQL: some headings break off within a reference, which DuckDB cannot decode; tests compare every page with the standard parser.

@@ -41,12 +41,12 @@ def with_media(spark, sf_dir):
     none = F.array().cast("array<struct<url:string,name:string,text:string,status:string>>")
     return d.withColumns({
         "images": F.when(n % 4 == 0, F.array(image)).when(n % 4 == 1, none), "attachments": F.when(n % 3 == 0, F.array(first)).when(n % 3 == 1, F.array(first, second)).otherwise(none),
-        "content": F.when(n % 6 == 5, "").otherwise(F.substring("content", 1, 300)),
+        "content": F.when(n % 6 == 5, "").otherwise(F.col("content")),
     })
 
 
 _MEDIA = DOCUMENTS_SQL + """, parts AS (
-  SELECT *, ['success', 'empty', 'failed'][doc_id % 3 + 1] AS state, CASE WHEN doc_id % 6 = 5 THEN '' ELSE substr(content, 1, 300) END AS body, doc_id % 4 = 0 AS has_image, doc_id % 3 <> 2 AS has_file, doc_id % 3 = 1 AS has_second,
+  SELECT *, ['success', 'empty', 'failed'][doc_id % 3 + 1] AS state, CASE WHEN doc_id % 6 = 5 THEN '' ELSE content END AS body, doc_id % 4 = 0 AS has_image, doc_id % 3 <> 2 AS has_file, doc_id % 3 = 1 AS has_second,
     'https://m/i' || (doc_id % 40) || '.png#x' AS image_url, 'file ' || doc_id AS file_name, CASE WHEN doc_id % 5 = 0 THEN content ELSE 'a file of ' || doc_id END AS file_text, CASE WHEN doc_id % 7 = 0 THEN 'partial' ELSE 'success' END AS file_state FROM base
 ), media AS (
   SELECT *, CASE WHEN has_image AND state = 'success' THEN CASE WHEN doc_id % 2 = 0 THEN substr(content, 1, 20) ELSE 'seen ' || doc_id END ELSE '' END AS image_text FROM parts)"""

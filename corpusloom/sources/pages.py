@@ -20,17 +20,20 @@ FILES = re.compile(r"\.(pdf|hwp|hwpx|docx?|xlsx?|zip)(?:$|\?)", re.I)
 DOWNLOADS = re.compile(r"download\.do|fileDown\.do|\.(?:pdf|hwp|hwpx)(?:\?|$)", re.I)
 BOARD = re.compile(r"/bbs/[^/]+/\d+/(?:artclList|\d+/artclView)\.do")
 MENU = {"nav", "menu"}
+MOST_DEEP = 512  # levels of a page's tree
+ENDS_ITS_LIKE = {"li", "tr", "td", "th", "dt", "dd", "p", "option", "a"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNREAD = {"script", "style", "nav", "input", "button", "select"}
 BLOCKS = {"p", "div", "li", "ul", "ol", "dl", "dt", "dd", "tr", "td", "th", "table", "section", "article", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "br", "header", "footer", "main", "body"}
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict[str, str]
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
+    depth: int = 0
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -42,6 +45,17 @@ class Node:
     def all(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
 
+    def rows(self) -> list[Node]:
+        """A table's own rows, without those of tables inside it."""
+        found, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if node.tag == "tr" and node is not self:
+                found.append(node)
+            else:
+                stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and c.tag != "table")
+        return found
+
     def marked(self, name: str) -> list[Node]:
         """Nodes of a class, or of an id if the name begins with #."""
         return [n for n in self.walk() if (n.attrs.get("id") == name[1:] if name.startswith("#") else name in n.attrs.get("class", "").split())]
@@ -64,31 +78,53 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """A tree of a page. Open elements are indexed by tag, so that closing one, or finding that none is open, takes constant time.
+
+    As in browsers the tree is at most MOST_DEEP levels deep: what is nested deeper hangs beside
+    its parent there, in the order of the page, while end tags still close what they belong to.
+    """
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
-        self.at = self.root
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # where elements of a tag stand among the open ones
+
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def _close(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+    def _add(self, tag: str, attrs: list) -> Node:
+        at = self.open[-1]
+        host = at if at.depth < MOST_DEEP else at.parent
+        node = Node(tag, {k: v or "" for k, v in attrs}, host, depth=host.depth + 1)
+        host.children.append(node)
+        return node
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "p", "option"):  # a new one ends one that was left open
-            near = next((n for n in (self.at, *self.at.up()) if n.tag in (tag, "ul", "ol", "dl", "table")), None)
-            if near is not None and near.tag == tag and near.parent is not None:
-                self.at = near.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        if tag in ENDS_ITS_LIKE:  # a new one ends one that was left open
+            place = self._last(tag)
+            if place > max(map(self._last, ("ul", "ol", "dl", "table"))):
+                self._close(place)
+        node = self._add(tag, attrs)
         if tag not in EMPTY:
-            self.at = node
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        found = next((n for n in (self.at, *self.at.up()) if n.tag == tag), None)
-        if found is not None and found.parent is not None:
-            self.at = found.parent
+        if place := self._last(tag):
+            self._close(place)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        at = self.open[-1]
+        (at if at.depth < MOST_DEEP else at.parent).children.append(data)
 
 
 def read(html: str | None) -> Node:
@@ -102,12 +138,17 @@ def _squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+def _spaced(node: Node) -> str:
+    """A node's texts with a blank between them."""
+    return _squeeze(" ".join(c for n in node.walk() if n.tag not in ("script", "style") for c in n.children if isinstance(c, str)))
+
+
 def cells_of(table: Node) -> list[list[tuple[str, int, int]]]:
-    """A table's rows as cells of text, rows and columns spanned, within their bounds."""
+    """A table's own rows as cells of text, rows and columns spanned, within their bounds; a table inside a cell is text of the cell."""
     span = lambda c, n, most: min(most, max(1, int(c.attrs[n]))) if c.attrs.get(n, "").strip().isdigit() else 1
     return [
-        [(_squeeze(c.text()), span(c, "rowspan", MOST_ROWS), span(c, "colspan", MOST_COLS)) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
-        for row in table.all("tr")
+        [(_spaced(c), span(c, "rowspan", MOST_ROWS), span(c, "colspan", MOST_COLS)) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
+        for row in table.rows()
     ]
 
 
@@ -202,23 +243,23 @@ def _visible_lines(node: Node, layout: Layout) -> list[str]:
         if text:
             out.append(text)
 
-    def visit(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                line.append(c)
-            elif c.tag in UNREAD or any(h in c.attrs.get("class", "").split() for h in layout.hidden):
-                continue
-            elif c.tag == "table":
+    stack: list[Node | str | None] = [*reversed(node.children)]  # None: a block ends
+    while stack:
+        c = stack.pop()
+        if c is None:
+            end()
+        elif isinstance(c, str):
+            line.append(c)
+        elif c.tag in UNREAD or any(h in c.attrs.get("class", "").split() for h in layout.hidden):
+            continue
+        elif c.tag == "table":
+            end()
+            out.extend(r for r in grid(cells_of(c)) if r.strip(" |"))
+        else:
+            if c.tag in BLOCKS:
                 end()
-                out.extend(r for r in grid(cells_of(c)) if r.strip(" |"))
-            else:
-                if c.tag in BLOCKS:
-                    end()
-                visit(c)
-                if c.tag in BLOCKS:
-                    end()
-
-    visit(node)
+                stack.append(None)
+            stack.extend(reversed(c.children))
     end()
     return out
 
@@ -304,7 +345,7 @@ def listing(pages: DataFrame, since: str, article: str = r"https?://[^/]+/bbs/[^
     def make(page_id: object, url: str, html: str) -> list[tuple]:
         out = []
         for table in read(html).all("table"):
-            for i, row in enumerate(table.all("tr")):
+            for i, row in enumerate(table.rows()):
                 cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
                 texts = [_squeeze(c.text()) for c in cells]
                 day = next((m for t in texts if (m := re.fullmatch(r"(20\d{2})[.-](\d{2})[.-](\d{2})\.?", t))), None)
@@ -350,13 +391,45 @@ def board_rows(pages: DataFrame, source: str, category: str, today: Column) -> D
     return first.select(F.sha2("url", 256).alias("id"), "title", F.col("title").alias("content"), named.alias("source"), F.lit(category).alias("category"), normalize_date(F.col("day"), today).alias("date"), "url")
 
 
-def faq(pages: DataFrame, prefix: str) -> DataFrame:
-    """A row for each question and answer (dt, dd): id, page_id, question, answer, total."""
+def _said(node: Node) -> str:
+    """Lines of an answer as its source breaks them, with its tables row by row."""
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag == "table" and n is not node:
+            out.append("\n".join(grid(cells_of(n))))
+        elif n.tag not in ("script", "style"):
+            stack.extend(reversed(n.children))
+    return "\n".join(filter(None, map(_squeeze, "".join(out).splitlines())))
+
+
+def faq(pages: DataFrame, prefix: str, category: str = "학사 FAQ", container: str = "faq-list") -> DataFrame:
+    """A row for each question that a page answers: id, page_id, url, question, answer, category, total, content_hash.
+
+    Questions are the items of the list in the page's container, with an element `question`, in
+    which a `cate-name` names the category, and one `answer`, whose tables are rendered row by
+    row; without the container they are the terms and descriptions (dt, dd) of the page. Items
+    without either text are left out. `total` is how many pages the list has, as the page says
+    (`_totPage`), else 1. The id follows from the question alone, so that it outlives a move.
+    """
 
     def make(page_id: object, url: str, html: str) -> list[tuple]:
-        heads = [(n.tag, _squeeze(n.text())) for n in read(html).all("dt", "dd")]
-        pairs = [(q, a) for (k, q), (n, a) in zip(heads, heads[1:], strict=False) if k == "dt" and n == "dd"]
-        return [(page_id, q, a, len(pairs)) for q, a in pairs]
-
-    rows = _job(pages, make, "page_id long, question string, answer string, total int")
-    return rows.withColumn("id", F.sha2(F.concat(F.lit(prefix), "question"), 256))
+        root = read(html)
+        lists = root.marked(container)
+        found = []
+        for item in (i for box in lists[:1] for ul in box.children if isinstance(ul, Node) and ul.tag == "ul" for i in ul.children if isinstance(i, Node) and i.tag == "li"):
+            asked, told = item.marked("question")[:1], item.marked("answer")[:1]
+            if asked and told:
+                names = [_squeeze(n.text()) for n in asked[0].marked("cate-name")[:1]]
+                found.append((_spaced(asked[0]), _said(told[0]), names[0] if names else category))
+        if not lists:
+            terms = root.all("dt", "dd")
+            found = [(_squeeze(q.text()), _said(a), category) for q, a in zip(terms, terms[1:], strict=False) if q.tag == "dt" and a.tag == "dd"]
+        said = [_squeeze(n.text()) for n in root.marked("_totPage")[:1]]
+        total = int(said[0]) if said and said[0].isdecimal() else 1
+        return [(page_id, url, q, a, c, total) for q, a, c in found if q and a]
+
+    rows = _job(pages, make, "page_id long, url string, question string, answer string, category string, total int")
+    return rows.withColumns({"id": F.sha2(F.concat(F.lit(prefix), "question"), 256), "content_hash": F.sha2(F.concat_ws("\n", "question", "answer"), 256)})

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import html
 import io
 import re
+import time
 import zipfile
 from html.parser import HTMLParser
 
@@ -176,6 +178,36 @@ def test_guidance_page(spark):
     assert (x["body"], x["images"], [tuple(f) for f in x["attachments"]]) == ("Body", ["https://h/a.png"], [("https://h/x/download.do", "F 1")])
 
 
+def test_page_trees_of_any_depth_take_linear_time(spark):
+    deep = "<div><b>" * 60_000 + "x" + "</b></div>" * 60_000 + "<p>end</p>"
+    unmatched = "<div></zz></q>" * 75_000 + "<p>end</p>"
+    mixed = "<table><tr><td>" * 20_000 + "in" + "<ul><li><a href='/l'>l</a>" * 20_000 + "<p>end</p>"
+    for page, words in ((deep, ["x", "end"]), (unmatched, ["end"])):
+        began = time.process_time()
+        root = pages.read(page)
+        assert time.process_time() - began < 4 and root.text().split() == "".join(root.text()).split() and all(w in root.text() for w in words)
+        assert [n.depth for n in root.walk() if n.tag == "p"] == [1] or page is unmatched
+        assert pages._visible_lines(root, pages.Layout()) == words
+    df = spark.createDataFrame([(1, "https://h/", deep), (2, "https://h/", unmatched), (3, "https://h/", mixed)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["content"] for r in pages.extract_page(df).collect()}
+    assert got[1] == "x\nend" and got[2] == "end" and got[3].endswith("end")
+    assert pages.fields(df).count() == 3 and pages.links(df.filter("page_id < 3")).count() == 0
+    flat = pages.read("<div>" * 700 + "a</div>b" + "</div>" * 699 + "<p>c</p>")
+    assert flat.text() == "abc" and max(n.depth for n in flat.walk()) == pages.MOST_DEEP
+    odd = pages.read("<ul><li>a<ul><li>b</ul><li>c</ul></b><td>d<a href=1>e<a href=2>f")
+    assert [(n.tag, n.text()) for n in odd.all("li")] == [("li", "ab"), ("li", "b"), ("li", "c")] and [n.text() for n in odd.all("a")] == ["e", "f"]
+
+
+def test_faq_lists(spark):
+    item = lambda q, a: f"<li><div class='question'>{q}</div><div class='answer'>{a}</div></li>"
+    page = "<span class=_totPage> 7 </span><div class='faq-list'><ul>" + item("<span class='cate-name'>학적</span><b>Q one</b>", " line  one\n<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>\nlast") + item("Q two", "A two") + item("no answer", " ") + "<li>other</li></ul></div><dl><dt>x</dt><dd>y</dd></dl>"
+    df = spark.createDataFrame([(1, "https://h/1", page), (2, "https://h/2", "<dl><dt>Q</dt><dd>A</dd><dt>lone</dt></dl>"), (3, None, None)], "page_id long, url string, html string")
+    rows = sorted(pages.faq(df, "p:").collect(), key=lambda r: (r["page_id"], r["question"]))
+    assert [(r["page_id"], r["question"], r["answer"], r["category"], r["total"]) for r in rows] == [
+        (1, "Q two", "A two", "학사 FAQ", 7), (1, "학적 Q one", "line one\na | b\na | c\nlast", "학적", 7), (2, "Q", "A", "학사 FAQ", 1)]
+    assert rows[2]["id"] == hashlib.sha256(b"p:Q").hexdigest() and rows[2]["content_hash"] == hashlib.sha256(b"Q\nA").hexdigest()
+
+
 def test_pages(spark):
     html = "<h1>H</h1><nav><a href='/x'>Ex</a></nav><a href='f.pdf'>file</a><img src=i.png><table><tr><th>n</th><th>title</th><th>d</th></tr><tr><td>notice</td><td>P</td><td>2026.01.09</td></tr><tr><td>1</td><td>Q</td><td>2025.12.01</td></tr></table><dl><dt>Why?</dt><dd>So.</dd></dl>"
     df = spark.createDataFrame([(1, "https://h/a/", html), (2, None, None)], "page_id long, url string, html string")
@@ -373,21 +405,26 @@ def test_newest_first_ranks_by_days(spark):
     assert "windowspecdefinition(site#" not in re.sub(r"(site#\d+), _day#\d+", "day", found._jdf.queryExecution().analyzed().toString())
 
 
-def test_knn_in_blocks_without_the_driver(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [2048, 3])
+def test_knn_scans_chunks_where_they_lie_or_meets_in_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(retrieval, "QUESTIONS_SENT", sent)
     monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", 3)
     monkeypatch.setattr(retrieval, "CHUNKS_AT_ONCE", 10)
+    monkeypatch.setattr(retrieval, "CHUNKS_SCANNED", 17)
     random = np.random.default_rng(3)
     x = random.normal(size=(40, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[7] = x[3]
-    c = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>")
+    c = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>").coalesce(2)
     q = spark.createDataFrame([(i, x[i].tolist()) for i in range(10)], "query_id long, embedding array<double>")
-    monkeypatch.setattr(type(q), "collect", lambda self: pytest.fail("rows came to the driver"))
-    got = {(r["query_id"], r["raw_rank"]): r["chunk_id"] for r in retrieval.knn(q, c, 15).toLocalIterator()}
+    found = retrieval.knn(q, c, 15)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("embedding" not in line for line in plan.split("\n") if "Exchange" in line) and ("FlatMapCoGroups" in plan) == (sent == 3)
+    got = {(r["query_id"], r["raw_rank"]): r["chunk_id"] for r in found.collect()}
     score = np.round(1 - (2 - 2 * (x[:10] @ x.T)) / 2**0.5, 6)
     want = {(i, n + 1): f"c{j}" for i in range(10) for n, j in enumerate(sorted(range(40), key=lambda j: (-score[i, j], f"c{j}"))[:15])}
     assert got == want
-    assert not list(retrieval.knn(q.limit(0), c, 15).toLocalIterator()) and not list(retrieval.knn(q, c.limit(0), 15).toLocalIterator())
+    assert not retrieval.knn(q.limit(0), c, 15).collect() and not retrieval.knn(q, c.limit(0), 15).collect()
 
 
 def test_select_context_caps_a_url_and_drops_what_is_far_behind(spark):
