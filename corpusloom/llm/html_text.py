@@ -63,14 +63,16 @@ class Block:
     section: int
     main: bool
     aside: bool
+    named: bool  # its element's, or only a surrounding element's, class or id is that of an aside
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
     label: str = SHORT
+    own_name: bool = False  # the name is the block's own, which holds nothing else
 
 
 class Section(NamedTuple):
-    """An open element that holds blocks; `named` if only its class or id makes it an aside."""
+    """An open element that holds blocks; `named` if it, or one around it, is an aside by its class or id only."""
 
     tag: str
     number: int
@@ -175,6 +177,26 @@ class Scanner:
             yield html.unescape(page[start:]), "", False, ""
 
 
+class Open:
+    """The open elements that hold blocks, indexed by tag: closing one, or finding none to close, takes constant time."""
+
+    def __init__(self) -> None:
+        self.stack = [Section("", 0, False, False, False)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, section: Section) -> None:
+        self.places.setdefault(section.tag, []).append(len(self.stack))
+        self.stack.append(section)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def close(self, tag: str) -> None:
+        if places := self.places.get(tag):
+            self.cut(places[-1])
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order. Elements that are left open end with what holds them.
 
@@ -183,17 +205,17 @@ def blocks_of(page: str) -> list[Block]:
     section of its own, and what follows it belongs to the section around it again.
     """
     found: list[Block] = []
-    stack = [Section("", 0, False, False, False)]
+    open_ = Open()
     sections, links, breaks = 0, 0, 0
-    block = Block(0, False, False)
+    block = Block(0, False, False, False)
 
     def close() -> None:
         nonlocal block, breaks
         block.text = SPACE.sub(" ", "".join(block.parts)).strip()
         if block.text:
             found.append(block)
-        top = stack[-1]
-        block, breaks = Block(top.number, top.main, top.aside), 0
+        top = open_.stack[-1]
+        block, breaks = Block(top.number, top.main, top.aside, top.named), 0
 
     for text, tag, closing, attributes in Scanner(page).pieces():
         if text:
@@ -214,27 +236,26 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in LEAVES or tag in VOID or attributes.endswith("/"):
             links = 0
             close()
-            if not closing and tag in LEAVES and _aside_by(tag, attributes):
-                block.aside = True
+            if not closing and tag in LEAVES and (why := _aside_by(tag, attributes)):
+                block.aside |= why == "tag"
+                block.own_name = why == "name"
         else:
             links = 0
-            top = stack[-1]
+            top = open_.stack[-1]
             if closing:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if at:
-                    del stack[at:]
+                open_.close(tag)
             elif tag in ("html", "body"):
-                del stack[1:]
+                open_.cut(1)
             else:
                 if tag == "main":
-                    while len(stack) > 1 and stack[-1].aside and stack[-1].named:
-                        stack.pop()
-                    top = stack[-1]
+                    while top.named and not top.aside:
+                        open_.cut(len(open_.stack) - 1)
+                        top = open_.stack[-1]
                 why = _aside_by("" if tag in MAIN else tag, attributes) or ("tag" if tag == "header" and not top.main else None)
-                main, aside = top.main or tag in MAIN, top.aside or why is not None
-                sections += tag in MAIN or aside != top.aside
-                own = tag in MAIN or aside != top.aside
-                stack.append(Section(tag, sections if own else top.number, main, aside, why == "name" or (top.named and why is None)))
+                main, aside, named = top.main or tag in MAIN, top.aside or why == "tag", top.named or why == "name"
+                own = tag in MAIN or (aside, named) != (top.aside, top.named)
+                sections += own
+                open_.push(Section(tag, sections if own else top.number, main, aside, named))
             close()
     close()
     return found
@@ -257,21 +278,30 @@ def first_pass(block: Block, limits: Limits, stop_words: frozenset[str]) -> str:
 def classify(blocks: list[Block], limits: Limits = Limits(), stop_words: frozenset[str] = STOP) -> None:
     """Set the blocks' labels to good or bad.
 
-    First pass: asides are bad, the others get a class by length, stop-word and link density.
-    Where a page has an article, being in it moves a block's class up by one step and being
-    outside moves it down by one; density decides the rest. Prose too short to be sure of and
-    short blocks stay open; a short block of links is bad, and speaks for its neighbours only
-    outside an article. Second pass: an open block takes the label of the nearest decided
-    block of its section, near-good prose that of either side that is good; at a tie good
-    counts. Where nothing near is decided, near-good prose is good, and a short block is good
-    if it stands in the article.
+    First pass: every block gets a class by its length, stop-word and link density alone, and
+    dense prose is good. Elements that are asides by their tag, role or style are bad. A class or
+    an id that names an aside is a layout's where all prose of the page is dense prose under such
+    names; and a block that is named itself, as a paragraph, stays if it is dense prose.
+    What is not decided then is moved by its container: where a page has an article, near-good
+    prose in it is good and poor blocks are open; outside it near-good prose and short blocks are
+    bad, and dense prose is open, as the article is what is asked for.
+    Second pass: a block that is still open takes the label of the nearest decided block of its
+    section, near-good prose that of either side that is good; at a tie good counts. Where
+    nothing near is decided, near-good prose is good, and a short block is good if it stands in
+    the article. A short block of links is bad, and speaks for its neighbours only outside an article.
     """
-    article = any(b.main and not b.aside for b in blocks)
-    up, down = {NEAR: GOOD, POOR: SHORT}, {GOOD: NEAR, NEAR: BAD, SHORT: BAD}
     for b in blocks:
         b.label = BAD if b.aside else first_pass(b, limits, stop_words)
+    prose_outside = any(not b.aside and not b.named and (b.main or b.label in (GOOD, NEAR)) for b in blocks)
+    if prose_outside or not any(b.named and b.label == GOOD for b in blocks):
+        for b in blocks:
+            if b.named or (b.own_name and b.label != GOOD):
+                b.label, b.aside = BAD, True
+    article = any(b.main and not b.aside for b in blocks)
+    inside, outside = {NEAR: GOOD, POOR: SHORT}, {GOOD: NEAR, NEAR: BAD, SHORT: BAD}
+    for b in blocks:
         if article and not b.aside:
-            b.label = (up if b.main else down).get(b.label, b.label)
+            b.label = (inside if b.main else outside).get(b.label, b.label)
         if b.label == POOR or (b.label == LINKED and not b.main) or ("©" in b.text and not b.main):
             b.label = BAD
     sections: dict[int, list[Block]] = {}
@@ -286,7 +316,7 @@ def classify(blocks: list[Block], limits: Limits = Limits(), stop_words: frozens
                 continue
             near = [(abs(i - j), decided[j]) for j in (before[i], after[i]) if j is not None]
             if not near:
-                b.label = GOOD if b.main or (b.label == NEAR and not article) else BAD
+                b.label = GOOD if b.main or (b.label == NEAR and not article) else BAD  # the container decides last
             elif b.label == NEAR:
                 b.label = GOOD if any(x[1] == GOOD for x in near) else BAD
             else:

@@ -6,6 +6,7 @@ import hashlib
 import html.parser
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,84 @@ def test_html_asides_and_attributes():
         html_text.main_text(slow * 30_000)  # linear: a search that fails is not made again
 
 
+def test_names_alone_drop_no_dense_prose():
+    prose = "The cat of the house is in the garden and it was a good day for all of us to be at home with the others, that is what they said to us in the evening of the day."
+    assert html_text.main_text(f'<div class="page sidebar-left"><div><p>{prose}</p><p>Short one.</p></div></div>') == f"{prose}\nShort one."
+    assert html_text.main_text(f'<article><p class="notice">{prose}</p><p class="notice">Only a note.</p><p>{prose} Two.</p></article>') == f"{prose}\n{prose} Two."
+    assert html_text.main_text(f'<article><p class="notice">{prose}</p></article>') == prose
+    assert html_text.main_text(f'<div class="content"><p>{prose}</p></div><div class="comments"><p>{prose} I say.</p></div>') == prose
+    assert html_text.main_text(f'<div class="sidebar"><p>{prose} Side.</p></div><article><p>Short.</p></article>') == "Short."
+
+
+def test_unmatched_end_tags_and_deep_nesting_take_linear_time():
+    for page in ("<div></zz>" * 100_000, "<div>" * 100_000 + "x" + "</section></div>" * 60_000, "<section><div class=ad>x</section>" * 30_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 4
+
+
+class PlainBlocks(html.parser.HTMLParser):
+    """Blocks of a page by the standard parser: every block element parts them, inline elements do not, links are counted."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.parts, self.inside, self.linked = [], [], 0, 0
+
+    def end(self):
+        text = " ".join("".join(self.parts).split())
+        self.found += [(text, self.linked)] if text else []
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.inside = 1
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("b", "span", "em"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.inside = 0
+        elif tag not in ("b", "span", "em"):
+            self.end()
+
+    def handle_data(self, data):
+        self.parts.append(data)
+        self.linked += len(data.strip()) * self.inside
+
+
+def test_blocks_equal_an_independent_splitter():
+    """Generated pages of nested blocks, inline elements, links, references and comments."""
+    random = np.random.default_rng(12)
+    words = ["the", "word", "caf&eacute;", "a &lt; b", "&amp;", "x\n y", "1&nbsp;2"]
+
+    def text():
+        return " ".join(random.choice(words, random.integers(1, 9)))
+
+    def inline():
+        kind = random.integers(6)
+        return [text(), f"<b>{text()}</b> ", f"<a href='/{random.integers(9)}'>{text()}</a> ", f"<span title='a > b'>{text()}</span>", f"{text()}<br>{text()}", f"{text()}<!-- <p>no</p> --> "][kind]
+
+    def blocks(depth):
+        out = ""
+        for _ in range(random.integers(1, 5)):
+            tag = str(random.choice(["p", "h2", "li", "div", "section", "ul", "table", "blockquote"]))
+            inner = "".join(inline() for _ in range(random.integers(0, 4)))
+            if tag in ("div", "section", "ul", "table", "blockquote") and depth < 5:
+                inner += blocks(depth + 1) + inline()
+            out += f"<{tag}>{inner}</{tag}>"
+        return out
+
+    for _ in range(300):
+        page = f"<html><body>{blocks(0)}</body></html>"
+        plain = PlainBlocks()
+        plain.feed(page)
+        plain.close()
+        plain.end()
+        assert [(b.text, b.link_chars) for b in html_text.blocks_of(page)] == plain.found
+
+
 class ArticleText(html.parser.HTMLParser):
     """The blocks of a well-formed page's article, read by the standard parser."""
 
