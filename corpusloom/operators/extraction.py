@@ -54,13 +54,13 @@ RULES: tuple[Rule, ...] = (
     Rule("split_sentence", "period", (Hit(rf"{DAY}부터\s*{DAY}까지(?=[\s\S]*?마감일\s*{CLOCK})", (1, 2, 3), (4, 5, 6, 7, 8)),), unconfirmed=("start_time",), confirmed=True),
     Rule("first_come", "period", (Hit(rf"{DAY}\s*{CLOCK}\s*오픈\s*~\s*{DAY}\s*{CLOCK}\s*마감", (1, 2, 3, 4, 5), (6, 7, 8, 9, 10)),), ("선착순", "조기"), reason="may close early", confirmed=True),
     Rule("daily", "period", (Hit(rf"{DAY}\s*~\s*{DAY}\s*매일\s*{CLOCK}\s*~\s*{CLOCK}", (1, 2, 3, 7, 8), (4, 5, 6, 9, 10)),), unconfirmed=("daily_recurrence_pattern",), reason="hours of every day", confirmed=True),
-    Rule("rounds", "event", (Hit(rf"1차\s*{DAY}\s*{CLOCK}", (1, 2, 3, 4, 5)), Hit(rf"2차\s*{DAY}\s*{CLOCK}", (1, 2, 3, 4, 5))), ("1시간",), confirmed=True),
+    Rule("rounds", "event", (Hit(rf"1차\s*{DAY}\s*{CLOCK}", (1, 2, 3, 4, 5)), Hit(rf"2차\s*{DAY}\s*{CLOCK}", (1, 2, 3, 4, 5))), ("1시간 진행",), confirmed=True),
     Rule("staged", "deadline", (Hit(rf"{DAY}\s*{CLOCK}까지(?=[\s\S]*?{DAY}\s*{CLOCK}까지)", end=(1, 2, 3, 4, 5)), Hit(rf"(?<=까지)[^.\n]*?{DAY}\s*{CLOCK}까지", end=(1, 2, 3, 4, 5))), confirmed=True),
     Rule("extended", "deadline", (Hit(rf"당초\s*{DAY}에서\s*{DAY}(?:\s*{CLOCK})?로\s*연장", end=(4, 5, 6, 7, 8)),), reason="an earlier deadline is named too", confirmed=True),
     Rule("vague", "period", (Hit(rf"\d{{1,2}}월\s*말경{REST}"),), unconfirmed=("start_date", "end_date", "time"), reason="no day is named", all_day=True),
     Rule("past_and_future", "deadline", (Hit(rf"{DAY}\s*{CLOCK}까지", end=(1, 2, 3, 4, 5)),), (rf"지난\s*{DAY}",), confirmed=True),
-    Rule("urgent", "deadline", (Hit(rf"금일\s*\({DAY}\)\s*{CLOCK}까지", end=(0, 0, 0, 4, 5)),), confirmed=True),
-    Rule("today", "deadline", (Hit(r"오늘\s*(\d{1,2})시까지", end=(0, 0, 0, 1, 0)),), confirmed=True),
+    Rule("urgent", "deadline", (Hit(rf"금일\s*\({DAY}\)\s*{CLOCK}\s*까지", end=(0, 0, 0, 4, 5)),), confirmed=True),
+    Rule("today", "deadline", (Hit(r"오늘\s*(\d{1,2})시\s*까지", end=(0, 0, 0, 1, 0)),), confirmed=True),
     Rule("tomorrow", "event", (Hit(r"내일\s*(?:(오전|오후)\s*)?(\d{1,2})(?:시(?:\s*(\d{1,2})분)?|:(\d{2}))에?"),), unconfirmed=("end_time",), reason="no end is named", confirmed=True),
     Rule("next_monday", "deadline", (Hit(rf"다음\s*주\s*월요일까지{REST}"),), unconfirmed=("time", "exact_boundary"), reason="no hour is named", all_day=True),
     Rule("this_friday", "deadline", (Hit(r"이번\s*주\s*금요일까지"),), unconfirmed=("time",), reason="no hour is named", all_day=True),
@@ -98,8 +98,10 @@ def _ruled(text: Column, ref: Column, specs: Column) -> Column:
     number = lambda spec, i: F.when(i > 0, group(spec, i).try_cast("int"))
 
     def moment(spec: Column, side: str, given: Column) -> Column:
-        at = lambda k: number(spec, F.get(spec[side], F.lit(k)))
-        today = F.get(spec[side], F.lit(1)) == 0  # an hour of the reference day
+        # An hour of the reference day; but a day that is written beside it and does not exist is kept, so that it shows as such.
+        written = F.when((spec["rule"] == "urgent") & F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(ref), number(spec, F.lit(2)), number(spec, F.lit(3)))).isNull(), True)
+        today = (F.get(spec[side], F.lit(1)) == 0) & written.isNull()
+        at = lambda k: number(spec, F.when(written & F.lit(k in (1, 2)), F.lit(k + 1)).otherwise(F.get(spec[side], F.lit(k))))
         made = F.struct(
             F.when(today, F.year(ref)).otherwise(at(0)).alias("y"), F.when(today, F.month(ref)).otherwise(at(1)).alias("m"), F.when(today, F.dayofmonth(ref)).otherwise(at(2)).alias("d"),
             at(3).alias("h"), F.coalesce(at(4), F.when(at(3).isNotNull(), 0)).alias("mi"),
@@ -119,16 +121,57 @@ def _ruled(text: Column, ref: Column, specs: Column) -> Column:
         end = F.when(x["end"].isNotNull(), year(F.struct(F.coalesce(x["end"]["y"], after).alias("y"), x["end"]["m"].alias("m"), x["end"]["d"].alias("d"), x["end"]["h"].alias("h"), x["end"]["mi"].alias("mi"))))
         start = F.when(x["start"].isNotNull(), year(x["start"]))
         hour = x["hour"] + F.when((x["half"] == "오후") & (x["hour"] < 12), 12).otherwise(0)
-        later = F.when(x["start"].isNotNull(), F.struct(F.coalesce(x["start"]["y"], F.year(ref)).alias("y"), x["start"]["m"].alias("m"), x["start"]["d"].alias("d"), (x["start"]["h"] + 1).alias("h"), x["start"]["mi"].alias("mi")).cast(MOMENT))
+        later = F.when(x["start"].isNotNull(), _hour_later(start))
         return F.struct(
             x["rule"].alias("rule"), x["quote"].alias("quote"), F.when(x["rule"] == "tomorrow", _of_day(F.date_add(ref, 1), hour, x["minute"])).otherwise(start).alias("start"),
             F.when(x["rule"] == "next_monday", _of_day(F.date_add(ref, 7 - F.weekday(ref)))).when(x["rule"] == "this_friday", _of_day(F.date_add(ref, 4 - F.weekday(ref)))).when(x["rule"] == "rounds", later).otherwise(end).alias("end"),
-            _title(text, x["quote"]).alias("title"), F.lit(False).alias("conflict"),
+            _titled(text, x["rule"], x["quote"]).alias("title"), F.lit(False).alias("conflict"),
         ).cast(HIT)
 
     return F.transform(F.transform(specs, read), finish)
 
 
+def _hour_later(m: Column) -> Column:
+    """A moment an hour on, also over midnight and the end of a month or year; one that does not exist stays as it is."""
+    at = F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d", m["y"], m["m"], m["d"], m["h"], m["mi"]), F.lit("yyyy-MM-dd HH:mm")) + F.expr("INTERVAL 1 HOUR")
+    return F.when(at.isNotNull(), F.struct(F.year(at).alias("y"), F.month(at).alias("m"), F.dayofmonth(at).alias("d"), F.hour(at).alias("h"), F.minute(at).alias("mi")).cast(MOMENT)).otherwise(m)
+
+
+# What a deadline of today asks for, and what of a title says nothing.
+URGENT_TASK = r"([^\n,]+?)(?:오류자\s*)?(정보\s*수정|신청서\s*제출|서류\s*제출|제출|마감|접수)"
+TODAY_TASK = r"([^\n,.]+?(?:신청서|신청|보고서|과제|서류|제출서|계획서|원서))(?:\s*를|\s*을)?(?:\s*[^\n,.]+?)?\s*(제출|접수|등록)"
+URGENT_END, TODAY_END = r"(?:필수|요망|바랍니다|합니다|\.|\s)+$", r"(?:합니다|하세요|바랍니다|필수|요망|\.|,|\s)+$"
+
+
+def _titled(text: Column, rule: Column, quote: Column) -> Column:
+    """A hit's title: rounds by what stands before the first and their number, deadlines of today by the task they name, others by _title()."""
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    at = F.position(quote, text)
+    before, after = strip(F.substring(text, F.lit(1), at - 1)), strip(F.substring(text, at + F.length(quote), F.length(text)))
+    first = F.regexp_extract(text, rf"^([\s\S]*?)1차\s*{DAY}\s*{CLOCK}", 1)
+    prefix = F.coalesce(F.nullif(strip(F.regexp_replace(F.replace(first, F.lit(" 일정:"), F.lit("")), ":+$", "")), F.lit("")), F.lit("설명회"))
+    or_before = lambda b: F.when(after != "", after).otherwise(b)
+    ended = lambda c: F.when(c.endswith("마감"), c).otherwise(F.concat(c, F.lit(" 마감")))
+
+    target = or_before(strip(F.replace(before, F.lit("[긴급]"), F.lit(""))))
+    task = lambda pattern, i: strip(F.regexp_extract(target, pattern, i))
+    urgent = F.when(target.rlike(URGENT_TASK), squeeze(ended(F.concat(task(URGENT_TASK, 1), F.lit(" "), task(URGENT_TASK, 2)))))
+    urgent = urgent.otherwise(ended(F.coalesce(F.nullif(strip(F.regexp_replace(target, URGENT_END, "")), F.lit("")), F.lit("긴급 마감 일정"))))
+
+    today_target = or_before(before)
+    named, doing = F.regexp_extract(before, r"([^\n\s]+?)(?:은|는)", 1), F.regexp_extract(after, "(제출|접수|등록|마감)", 1)
+    rest = strip(F.regexp_replace(today_target, TODAY_END, ""))
+    part = lambda i: strip(F.regexp_extract(today_target, TODAY_TASK, i))
+    today = (
+        F.when(today_target.rlike(TODAY_TASK), F.concat(part(1), F.lit(" "), part(2)))
+        .when(named != "", F.concat(named, F.lit(" "), F.when(doing != "", doing).otherwise("제출")))
+        .when(rest != "", F.concat(rest, F.lit(" 마감"))).otherwise("일정 마감")
+    )
+    rounds = F.concat(prefix, F.lit(" "), F.substring(quote, 1, 2))
+    return F.when(rule == "rounds", rounds).when(rule == "urgent", urgent).when(rule == "today", today).otherwise(_title(text, quote))
+
+
 def _title(text: Column, quote: Column) -> Column:
     """What stands before a quote in its sentence, without brackets, term and particles; else what follows it."""
     at = F.position(quote, text)

@@ -346,7 +346,7 @@ _TEXTS = (
     ("등록은 {d}부터 {d}까지입니다. 모든 접수는 마감일 17:30에 끝납니다.", [("split_sentence", "period", (0, None), (0, "17:30"), True, False, ["start_time"])]),
     ("부스 신청: {d} 09:00 오픈 ~ {d} 18:00 마감 (선착순, 조기 마감)", [("first_come", "period", (0, "09:00"), (0, "18:00"), True, True, [])]),
     ("정정 기간: {d} ~ {d} 매일 10:00~17:00", [("daily", "period", (0, "10:00"), (0, "17:00"), True, True, ["daily_recurrence_pattern"])]),
-    ("설명회: 1차 {d} 11:00, 2차 {d} 16:00 (각 1시간)", [("rounds", "event", (0, "11:00"), (0, "12:00"), True, False, []), ("rounds", "event", (0, "16:00"), (0, "17:00"), True, False, [])]),
+    ("설명회: 1차 {d} 11:00, 2차 {d} 16:00 (각 1시간 진행)", [("rounds", "event", (0, "11:00"), (0, "12:00"), True, False, []), ("rounds", "event", (0, "16:00"), (0, "17:00"), True, False, [])]),
     ("접수는 {d} 13:00까지이며, 납부는 {d} 15:00까지입니다.", [("staged", "deadline", None, (0, "13:00"), True, False, []), ("staged", "deadline", None, (0, "15:00"), True, False, [])]),
     ("마감이 당초 {d}에서 {d} 15:00로 연장되었습니다.", [("extended", "deadline", None, (0, "15:00"), True, True, [])]),
     ("신청은 10월 말경 시작됩니다.", [("vague", "period", None, None, False, True, ["start_date", "end_date", "time"])]),

@@ -476,6 +476,28 @@ def test_schedules(spark):
     assert "headline names other days" in conflict["reason"] and not conflict["confirmed"] and extraction.extract_schedules(df.limit(0)).count() == 0
 
 
+def test_schedule_titles_and_hours_over_midnight(spark):
+    texts = [
+        "오늘 18시까지 지도교수 면담 신청서를 학과 사무실로 제출해야 합니다.", "공학교육인증 설명회 일정: 1차 10월 6일 11:00, 2차 10월 8일 16:00 (각 1시간 진행)",
+        "[긴급] 금일(9월 23일) 17:00까지 국가장학금 지급 계좌 오류자 정보 수정 필수", "오늘 18시 까지 과제 제출", "금일(2월 31일) 17:00까지 서류 제출", "1차 12월 31일 23:30, 2차 2월 28일 23:00 (1시간 진행)",
+        "보고서는 오늘 25시까지 제출하세요", "1차 10월 6일 11:00, 2차 10월 8일 16:00 각 1시간", "1차 2월 30일 11:00, 2차 10월 8일 16:00 (1시간 진행)",
+    ]
+    df = spark.createDataFrame([(i, t, dt.date(2026, 9, 23)) for i, t in enumerate(texts)], "doc_id long, content string, ref date")
+    got: dict = {}
+    for r in extraction.extract_schedules(df).orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append((r["rule"], r["title"], r["start_at"], r["end_at"], r["confirmed"], r["ambiguous"], r["quote"]))
+    t = lambda s: f"2026-{s}:00+09:00"
+    assert got[0] == [("today", "지도교수 면담 신청서 제출", None, t("09-23T18:00"), True, False, "오늘 18시까지")]
+    assert got[1] == [("rounds", "공학교육인증 설명회 1차", t("10-06T11:00"), t("10-06T12:00"), True, False, "1차 10월 6일 11:00"), ("rounds", "공학교육인증 설명회 2차", t("10-08T16:00"), t("10-08T17:00"), True, False, "2차 10월 8일 16:00")]
+    assert got[2] == [("urgent", "국가장학금 지급 계좌 정보 수정 마감", None, t("09-23T17:00"), True, False, "금일(9월 23일) 17:00까지")]
+    assert got[3] == [("today", "과제 제출 마감", None, t("09-23T18:00"), True, False, "오늘 18시 까지")]
+    assert [x[:6] for x in got[4]] == [("urgent", "서류 제출 마감", None, None, False, True)]
+    assert [x[1:4] for x in got[5]] == [("설명회 1차", t("12-31T23:30"), "2027-01-01T00:30:00+09:00"), ("설명회 2차", t("02-28T23:00"), t("03-01T00:00"))]
+    assert [x[:6] for x in got[6]] == [("today", "보고서 제출", None, None, False, True)]
+    assert all(x[0] != "rounds" for x in got.get(7, []))
+    assert [(x[2], x[3], x[4]) for x in got[8]] == [(None, None, False), (t("10-08T16:00"), t("10-08T17:00"), True)]
+
+
 def test_media_are_kept_only_for_the_same_revision(spark):
     asset = "array<struct<url:string,name:string,text:string,status:string>>"
     schema = f"url string, title string, html_content string, content string, content_status string, images {asset}, attachments {asset}, media_status string, attempted_at string"
