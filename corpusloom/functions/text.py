@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,11 +22,16 @@ def normalize_url(url: Column) -> Column:
     return F.trim(F.split_part(F.coalesce(url, F.lit("")), F.lit("#"), F.lit(1)))
 
 
-def canonical_url(url: Column, host_pattern: str) -> Column:
-    """scheme://host/path for http(s) URLs of allowed hosts without credentials or odd ports; else null."""
-    pattern = rf"^(https?)://({host_pattern})(?::(?:80|443))?(/[^?#]*)?(?:[?#].*)?$"
-    parts = [F.regexp_extract(url, pattern, i) for i in (1, 2, 3)]
-    return F.when(url.rlike(pattern), F.concat(parts[0], F.lit("://"), parts[1], F.when(parts[2] == "", "/").otherwise(parts[2])))
+def canonical_url(url: Column, host_pattern: str, path_pattern: str = ".*", site: str | None = None) -> Column:
+    """scheme://host/path for http(s) URLs of allowed hosts without credentials or odd ports, and of a path that matches as a whole; else null.
+
+    Scheme and host count in any case and are lower-cased. With `site` it stands for both, so that all of a site's hosts are one.
+    """
+    pattern = rf"^(?i:(https?)://({host_pattern}))(?::(?:80|443)?)?(/[^?#]*)?(?:[?#][\s\S]*)?\z"
+    scheme, host, given = (F.regexp_extract(url, pattern, i) for i in (1, 2, 3))
+    path = F.when(given == "", "/").otherwise(given)
+    origin = F.lower(F.concat(scheme, F.lit("://"), host)) if site is None else F.lit(site)
+    return F.when(url.rlike(pattern) & path.rlike(rf"^(?:{path_pattern})\z"), F.concat(origin, path))
 
 
 def set_query_param(url: Column, name: str, value: Column) -> Column:
@@ -177,6 +182,13 @@ def chunk_header(category: Column, title: Column, date: Column, source: Column)
     return F.concat(F.lit("["), c, F.lit("] "), t, F.lit(" (등록일: "), d, F.lit(", 출처: "), s, F.lit(")"))
 
 
+def chunk_metadata(menu_path: Column, fields: Mapping[str, Column]) -> Column:
+    """map of where a document's chunks come from: what of the named fields is known, as text, and the menu path joined by ' / '."""
+    path = F.array_join(F.coalesce(menu_path, F.array().cast("array<string>")), " / ")
+    entries = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in {**fields, "menu_path": path}.items()]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+
+
 def chunk_body(content: Column, title: Column) -> Column:
     """A chunk without the header, or the title line, before it."""
     at = F.locate("\n\n", content)

@@ -206,16 +206,26 @@ def quota_report(items: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def review_summary(rows: DataFrame, by: str) -> DataFrame:
-    """Accuracy of judged rows, null while any applicable row is unjudged; counts of reasons of failures; coverage of references.
+    """What reviewers say of answers and of their links, apart, by group.
 
-    rows: applicable, judged (boolean, null if not yet), reasons (array), covered (boolean).
+    rows: status, has_references, answer and link (judgements; null if not yet), reasons (array,
+    of what was judged wrong), retrieved and cited (whether all references were). Accuracy of
+    answers is null until every case is judged, that of links until every case with references
+    is; coverage counts cases with references. `failures` and `statuses` are counted by name.
     """
-    applicable = F.col("applicable")
-    judged = F.count_if(applicable & F.col("judged").isNotNull())
-    accuracy = F.when(judged == F.count_if(applicable), percent(F.count_if(applicable & F.col("judged")), judged))
-    whole = rows.groupBy(by).agg(F.count_if(applicable).alias("applicable"), judged.alias("judged"), accuracy.alias("accuracy"), percent(F.count_if(applicable & F.col("covered")), F.count_if(applicable)).alias("coverage"))
-    reasons = rows.filter(~F.coalesce("judged", F.lit(True))).select(by, F.explode("reasons").alias("reason")).groupBy(by, "reason").agg(F.count(F.lit(1)).alias("n"))
-    listed = reasons.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct("reason", "n"))).alias("failures"))  # reasons are few
+    referred = F.col("has_references")
+    n, applicable = F.count(F.lit(1)), F.count_if(referred)
+    answers, links = F.count("answer"), F.count(F.when(referred, F.col("link")))
+    share = lambda c: percent(F.count_if(referred & F.coalesce(F.col(c), F.lit(False))), applicable)
+    whole = rows.groupBy(by).agg(
+        n.alias("cases"), answers.alias("answer_reviewed"), links.alias("link_reviewed"), F.when(answers == n, percent(F.count_if("answer"), n)).alias("answer_accuracy"),
+        F.when(links == applicable, percent(F.count_if(referred & F.col("link")), applicable)).alias("link_accuracy"), share("retrieved").alias("retrieval_coverage"), share("cited").alias("citation_coverage"),
+    )
+    failed = ~F.coalesce("answer", F.lit(True)) | (referred & ~F.coalesce("link", F.lit(True)))
+    named = rows.filter(failed).select(by, F.lit("failures").alias("kind"), F.explode(F.array_distinct("reasons")).alias("name")).unionByName(rows.select(by, F.lit("statuses").alias("kind"), F.col("status").alias("name")))
+    counts = named.groupBy(F.col(by).alias("_by"), "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "n")))).alias(kind)  # noqa: E731  reasons and statuses are few
+    listed = counts.groupBy("_by").agg(of("failures"), of("statuses"))
     return whole.join(listed, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,34 @@ def newest_first(docs: DataFrame, wanted: Column, limit: int, groups: str) -> Da
     return ranked.withColumn("selected", F.col("rank") <= limit)
 
 
+def select_for_enrichment(docs: DataFrame, since: str | None = None, bare: bool = False, previous: DataFrame | None = None, limit: int = 100) -> DataFrame:
+    """docs that are to be enriched, with `selected` for the `limit` newest of them; the others wait.
+
+    Wanted are documents since a date and, with `bare`, bare titles; without both, all. With
+    `previous` (url, media_status of the last enrichment) only those whose media failed then are
+    tried again. Of one date the lesser doc_id comes first; a null date is the oldest. Spark keeps
+    `limit` rows a task, so that no order over all documents is made.
+    """
+    known = F.coalesce(F.col("date").cast("string"), F.lit(""))
+    tests = ([known >= since] if since is not None else []) + ([F.col("status") == "title_only"] if bare else [])
+    wanted = docs
+    if tests:
+        wanted = docs.filter(reduce(lambda a, b: a | b, tests))
+    if previous is not None:
+        wanted = wanted.join(previous.filter(F.col("media_status") == "failed_or_unsupported").select("url"), "url", "left_semi")
+    first = wanted.orderBy(known.desc(), "doc_id").limit(limit).select("doc_id", F.lit(True).alias("selected"))
+    return wanted.join(first, "doc_id", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+def keyword_select(docs: DataFrame, keyword: str, limit: int | None, order: str) -> DataFrame:
+    """docs with `processed`: whether a row's title or content holds the keyword and it is among the first `limit` that do, in the given order. Others pass through."""
+    holds = F.coalesce(F.col("title").contains(keyword), F.lit(False)) | F.coalesce(F.col("content").contains(keyword), F.lit(False))
+    if limit is None:
+        return docs.withColumn("processed", holds)
+    first = docs.filter(holds).select(order).orderBy(order).limit(limit).withColumn("processed", F.lit(True))
+    return docs.join(first, order, "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
+
+
 def deferred(selected: DataFrame, groups: str) -> DataFrame:
     """Per group of newest_first()'s rows how many were selected and how many wait."""
     return selected.groupBy(groups).agg(F.count_if("selected").alias("taken"), F.count_if(~F.col("selected")).alias("deferred"))

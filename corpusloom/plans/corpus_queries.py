@@ -84,11 +84,14 @@ def content_hash(spark, sf_dir):
   CASE WHEN regexp_matches(url, '^(https?)://([a-z.-]+\.example\.(?:com|org))(?::(?:80|443))?(/[^?#]*)?(?:[?#].*)?$')
     THEN regexp_replace(url, '^(https?)://([a-z.-]+\.example\.(?:com|org))(?::(?:80|443))?(/[^?#]*)?(?:[?#].*)?$', '\1://\2\3') END AS canonical,
   CASE WHEN regexp_matches(split_part(url, '#', 1), '[?&]page=') THEN regexp_replace(split_part(url, '#', 1), '([?&])page=[^&]*', '\1page=7')
-    ELSE split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END || 'page=7' END AS paged
+    ELSE split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END || 'page=7' END AS paged,
+  CASE WHEN regexp_matches(url, '^https?://[a-z.-]+\.example\.(?:com|org)(?::(?:80|443))?/[a-z]+/[^?#]*(?:[?#].*)?$') THEN 'https://site' || regexp_extract(url, '^[^/]*//[^/]*(/[^?#]*)', 1) END AS of_site
 FROM pages""")
 def url_forms(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", T.normalize_url(u).alias("normal"), T.canonical_url(u, r"[a-z.-]+\.example\.(?:com|org)").alias("canonical"), T.set_query_param(u, "page", F.lit(7)).alias("paged"))
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_url(u).alias("normal"), T.canonical_url(u, r"[a-z.-]+\.example\.(?:com|org)").alias("canonical"), T.set_query_param(u, "page", F.lit(7)).alias("paged"),
+        # Scheme and host count in any case, here in capitals, and only pages below a folder are the site's.
+        T.canonical_url(F.concat(F.upper(F.substring_index(u, "/", 3)), F.substring(u, F.length(F.substring_index(u, "/", 3)) + 1, F.length(u))), r"[a-z.-]+\.example\.(?:com|org)", r"/[a-z]+/.*", "https://site").alias("of_site"))
 
 
 @R.add("compact_text", r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed_md, len(regexp_replace(text, '\s+', '', 'g')) AS n FROM documents""")
@@ -124,13 +127,20 @@ def select_for_enrichment(spark, sf_dir):
     return freshness.newest_first(d, (F.col("date") >= "2024-06-01") | (F.col("doc_id") % 5 == 0), 10, "site").select("doc_id", "site", "rank", "selected")
 
 
-@R.add("keyword_select", f"""WITH {DOCUMENTS_SQL}, hit AS (
-  SELECT doc_id, site, row_number() OVER (PARTITION BY site ORDER BY date DESC, doc_id) AS rank FROM base WHERE contains(content, 'tion'))
-SELECT b.doc_id, b.site, coalesce(h.rank <= 5, false) AS processed FROM base b LEFT JOIN hit h USING (doc_id)""")
+@R.add("enrichment_retry", f"""WITH {DOCUMENTS_SQL}, wanted AS (
+  SELECT doc_id, row_number() OVER (ORDER BY date DESC, doc_id) AS place FROM base WHERE (date >= '2024-06-01' OR doc_id % 5 = 0) AND doc_id % 3 = 0)
+SELECT doc_id, place <= 25 AS selected FROM wanted""")
+def enrichment_retry(spark, sf_dir):
+    n, d = F.col("doc_id"), documents(spark, sf_dir)
+    before = d.select("url", F.when(n % 3 == 0, "failed_or_unsupported").when(n % 3 == 1, "partial").otherwise("complete").alias("media_status"))
+    rows = d.withColumn("status", F.when(n % 5 == 0, "title_only").otherwise("text"))
+    return freshness.select_for_enrichment(rows, "2024-06-01", True, before, 25).select("doc_id", "selected")
+
+
+@R.add("keyword_select", f"""WITH {DOCUMENTS_SQL}, hit AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM base WHERE contains(title, 'tion') OR contains(content, 'tion'))
+SELECT b.doc_id, b.site, coalesce(h.rank <= 50, false) AS processed FROM base b LEFT JOIN hit h USING (doc_id)""")
 def keyword_select(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    hit = freshness.newest_first(d, F.col("content").contains("tion"), 5, "site").select("doc_id", "selected")
-    return d.join(hit, "doc_id", "left").select("doc_id", "site", F.coalesce("selected", F.lit(False)).alias("processed"))
+    return freshness.keyword_select(documents(spark, sf_dir), "tion", 50, "doc_id").select("doc_id", "site", "processed")
 
 
 @R.add("missing_body", f"""WITH {VERSIONS_SQL} SELECT source, status, count(*) AS n FROM versions

@@ -149,18 +149,26 @@ def quota_report(spark, sf_dir):
     return E.quota_report(items, want.unionByName(extra))
 
 
-@R.add("review_summary", """WITH j AS (SELECT d.source, d.lang, quality, d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang <> 'en' OR l.doc_id IS NOT NULL
-), r AS (SELECT lang, unnest(CASE WHEN doc_id % 3 = 0 THEN ['wrong', 'link'] ELSE ['outdated'] END) AS reason FROM j WHERE quality <> 1
-), f AS (SELECT lang, list(reason || '=' || n ORDER BY reason) AS failures FROM (SELECT lang, reason, count(*) AS n FROM r GROUP BY ALL) GROUP BY lang)
-SELECT lang, count(*) AS applicable, count(quality) AS judged, CASE WHEN count(quality) = count(*) THEN round(100.0::DOUBLE * count(*) FILTER (quality = 1) / count(quality), 2) END AS accuracy,
-  round(100.0::DOUBLE * count(*) FILTER (doc_id % 2 = 0) / count(*), 2) AS coverage, coalesce(any_value(failures), []) AS failures FROM j LEFT JOIN f USING (lang) GROUP BY lang""")
+@R.add("review_summary", """WITH j AS (
+  SELECT d.doc_id, CASE WHEN l.doc_id IS NULL AND lang <> 'fr' THEN 'open' ELSE lang END AS team, ['success', 'no_context', 'title_only_notice'][doc_id % 3 + 1] AS status, d.doc_id % 4 <> 0 AS referred,
+    quality = 1 AS answer, CASE WHEN d.doc_id % 4 <> 0 THEN toxic = 0 END AS link, CASE WHEN d.doc_id % 3 = 0 THEN ['wrong', 'link'] ELSE ['outdated'] END AS reasons, d.doc_id % 2 = 0 AS retrieved, d.doc_id % 6 = 0 AS cited
+  FROM documents d LEFT JOIN labels l USING (doc_id)
+), r AS (SELECT team, reason, count(*) AS n FROM (SELECT team, unnest(reasons) AS reason FROM j WHERE NOT answer OR NOT link) GROUP BY ALL
+), f AS (SELECT team, list(reason || '=' || n ORDER BY reason) AS failures FROM r GROUP BY team
+), s AS (SELECT team, list(status || '=' || n ORDER BY status) AS statuses FROM (SELECT team, status, count(*) AS n FROM j GROUP BY ALL) GROUP BY team)
+SELECT team, count(*) AS cases, count(answer) AS answer_reviewed, count(link) AS link_reviewed, CASE WHEN count(answer) = count(*) THEN round(100.0::DOUBLE * count(*) FILTER (answer) / count(*), 2) END AS answer_accuracy,
+  CASE WHEN count(link) = count(*) FILTER (referred) THEN round(100.0::DOUBLE * count(*) FILTER (link) / nullif(count(*) FILTER (referred), 0), 2) END AS link_accuracy,
+  round(100.0::DOUBLE * count(*) FILTER (referred AND retrieved) / nullif(count(*) FILTER (referred), 0), 2) AS retrieval_coverage, round(100.0::DOUBLE * count(*) FILTER (referred AND cited) / nullif(count(*) FILTER (referred), 0), 2) AS citation_coverage,
+  coalesce(any_value(failures), []) AS failures, any_value(statuses) AS statuses FROM j LEFT JOIN f USING (team) LEFT JOIN s USING (team) GROUP BY team""")
 def review_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     n = F.col("doc_id")
     reasons = F.when(n % 3 == 0, F.array(F.lit("wrong"), F.lit("link"))).otherwise(F.array(F.lit("outdated")))
-    rows = d.select("lang", ((F.col("lang") != "en") | F.col("quality").isNotNull()).alias("applicable"), (F.col("quality") == 1).alias("judged"), reasons.alias("reasons"), (n % 2 == 0).alias("covered"))
-    shown = F.transform(F.coalesce("failures", F.array().cast("array<struct<reason:string,n:bigint>>")), lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string")))
-    return E.review_summary(rows, "lang").withColumn("failures", shown)
+    rows = d.select(
+        F.when(F.col("quality").isNull() & (F.col("lang") != "fr"), "open").otherwise(F.col("lang")).alias("team"), F.element_at(F.array(*map(F.lit, ("success", "no_context", "title_only_notice"))), (n % 3 + 1).cast("int")).alias("status"),
+        (n % 4 != 0).alias("has_references"), (F.col("quality") == 1).alias("answer"), F.when(n % 4 != 0, F.col("toxic") == 0).alias("link"), reasons.alias("reasons"), (n % 2 == 0).alias("retrieved"), (n % 6 == 0).alias("cited"))
+    shown = lambda c: F.transform(c, lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string")))
+    return E.review_summary(rows, "team").withColumns({"failures": shown("failures"), "statuses": shown("statuses")})
 
 
 @R.add("review_violations", """WITH j AS (SELECT doc_id AS "case", doc_id % 2 = 0 AS answer, CASE WHEN doc_id % 3 = 0 THEN true END AS link, CASE WHEN doc_id % 5 = 0 THEN ['odd'] WHEN doc_id % 5 = 1 THEN [] ELSE ['wrong'] END AS reasons FROM labels

@@ -304,9 +304,15 @@ def enrichment_order(spark, sf_dir):
 # Functions
 
 
-@R.add("chunk_headers", f"WITH {DOCUMENTS_SQL} SELECT doc_id, '[' || source_type || '] ' || trim(title) || ' (등록일: ' || date || ', 출처: ' || site || ')' AS header FROM base")
+@R.add("chunk_headers", f"""WITH {DOCUMENTS_SQL} SELECT doc_id, '[' || source_type || '] ' || trim(title) || ' (등록일: ' || date || ', 출처: ' || site || ')' AS header,
+  list_filter([CASE WHEN doc_id % 3 = 0 THEN 'contact=office ' || site END, 'menu_path=' || CASE WHEN doc_id % 2 = 0 THEN lang || ' / ' || site ELSE site END, 'source_type=' || source_type], lambda x: x IS NOT NULL) AS metadata FROM base""")
 def chunk_headers(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.chunk_header(F.col("source_type"), F.col("title"), F.col("date"), F.col("site")).alias("header"))
+    n = F.col("doc_id")
+    path = F.when(n % 2 == 0, F.array("lang", "site")).otherwise(F.array("site"))
+    fields = {"source_type": F.col("source_type"), "contact": F.when(n % 3 == 0, F.concat(F.lit("office "), "site")).when(n % 3 == 1, ""), "last_checked_at": F.lit(None)}
+    known = T.chunk_metadata(path, fields)
+    shown = F.array_sort(F.transform(F.map_entries(known), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return documents(spark, sf_dir).select("doc_id", T.chunk_header(F.col("source_type"), F.col("title"), F.col("date"), F.col("site")).alias("header"), shown.alias("metadata"))
 
 
 @R.add("split_sizes", f"""WITH {DOCUMENTS_SQL} SELECT id AS parent_id, true AS covered FROM base WHERE len(title || chr(10) || content) > 500 AND content <> title""")

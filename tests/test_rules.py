@@ -621,3 +621,24 @@ def test_breakdown_by_every_grouping(spark):
     assert got["category", "b", None, None] == (2, 1, 1, 0.0, 0.0, 100.0, 0.0) and got["split", None, "test", None] == (1, 1, 0, 0.0, 0.0, 0.0, 100.0)
     assert got["case_type", None, None, "abstain"] == (1, 0, 1, None, None, None, None) and got["slice", "a", "dev", "multi"] == (1, 1, 0, 0.0, 100.0, 100.0, 0.0)
     assert len(got) == 1 + 2 + 2 + 3 + 5
+
+
+def test_canonical_urls_of_any_case_and_of_one_path(spark):
+    urls = ["HTTPS://WWW.H.kr/hub/12/v.do?x=1#y", "http://h.kr:80/hub/3/v.do", "http://h.kr:8080/hub/3/v.do", "https://u@h.kr/hub/3/v.do", "https://evil.kr/hub/3/v.do", "https://h.kr/login.do", "javascript:alert(1)", None, "https://h.kr/hub/12/v.do\n"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(T.canonical_url(F.col("u"), r"(?:www\.)?h\.kr", r"/hub/\d+/v\.do", "https://www.h.kr").alias("site"), T.canonical_url(F.col("u"), r"(?:www\.)?h\.kr").alias("own"))
+    got = [tuple(r) for r in df.collect()]
+    assert [g[0] for g in got] == ["https://www.h.kr/hub/12/v.do", "https://www.h.kr/hub/3/v.do", *[None] * 7]
+    assert [g[1] for g in got][:3] == ["https://www.h.kr/hub/12/v.do", "http://h.kr/hub/3/v.do", None]
+
+
+def test_review_summary_keeps_answers_and_links_apart(spark):
+    schema = "g string, status string, has_references boolean, answer boolean, link boolean, reasons array<string>, retrieved boolean, cited boolean"
+    rows = [
+        ("a", "success", True, True, False, ["link"], True, False), ("b", "no_context", False, True, None, None, None, None), ("b", "not_run", True, None, None, None, False, None),
+        ("c", "success", False, False, None, ["wrong", "wrong"], None, None),
+    ]
+    got = {r["g"]: r for r in evaluation.review_summary(spark.createDataFrame(rows, schema), "g").collect()}
+    assert (got["a"]["answer_accuracy"], got["a"]["link_accuracy"], got["a"]["retrieval_coverage"], got["a"]["citation_coverage"]) == (100.0, 0.0, 100.0, 0.0)
+    assert [tuple(x) for x in got["a"]["failures"]] == [("link", 1)] and [tuple(x) for x in got["b"]["statuses"]] == [("no_context", 1), ("not_run", 1)]
+    assert (got["b"]["answer_accuracy"], got["b"]["link_accuracy"], got["b"]["answer_reviewed"]) == (None, None, 1)
+    assert (got["c"]["answer_accuracy"], got["c"]["link_accuracy"], got["c"]["retrieval_coverage"]) == (0.0, None, None) and [tuple(x) for x in got["c"]["failures"]] == [("wrong", 1)]
