@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import derived_source_type, scrub
 
+LINES_AT_ONCE = 10_000
 DOCUMENT = "id string, title string, content string, source string, category string, date string, url string, content_status string, source_type string, content_hash string, html_content string"
 
 
@@ -90,7 +92,12 @@ def read_rss(spark: SparkSession, path: str, max_items: int) -> DataFrame:
 
 
 def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the text files inside archives: path, member, place, line."""
+    """Lines of the text files inside the archives under a path; see zip_lines()."""
+    return zip_lines(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def zip_lines(files: DataFrame) -> DataFrame:
+    """path, member, place, line of the text files inside archives (path, content); members are read line by line, not as a whole."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,11 +105,11 @@ def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for member in sorted(z.namelist()):
                         with z.open(member) as f:
-                            lines = io.TextIOWrapper(f, "utf-8").read().splitlines()
-                        yield pd.DataFrame({"path": name, "member": member, "place": range(len(lines)), "line": lines})
+                            lines = enumerate(x.rstrip("\r\n") for x in io.TextIOWrapper(f, "utf-8"))
+                            while some := list(islice(lines, LINES_AT_ONCE)):
+                                yield pd.DataFrame({"path": name, "member": member, "place": [i for i, _ in some], "line": [x for _, x in some]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unzip, "path string, member string, place long, line string")
+    return files.select("path", "content").mapInPandas(unzip, "path string, member string, place long, line string")
 
 
 def file_format(files: DataFrame) -> DataFrame:
