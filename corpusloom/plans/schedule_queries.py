@@ -135,15 +135,29 @@ def parse_iso_utc(spark, sf_dir):
     return _stamps(spark, sf_dir).select("k", D.parse_iso_utc(F.col("s")).cast("timestamp_ntz").alias("at"))
 
 
-_DAY_FORMS = ("2026-01-02", "2026.1.2", "2026/01/02", "2026-01-02T03:04:05", "2026-1-2 3:4:5", "2026.01.02 03:04:05", "2026/01/02 03:04:05", "26.1.2", "2026-02-30", "", "notice of today")
-_DAYS = ("2026-01-02", "2026-01-02", "2026-01-02", "2026-01-02", "2026-01-02", "2026-01-02", "2026/01/02", "26.1.2", "2026-02-30", "2030-01-01", "notice of ")
+@R.add("normalize_date", """WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderkey % 11 AS form FROM orders)
+SELECT k, CASE WHEN form < 6 THEN d WHEN form = 6 THEN replace(d, '-', '/') WHEN form = 7 THEN substr(d, 3, 2) || '.' || substr(d, 6, 2)::INT || '.' || substr(d, 9, 2)::INT WHEN form = 8 THEN substr(d, 1, 4) || '-02-30' WHEN form = 9 THEN '2030-01-01' ELSE substr('notice ' || k, 1, 10) END AS day FROM o""")
+def normalize_date(spark, sf_dir):
+    k, day = F.col("o_orderkey"), lambda f: F.date_format("o_orderdate", f)
+    forms = [
+        day("yyyy-MM-dd"), day("yyyy.M.d"), day("yyyy/MM/dd"), F.concat(day("yyyy-MM-dd"), F.lit("T03:04:05")), F.concat(day("yyyy-M-d"), F.lit(" 3:4:5")), F.concat(day("yyyy.MM.dd"), F.lit(" 03:04:05")),
+        F.concat(day("yyyy/MM/dd"), F.lit(" 03:04:05")), day("yy.M.d"), F.concat(day("yyyy"), F.lit("-02-30")), F.lit(" "), F.concat(F.lit("notice "), k.cast("string")),
+    ]
+    s = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), D.normalize_date(s, F.lit("2030-01-01")).alias("day"))
 
 
-@R.add("normalize_date", f"SELECT o_orderkey AS k, [{', '.join(f"'{d}'" for d in _DAYS)}][o_orderkey % {len(_DAYS)} + 1] AS day FROM orders")
-def normalize_date(spark, sf_dir):
+@R.add("title_terms", """WITH o AS (SELECT o_orderkey AS k, 2020 + o_orderkey % 10 AS y, (o_orderkey // 10 % 2 + 1)::VARCHAR AS t, o_orderkey // 20 % 6 AS form FROM orders)
+SELECT k, y::INTEGER AS year, CASE form WHEN 1 THEN 'summer' WHEN 2 THEN 'winter' ELSE t END AS semester,
+  CASE form WHEN 0 THEN y || '학년도 ' || t || '학기' WHEN 1 THEN y || '년도 하계 계절학기' WHEN 2 THEN y || ' 동계 ' WHEN 3 THEN y || '-' || t || '학기' WHEN 4 THEN y || '년 ' || t || '학기' ELSE y || t || '학기' END AS quote FROM o""")
+def title_terms(spark, sf_dir):
     k = F.col("o_orderkey")
-    s = F.element_at(F.array(*[F.lit(d) for d in _DAY_FORMS]), (k % len(_DAY_FORMS) + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(k.alias("k"), D.normalize_date(s, F.lit("2030-01-01")).alias("day"))
+    y, t, form = (2020 + k % 10).cast("string"), (F.floor(k / 10) % 2 + 1).cast("string"), F.floor(k / 20) % 6
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    title = F.when(form == 0, say(y, "학년도 ", t, "학기 ", F.col("o_orderpriority"))).when(form == 1, say("[", y, "년도 하계 계절학기] 안내")).when(form == 2, say(y, " 동계 수강")).when(form == 3, say("공지 ", y, "-", t, "학기")).otherwise("공지")
+    content = F.when(form == 4, say("신청은 ", y, "년 ", t, "학기에")).when(form == 5, say("1", y, t, "학기")).otherwise(say("2019학년도 1학기"))
+    terms = table(spark, sf_dir, "orders").select(k.alias("k"), tagging.term_of(title, content).alias("t"))
+    return terms.select("k", "t.year", "t.semester", "t.quote")
 
 
 _ASKED = """asked AS (
@@ -382,6 +396,30 @@ def extract_schedules(spark, sf_dir):
     return extraction.extract_schedules(docs).select("doc_id", "place", "rule", "kind", "start_date", "end_date", "start_at", "end_at", "confirmed", "ambiguous", "unconfirmed")
 
 
+@R.add("schedule_hours", """WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, o_orderkey % 24 AS h, o_orderkey % 60 AS mi, o_orderkey % 3 AS form, o_orderpriority AS name, month(o_orderdate) || '월 ' || day(o_orderdate) || '일' AS said FROM orders
+), r AS (
+  SELECT k, 0 AS place, 'rounds' AS rule, name || ' 1차' AS title, d + to_hours(h::INT) + to_minutes(mi::INT) AS s FROM o WHERE form = 0
+  UNION ALL SELECT k, 1, 'rounds', name || ' 2차', d + to_hours(((h + 7) % 24)::INT) FROM o WHERE form = 0
+), f AS (
+  SELECT k, place, rule, title, s, s + INTERVAL 1 HOUR AS e FROM r
+  UNION ALL SELECT k, 0, 'urgent', name || ' 서류 제출 마감', NULL, d + to_hours(h::INT) + to_minutes(mi::INT) FROM o WHERE form = 1
+  UNION ALL SELECT k, 0, 'today', name || ' 보고서 제출', NULL, d + to_hours(h::INT) FROM o WHERE form = 2)
+SELECT k AS doc_id, place, rule, title, strftime(s, '%Y-%m-%dT%H:%M:%S+09:00') AS start_at, strftime(e, '%Y-%m-%dT%H:%M:%S+09:00') AS end_at FROM f""")
+def schedule_hours(spark, sf_dir):
+    # Two rounds of an hour each, also over midnight; deadlines of the day that a notice was written on, which stands beside it or not.
+    k, say = F.col("o_orderkey"), lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    day = say(F.month("o_orderdate").cast("string"), "월 ", F.dayofmonth("o_orderdate").cast("string"), "일")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    hour, clock = (k % 24).cast("string"), say(two(k % 24), ":", two(k % 60))
+    first = say(F.year("o_orderdate").cast("string"), "년 ", day)
+    text = (
+        F.when(k % 3 == 0, say(F.col("o_orderpriority"), " 일정: 1차 ", first, " ", clock, ", 2차 ", first, " ", two((k + 7) % 24), ":00 (각 1시간 진행)"))
+        .when(k % 3 == 1, say("[긴급] 금일(", day, ") ", clock, " 까지 ", F.col("o_orderpriority"), " 서류 제출 요망")).otherwise(say("오늘 ", hour, "시 까지 ", F.col("o_orderpriority"), " 보고서를 꼭 제출하세요"))
+    )
+    docs = table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("content"), F.col("o_orderdate").cast("date").alias("ref"))
+    return extraction.extract_schedules(docs).select("doc_id", "place", "rule", "title", "start_at", "end_at")
+
+
 @R.add("suppressed_spans", """WITH s AS (SELECT l_orderkey AS k, list(struct_pack(s := l_partkey % 50, e := l_partkey % 50 + 5) ORDER BY l_linenumber) FILTER (l_linenumber % 2 = 0) AS strong,
     list(struct_pack(s := l_suppkey % 60, e := l_suppkey % 60 + 4) ORDER BY l_linenumber) FILTER (l_linenumber % 2 = 1) AS weak FROM lineitem GROUP BY 1)
 SELECT k, list_transform(list_filter(coalesce(weak, []), lambda w: len(list_filter(coalesce(strong, []), lambda t: greatest(w.s, t.s) < least(w.e, t.e))) = 0), lambda w: w.s::BIGINT).list_sort() AS starts FROM s""")
