@@ -78,6 +78,7 @@ def infer_year(year: Column, month: Column, day: Column, weekday: Column, paired
     return F.coalesce(year, paired, text_year, *fits, ref_year)
 
 
+# Names of the days of a week, and how a date is written.
 WEEKDAYS = "월화수목금토일"
 DATE_TOKEN = r"(?:(\d{4})[.\-년/\s]+)?(\d{1,2})[.\-월/]\s*(\d{1,2})\.?(?:\s*일)?(?:\s*\(([월화수목금토일])\))?(?:\s*(\d{1,2}):(\d{2}))?(?:\s*(까지|에))?"
 
@@ -97,6 +98,7 @@ def date_token(text: Column) -> Column:
 def document_subject(text: Column) -> Column:
     """What a document is about: its labelled line among the first 25, else the first of its first five lines that is a
     name and no greeting or date, without words like 'notice' at its end; else its first line."""
+    # Labels of names, calls and greetings.
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")), lambda x: x != "")
     named = r"(?:프로그램명|사업명|행사명|공지명|과정명)\s*:\s*(\S[^\n]*)"
     calls = r"^([^\n]+?)\s*(?:참가자를?\s*)?모집합니다"

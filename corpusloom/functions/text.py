@@ -212,22 +212,25 @@ def date_bonus(body: Column, year: Column, month: Column, day: Column) -> Column
     )
 
 
+# Words that show what concerns the campus, a request for code, other topics, and questions about live or own data.
+CAMPUS = "교내|대학|학교|학사|수강|교육|특강|신청|접수|방법|일정|기간|대상|모집|선발|장학|학점|이수|대회|공모전|경진대회|프로그램|캠프|센터|동아리|설명회|특화|지원|학생"
+CODE = r"코드\s*(?:짜줘|작성|구현|만들어|출력)|소스코드|알고리즘\s*(?:짜줘|구현)|구현해줘|코딩해줘|트리\s*구현|구현하는\s*코드"
+OUTSIDE = r"아이폰|갤럭시|스마트폰\s*스펙|노트북\s*추천|그래픽카드|cpu|gpu|날씨|기온|미세먼지|주식|코인|비트코인|부동산|영화\s*추천|맛집\s*추천|이진\s*탐색|이진\s*트리|자료구조"
+NOW, SEATS = "지금|현재|실시간", "빈자리|잔여석"
+OWN_DATA = "(?:내|제)(?:성적표|성적내역|장바구니|통장).*(?:판정|입금|남았|확인해|조회해)"
+OWN_REQUEST = "(?:내|제)(?:일반|군)?(?:휴학|복학|장학금)신청.*(?:승인했|승인됐|승인되었|승인여부|승인상태)"
+WHERE_TO_LOOK = "어디서|어느메뉴|확인방법|조회방법"
+
+
 def off_topic(q: Column) -> Column:
     """Whether a question asks for code, or for something outside without any intent that concerns the campus."""
-    campus = (
-        "(?i)교내|대학|학교|학사|수강|교육|특강|신청|접수|방법|일정|기간|대상|모집|선발|장학|학점|이수|대회|공모전|경진대회|프로그램|캠프|센터|동아리|설명회|특화|지원|학생"
-    )
-    code = r"(?i)코드\s*(?:짜줘|작성|구현|만들어|출력)|소스코드|알고리즘\s*(?:짜줘|구현)|구현해줘|코딩해줘|트리\s*구현|구현하는\s*코드"
-    outside = r"(?i)아이폰|갤럭시|스마트폰\s*스펙|노트북\s*추천|그래픽카드|cpu|gpu|날씨|기온|미세먼지|주식|코인|비트코인|부동산|영화\s*추천|맛집\s*추천|이진\s*탐색|이진\s*트리|자료구조"
-    return q.rlike(code) | (q.rlike(outside) & ~q.rlike(campus))
+    return q.rlike(f"(?i){CODE}") | (q.rlike(f"(?i){OUTSIDE}") & ~q.rlike(f"(?i){CAMPUS}"))
 
 
 def needs_live_lookup(q: Column) -> Column:
     """Whether a question asks for one's own account or for live data, which no public index holds."""
     c = compact(q)
-    live = (c.rlike("지금|현재|실시간") & c.rlike("빈자리|잔여석")) | c.rlike("(?:내|제)(?:성적표|성적내역|장바구니|통장).*(?:판정|입금|남았|확인해|조회해)")
-    own = c.rlike("(?:내|제)(?:일반|군)?(?:휴학|복학|장학금)신청.*(?:승인했|승인됐|승인되었|승인여부|승인상태)")
-    return ~c.rlike("어디서|어느메뉴|확인방법|조회방법") & (live | own)
+    return ~c.rlike(WHERE_TO_LOOK) & ((c.rlike(NOW) & c.rlike(SEATS)) | c.rlike(OWN_DATA) | c.rlike(OWN_REQUEST))
 
 
 def calendar_ranges(text: Column) -> Column:

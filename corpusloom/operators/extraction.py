@@ -200,6 +200,7 @@ def suppress_overlaps(weak: Column, strong: Column) -> Column:
     return F.filter(weak, lambda w: ~F.exists(strong, lambda s: F.greatest(w["start"], s["start"]) < F.least(w["end"], s["end"])))
 
 
+# How single dates, ranges, hours of a day and labels are written, and words that stand near dates.
 _D = r"(?:\d{4}[.\-년/\s]+)?\d{1,2}[.\-월/]\s*\d{1,2}\.?(?:\s*일)?(?:\s*\([월화수목금토일]\))?"
 RANGE = rf"({_D}(?:\s*\d{{1,2}}:\d{{2}})?)(?:\s*(?:~|∼|-)\s*)({_D}(?:\s*\d{{1,2}}:\d{{2}})?(?:\s*까지)?)"
 HOURS = rf"({_D})[\s/]+(\d{{1,2}}:\d{{2}})\s*(?:~|∼|-)\s*(\d{{1,2}}:\d{{2}})"

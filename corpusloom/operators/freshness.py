@@ -119,17 +119,38 @@ def greedy_budget(candidates: DataFrame, by: str, max_docs: int, max_assets: int
     return rows.join(folded.withColumn("taken", F.lit(True)), "_row", "left").select(by, "doc_id", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
+def _row_of(rows: DataFrame, chosen: Column, key: str, *also: Column) -> DataFrame:
+    """Per key the chosen row with its columns; rows of a key are compared in the tasks before they are shuffled, so that no key is gathered."""
+    picked = rows.groupBy(key).agg(chosen.alias("_row"), *also)
+    return picked.select(*[F.col(f"_row.{c}").alias(c) for c in rows.columns], *[c for c in picked.columns if c not in (key, "_row")])
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, with `place`: where the key was first seen."""
-    w = Window.partitionBy(key)
-    last = F.row_number().over(w.orderBy(F.col(order).desc()))
-    return rows.withColumns({"_last": last, "place": F.min(order).over(w)}).filter("_last = 1").drop("_last")
+    """The last row of each key, with `place`: where the key was first seen. Null places are the first; of equal ones any row stays."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return _row_of(rows, F.max_by(whole, F.struct(order)), key, F.min(order).alias("place"))
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key; equal places go in any order."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each key; of equal places any row stays."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return _row_of(rows, F.min_by(whole, F.struct(order)), key)
+
+
+def ranked(rows: DataFrame, group: str, order: Column, number: str, per: int = 4096) -> DataFrame:
+    """rows with `turn`: the place of each within its group by the order, then by number (a whole number), from 1.
+
+    Rows are placed within parts of a group's equal orders, of `per` numbers each; how many rows
+    the parts before hold gives where each starts. So no group, and no order that many rows
+    share, is sorted in one task.
+    """
+    dealt = rows.withColumns({"_order": order, "_part": F.floor(F.col(number) / per)})
+    parts = dealt.groupBy(F.col(group).alias("_g"), F.col("_order").alias("_o"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_o", "_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_g", "_o", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_order", "_part").orderBy(number)))
+    same = F.col(group).eqNullSafe(F.col("_g")) & F.col("_order").eqNullSafe(F.col("_o")) & F.col("_part").eqNullSafe(F.col("_p"))
+    return placed.join(starts, same).withColumn("turn", F.col("_start") + F.col("_in")).drop("_order", "_part", "_in", "_g", "_o", "_p", "_start")
 
 
 def missing_bodies(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dates as D
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, evaluation, media, reports, tagging
+from corpusloom.operators import chunking, evaluation, freshness, media, reports, tagging
 from corpusloom.plans import Registry
 from corpusloom.plans.corpus import DOCUMENTS_SQL, documents
 from corpusloom.plans.corpus_queries import INDEX_SQL, index_rows
@@ -298,7 +298,7 @@ def line_kinds(spark, sf_dir):
 @R.add("enrichment_order", f"""WITH {DOCUMENTS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY site ORDER BY source_type <> 'notice', CASE WHEN source_type = 'notice' THEN -epoch(date::DATE) ELSE 0 END, source_type <> 'notice' AND doc_id % 4 = 0, doc_id) AS turn FROM base""")
 def enrichment_order(spark, sf_dir):
     d = reports.enrichment_order(documents(spark, sf_dir).withColumn("media_status", F.when(F.col("doc_id") % 4 == 0, "complete").otherwise("partial")))
-    return d.select("doc_id", F.row_number().over(Window.partitionBy("site").orderBy("turn", "doc_id")).alias("turn"))
+    return freshness.ranked(d.select("doc_id", "site", F.col("turn").alias("key")), "site", F.col("key"), "doc_id").select("doc_id", "turn")
 
 
 # Functions
