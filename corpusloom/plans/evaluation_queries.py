@@ -88,12 +88,16 @@ def hit_positions(spark, sf_dir):
     return E.positions(runs(spark, sf_dir))
 
 
-@R.add("clause_bindings", f"""WITH c AS (SELECT conv_id, turn, conv_id % 5 AS f FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, [['9월 9일=apply'], ['9월 16일=consent'], ['9월 9일=apply', '9월 16일=consent'], ['3월 2일=none'], []][f + 1] AS bindings FROM c""")
+@R.add("clause_bindings", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS form, month(o_orderdate) || '월 ' || day(o_orderdate) || '일' AS a, month(o_orderdate::DATE + 7) || '월 ' || day(o_orderdate::DATE + 7) || '일' AS b FROM orders)
+SELECT k, CASE form WHEN 0 THEN [a || '=apply'] WHEN 1 THEN [a || '=consent'] WHEN 2 THEN [a || '=apply', b || '=consent'] WHEN 3 THEN [a || '=none'] ELSE [] END AS bindings FROM o""")
 def clause_bindings(spark, sf_dir):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("신청은 9월 9일", "서류는 09월 16일까지", "신청은 9월 9일, 가구원 동의는 9월 16일", "개강 3월 2일", "13월 40일 신청")]), (F.col("conv_id") % 5 + 1).cast("int"))
-    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return c.select("conv_id", "turn", F.transform(E.dated_clauses(said), lambda x: F.concat(x["day"], F.lit("="), x["of"])).alias("bindings"))
+    k = F.col("o_orderkey")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    day = lambda d: say(F.month(d).cast("string"), "월 ", F.dayofmonth(d).cast("string"), "일")
+    a, b = day(F.col("o_orderdate")), day(F.date_add("o_orderdate", 7))
+    forms = [say("신청은 ", a), say("서류는 ", F.date_format("o_orderdate", "MM월 d일까지")), say("신청은 ", a, ", 가구원 동의는 ", b), say("개강 ", a), say(F.month("o_orderdate").cast("string"), "월 40일 신청")]
+    said = F.element_at(F.array(*forms), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.transform(E.dated_clauses(said), lambda x: F.concat(x["day"], F.lit("="), x["of"])).alias("bindings"))
 
 
 # Answers with what is known of their questions, and the verdict that the rules ask for, written down by hand:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dates as D
@@ -330,18 +329,16 @@ def absolute_urls(spark, sf_dir):
     return P.links(table(spark, sf_dir, "pages")).select("page_id", "place", "target")
 
 
-_TOKENS = (
-    ("2026.3.2(월) 10:30 까지", 2026, 3, 2, 0, 10, 30, "까지"), ("3월 2일에 만남", None, 3, 2, None, None, None, "에"), ("12/25", None, 12, 25, None, None, None, None),
-    ("날짜 없음", None, None, None, None, None, None, None), ("기간 2025년 11월 3일 (일) 9:05", 2025, 11, 3, 6, 9, 5, None),
-)
-
-
-@R.add("date_tokens", "SELECT o_orderkey AS k, " + ", ".join(
-    f"[{', '.join('NULL' if t[i] is None else (chr(39) + t[i] + chr(39) if isinstance(t[i], str) else str(t[i])) for t in _TOKENS)}][o_orderkey % {len(_TOKENS)} + 1]{'' if n == 'suffix' else '::INT'} AS {n}"
-    for i, n in enumerate(("year", "month", "day", "weekday", "hour", "minute", "suffix"), 1)) + " FROM orders")
+@R.add("date_tokens", """WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, o_orderkey % 6 AS form FROM orders)
+SELECT k, CASE WHEN form < 2 THEN year(d) END::INT AS year, CASE WHEN form < 5 THEN month(d) END::INT AS month, CASE WHEN form < 5 THEN day(d) END::INT AS day, CASE WHEN form IN (0, 4) THEN isodow(d) - 1 END::INT AS weekday,
+  CASE WHEN form IN (0, 2) THEN k % 24 END::INT AS hour, CASE WHEN form IN (0, 2) THEN k % 60 END::INT AS minute, CASE form WHEN 0 THEN '까지' WHEN 3 THEN '에' END AS suffix FROM o""")
 def date_tokens(spark, sf_dir):
-    k = F.col("o_orderkey")
-    t = table(spark, sf_dir, "orders").select(k.alias("k"), D.date_token(pick([x[0] for x in _TOKENS], k)).alias("t"))
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    y, m, d, w = F.year(day), F.month(day), F.dayofmonth(day), F.substring(F.lit(D.WEEKDAYS), F.weekday(day) + 1, F.lit(1))
+    clock = say(k % 24, ":", F.lpad((k % 60).cast("string"), 2, "0"))
+    forms = [say(y, "년 ", m, "월 ", d, "일(", w, ") ", clock, "까지"), say(y, ".", m, ".", d), say(m, "/", d, " ", clock), say(m, "월 ", d, "일에"), say("마감 ", m, ".", d, ".(", w, ")"), F.lit("날짜 없음")]
+    t = table(spark, sf_dir, "orders").select(k.alias("k"), D.date_token(F.element_at(F.array(*forms), (k % 6 + 1).cast("int"))).alias("t"))
     return t.select("k", *[F.col(f"t.{n}").alias(n) for n in ("year", "month", "day", "weekday", "hour", "minute", "suffix")])
 
 
@@ -365,14 +362,18 @@ def local_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("k"), D.on_local_date(s, F.col("o_orderdate").cast("date"), F.lit("Asia/Seoul")).alias("same"), D.utc_of(s).cast("timestamp_ntz").alias("utc"))
 
 
-_LIVE = (("지금 빈자리 있나", True), ("내 성적표 확인해줘", True), ("제 휴학 신청 승인됐나", True), ("성적표 조회 방법", False), ("지금 빈자리 확인 방법", False), ("휴학 기간", False))
-_OFF = (("이진 탐색 구현해줘", True), ("날씨 알려줘", True), ("코딩 특강 신청", False), ("자료구조 수강 신청", False), ("자료구조", True), ("노트북 추천", True))
+# Questions put together of a when or whose, a what and a how, each by another part of the number; and of a topic and what is wanted of it.
+_WHO, _WHAT, _HOW = ("지금 ", "내 ", ""), ("빈자리 있나", "성적표 확인해줘", "휴학 신청 승인됐나", "휴학 기간"), ("", " 확인 방법")
+_TOPIC, _ACT = ("이진 탐색", "날씨", "자료구조", "노트북 추천", "도서관"), (" 구현해줘", " 알려줘", " 특강 신청")
 
 
-@R.add("question_guards", f"SELECT doc_id, {'[' + ', '.join(str(x[1]).lower() for x in _LIVE) + ']'}[doc_id % 6 + 1] AS live, {'[' + ', '.join(str(x[1]).lower() for x in _OFF) + ']'}[doc_id % 6 + 1] AS off_topic FROM documents")
+@R.add("question_guards", """WITH q AS (SELECT doc_id, doc_id % 3 AS who, doc_id // 3 % 4 AS what, doc_id // 12 % 2 AS how, doc_id % 5 AS topic, doc_id // 5 % 3 AS act FROM documents)
+SELECT doc_id, how = 0 AND ((who = 0 AND what = 0) OR (who = 1 AND what IN (1, 2))) AS live, act = 0 OR (topic < 4 AND act = 1) AS off_topic FROM q""")
 def question_guards(spark, sf_dir):
     n = F.col("doc_id")
-    return documents(spark, sf_dir).select("doc_id", T.needs_live_lookup(pick([x[0] for x in _LIVE], n)).alias("live"), T.off_topic(pick([x[0] for x in _OFF], n)).alias("off_topic"))
+    part = lambda values, by: pick(values, F.floor(n / by))
+    asked, wanted = F.concat(part(_WHO, 1), part(_WHAT, 3), part(_HOW, 12)), F.concat(part(_TOPIC, 1), part(_ACT, 5))
+    return documents(spark, sf_dir).select("doc_id", T.needs_live_lookup(asked).alias("live"), T.off_topic(wanted).alias("off_topic"))
 
 
 @R.add("calendar_ranges", """SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y.%m.%d') || '(월) ~ ' || strftime(o_orderdate, '%Y.%m.%d') || '(화) 개강' WHEN 1 THEN strftime(o_orderdate, '%Y.%m.%d') || '(월) 개강' ELSE '개강' || chr(10) || '끝' END AS shown FROM orders""")
