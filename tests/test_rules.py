@@ -642,3 +642,50 @@ def test_review_summary_keeps_answers_and_links_apart(spark):
     assert [tuple(x) for x in got["a"]["failures"]] == [("link", 1)] and [tuple(x) for x in got["b"]["statuses"]] == [("no_context", 1), ("not_run", 1)]
     assert (got["b"]["answer_accuracy"], got["b"]["link_accuracy"], got["b"]["answer_reviewed"]) == (None, None, 1)
     assert (got["c"]["answer_accuracy"], got["c"]["link_accuracy"], got["c"]["retrieval_coverage"]) == (0.0, None, None) and [tuple(x) for x in got["c"]["failures"]] == [("wrong", 1)]
+
+
+def test_ranks_and_wins_gather_no_group(spark):
+    random = np.random.default_rng(4)
+    rows = [(None if i % 13 == 0 else f"g{i % 2}", int(random.integers(0, 3)), i) for i in random.permutation(500).tolist()]
+    df = spark.createDataFrame(rows, "g string, o int, id long")
+    got = {r["id"]: r["turn"] for r in freshness.ranked(df, "g", F.col("o"), "id", per=50).collect()}
+    want = {}
+    for g in (None, "g0", "g1"):
+        want |= {i: n for n, (_, i) in enumerate(sorted((o, i) for h, o, i in rows if h == g), 1)}
+    assert got == want
+    plan = freshness.last_wins(df, "g", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max_by" in plan
+    last = {r["g"]: (r["id"], r["place"], r["o"]) for r in freshness.last_wins(df, "g", "id").collect()}
+    first = {r["g"]: r["id"] for r in freshness.first_wins(df, "g", "id").collect()}
+    for g in (None, "g0", "g1"):
+        of = sorted((i, o) for h, o, i in rows if h == g)
+        assert last[g] == (of[-1][0], of[0][0], of[-1][1]) and first[g] == of[0][0]
+    nulls = spark.createDataFrame([("k", None, "a"), ("k", 1, "b"), ("n", None, "c")], "g string, id long, v string")
+    assert {r["g"]: r["v"] for r in freshness.last_wins(nulls, "g", "id").collect()} == {"k": "b", "n": "c"}
+    assert {r["g"]: r["v"] for r in freshness.first_wins(nulls, "g", "id").collect()} == {"k": "a", "n": "c"}
+
+
+def test_enrichment_tries_failed_media_again_and_newest_first(spark):
+    rows = [(1, "u1", "2026-01-03", "text"), (2, "u2", "2026-01-03", "text"), (3, "u3", None, "title_only"), (4, "u4", "2025-01-01", "text"), (5, "u5", "2026-02-01", "text")]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, date string, status string")
+    before = spark.createDataFrame([("u1", "failed_or_unsupported"), ("u3", "failed_or_unsupported"), ("u5", "complete")], "url string, media_status string")
+    picked = lambda **k: {r["doc_id"]: r["selected"] for r in freshness.select_for_enrichment(docs, **k).collect()}
+    assert picked(limit=2) == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert picked(since="2026-01-01", bare=True, limit=9) == {1: True, 2: True, 3: True, 5: True}
+    assert picked(since="2026-01-01", bare=True, previous=before, limit=1) == {1: True, 3: False}
+    texts = spark.createDataFrame([(3, None, "no"), (2, "word", None), (1, "x", "a word"), (4, "word", "")], "place long, title string, content string")
+    marked = lambda limit: {r["place"] for r in freshness.keyword_select(texts, "word", limit, "place").filter("processed").collect()}
+    assert marked(2) == {1, 2} and marked(None) == {1, 2, 4} and marked(0) == set()
+    assert freshness.keyword_select(texts, "word", 2, "place").count() == 4
+
+
+def test_known_metadata_of_chunks(spark):
+    df = spark.createDataFrame([(["a", "b"], "x", ""), (None, None, "y")], "path array<string>, source_type string, contact string")
+    got = df.select(T.chunk_metadata(F.col("path"), {"source_type": F.col("source_type"), "contact": F.col("contact")}).alias("m")).collect()
+    assert [r["m"] for r in got] == [{"menu_path": "a / b", "source_type": "x"}, {"contact": "y"}]
+
+
+def test_newest_correction_of_a_title(spark):
+    rows = [("a", "t", "2026-01-01", False), ("b", "t", "2026-01-02", True), ("c", "t", "2026-01-03", True), ("d", "t", "2026-01-03", False), ("e", "t", "2026-01-02", False), ("f", "", "2026-01-01", False), ("g", "u", "2026-01-01", False), ("h", "t", None, True)]
+    got = evaluation.superseded_by(spark.createDataFrame(rows, "id string, clean string, date string, corrected boolean"))
+    assert {r["id"]: (r["newer"], r["n_newer"]) for r in got.collect()} == {"a": ("c", 2), "e": ("c", 1)}
