@@ -99,15 +99,19 @@ def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
 def zip_lines(files: DataFrame) -> DataFrame:
     """path, member, place, line of the text files inside archives (path, content); members are read line by line, not as a whole."""
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str, int, str]]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for member in sorted(z.namelist()):
                         with z.open(member) as f:
-                            lines = enumerate(x.rstrip("\r\n") for x in io.TextIOWrapper(f, "utf-8"))
-                            while some := list(islice(lines, LINES_AT_ONCE)):
-                                yield pd.DataFrame({"path": name, "member": member, "place": [i for i, _ in some], "line": [x for _, x in some]})
+                            for place, line in enumerate(io.TextIOWrapper(f, "utf-8")):
+                                yield name, member, place, line.rstrip("\r\n")
+
+    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = lines(batches)
+        while some := list(islice(found, LINES_AT_ONCE)):
+            yield pd.DataFrame(some, columns=["path", "member", "place", "line"])
 
     return files.select("path", "content").mapInPandas(unzip, "path string, member string, place long, line string")
 
