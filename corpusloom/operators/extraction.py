@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.dates import DATE_TOKEN, dates_conflict, document_subject
+from corpusloom.session import once, spread
 
 DAY = r"(?:(\d{4})년\s*)?(\d{1,2})월\s*(\d{1,2})일(?:\s*\([월화수목금토일]\))?"
 CLOCK = r"(\d{1,2}):(\d{2})"
@@ -81,7 +82,7 @@ def _of_day(day: Column, h: Column | None = None, mi: Column | None = None) -> C
 
 def _first_rule(text: Column) -> Column:
     """Number of the first rule whose patterns all occur, from 1; null without one."""
-    every = lambda r: reduce(lambda a, b: a & b, [text.rlike(p) for p in (*(h.pattern for h in r.hits), *r.needs)])
+    every = lambda r: reduce(lambda a, b: a & b, [text.rlike(p) for p in (*r.needs, *(h.pattern for h in r.hits))])
     return F.coalesce(*[F.when(every(r), F.lit(i)) for i, r in enumerate(RULES, 1)])
 
 
@@ -306,12 +307,15 @@ def extract_schedules(docs: DataFrame, zone: str = "+09:00") -> DataFrame:
     ref: the day that relative words refer to. Null and empty texts have none. The checks are
     those of checked().
     """
-    rows = docs.select("doc_id", "ref", F.coalesce("content", F.lit("")).alias("text")).withColumn("_rule", _first_rule(F.col("text")))
+    rows = spread(docs.select("doc_id", "ref", F.coalesce("content", F.lit("")).alias("text")))
+    rows = once(once(rows, "text", F.col("text")), "_rule", _first_rule(F.col("text")))
     # The rules' table is a column, which keeps the expression over it small.
     by_rule = rows.filter("_rule IS NOT NULL").withColumn("_specs", F.element_at(_specs(), F.col("_rule"))).withColumn("_hits", _ruled(F.col("text"), F.col("ref"), F.col("_specs")))
     around = _with_dates(rows.filter("_rule IS NULL")).withColumn("_hits", F.col("_around"))
     hits = by_rule.select("doc_id", "text", "_hits").unionByName(around.select("doc_id", "text", "_hits"))
-    return checked(hits.select("doc_id", "text", F.posexplode("_hits").alias("place", "hit")).select("doc_id", "text", "place", "hit.*"), zone)
+    # An outer one, because the filter on empty arrays that the optimizer puts below another would work out all hits twice.
+    placed = hits.select("doc_id", "text", F.posexplode_outer("_hits").alias("place", "hit")).filter("place IS NOT NULL")
+    return checked(placed.select("doc_id", "text", "place", "hit.*"), zone)
 
 
 def checked(hits: DataFrame, zone: str = "+09:00") -> DataFrame:
