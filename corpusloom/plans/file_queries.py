@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 from corpusloom.functions import text as T
 from corpusloom.plans import Registry
 from corpusloom.plans.corpus import DOCUMENTS_SQL, documents
-from corpusloom.session import shared_dir, table
+from corpusloom.session import shared_dir, spread, table
 from corpusloom.sources import files as S
 from corpusloom.sources import pages as P
 
@@ -163,7 +163,8 @@ def _guidance(spark, sf_dir):
     frame = F.when(k % 7 == 0, "<iframe src='x'></iframe>").otherwise("")
     html = _say("<nav><a href='/z'>Menu</a></nav><h1>Head</h1>", tabs, "<div id='_contentBuilder'><p>Order <b>", key, "</b> is\n here</p><p class='hidden'>no</p>", grid, file, picture, board, frame,
                 "<script>x()</script></div><div class='wrap-contact'>Office 최종 수정일 : ", day, "</div>")
-    return table(spark, sf_dir, "orders").select(k.alias("page_id"), _say("https://h/g/", F.when(k % 2 == 0, key).otherwise("y")).alias("url"), html.alias("html"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"))
+    return orders.select(k.alias("page_id"), _say("https://h/g/", F.when(k % 2 == 0, key).otherwise("y")).alias("url"), html.alias("html"))
 
 
 @R.add("guidance_pages", """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Own ' || o_orderkey ELSE 'Head' END AS title,

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import functions as F
 
 from corpusloom.operators import extraction
+from corpusloom.plans import file_queries
+from corpusloom.sources import pages
 
 
 def test_schedule_rules_are_tried_once_a_text(spark):
@@ -16,3 +18,30 @@ def test_schedule_rules_are_tried_once_a_text(spark):
     assert not [line for line in plan.splitlines() if "Filter" in line and ("RLIKE" in line or "regexp_extract" in line)]
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(r["rule"] for r in found.select("rule").collect()) == ["dated_range", "today"]
+
+
+def _shape(html, plain):
+    built = pages._Builder()
+    if plain:
+        assert built.plain(html)
+    else:
+        built.feed(html)
+        built.close()
+    root = built.tree()
+    return [(n.tag, n.attrs, n.depth, [c if isinstance(c, str) else c.at for c in n.children], n.stop) for n in root.page]
+
+
+def test_plain_markup_is_read_by_one_pattern_as_the_parser_reads_it():
+    html = "<!DOCTYPE html><ul class='a b'><li><A HREF=\"/x\" b>1 &amp; 2</a><li>3</ul><td rowspan=2 colspan='3'>x<br/>y<!-- c --><script>f()</script><title>a &lt; b</title></p>" + "<div>" * 600 + "z"
+    assert _shape(html, True) == _shape(html, False)
+    root = pages.read(html)
+    assert [n.text() for n in root.all("li")] == ["1 & 2", "3"] and root.marked('b') == root.all('ul')
+
+
+def test_odd_markup_is_left_to_the_parser():
+    for html in ("a < b", "<a href=x/>", "<a href='x&amp;y'>", "<script>'<b>'</script>", "<script>", "<iframe>a &amp; b</iframe>", "<p", "</ p>", "<a b='1'c='2'>"):
+        assert not pages._Builder().plain(html)
+
+
+def test_guidance_pages_are_dealt_over_the_cores(spark):
+    assert file_queries._guidance(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
