@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import chunk_header, content_hash
-from corpusloom.session import spread
+from corpusloom.session import small_batches, spread
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -62,6 +62,7 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 80) -> Data
     characters, is one chunk; else the body is split and a header stands before each part, so
     that a chunk may exceed `size`. A document without status is chunked as any other.
     """
+    small_batches(docs.sparkSession)
     held = set(docs.columns)
     given = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in held else F.lit("")
 

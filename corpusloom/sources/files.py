@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import derived_source_type, scrub
+from corpusloom.session import small_batches
 
 LINES_AT_ONCE = 10_000
 DOCUMENT = "id string, title string, content string, source string, category string, date string, url string, content_status string, source_type string, content_hash string, html_content string"
@@ -174,4 +175,5 @@ def hwpx_text(files: DataFrame) -> DataFrame:
             found = [extract(c) for c in batch["content"]]
             yield pd.DataFrame([(p, *f) for p, f in zip(batch["path"], found, strict=True)], columns=["path", "text", "status", "error", "sections"])
 
+    small_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, text string, status string, error string, sections int")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import extraction
+from corpusloom.operators import chunking, extraction, retrieval
 from corpusloom.plans import file_queries
-from corpusloom.sources import pages
+from corpusloom.sources import files, pages
 
 
 def test_schedule_rules_are_tried_once_a_text(spark):
@@ -45,3 +47,19 @@ def test_odd_markup_is_left_to_the_parser():
 
 def test_guidance_pages_are_dealt_over_the_cores(spark):
     assert file_queries._guidance(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_and_files_reach_python_in_small_batches(spark):
+    chunking.chunk_documents(spark.createDataFrame([("d", "u", "t", "c")], "id string, url string, title string, content string"))
+    files.hwpx_text(spark.createDataFrame([("p", b"")], "path string, content binary"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_a_group_of_questions_is_scored_in_slices(monkeypatch):
+    sizes, scores = [], retrieval._scores
+    monkeypatch.setattr(retrieval, "_scores", lambda q, x: sizes.append(len(q)) or scores(q, x))
+    v = np.random.default_rng(1).normal(size=(200, 8))
+    given = list((v / np.linalg.norm(v, axis=1, keepdims=True)).astype("f4"))
+    found = retrieval._nearest(3)(pd.DataFrame({"query_id": range(150), "embedding": given[:150]}), pd.DataFrame({"chunk_id": [f"c{i:03d}" for i in range(200)], "embedding": given}))
+    assert max(sizes) <= 64 and len(found) == 450
+    assert found.groupby("query_id")["chunk_id"].first().tolist() == [f"c{i:03d}" for i in range(150)]
