@@ -306,5 +306,12 @@ def superseded_by(docs: DataFrame) -> DataFrame:
     return rows.filter(~F.col("corrected")).join(above, ["clean", "date"]).select("id", "newer", "n_newer")
 
 
+def superseding_pairs(docs: DataFrame) -> DataFrame:
+    """id, newer: what is no correction itself with every correction of the same title that is later dated; docs as in superseded_by()."""
+    rows = docs.filter(F.col("clean") != "")
+    a, b = rows.filter(~F.col("corrected")).alias("a"), rows.filter("corrected").alias("b")
+    return a.join(b, (F.col("a.clean") == F.col("b.clean")) & (F.col("b.date") > F.col("a.date"))).select(F.col("a.id"), F.col("b.id").alias("newer"))
+
+
 def duplicates(rows: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, extraction, retrieval
+from corpusloom.operators import chunking, evaluation, extraction, retrieval
 from corpusloom.plans import file_queries
 from corpusloom.sources import files, pages
 
@@ -63,3 +63,9 @@ def test_a_group_of_questions_is_scored_in_slices(monkeypatch):
     found = retrieval._nearest(3)(pd.DataFrame({"query_id": range(150), "embedding": given[:150]}), pd.DataFrame({"chunk_id": [f"c{i:03d}" for i in range(200)], "embedding": given}))
     assert max(sizes) <= 64 and len(found) == 450
     assert found.groupby("query_id")["chunk_id"].first().tolist() == [f"c{i:03d}" for i in range(150)]
+
+
+def test_every_later_correction_is_returned(spark):
+    rows = [("a", "2026-01-01", "t", False), ("b", "2026-01-02", "t", True), ("c", "2026-01-03", "t", True), ("d", "2025-12-31", "t", True), ("e", "2026-01-01", "", False)]
+    found = evaluation.superseding_pairs(spark.createDataFrame(rows, "id string, date string, clean string, corrected boolean"))
+    assert sorted(map(tuple, found.collect())) == [("a", "b"), ("a", "c")]
