@@ -137,10 +137,9 @@ def enrichment_retry(spark, sf_dir):
     return freshness.select_for_enrichment(rows, "2024-06-01", True, before, 25).select("doc_id", "selected")
 
 
-@R.add("keyword_select", f"""WITH {DOCUMENTS_SQL}, hit AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM base WHERE contains(title, 'tion') OR contains(content, 'tion'))
-SELECT b.doc_id, b.site, coalesce(h.rank <= 50, false) AS processed FROM base b LEFT JOIN hit h USING (doc_id)""")
+@R.add("keyword_select", f"""WITH {DOCUMENTS_SQL} SELECT doc_id, site, coalesce(contains(title, 'tion'), false) OR coalesce(contains(content, 'tion'), false) AS processed FROM base""")
 def keyword_select(spark, sf_dir):
-    return freshness.keyword_select(documents(spark, sf_dir), "tion", 50, "doc_id").select("doc_id", "site", "processed")
+    return freshness.keyword_select(documents(spark, sf_dir), "tion", None, "doc_id").select("doc_id", "site", "processed")
 
 
 @R.add("missing_body", f"""WITH {VERSIONS_SQL} SELECT source, status, count(*) AS n FROM versions

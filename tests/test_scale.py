@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, evaluation, extraction, retrieval
-from corpusloom.plans import file_queries
+from corpusloom.plans import corpus_queries, file_queries
 from corpusloom.sources import files, pages
 
 
@@ -69,3 +69,9 @@ def test_every_later_correction_is_returned(spark):
     rows = [("a", "2026-01-01", "t", False), ("b", "2026-01-02", "t", True), ("c", "2026-01-03", "t", True), ("d", "2025-12-31", "t", True), ("e", "2026-01-01", "", False)]
     found = evaluation.superseding_pairs(spark.createDataFrame(rows, "id string, date string, clean string, corrected boolean"))
     assert sorted(map(tuple, found.collect())) == [("a", "b"), ("a", "c")]
+
+
+def test_keyword_select_takes_every_document_that_holds_the_word(spark):
+    sf = "/root/testdata/sf0.01"
+    held = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("text").contains("tion")).count()
+    assert held > 50 and corpus_queries.keyword_select(spark, sf).filter("processed").count() == held
