@@ -70,15 +70,17 @@ def decision(old: Column, new: Column) -> Column:
     )
 
 
-def resolve(versions: DataFrame, key: str = "key") -> DataFrame:
+def resolve(versions: DataFrame, key: str = "key", *kept: str) -> DataFrame:
     """key, current (a version) and log of decisions, by an ordered fold over each key's versions.
 
+    kept: columns that follow from the key and stay; rows dealt by one of them are folded where they are.
+
     A key has about one version per source, so its array stays small; `n_versions` shows it.
     On a skip with equal signatures the kept row's check time moves up to the later check,
     which later steps see. Order: seq, then id.
     """
     fields = [f.split(":")[0] for f in VERSION[7:-1].split(",")]
-    grouped = versions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields).cast(VERSION))).alias("vs"))
+    grouped = versions.groupBy(*kept, key).agg(F.sort_array(F.collect_list(F.struct(*fields).cast(VERSION))).alias("vs"))
     start = F.struct(F.element_at("vs", 1).alias("cur"), F.array().cast(LOG).alias("log"))
 
     def step(acc: Column, new: Column) -> Column:
@@ -91,7 +93,7 @@ def resolve(versions: DataFrame, key: str = "key") -> DataFrame:
         return F.struct(F.when(taken, new).otherwise(kept).cast(VERSION).alias("cur"), F.concat(acc["log"], F.array(entry).cast(LOG)).alias("log"))
 
     folded = grouped.withColumn("r", F.aggregate(F.slice("vs", F.lit(2), F.size("vs")), start.cast(f"struct<cur:{VERSION},log:{LOG}>"), step))
-    return folded.select(key, F.col("r.cur").alias("current"), F.col("r.log").alias("log"), F.size("vs").alias("n_versions"))
+    return folded.select(*kept, key, F.col("r.cur").alias("current"), F.col("r.log").alias("log"), F.size("vs").alias("n_versions"))
 
 
 def with_hash(versions: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from corpusloom.session import shared_dir
 
 AS_VERSION = [f.split(":")[0] for f in versions.VERSION[7:-1].split(",")]
 BUCKETS = 64  # of a state that upsert() keeps
+RESOLVED = f"key string, current {versions.VERSION}, log {versions.LOG}, n_versions int, batch int"  # what a batch of upsert() writes
 
 
 def open_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
@@ -36,28 +37,50 @@ def _finished(spark: SparkSession, folder: str, prefix: str) -> list[int]:
     return sorted(int(n[len(prefix) :]) for n in done)
 
 
-def _places(spark: SparkSession, states: str, before: int) -> dict[int, int]:
-    """Each bucket's last batch below a number: the state of all keys as of that batch lies there."""
+def _places(spark: SparkSession, states: str, before: int) -> dict[int, list[tuple[int, int]]]:
+    """Each bucket's parts of the index below a number, as (batch, rows), the oldest first."""
     done = [n for n in _finished(spark, states, "places-") if n < before]
-    return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch int").parquet(f"{states}/places-{done[-1]}").collect()} if done else {}
+    if not done:
+        return {}
+    rows = spark.read.schema("bucket int, parts array<struct<batch:int,rows:long>>").parquet(f"{states}/places-{done[-1]}").collect()
+    return {r["bucket"]: [tuple(p) for p in r["parts"]] for r in rows}
 
 
-def _held(spark: SparkSession, states: str, places: dict[int, int], buckets: Iterable[int]) -> DataFrame | None:
-    """key and current of the keys in some buckets; only their files are read."""
-    paths = [f"{states}/batch-{places[b]}/bucket={b}" for b in sorted(buckets) if b in places]
-    return spark.read.schema(f"key string, current {versions.VERSION}").parquet(*paths) if paths else None
+def _index(spark: SparkSession, states: str, parts: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """key and batch of some buckets' parts of the index; a key's largest batch is the one that its current version lies under."""
+    paths = [f"{states}/index-{n}/bucket={b}" for b, held in sorted(parts.items()) for n, _ in held]
+    empty = spark.createDataFrame([], "key string, batch int")
+    return spark.read.schema(empty.schema).parquet(*paths) if paths else empty
+
+
+def _held(spark: SparkSession, states: str, batches: Iterable[int], buckets: Iterable[int]) -> DataFrame:
+    """What batches have resolved of the keys in some buckets; only their files are read."""
+    any_of = lambda xs: "{" + ",".join(map(str, sorted(xs))) + "}"
+    return spark.read.schema(RESOLVED).parquet(f"{states}/batch-{any_of(batches)}/bucket={any_of(buckets)}")
+
+
+def _merged(held: list[tuple[int, int]], rows: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
+    """Parts of a bucket's index that stay and those that new rows take in, and the rows then: each part that stays has more than twice the rows of the next."""
+    stay, taken = list(held), []
+    while stay and stay[-1][1] <= 2 * rows:
+        taken.append(stay.pop())
+        rows += taken[-1][1]
+    return stay, taken, rows
 
 
 def upsert(stream: DataFrame, to_versions: Callable[[DataFrame], DataFrame], checkpoint: str | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """The current versions and the log after all that a stream holds now.
 
-    The state is dealt to buckets by the hash of its keys. Each batch folds its versions onto the
-    current ones of the same keys, and reads and writes the buckets alone that hold its keys,
-    under its own number beside the checkpoint; a table of one row a bucket says where each one's
-    state lies. A batch that runs again after a failure reads what lies before it and writes the
-    same. With the same checkpoint, and the same number of buckets, a later call goes on where the
-    last one ended, also without new rows. A late or older version loses by the same rules as in
-    the batch operator, and shows in the log as skipped.
+    Keys are dealt to buckets by their hash. Each batch folds its versions onto the current ones
+    of the same keys and writes what comes of it once, under its own number beside the checkpoint,
+    with the numbers of the batches whose versions it replaces. An index tells under which batch a
+    key's current version lies; it holds no contents, and its parts are merged so that each has
+    more than twice the rows of the next: a batch reads few files of its buckets, and a row of the
+    index is written again as often as the logarithm of the batches. A batch that runs again after
+    a failure reads what lies before it and writes the same. With the same checkpoint, and the same
+    number of buckets, a later call goes on where the last one ended, also without new rows. A late
+    or older version loses by the same rules as in the batch operator, and shows in the log as
+    skipped.
     """
     spark = stream.sparkSession
     root = _folder(spark, "upsert", checkpoint)
@@ -68,28 +91,34 @@ def upsert(stream: DataFrame, to_versions: Callable[[DataFrame], DataFrame], che
         given = f"{states}/given-{number}"
         to_versions(batch).select("key", *AS_VERSION).write.mode("overwrite").parquet(given)
         new = spark.read.parquet(given)
-        touched = [r["bucket"] for r in new.select(bucket.alias("bucket")).distinct().collect()]  # as many as there are buckets at most
+        keys = new.select("key").distinct()
+        sizes = {r["bucket"]: r["count"] for r in keys.groupBy(bucket.alias("bucket")).count().collect()}  # as many as there are buckets at most
         places = _places(spark, states, number)
-        held = _held(spark, states, places, touched)
-        if held is not None:
+        before = _index(spark, states, {b: places[b] for b in sizes if b in places})
+        before.join(keys, "key", "left_semi").groupBy("key").agg(F.max("batch").alias("batch")).write.mode("overwrite").parquet(f"{states}/replaced-{number}")
+        replaced = spark.read.schema(before.schema).parquet(f"{states}/replaced-{number}")
+        met = replaced.agg(F.collect_set("batch").alias("batches"), F.collect_set(bucket).alias("buckets")).first()
+        if met["batches"]:
             # The current version stands first in the fold: its seq is below any other.
-            known = held.join(new.select("key").distinct(), "key", "left_semi").select("key", "current.*").withColumn("seq", F.lit(-1))
+            known = _held(spark, states, met["batches"], met["buckets"]).join(replaced, ["key", "batch"], "left_semi").select("key", "current.*").withColumn("seq", F.lit(-1))
             new = known.select("key", *AS_VERSION).unionByName(new)
-        versions.resolve(new).write.mode("overwrite").parquet(f"{states}/changes-{number}")
-        changed = spark.read.parquet(f"{states}/changes-{number}").select("key", "current")
-        state = changed if held is None else changed.unionByName(held.join(changed, "key", "left_anti"))
-        state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/batch-{number}")
-        now = places | dict.fromkeys(touched, number)
-        spark.createDataFrame(sorted(now.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{states}/places-{number}")
+        dealt = versions.resolve(new.withColumn("bucket", bucket).repartition("bucket"), "key", "bucket")
+        dealt.withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/batch-{number}")
+        merged = {b: _merged(places.get(b, []), n) for b, n in sizes.items()}
+        index = keys.withColumn("batch", F.lit(number)).unionByName(_index(spark, states, {b: taken for b, (_, taken, _) in merged.items()}))
+        index.withColumn("bucket", bucket).repartition("bucket").groupBy("bucket", "key").agg(F.max("batch").alias("batch")).write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/index-{number}")
+        now = places | {b: [*stay, (number, n)] for b, (stay, _, n) in merged.items()}
+        spark.createDataFrame(sorted(now.items()), "bucket int, parts array<struct<batch:int,rows:long>>").coalesce(1).write.mode("overwrite").parquet(f"{states}/places-{number}")
 
     query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     done = _finished(spark, states, "places-")
-    places = _places(spark, states, done[-1] + 1) if done else {}
-    empty = versions.resolve(to_versions(spark.createDataFrame([], stream.schema)).select("key", *AS_VERSION))
-    held = _held(spark, states, places, places)
-    log = versions.log_rows(spark.read.schema(empty.schema).parquet(*[f"{states}/changes-{n}" for n in done]) if done else empty)
-    return (empty.select("key", "current") if held is None else held), log
+    if not done or not _places(spark, states, done[-1] + 1):
+        empty = spark.createDataFrame([], RESOLVED)
+        return empty.select("key", "current"), versions.log_rows(empty)
+    held = _held(spark, states, done, range(buckets))
+    replaced = spark.read.schema("key string, batch int").parquet(*[f"{states}/replaced-{n}" for n in done])
+    return held.join(replaced, ["key", "batch"], "left_anti").select("key", "current"), versions.log_rows(held)
 
 
 def backfill(stream: DataFrame, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataFrame:

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, evaluation, extraction, retrieval
-from corpusloom.plans import corpus_queries, file_queries
+from corpusloom.operators import chunking, evaluation, extraction, retrieval, versions
+from corpusloom.plans import corpus, corpus_queries, file_queries
 from corpusloom.sources import files, pages
+from corpusloom.streaming import upserts
 
 
 def test_schedule_rules_are_tried_once_a_text(spark):
@@ -75,3 +76,28 @@ def test_keyword_select_takes_every_document_that_holds_the_word(spark):
     sf = "/root/testdata/sf0.01"
     held = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("text").contains("tion")).count()
     assert held > 50 and corpus_queries.keyword_select(spark, sf).filter("processed").count() == held
+
+
+def test_a_batch_of_a_stream_writes_its_own_contents_once(spark, tmp_path):
+    parts = corpus.version_rows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    dealt = parts.withColumn("n", F.pmod(F.crc32("key"), F.lit(6)))
+    for n in range(6):  # each document in a batch of its own, then those of the first batch once more
+        dealt.filter(F.col("n") == n).drop("n").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    again = dealt.filter("n = 0").drop("n").withColumn("seq", F.col("seq") + 10)
+    again.coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    state, log = upserts.upsert(upserts.open_stream(spark, str(tmp_path / "rows")), lambda b: b, str(tmp_path / "c"), buckets=4)
+    written = {n: spark.read.parquet(str(tmp_path / f"c/versions/batch-{n}")).count() for n in range(7)}
+    assert sum(written.values()) == parts.select("key").distinct().count() + again.select("key").distinct().count()
+    want = versions.resolve(parts.unionByName(again))
+    names = ["key", "current.hash", "current.source", "current.checked_at"]
+    assert sorted(map(str, state.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
+    assert log.count() == versions.log_rows(want).count()
+
+
+def test_parts_of_an_index_are_merged_by_size():
+    held, rows = [], 0
+    for n in range(1000):
+        stay, _, size = upserts._merged(held, 10)
+        held, rows = [*stay, (n, size)], rows + size
+        assert sum(s for _, s in held) == 10 * (n + 1) and all(a > 2 * b for (_, a), (_, b) in zip(held, held[1:]))
+    assert rows <= 10 * 1000 * 10
