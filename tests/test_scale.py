@@ -41,6 +41,19 @@ def test_plain_markup_is_read_by_one_pattern_as_the_parser_reads_it():
     assert [n.text() for n in root.all("li")] == ["1 & 2", "3"] and root.marked('b') == root.all('ul')
 
 
+def test_a_tag_that_pages_repeat_is_read_once():
+    pages._tag.cache_clear()
+    long = "<p title='" + "x" * 300 + "'>"
+    root = pages.read("<ul>" + "<li class='a'>x &lt; y</li>" * 1000 + "</ul>" + long)
+    assert pages._tag.cache_info().misses == 4 and len(root.marked("a")) == 1000 and root.marked("a")[9].text() == "x < y"
+    assert root.all("p")[0].attrs == {"title": "x" * 300}
+
+
+def test_pages_without_number_address_or_text(spark):
+    found = pages.links(spark.createDataFrame([(None, None, "<a href='/x'>y</a>"), (1, "https://h/", None)], "page_id long, url string, html string"))
+    assert [tuple(r) for r in found.collect()] == [(None, 0, "/x", "/x", "y", False, [])]
+
+
 def test_odd_markup_is_left_to_the_parser():
     for html in ("a < b", "<a href=x/>", "<a href='x&amp;y'>", "<script>'<b>'</script>", "<script>", "<iframe>a &amp; b</iframe>", "<p", "</ p>", "<a b='1'c='2'>"):
         assert not pages._Builder().plain(html)
