@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,10 @@ from corpusloom.session import pick, stored, table
 ORDER = 5  # bytes of context; a node's key is its context and symbol, at most 48 bits
 END = b"\n"  # ends every text and stands before it as context; no word holds it
 SEGMENT = 1 << 20  # bytes that are worked on at once; longer texts go on with their last bytes as context
-MOST_NODES = 4_000_000  # a trie of up to so many nodes is broadcast, the nodes of a larger one are joined by shuffle
-MOST_WORDS = 8_000_000  # word counts up to so many words are broadcast (12 bytes each), more are joined by shuffle
+MOST_NODES = 4_000_000  # a trie of up to so many nodes is broadcast, a larger one is asked by batches of texts
+MOST_WORDS = 8_000_000  # word counts up to so many words are broadcast (12 bytes each), more are asked likewise
+BATCH_BYTES = 32 << 20  # of text in a batch that asks for each of its keys once
+BATCHES_PER_PART = 128  # batches that one copy of a range's nodes answers, so that its questions do not grow with the corpus
 TEXTS_PER_RANGE = 2_000  # training texts for each range of keys, so that a range's counts do not grow with the corpus
 TASK_WORDS = 1_000_000  # distinct words a task holds before it hands them on
 TASK_NODES = 4_000_000  # likewise nodes of the highest order
@@ -86,22 +88,29 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.concatenate([first, [len(keys)]])).astype(np.int64)
 
 
-def _by_range(kind: str, keys: np.ndarray, counts: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+def _by_range(at: np.ndarray, **arrays: np.ndarray) -> pd.DataFrame:
+    """Arrays as one row a range, which `at` tells for each place, in their order."""
     order = np.argsort(at, kind="stable")
-    keys, counts, at = keys[order], counts[order], at[order]
+    at = at[order]
     bounds = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, int)
-    ends = [*bounds[1:], len(at)]
-    return pd.DataFrame({
-        "kind": kind, "at": at[bounds].astype(np.int32),
-        "keys": [keys[a:b].tobytes() for a, b in zip(bounds, ends, strict=True)],
-        "counts": [counts[a:b].tobytes() for a, b in zip(bounds, ends, strict=True)],
-    })
+    ends = [*bounds[1:], len(at)][: len(bounds)]
+    dealt = {name: a[order] for name, a in arrays.items()}
+    return pd.DataFrame({"at": at[bounds].astype(np.int32)} | {name: [a[i:j].tobytes() for i, j in zip(bounds, ends, strict=True)] for name, a in dealt.items()})
 
 
 def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
 
 
+def _ranges(two: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges of two bytes each."""
+    return (((two * np.uint64(40503)) & np.uint64(0xFFFF)) % np.uint64(ranges)).astype(np.int64)
+
+
+def _word_ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return (hashes % np.uint64(ranges)).astype(np.int64)
+
+
 def gather(docs: DataFrame, ranges: int) -> DataFrame:
     """Counts from all training texts, merged by key range and written.
 
@@ -118,12 +127,11 @@ def gather(docs: DataFrame, ranges: int) -> DataFrame:
         def word_rows() -> pd.DataFrame:
             hashes = np.fromiter((word_hash(w) for w in words), np.uint64, len(words))
             counts = np.fromiter(words.values(), np.int64, len(words))
-            return _by_range("word", hashes, counts, (hashes % np.uint64(ranges)).astype(np.int64))
+            return _by_range(_word_ranges(hashes, ranges), keys=hashes, counts=counts).assign(kind="word")
 
         def node_rows(nodes: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
             keys, counts = _summed(np.concatenate([k for k, _ in nodes]), np.concatenate([c for _, c in nodes]))
-            last = keys & MASKS[1]
-            return _by_range("ppm", keys, counts, (((last * np.uint64(40503)) & np.uint64(0xFFFF)) % np.uint64(ranges)).astype(np.int64))
+            return _by_range(_ranges(keys & MASKS[1], ranges), keys=keys, counts=counts).assign(kind="ppm")
 
         for batch in (part for whole in batches for part in _slices(whole)):
             texts = []
@@ -275,18 +283,18 @@ def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: i
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     score: log10 probability of what spelled() makes of the text, under the trie of all nodes of
-    the training texts; over most_nodes they are joined by shuffle, with the same scores.
-    base_score: of its tokens under the training texts' smoothed counts; the end is a token.
-    Null and empty texts are the end alone; texts are read whole, long ones in segments. Rows
-    without doc_id are training texts. Repeated rows count and are scored each. Without training
-    texts every byte has probability 1/256 and every count is 0. Columns other than doc_id and
-    text are not read. An empty table gives an empty table.
+    the training texts. base_score: of its tokens under the training texts' smoothed counts; the
+    end is a token. Over most_nodes or most_words batches of texts ask for what their keys are
+    worth, with the same scores. Null and empty texts are the end alone; texts are read whole,
+    long ones in segments. Rows without doc_id are training texts. Repeated rows count and are
+    scored each. Without training texts every byte has probability 1/256 and every count is 0.
+    Columns other than doc_id and text are not read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     texts = pick(docs, "doc_id", "text")
-    training = texts.filter(in_training())
-    ranges = min(1 << 16, max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), training.count() // TEXTS_PER_RANGE))
-    gathered = gather(training, ranges)
+    size = texts.agg(F.count_if(in_training()).alias("training"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = min(1 << 16, max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), size["training"] // TEXTS_PER_RANGE))
+    gathered = gather(texts.filter(in_training()), ranges)
     sums = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     n_texts = sums["text"]["total"] if "text" in sums else 0
     n_words = sums["word"]["n"] if "word" in sums else 0
@@ -294,8 +302,7 @@ def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: i
     bottom = n_tokens + 0.5 * (n_words + (n_texts > 0) + 1)
     n_nodes = sums["ppm"]["n"] if "ppm" in sums else 0
     model = trie(gathered, most_nodes) if n_nodes <= most_nodes else None
-    own = n_words <= most_words
-    if own:
+    if n_words <= most_words:
         rows = gathered.filter("kind = 'word'").select("keys", "counts").toLocalIterator()
         parts = [(_array(bytes(r["keys"]), np.uint64), _array(bytes(r["counts"]), np.int64).astype(np.uint32 if n_tokens < 1 << 32 else np.int64)) for r in rows]
         keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
@@ -307,46 +314,61 @@ def score_documents(docs: DataFrame, most_nodes: int = MOST_NODES, most_words: i
     shared = spark.sparkContext.broadcast((model, vocabulary))
     unknown, end = float(np.log10(0.5 / bottom)), float(np.log10((n_texts + 0.5) / bottom))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, vocabulary = shared.value
-        for batch in (part for whole in batches for part in _slices(whole)):
-            split = [split_words(lower_ascii(t)) if t else [] for t in batch["text"]]
-            total = np.zeros(len(split))
-            for low, packed in _packed(split) if model is not None else ():
-                keys = packed >> np.uint64(16)
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                value = np.repeat(model.log10(keys[first]), np.diff(np.concatenate([first, [len(keys)]])))
-                part = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), weights=value)
-                total[low : low + len(part)] += part
-            out = {"doc_id": batch["doc_id"].array, "_row": batch["_row"].array, "n_tokens": [len(w) + 1 for w in split], "score": total}
-            base, known, words = np.full(len(split), end), np.full(len(split), int(n_texts > 0)), [None] * len(split)
-            if vocabulary is not None:
-                distinct = list(set().union(*split)) if split else []
-                hashes = np.fromiter((word_hash(w) for w in distinct), np.uint64, len(distinct))
-                c = counts_of(*vocabulary, hashes)
-                worth = dict(zip(distinct, np.where(c > 0, np.log10((c + 0.5) / bottom), 0.0).tolist(), strict=True))
-                for i, w in enumerate(split):
-                    found = np.fromiter(map(worth.__getitem__, w), np.float64, len(w))
-                    missing = int((found == 0.0).sum())
-                    base[i] += found.sum() + missing * unknown
-                    known[i] += len(w) - missing
-            else:
-                words = [[{"h": word_hash(w) - (1 << 63), "k": k} for w, k in Counter(w).items()] for w in split]
-            yield pd.DataFrame(out | {"base_score": base, "n_known": known, "words": words})
+    def scored(batch: pd.DataFrame, worth_of: Callable[[np.ndarray], np.ndarray], count_of: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+        split = [split_words(lower_ascii(t)) if t else [] for t in batch["text"]]
+        total = np.zeros(len(split))
+        for low, packed in _packed(split):
+            keys, times = _counted(packed >> np.uint64(16))
+            value = np.repeat(worth_of(keys), times)
+            part = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), weights=value)
+            total[low : low + len(part)] += part
+        distinct, hashes = _distinct(split)
+        c = count_of(hashes)
+        worth = dict(zip(distinct, np.where(c > 0, np.log10((c + 0.5) / bottom), 0.0).tolist(), strict=True))
+        base, known = np.full(len(split), end), np.full(len(split), int(n_texts > 0))
+        for i, w in enumerate(split):
+            found = np.fromiter(map(worth.__getitem__, w), np.float64, len(w))
+            missing = int((found == 0.0).sum())
+            base[i] += found.sum() + missing * unknown
+            known[i] += len(w) - missing
+        return pd.DataFrame({"doc_id": batch["doc_id"].array, "n_tokens": [len(w) + 1 for w in split], "n_known": known, "base_score": base, "score": total})
 
-    # Row numbers are written with the texts, so that every pass over them sees the same.
-    numbered = texts.withColumn("_row", F.lit(0).cast("long")) if own and model is not None else stored(texts.withColumn("_row", F.monotonically_increasing_id()))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    scored = numbered.mapInPandas(score, f"doc_id {kind}, _row long, n_tokens long, score double, base_score double, n_known long, words array<struct<h:long,k:long>>")
-    if not own:
-        scored = _with_counts(stored(scored), gathered, bottom)
-    if model is None:
-        scored = scored.drop("score").join(_joined_scores(numbered, gathered), "_row")
-    return scored.select(
+    columns = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
+    if model is not None and vocabulary is not None:
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model, vocabulary = shared.value
+            for batch in (part for whole in batches for part in _slices(whole)):
+                yield scored(batch, model.log10, lambda h: counts_of(*vocabulary, h))
+
+        done = texts.mapInPandas(score, columns)
+    else:
+        n_batches = max(4 * spark.sparkContext.defaultParallelism, -(-(size["bytes"] or 0) // BATCH_BYTES))
+        asked = [k for k, own in (("ppm", model), ("word", vocabulary)) if own is None]
+        # Dealt by what a row holds, so that every pass puts it into the same batch.
+        dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition(n_batches, "batch")
+
+        def score_batch(whole: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            model, vocabulary = shared.value
+            worth_of = model.log10 if model is not None else _answered(answers, "ppm")
+            count_of = (lambda h: counts_of(*vocabulary, h)) if vocabulary is not None else _answered(answers, "word")
+            found = [scored(batch, worth_of, count_of) for batch in _slices(whole)]
+            return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        answers = _answers(dealt, gathered, asked, ranges, n_batches).repartition(n_batches, "batch")
+        done = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score_batch, columns)
+    return done.select(
         "doc_id", (~in_training()).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
+def _distinct(split: list[list[str]]) -> tuple[list[str], np.ndarray]:
+    """Distinct words and their hashes."""
+    words = list(set().union(*split)) if split else []
+    return words, np.fromiter(map(word_hash, words), np.uint64, len(words))
+
+
 def _packed(split: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
     """Numbers of first texts and, sorted, each byte's key with its text's number after that one in one word: equal keys are looked up once."""
     for codes, owners in _segments([spelled(w) for w in split]):
@@ -355,79 +377,99 @@ def _packed(split: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
             yield low, np.sort((codes[here] << np.uint64(16)) | (owners[here] - low).astype(np.uint64))
 
 
-def _joined_scores(numbered: DataFrame, gathered: DataFrame) -> DataFrame:
-    """_row and score by joins on the keys, for tries too large to broadcast."""
+def _answers(dealt: DataFrame, gathered: DataFrame, asked: list[str], ranges: int, n_batches: int) -> DataFrame:
+    """batch, kind, keys, values: what each key of a batch is worth (kind 'ppm'), how often each word hash occurs ('word').
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (part for whole in batches for part in _slices(whole)):
-            rows = batch["_row"].to_numpy()
-            for low, packed in _packed([split_words(lower_ascii(t)) if t else [] for t in batch["text"]]):
-                keys, times = _counted(packed)
-                yield pd.DataFrame({"_row": rows[low + (keys & np.uint64(0xFFFF)).astype(np.int64)], "code": (keys >> np.uint64(16)).astype(np.int64), "times": times})
-
-    spelt = "_row long, code long, times long"
-    codes = numbered.select("_row", "text").mapInPandas(spell, spelt)
-    held_out = numbered.filter(~in_training()).select("_row", "text").mapInPandas(spell, spelt)
-    worth = _worths(gathered, held_out.select("code").distinct())
-    return codes.join(worth, "code", "left").groupBy("_row").agg(F.sum(F.col("times") * F.col("worth")).alias("score"))
-
-
-def _worths(gathered: DataFrame, codes: DataFrame) -> DataFrame:
-    """code and worth, what Trie.log10 gives, of all keys of the training texts and of codes, order by order."""
+    A batch sends each of its keys once, to the range that can answer it alone: nodes are dealt by
+    the two bytes before the symbol, so that all contexts of two bytes and more lie whole in a range;
+    shorter ones, 65,792 nodes at most, every range has. What is sent are a batch's distinct keys,
+    no row for each of them in each text. A range answers parts of the batches apart.
+    """
+    spark = dealt.sparkSession
+    per_part = BATCHES_PER_PART
+    n_parts = -(-n_batches // per_part)
+
+    def ask(group: pd.DataFrame) -> pd.DataFrame:
+        codes, words = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        held: list[np.ndarray] = []
+        for batch in _slices(group):
+            split = [split_words(lower_ascii(t)) if t else [] for t in batch["text"]]
+            if "ppm" in asked:
+                held += [_counted(keys)[0] for keys, _ in _segments([spelled(w) for w in split])]
+                if sum(map(len, held)) > TASK_NODES:
+                    codes, held = np.unique(np.concatenate([codes, *held])), []
+            if "word" in asked:
+                words = np.union1d(words, _distinct(split)[1])
+        codes = np.unique(np.concatenate([codes, *held]))
+        rows = pd.concat([
+            _by_range(_ranges((codes >> np.uint64(8)) & MASKS[1], ranges), keys=codes).assign(kind="ppm"),
+            _by_range(_word_ranges(words, ranges), keys=words).assign(kind="word"),
+        ])
+        n = int(group["batch"].iloc[0])
+        return rows.assign(batch=n, part=n // per_part)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kind, at, keys, counts in zip(batch["kind"], batch["at"], batch["keys"], batch["counts"], strict=True):
+                if kind == "word":
+                    yield pd.DataFrame({"kind": [kind], "at": [at], "keys": [keys], "counts": [counts]})
+                    continue
+                nodes, times = _array(keys, np.uint64), _array(counts, np.int64)
+                yield _by_range(_ranges((nodes >> np.uint64(8)) & MASKS[1], ranges), keys=nodes, counts=times).assign(kind=kind)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for level, keys, counts in zip(batch["level"], batch["keys"], batch["counts"], strict=True):
                 yield pd.DataFrame({"level": level, "key": _array(keys, np.uint64).astype(np.int64), "c": _array(counts, np.int64)})
 
-    small = lambda df, bytes_: F.broadcast(df) if bytes_ <= 2 else df  # noqa: E731  # at most 65,536 rows
-    every = stored(gathered.filter("kind = 'ppm'").select("level", "keys", "counts").mapInPandas(unpack, "level int, key long, c long"), ["level"])
-    nodes = [every.filter(F.col("level") == k).select("key", "c") for k in range(ORDER + 1)]
-    nodes[0] = stored(nodes[0].groupBy("key").agg(F.sum("c").alias("c")))  # the only order whose keys lie in several ranges
-    contexts = []
-    for k in range(ORDER + 1):
-        sums = nodes[k].withColumn("excluded", F.lit(0).cast("long"))
-        if k:
-            shorter = nodes[k - 1].select(F.col("key").alias("_short"), F.col("c").alias("excluded"))
-            sums = nodes[k].withColumn("_short", F.col("key").bitwiseAND(F.lit(int(MASKS[k - 1])))).join(small(shorter, k), "_short")
-        contexts.append(sums.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), F.sum("excluded").alias("excluded")))
-
-    top = nodes[ORDER].join(contexts[ORDER], F.shiftright("key", 8) == F.col("context"))
-    found = top.select(F.col("key").alias("code"), F.log10(F.col("c") / (F.col("n") + F.col("d"))).alias("worth"))
-    zero = F.lit(0).cast("long")
-    still = codes.join(nodes[ORDER].select(F.col("key").alias("code")), "code", "left_anti").select("code", F.lit(0.0).alias("worth"), zero.alias("gone_n"), zero.alias("gone_d"))
-    for k in range(ORDER, -1, -1):
-        key = F.col("code").bitwiseAND(F.lit(int(MASKS[k])))
-        at = still.withColumns({"key": key, "context": F.shiftright(key, 8)}).join(small(contexts[k], k), "context", "left").join(small(nodes[k], k + 1), "key", "left")
-        n, d, hit = F.col("n") - F.col("gone_n"), F.col("d") - F.col("gone_d"), F.col("c").isNotNull()
-        step = F.when(hit, F.log10(F.col("c") / (n + d))).when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
-        at = stored(at.select(
-            "code", hit.alias("hit"), (F.col("worth") + step).alias("worth"),
-            F.coalesce("excluded", "gone_n").alias("gone_n"), F.when(F.col("n").isNull(), F.col("gone_d")).otherwise(F.col("d")).alias("gone_d"),
-        ))
-        found = found.unionByName(at.filter("hit").select("code", "worth"))
-        still = at.filter("NOT hit").drop("hit")
-    symbols = F.broadcast(nodes[0].agg(F.count(F.lit(1)).alias("_symbols")))
-    return found.unionByName(still.crossJoin(symbols).select("code", (F.col("worth") - F.log10(F.lit(256) - F.col("_symbols"))).alias("worth")))
-
-
-def _with_counts(scored: DataFrame, gathered: DataFrame, bottom: float) -> DataFrame:
-    """Adds the words' part of base_score and n_known by a join on the words, for vocabularies too large to broadcast."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
-                yield pd.DataFrame({"h": (_array(keys, np.uint64) ^ np.uint64(1 << 63)).view(np.int64), "c": _array(counts, np.int64)})
-
-    counts = gathered.filter("kind = 'word'").select("keys", "counts").mapInPandas(unpack, "h long, c long")
-    words = scored.select("_row", F.explode("words").alias("w")).select("_row", "w.h", "w.k")
-    c = F.coalesce("c", F.lit(0))
-    parts = words.join(counts, "h", "left").groupBy("_row").agg(
-        F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(bottom))).alias("_base"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("_known")
-    )
-    return scored.join(parts, "_row", "left").withColumns({
-        "base_score": F.col("base_score") + F.coalesce("_base", F.lit(0.0)), "n_known": F.col("n_known") + F.coalesce("_known", F.lit(0)),
-    })
+    short = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+    if "ppm" in asked:
+        low = gathered.filter("kind = 'ppm' AND level < 2").select("level", "keys", "counts").mapInPandas(unpack, "level int, key long, c long")
+        summed = low.groupBy("level", "key").agg(F.sum("c").alias("c")).toPandas()
+        for k in (0, 1):
+            rows = summed[summed["level"] == k].sort_values("key")
+            short[k] = (rows["key"].to_numpy().astype(np.uint64), rows["c"].to_numpy().astype(np.int64))
+    shared = spark.sparkContext.broadcast(short)
+
+    def answer(held: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out = {"batch": questions["batch"].to_numpy(), "kind": questions["kind"].array, "keys": questions["keys"].array}
+        if not len(questions):
+            return pd.DataFrame(out | {"values": []})
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_array(b, np.uint64) for b in held["keys"])])
+        keys, counts = _summed(keys, np.concatenate([np.zeros(0, np.int64), *(_array(b, np.int64) for b in held["counts"])]))
+        if questions["kind"].iloc[0] == "ppm":
+            levels = [(keys, counts)]
+            for k in range(ORDER - 1, 1, -1):
+                levels.append(_summed(levels[-1][0] & MASKS[k], levels[-1][1]))
+            value = Trie.build([*shared.value, *reversed(levels)]).log10
+        else:
+            value = lambda wanted: counts_of(keys, counts, wanted)
+        return pd.DataFrame(out | {"values": [value(_array(b, np.uint64)).tobytes() for b in questions["keys"]]})
+
+    names = ["kind", "at", "part"]
+    top = gathered.filter((F.col("kind") == "word") | ((F.col("kind") == "ppm") & (F.col("level") == ORDER))).filter(F.col("kind").isin(asked))
+    nodes = top.select("kind", "at", "keys", "counts").mapInPandas(deal, "kind string, at int, keys binary, counts binary")
+    nodes = nodes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).repartition(n_batches, *names)
+    questions = dealt.groupBy("batch").applyInPandas(ask, "kind string, at int, part int, batch int, keys binary").repartition(n_batches, *names)
+    return nodes.groupBy(*names).cogroup(questions.groupBy(*names)).applyInPandas(answer, "batch int, kind string, keys binary, values binary")
+
+
+def _answered(answers: pd.DataFrame, kind: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Looks wanted keys up among a batch's answers; one that was not asked for is an error."""
+    own = answers[answers["kind"] == kind]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(_array(b, np.uint64) for b in own["keys"])])
+    dtype = np.float64 if kind == "ppm" else np.int64
+    values = np.concatenate([np.zeros(0, dtype), *(_array(b, dtype) for b in own["values"])])
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+
+    def look(wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, wanted)
+        if len(wanted) and (at.max() >= len(keys) or (keys[at] != wanted).any()):
+            raise ValueError("the texts differ from those that the batch asked for")
+        return values[at]
+
+    return look
 
 
 def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -625,6 +625,20 @@ def test_ppm_keeps_every_node_of_a_trie_that_is_not_broadcast(spark, docs, most_
         assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], atol=1e-7)
 
 
+def test_ppm_batches_ask_for_each_key_once(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "BATCHES_PER_PART", 2)
+    text = "the same words in every text " * 5
+    rows = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string")
+    dealt = rows.withColumn("batch", (F.col("doc_id") % 5).cast("int"))
+    got = ppm._answers(dealt, ppm.gather(rows, 8), ["ppm", "word"], 8, 5).toPandas()
+    sizes = got.assign(n=got["keys"].str.len() // 8, v=got["values"].str.len() // 8).groupby(["kind", "batch"])[["n", "v"]].sum()
+    keys = {k for codes, _ in ppm._segments([ppm.spelled(text.split())]) for k in codes}
+    assert sizes.loc["ppm"].to_numpy().tolist() == [[len(keys)] * 2] * 5 and sizes.loc["word"].to_numpy().tolist() == [[6, 6]] * 5
+    worth = ppm.score_documents(rows, most_nodes=1, most_words=1).select("score", "base_score").distinct().toPandas()
+    whole = ppm.score_documents(rows).select("score", "base_score").distinct().toPandas()
+    assert np.allclose(worth.to_numpy()[0], whole.to_numpy()[0], atol=1e-7)
+
+
 def test_small_trie_is_still_a_distribution(spark, docs):
     rows = spark.createDataFrame([(i, r["text"][:500]) for i, r in enumerate(docs.limit(60).collect())], "doc_id long, text string")
     model = ppm.trie(ppm.gather(rows, 8), most_nodes=3000)
