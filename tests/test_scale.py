@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import gc
+from urllib.parse import urljoin
 
 import numpy as np
 import pandas as pd
@@ -114,3 +116,25 @@ def test_parts_of_an_index_are_merged_by_size():
         held, rows = [*stay, (n, size)], rows + size
         assert sum(s for _, s in held) == 10 * (n + 1) and all(a > 2 * b for (_, a), (_, b) in zip(held, held[1:]))
     assert rows <= 10 * 1000 * 10
+
+
+def test_trees_of_pages_are_freed_without_a_search_for_rings():
+    count = lambda: sum(isinstance(o, pages.Node) for o in gc.get_objects())
+    gc.collect()
+    held = count()
+    gc.disable()
+    try:
+        for _ in range(10):
+            root = pages.read("<div id='x' class='a b'><p>1<ul><li>2</ul></div>")
+            assert root.marked("#x") == root.marked("b") == root.all("div")
+            pages._part(root)
+        del root
+        assert count() == held
+    finally:
+        gc.enable()
+
+
+def test_plain_addresses_are_joined_as_urljoin_does():
+    bases = ("https://h/g/1", "https://h", "http://H:80/a", "https://h/a?b=c/d", "", "https://h/a/b/../c", "//h/x", "https://h/a.html")
+    for href in ("/", "/a/b.do?x=1", "//h/x", "../x", "/x?", "/a/../b", "/a/./b.", "/a/..", "/x;y", "/a//b", "/.x", "/a?x#y", "/a.b/c", "http://z/q"):
+        assert [pages._join(b, href) for b in bases] == [urljoin(b, href) for b in bases]
