@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import percent
+from corpusloom.session import stored
 
 
 def retrieval_marks(run: DataFrame) -> DataFrame:
@@ -306,11 +307,33 @@ def superseded_by(docs: DataFrame) -> DataFrame:
     return rows.filter(~F.col("corrected")).join(above, ["clean", "date"]).select("id", "newer", "n_newer")
 
 
-def superseding_pairs(docs: DataFrame) -> DataFrame:
-    """id, newer: what is no correction itself with every correction of the same title that is later dated; docs as in superseded_by()."""
-    rows = docs.filter(F.col("clean") != "")
-    a, b = rows.filter(~F.col("corrected")).alias("a"), rows.filter("corrected").alias("b")
-    return a.join(b, (F.col("a.clean") == F.col("b.clean")) & (F.col("b.date") > F.col("a.date"))).select(F.col("a.id"), F.col("b.id").alias("newer"))
+PER_BLOCK = 2_000  # documents of a title that meet as many corrections of it in one place
+
+
+def superseding_pairs(docs: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
+    """id, newer: what is no correction itself with every correction of the same title that is later dated; docs as in superseded_by().
+
+    The output grows with the pairs of a title. Where a title has over per_block documents or
+    corrections, both are dealt into blocks of about that many by their ids and every two blocks
+    meet apart, so that the pairs of one title are made by all tasks.
+    """
+    spark = docs.sparkSession
+    rows = stored(docs.filter(F.col("clean") != "").select("id", "clean", "date", "corrected"))  # read three times
+    sizes = rows.groupBy("clean").agg(F.count_if(~F.col("corrected")).alias("n_a"), F.count_if("corrected").alias("n_b"))
+    large = sizes.filter((F.greatest("n_a", "n_b") > per_block) & (F.least("n_a", "n_b") > 0))  # at most one title in per_block rows
+    blocks = lambda n: F.ceil(F.col(n) / per_block).cast("int").alias(n)
+    dealt = rows.join(F.broadcast(large.select("clean", blocks("n_a"), blocks("n_b"))), "clean", "left").fillna(1, ["n_a", "n_b"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meet = lambda df: df.repartition(n, "clean", "block_a", "block_b")  # noqa: E731  # a given number: parts of few rows in make many rows out
+    a = meet(dealt.filter(~F.col("corrected")).withColumns({"block_a": own("n_a"), "block_b": each("n_b")}))
+    b = meet(dealt.filter("corrected").withColumns({"block_b": own("n_b"), "block_a": each("n_a")}))
+    return (
+        a.select("clean", "block_a", "block_b", "id", F.col("date").alias("day"))
+        .join(b.select("clean", "block_a", "block_b", F.col("id").alias("newer"), "date"), ["clean", "block_a", "block_b"])
+        .filter(F.col("date") > F.col("day")).select("id", "newer")
+    )
 
 
 def duplicates(rows: DataFrame, key: Column) -> DataFrame:

@@ -138,3 +138,13 @@ def test_plain_addresses_are_joined_as_urljoin_does():
     bases = ("https://h/g/1", "https://h", "http://H:80/a", "https://h/a?b=c/d", "", "https://h/a/b/../c", "//h/x", "https://h/a.html")
     for href in ("/", "/a/b.do?x=1", "//h/x", "../x", "/x?", "/a/../b", "/a/./b.", "/a/..", "/x;y", "/a//b", "/.x", "/a?x#y", "/a.b/c", "http://z/q"):
         assert [pages._join(b, href) for b in bases] == [urljoin(b, href) for b in bases]
+
+
+def test_pairs_of_one_title_are_made_by_many_tasks(spark):
+    rows = [(f"a{i}", f"2026-01-{1 + i % 9:02d}", "t", False) for i in range(40)] + [(f"c{i}", f"2026-01-{1 + i % 13:02d}", "t", True) for i in range(30)]
+    rows += [("x", "2026-01-01", "u", False), ("y", "2026-01-02", "u", True), ("z", None, "t", True), ("e", "2026-01-01", "", False)]
+    found = evaluation.superseding_pairs(spark.createDataFrame(rows, "id string, date string, clean string, corrected boolean"), per_block=4)
+    want = [(a, b) for a, d, t, c in rows for b, e, u, k in rows if t and t == u and k and not c and e and e > d]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    at = found.filter("id LIKE 'a%'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(at) > 5 and max(r["count"] for r in at) < len(want) / 3
